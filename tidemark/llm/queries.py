@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, token_store, topk
+from . import exact_dedup, langid, mixing, packing, quality, token_store, topk
 from .oracles import ORACLE_SQL
 from .workspace import scratch, stored
 
@@ -36,6 +36,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document and whether it is accepted."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), [F.col("doc_id"), F.col("lang")])
+
+
 @query
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of all vectors for each vector whose id is divisible by 100."""
@@ -58,6 +64,14 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_index(spark, path)
 
 
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those outside the held-out third."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    found = langid.identify(table(spark, sf_dir, "documents"), fold != 1, keep=[F.col("doc_id"), (fold == 1).alias("held_out")])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, in its sequence."""
