@@ -61,7 +61,8 @@ def keyed_state(spark: SparkSession, table: str, checkpoint: str, max_files: int
         source = source.option("maxFilesPerTrigger", max_files)
     best = F.struct((-F.col("points")).alias("points_down"), F.col("id").isNull().alias("unidentified"), "id", "row_no", "file")
     state = source.parquet(table).groupBy("digest").agg(F.min(best).alias("keep"), F.count("*").alias("group_size"))
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    # Without fallocate a store of few keys takes few bytes of disk, however many partitions there are.
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
         held = spark.read.format("statestore").load(checkpoint)
