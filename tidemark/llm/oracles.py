@@ -26,18 +26,20 @@ s AS (
   FROM w),
 c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
   FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id),
 link AS (
   SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y
-  WHERE 100 * both >= 80 * (cx.n + cy.n - both)),
+  WHERE 100 * common >= 80 * (cx.n + cy.n - common)),
 reach AS (
   SELECT doc_id AS x, doc_id AS y FROM documents
   UNION
   SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
-SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, r.component_id
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, r.component_id,
+       CASE WHEN c.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY k.shingles) END AS class_id
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, sha256(string_agg(shingle, chr(10) ORDER BY shingle)) AS shingles FROM s GROUP BY doc_id) k ON k.doc_id = d.doc_id
 JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id
 """
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, token_store, topk
+from . import exact_dedup, langid, license_scan, mixing, ngram_join, packing, quality, repeats, token_store, topk
 from .oracles import ORACLE_SQL
 from .workspace import scratch, stored
 
@@ -36,6 +36,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license templates."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component it reaches by links of similarity 0.8."""
+    return ngram_join.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document and whether it is accepted."""
@@ -56,6 +68,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 100 bytes that occurred earlier."""
+    return repeats.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the corpus' token ids, reads them back, and says where each document's are."""
