@@ -105,8 +105,11 @@ def java_pattern(pattern: str) -> str:
             out.append(STRFTIME[pattern[at + 1]])
             at += 2
         else:
-            out.append(f"'{pattern[at]}'" if pattern[at].isalpha() else pattern[at])
-            at += 1
+            end = at
+            while end < len(pattern) and pattern[end].isalpha():
+                end += 1
+            out.append(f"'{pattern[at:end]}'" if end > at else pattern[at])
+            at = max(end, at + 1)
     return "".join(out)
 
 

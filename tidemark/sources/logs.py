@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WAL = "action string, kind string, schema string, `table` string, columnnames array<string>, columnvalues array<string>, oldkeys struct<keynames:array<string>,keyvalues:array<string>>"
+_WAL = "change array<struct<kind:string,schema:string,table:string,columnnames:array<string>,columnvalues:array<string>,oldkeys:struct<keynames:array<string>,keyvalues:array<string>>>>"
 
 
 def wal(df: DataFrame, payload: str = "payload") -> DataFrame:
     """wal2json lines ({"change": [...]}) as op, schema_name, table_name, pk_values, before, after."""
-    change = df.select("*", F.explode(F.from_json(payload, f"change array<struct<{_typed()}>>")["change"]).alias("c"))
+    change = df.select("*", F.explode(F.from_json(payload, _WAL)["change"]).alias("c"))
     image = F.when(F.col("c.columnnames").isNotNull(), F.to_json(F.map_from_arrays("c.columnnames", "c.columnvalues")))
     old = F.when(F.col("c.oldkeys.keynames").isNotNull(), F.to_json(F.map_from_arrays("c.oldkeys.keynames", "c.oldkeys.keyvalues")))
     op = F.element_at(F.create_map(*[F.lit(x) for x in ("insert", "c", "update", "u", "delete", "d")]), F.col("c.kind"))
@@ -18,10 +18,6 @@ def wal(df: DataFrame, payload: str = "payload") -> DataFrame:
     return change.select(op.alias("op"), F.col("c.schema").alias("schema_name"), F.col("c.table").alias("table_name"), F.coalesce(old, image).alias("pk_values"), F.when(op != "c", old).alias("before"), after.alias("after")).where("op IS NOT NULL")
 
 
-def _typed() -> str:
-    return ",".join(f"{p.strip().split(' ', 1)[0]}:{p.strip().split(' ', 1)[1]}" for p in _WAL.replace("array<string>,keyvalues", "array<string>;keyvalues").split(", ")).replace(";", ",")
-
-
 def document_stream(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Document change-stream records as events; operations other than row changes are left out."""
     j = lambda p: F.get_json_object(payload, p)
