@@ -215,7 +215,7 @@ def event_id(t: Tables) -> DataFrame:
     return t("events").select("event_id", changes.event_id(pk, F.col("event_id")).alias("id"))
 
 
-@case("cdc_envelope", f"SELECT op, count(*) AS n, CAST(sum(ts_ms) AS BIGINT) AS ms FROM (SELECT op, epoch_ms(ts) AS ts_ms FROM {LOG} WHERE event_id % 5 <> 0 OR op <> 'd') GROUP BY op")
+@case("cdc_envelope", f"SELECT op, count(*) AS n, CAST(sum(ts_ms) AS BIGINT) AS ms FROM (SELECT op, epoch_us(ts) // 1000 AS ts_ms FROM {LOG} WHERE event_id % 5 <> 0 OR op <> 'd') GROUP BY op")
 def cdc_envelope(t: Tables) -> DataFrame:
     image = F.to_json(F.struct("user_id", "value", "event_type"))
     e = log(t).select(F.col("event_id").cast("string").alias("event_id"), "op", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.when(F.col("op") != "c", image).alias("before"), F.when((F.col("op") != "d") | (F.col("event_id") % 5 == 0), image).alias("after"))
