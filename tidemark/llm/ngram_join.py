@@ -36,6 +36,8 @@ from .textops import column, shingles, slices
 from .workspace import small, stored
 
 GRAM = 5
+#: Passages of fewer shingles than this make no candidates.
+FLOOR = 64
 #: Sets that one prefix tree holds, about.
 PART = 256
 #: Rows of sets that one task gets, about.
@@ -48,16 +50,18 @@ def overlap(n: int) -> int:
 
 
 def extra(n: int) -> int:
-    return max(1, n // 16)
+    """Shared prefix shingles that prefixes are long enough for: all that a short set must share, FLOOR or more else."""
+    return min(overlap(n), max(FLOOR, n // 16))
 
 
 def prefix(n: int) -> int:
-    return min(n, n - overlap(n) + extra(n)) if n else 0
+    return n - overlap(n) + extra(n)
 
 
 def least(n: Column) -> Column:
     """Shared prefix shingles that a set of n needs; partners have 0.8 n or more."""
-    return F.greatest(F.lit(1), F.floor(F.ceil(n * trie.PERCENT / 100) / 16)).cast("int")
+    m = F.ceil(n * trie.PERCENT / 100)
+    return F.least(F.ceil(m * trie.PERCENT / 100), F.greatest(F.lit(FLOOR), F.floor(m / 16))).cast("int")
 
 
 def _sets(whole: bool):
@@ -122,8 +126,9 @@ def _candidates(live: DataFrame, parts: DataFrame) -> DataFrame:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id (smallest id with the same set), component_id for every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    own = stored(rows.mapInArrow(_sets(False), "id long, n int, class long, prefix array<long>"), "join-prefixes")
-    tokens = own.where("class IS NOT NULL").select("class", F.explode("prefix").alias("token"))
+    found = rows.mapInArrow(_sets(False), "id long, n int, class long, prefix array<long>")
+    own = stored(found.select("id", "n", "class"), "join-classes")
+    tokens = found.where("class IS NOT NULL").select("class", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df", "lo")
     live = tokens.join(shared, "token").groupBy("class").agg(F.collect_set(F.struct("df", "token", "lo")).alias("shared"))
     classes = own.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
