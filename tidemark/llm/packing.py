@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import slices
+
 #: Context sizes, longest first; powers of two.
 TIERS = (2048, 1024, 512, 256)
 BUFFER_IDS = 1 << 20
@@ -132,9 +134,9 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...]):
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode.ids(text.as_py()) + end
+        for batch in slices(batches, "text"):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text").to_pylist()), strict=True):
+                ids += end
                 parts.append((len(ids) // 4, len(docs), 0))
                 docs.append((key, ids))
                 size += len(ids) // 4

@@ -21,6 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textops import slices
+from .workspace import stored
+
 #: Ids in one Arrow batch, about.
 BATCH_IDS = 1_000_000
 STORE_SCHEMA = "doc_id long, shard int, row long, ids array<int>"
@@ -44,10 +47,10 @@ def _stored_rows(path: str, end_id: int):
             row += len(keys)
             return out
 
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for batch in slices(batches, "text"):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text").to_pylist()), strict=True):
                 keys.append(key)
-                parts.append(encode.ids(text.as_py()) + end)
+                parts.append(ids + end)
                 size += len(parts[-1]) // 4
                 if size >= BATCH_IDS:
                     yield flush()
@@ -84,8 +87,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     rows = read_tokens(spark, path).mapInArrow(_checked, "doc_id long, shard int, row long, n_tokens long, ids_crc32 long")
-    from .workspace import stored
-
     rows = stored(rows, "token-index")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
