@@ -1,32 +1,23 @@
 """Token ids of whole texts with the tokenizers library, through a bounded cache of pieces.
 
 A tokenizer's pre-tokenisation never joins what stands on two sides of certain white space,
-so texts are split there, each piece that is new to a batch of texts is encoded once, and a
-text's ids are its pieces' ids in a row. Texts in which the split isn't provably neutral are
-encoded as they are.
+so a text is split there, each distinct piece is encoded once per worker, and a text's ids
+are its pieces' ids in a row. Texts in which the split isn't provably neutral are encoded
+as they are.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
-from itertools import chain
 
-#: White space other than space, tab, line feed and carriage return.
-_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
-_ODD_WIDE = _ODD_ASCII + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Within a piece no pre-token goes on from an ASCII letter to one of these marks.
-_INNER = re.compile(r"(?<=[A-Za-z])(?=[.,!?;:\n])")
+_UNEVEN = re.compile(r" \s|\s ")
+_ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _LOADED: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def _odd_space(text: str) -> bool:
-    return any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD_WIDE))
-
-
 class PieceEncoder:
-    """batch(texts): little-endian unsigned 32-bit ids of each, special tokens' strings as ordinary text."""
+    """ids(text): little-endian unsigned 32-bit ids, special tokens' strings as ordinary text."""
 
     def __init__(self, path: str, entries: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,63 +28,39 @@ class PieceEncoder:
         self.entries = entries
         # With a byte-level split a piece carries the one space before it; otherwise white space only separates.
         self.leading = "add_prefix_space" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        self.held: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        import numpy as np
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text's pieces; None if it can't be split. With ``leading`` all but the first go without their space."""
-        if self.leading:
-            return None if text[:1].isspace() or text[-1:].isspace() else text.split(" ")
-        return None if _odd_space(text) else text.split()
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, pieces: set[str]) -> None:
-        new = pieces.difference(self.held)
-        if len(self.held) + len(new) > self.entries:
-            self.held.clear()
-            new = pieces
-        # A piece with white space at an edge isn't held: around it white space would merge.
-        even = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        parts = [_INNER.split(" " + p if self.leading else p) for p in even]
-        wanted = set(chain.from_iterable(parts))
-        unknown = wanted.difference(self.inner)
-        if len(self.inner) + len(unknown) > self.entries:
-            self.inner.clear()
-            unknown = wanted
-        self.inner.update(zip(unknown, self._encode(list(unknown)), strict=True))
-        self.held.update((p, b"".join(map(self.inner.__getitem__, q))) for p, q in zip(even, parts, strict=True))
+    def _fill(self, held: dict[str, bytes], pieces: list[str], before: str) -> None:
+        new = list({p for p in pieces if p not in held})
+        if len(held) + len(new) > self.entries:
+            held.clear()
+            new = list(set(pieces))
+        held.update(zip(new, self._encode([before + p for p in new]), strict=True))
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._pieces(t) if t else [] for t in texts]
-        heads: dict[str, bytes] = {}
-        if self.leading:
-            first = list({p[0] for p in split if p})
-            heads = dict(zip(first, self._encode(first), strict=True))
-            tails = [p and p[1:] for p in split]
-        else:
-            tails = split
-        self._fill(set(chain.from_iterable(t for t in tails if t)))
-        out: list[bytes] = []
-        whole: list[int] = []
-        for i, pieces in enumerate(tails):
-            if pieces is None:
-                out.append(b"")
-                whole.append(i)
-                continue
-            try:
-                head = heads[split[i][0]] if self.leading and split[i] else b""
-                out.append(head + b"".join(map(self.held.__getitem__, pieces)))
-            except KeyError:
-                out.append(b"")
-                whole.append(i)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+    def _joined(self, held: dict[str, bytes], pieces: list[str], before: str) -> bytes:
+        try:
+            return b"".join(map(held.__getitem__, pieces))
+        except KeyError:
+            self._fill(held, pieces, before)
+            return b"".join(map(held.__getitem__, pieces))
 
     def ids(self, text: str | None) -> bytes:
-        return self.batch([text])[0]
+        if not text:
+            return b""
+        if self.leading:
+            if _UNEVEN.search(text):
+                return self._encode([text])[0]
+            head, *tail = text.split(" ")
+            return (self._joined(self.first, [head], "") if head else b"") + self._joined(self.rest, tail, " ")
+        if _ODD_SPACE.search(text):
+            return self._encode([text])[0]
+        return self._joined(self.rest, text.split(), "")
 
 
 def encoder(path: str) -> PieceEncoder:
