@@ -49,12 +49,16 @@ def _grams(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, first
 
 
+#: An odd multiplier for every row of every band: shingles are hashes, so products are ordered at random.
+_FACTORS = mix(np.arange(1, 2 * BANDS + 1, dtype=U)) | U(1)
+
+
 def _signature(h: np.ndarray, r: int) -> np.ndarray:
-    return mix(h ^ (U(r + 1) * U(0xA0761D6478BD642F)))
+    return h * _FACTORS[r]
 
 
 def _band(first: np.ndarray, second: np.ndarray, b: int) -> np.ndarray:
-    return mix(first * U(0xD6E8FEB86659FD93) + second + U(b))
+    return first * U(0xD6E8FEB86659FD93) + second + U(b)
 
 
 class Tier:
@@ -65,32 +69,39 @@ class Tier:
         longest = max(len(t) for t in templates.values())
         self.step = max(1, longest // 4)
         self.window = longest + self.step - 1
-        self.bands = []
-        for b in range(BANDS):
-            keys = {n: _band(_signature(t, 2 * b).min(), _signature(t, 2 * b + 1).min(), b) for n, t in templates.items()}
-            self.bands.append(keys)
-
-    def candidates(self, h: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        """Window starts (indexes into h) that share a band with each template."""
-        if not len(h):
-            return {}
-        blocks = np.concatenate([np.arange(a, b, self.step) for a, b in zip(first[:-1], first[1:], strict=True)])
-        row = np.searchsorted(first, blocks, "right") - 1
-        across = -(-self.window // self.step)
-        found = {n: np.zeros(len(blocks), bool) for n in self.templates}
-        for b in range(BANDS):
-            minima = []
-            for r in (2 * b, 2 * b + 1):
-                m = np.minimum.reduceat(_signature(h, r), blocks)
-                w = m.copy()
-                for j in range(1, across):
-                    same = row[j:] == row[:-j] if j < len(row) else np.zeros(0, bool)
-                    w[: len(same)] = np.where(same, np.minimum(w[: len(same)], m[j:]), w[: len(same)])
-                minima.append(w)
-            key = _band(*minima, b)
-            for n, k in self.bands[b].items():
-                found[n] |= key == k
-        return {n: blocks[f] for n, f in found.items() if f.any()}
+        least = {n: [_signature(t, r).min() for r in range(ROWS * BANDS)] for n, t in templates.items()}
+        self.bands = [{n: _band(m[2 * b], m[2 * b + 1], b) for n, m in least.items()} for b in range(BANDS)]
+
+    def blocks(self, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Window starts (indexes of shingles), and for each further step whether it is in the same row."""
+        starts = np.concatenate([np.arange(a, b, self.step) for a, b in zip(first[:-1], first[1:], strict=True)])
+        row = np.searchsorted(first, starts, "right") - 1
+        return starts, [row[j:] == row[:-j] for j in range(1, min(-(-self.window // self.step), len(row)))]
+
+    def windows(self, signature: np.ndarray, starts: np.ndarray, same: list[np.ndarray]) -> np.ndarray:
+        """The least signature of each window."""
+        m = signature if self.step == 1 else np.minimum.reduceat(signature, starts)
+        if not same:
+            return m
+        w = m.copy()
+        for j, inside in enumerate(same, 1):
+            np.minimum(w[:-j], m[j:], out=w[:-j], where=inside)
+        return w
+
+
+def candidates(held: list[Tier], h: np.ndarray, first: np.ndarray) -> list[tuple[Tier, str, np.ndarray]]:
+    """(tier, template, starts of the windows that share a band with it); tiers of one gram length."""
+    if not len(h):
+        return []
+    shapes = [tier.blocks(first) for tier in held]
+    found = {(i, n): np.zeros(len(shapes[i][0]), bool) for i, tier in enumerate(held) for n in tier.templates}
+    for b in range(BANDS):
+        signatures = [_signature(h, r) for r in (2 * b, 2 * b + 1)]
+        for i, tier in enumerate(held):
+            key = _band(*(tier.windows(s, *shapes[i]) for s in signatures), b)
+            for n, k in tier.bands[b].items():
+                found[i, n] |= key == k
+    return [(held[i], n, shapes[i][0][f]) for (i, n), f in found.items() if f.any()]
 
 
 def tiers(templates: dict[str, str]) -> list[Tier]:
@@ -115,21 +126,18 @@ def _scan(templates: dict[str, str]):
                 keep = np.repeat(count >= gram, np.diff(first))  # a text of fewer words has no shingle of this length
                 first = np.concatenate([[0], np.cumsum(np.where(count >= gram, np.diff(first), 0))])
                 h = h[keep]
-                for tier in held:
-                    if tier.gram != gram:
-                        continue
-                    for name, starts in tier.candidates(h, first).items():
-                        want, best = tier.templates[name], {}
-                        for s in starts:
-                            row = int(np.searchsorted(first, s, "right")) - 1
-                            part = h[s : min(int(first[row + 1]), s + -(-tier.window // tier.step) * tier.step)]
-                            hit = np.isin(part, want)
-                            share = len(np.unique(part[hit])) / len(want)
-                            if share >= SIMILAR:
-                                word = int(s - first[row] + np.flatnonzero(hit)[0])
-                                old = best.get(row)
-                                best[row] = (share, word, 1) if old is None else (*max(old[:2], (share, word), key=lambda x: (x[0], -x[1])), old[2] + 1)
-                        out += [(ids[row], name, *b) for row, b in best.items()]
+                for tier, name, starts in candidates([t for t in held if t.gram == gram], h, first):
+                    want, best = tier.templates[name], {}
+                    for s in starts:
+                        row = int(np.searchsorted(first, s, "right")) - 1
+                        part = h[s : min(int(first[row + 1]), s + -(-tier.window // tier.step) * tier.step)]
+                        hit = np.isin(part, want)
+                        share = len(np.unique(part[hit])) / len(want)
+                        if share >= SIMILAR:
+                            word = int(s - first[row] + np.flatnonzero(hit)[0])
+                            old = best.get(row)
+                            best[row] = (share, word, 1) if old is None else (*max(old[:2], (share, word), key=lambda x: (x[0], -x[1])), old[2] + 1)
+                    out += [(ids[row], name, *b) for row, b in best.items()]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "license_id", "containment", "first_word", "windows"])
