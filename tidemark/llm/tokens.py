@@ -1,20 +1,53 @@
-"""Token ids of whole texts with the tokenizers library, through a bounded cache of pieces.
+"""Token ids of whole texts with the tokenizers library, through bounded caches of pieces.
 
-A tokenizer's pre-tokenisation never joins what stands on two sides of certain white space,
-so a text is split there, each distinct piece is encoded once per worker, and a text's ids
-are its pieces' ids in a row. Texts in which the split isn't provably neutral are encoded
-as they are.
+The two known pre-tokenisations never join what stands on two sides of certain white space,
+so a text is split there and each distinct piece is encoded once per worker. A new piece
+of plain characters is split into its runs of letters, digits and other signs, as the
+pre-tokenisation does, and each distinct run goes to the tokenizer's model once. Pieces
+with other characters are encoded by the whole tokenizer, and so are texts in which the
+split isn't provably neutral and all texts of other kinds of tokenizers.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 _UNEVEN = re.compile(r" \s|\s ")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _LOADED: dict[tuple[str, int], PieceEncoder] = {}
 
+# Letters of Latin-1 that normalisation leaves as they are, digits, and ASCII signs but the apostrophe.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: By kind of tokenizer: whole plain pieces (a single line feed is a run of its own), and their runs.
+_PLAIN = {"bytes": re.compile(rf"(?:[{_LETTERS}0-9{_SIGNS}]|\n(?!\n))+"), "words": re.compile(rf"[{_LETTERS}0-9{_SIGNS}]+")}
+_RUNS = {"bytes": re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n"), "words": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")}
+
+
+def _byte_signs() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_SIGN_OF_BYTE = _byte_signs()
+
+
+class Cache(dict):
+    """Ids by piece; a missing one is encoded when it is asked for, and a full cache starts anew."""
+
+    def __init__(self, encode: Callable[[str], bytes], entries: int) -> None:
+        super().__init__()
+        self.encode, self.entries = encode, entries
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) >= self.entries:
+            self.clear()
+        self[piece] = ids
+        return ids
+
 
 class PieceEncoder:
     """ids(text): little-endian unsigned 32-bit ids, special tokens' strings as ordinary text."""
@@ -25,42 +58,50 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.entries = entries
+        self.kind = self._kind()
         # With a byte-level split a piece carries the one space before it; otherwise white space only separates.
-        self.leading = "add_prefix_space" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.first = Cache(lambda piece: self._new(piece, ""), entries)
+        self.rest = Cache(lambda piece: self._new(piece, " "), entries) if self.kind == "bytes" else self.first
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _kind(self) -> str:
+        """How the text is normalised and split: the kinds are fixed values of the library's description."""
+        normalizer, split = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
+        level = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex="
+        words = r"""Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True"""
+        if normalizer == "None" and split == f"{level}True)":
+            return "bytes"
+        if "NFC(), Replace(" in normalizer and normalizer.endswith("Lowercase()])") and words in split and split.endswith(f"{level}False)])"):
+            return "words"
+        return ""
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _fill(self, held: dict[str, bytes], pieces: list[str], before: str) -> None:
-        new = list({p for p in pieces if p not in held})
-        if len(held) + len(new) > self.entries:
-            held.clear()
-            new = list(set(pieces))
-        held.update(zip(new, self._encode([before + p for p in new]), strict=True))
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in ids])
 
-    def _joined(self, held: dict[str, bytes], pieces: list[str], before: str) -> bytes:
-        try:
-            return b"".join(map(held.__getitem__, pieces))
-        except KeyError:
-            self._fill(held, pieces, before)
-            return b"".join(map(held.__getitem__, pieces))
+    def _new(self, piece: str, before: str) -> bytes:
+        if not _PLAIN[self.kind].fullmatch(piece):
+            return self._encode(before + piece)
+        first, *rest = _RUNS[self.kind].findall(piece)
+        if rest:
+            return (self.rest if before else self.first)[first] + b"".join(map(self.first.__getitem__, rest))
+        run = (before + piece) if self.kind == "bytes" else piece.lower()
+        signs = run.encode().decode("latin-1").translate(_SIGN_OF_BYTE)
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(signs)])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.leading:
+        if self.kind == "bytes":
             if _UNEVEN.search(text):
-                return self._encode([text])[0]
+                return self._encode(text)
             head, *tail = text.split(" ")
-            return (self._joined(self.first, [head], "") if head else b"") + self._joined(self.rest, tail, " ")
-        if _ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        return self._joined(self.rest, text.split(), "")
+            return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, tail))
+        if self.kind != "words" or _ODD_SPACE.search(text):
+            return self._encode(text)
+        return b"".join(map(self.first.__getitem__, text.split()))
 
 
 def encoder(path: str) -> PieceEncoder:
