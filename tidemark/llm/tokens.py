@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 _UNEVEN = re.compile(r" \s|\s ")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _LOADED: dict[tuple[str, int], PieceEncoder] = {}
 
 # Letters of Latin-1 that normalisation leaves as they are, digits, and ASCII signs but the apostrophe.
@@ -95,7 +96,7 @@ class PieceEncoder:
         if not text:
             return b""
         if self.kind == "bytes":
-            if _UNEVEN.search(text):
+            if "  " in text or " \n" in text or "\n " in text or (_OTHER_SPACE.search(text) and _UNEVEN.search(text)):
                 return self._encode(text)
             head, *tail = text.split(" ")
             return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, tail))
