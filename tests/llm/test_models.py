@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, quality, queries
@@ -53,3 +54,44 @@ def test_quality_edge_cases(spark):
     assert len(got) == len(rows) and all(isinstance(r["accepted"], bool) for r in got)
     assert quality.classify(docs.limit(0), labels, [F.col("doc_id")]).collect() == []
     assert quality.classify(docs, labels.limit(0), [F.col("doc_id")]).count() == len(rows)
+
+
+def test_letters_of_any_script_stay_apart(spark):
+    words = {"aa": "абвг дежз ийкл", "bb": "щшчц хфут српо", "cc": "òò öö ùù", "dd": "üü óó úú", "ee": "𐐀𐐁 𐐂𐐃 𐐄𐐅", "ff": "𐑀𐑁 𐑂𐑃 𐑄𐑅"}
+    rows = [(i * 10 + j, t, lang) for i, (lang, t) in enumerate(words.items()) for j in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, F.lit(True), keep=[F.col("doc_id"), F.col("lang")]).collect()
+    assert len(got) == len(rows) and all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_costs_match_a_count_of_all_ngrams(spark):
+    from tidemark.llm import charlm
+
+    taught, asked = ["абаб ába", "ab абв"], ["абв ab", "щ", ""]
+    rows = spark.createDataFrame([(t, (i,)) for i, t in enumerate(asked)], "text string, row struct<i: int>")
+    labels, found = charlm.scored(spark.createDataFrame([("x", t) for t in taught], "label string, text string"), rows, 3)
+    levels = [{}, {}, {}]
+    for t in taught:
+        for g in (("  " + t)[i : i + 3] for i in range(len(t))):
+            levels[2][g] = levels[2].get(g, 0) + 1
+    for k in (1, 0):
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    size = len({g[-1] for t in asked + taught for g in t})
+
+    def p(g):
+        if not g:
+            return 1 / size
+        level = levels[len(g) - 1]
+        of = [max(1, sum(c == i for c in level.values())) for i in (1, 2, 3, 4)]
+        y = of[0] / (of[0] + 2 * of[1])
+        d = [0, *(min(max(i - (i + 1) * y * of[i] / of[i - 1], 0.1), top) for i, top in ((1, 0.95), (2, 1.9), (3, 2.9)))]
+        after = [c for h, c in level.items() if h[:-1] == g[:-1]]
+        n = level.get(g, 0)
+        return (n - d[min(n, 3)]) / sum(after) + sum(d[min(c, 3)] for c in after) / sum(after) * p(g[1:]) if after else p(g[1:])
+
+    assert labels == ["x"]
+    for r in found.collect():
+        t = asked[r["row"]["i"]]
+        want = -sum(np.log(p(("  " + t)[i : i + 3])) for i in range(len(t))) / max(1, len(t))
+        assert r["chars"] == len(t) and abs(r["costs"][0] - want) < 1e-9

@@ -1,178 +1,189 @@
-"""Character n-gram models with interpolated modified Kneser-Ney smoothing.
+"""Character n-gram models with interpolated modified Kneser-Ney smoothing, as sharded joins.
 
-Text becomes symbols of a small fixed alphabet, so an n-gram of ``ORDER`` symbols is a number
-below ``SYMBOLS ** ORDER`` and a model's count table has at most that many rows, however much
-text it has seen: that bound is what allows the counts to be gathered and the model to be
-broadcast. Counting covers all given text, as partial counts per task that Spark sums.
+n-grams are strings of code points as they stand, so no two characters share a symbol and the
+count table grows with the text. Nothing of it is gathered: tasks emit the distinct n-grams of
+chunks of text, with counts where the text teaches, Spark sums them by n-gram, and what texts
+ask for is priced by joins, level by level, of the n-grams asked for with the counts. A chunk's
+text then meets the costs of its own n-grams, which it finds in a sorted array of hashes.
+
+Texts to price are read twice (for their n-grams, and to be packed), so the input must be
+deterministic, as a table is; a chunk that misses an n-gram's cost raises.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SYMBOLS, ORDER = 40, 4
-CELLS = SYMBOLS**ORDER
-#: Symbols below a-z: space and line starts, digits, other characters of ASCII.
-SPACE, DIGIT, OTHER, LETTER = 0, 1, 2, 3
+from .workspace import stored
+
 #: Code points in a chunk.
-CHUNK = 4 << 20
-
-
-def _table(shout: bool) -> np.ndarray:
-    """Symbol of each code point below 65536. shout: capitals are a symbol of their own, as are loud signs."""
-    out = np.full(1 << 16, OTHER, np.uint8)
-    rest = LETTER + 26 + (4 if shout else 0)
-    for i in range(1 << 16):
-        c = chr(i)
-        if c.isspace():
-            out[i] = SPACE
-        elif c.isdigit():
-            out[i] = DIGIT
-        elif c.isalpha():
-            low = c.lower()[0]
-            if shout and c.isupper():
-                out[i] = LETTER + 26
-            elif "a" <= low <= "z":
-                out[i] = LETTER + ord(low) - 97
-            else:
-                out[i] = rest + (ord(low) * 2654435761 >> 7) % (SYMBOLS - rest)
-    if shout:
-        for k, signs in enumerate(("!?", ".,;:'\"()-", "|#$%&*+=<>@^_~/\\[]{}")):
-            for c in signs:
-                out[ord(c)] = LETTER + 27 + k
-    return out
-
-
-_TABLES: dict[bool, np.ndarray] = {}
-
-
-def symbols(texts: list[str], shout: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts in a row, each after ORDER - 1 spaces, and the offsets of the texts (len + 1)."""
-    if shout not in _TABLES:
-        _TABLES[shout] = _table(shout)
-    pad = " " * (ORDER - 1)
-    joined = pad + pad.join(texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    off = np.cumsum([0, *(len(t) + ORDER - 1 for t in texts)])
-    return _TABLES[shout][np.minimum(points, 0xFFFF)], off
+CHUNK = 8 << 20
+#: Odd factor of the hash of a chunk's n-grams.
+FACTOR = np.uint64(0xD6E8FEB86659FD93)
+PAD = " "
 
 
-def grams(texts: list[str], shout: bool) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram number that ends at each character of each text, and the texts' offsets (len + 1)."""
-    s, off = symbols(texts, shout)
-    g = np.zeros(max(0, len(s) - ORDER + 1), np.int32)
-    for j in range(ORDER):
-        g = g * SYMBOLS + s[j : j + len(g)]
-    n = np.diff(off) - (ORDER - 1)
-    ends = np.concatenate([[0], np.cumsum(n)])
-    at = np.repeat(off[:-1] - ends[:-1], n) + np.arange(ends[-1])
-    return g[at], ends
+def _hashes(points: np.ndarray, order: int) -> np.ndarray:
+    """A hash of each run of order code points."""
+    h = np.zeros(max(0, len(points) - order + 1), np.uint64)
+    for j in range(order):
+        h *= FACTOR
+        h += points[j : j + len(h)]
+    return h
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches of about CHUNK code points of text; nulls as empty."""
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def grams(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in a row, each after order - 1 spaces; hash and start of the n-gram that ends at each character; the texts' offsets."""
+    pad = PAD * (order - 1)
+    joined = pad + pad.join(texts)
+    ends = np.cumsum([0, *map(len, texts)])
+    at = np.arange(ends[-1]) + np.repeat(np.arange(len(texts)) * (order - 1), np.diff(ends))
+    return joined, _hashes(_points(joined), order)[at], at, ends
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.Table]:
+    """The rows of the batches in tables of about size code points of text; a chunk may hold many batches."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= CHUNK or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
+        at = 0
+        for i, n in enumerate(pa.compute.utf8_length(batch.column("text")).to_pylist()):
+            total += n or 0
+            if total >= size:
+                yield pa.Table.from_batches([*held, batch.slice(at, i + 1 - at)])
+                held, total, at = [], 0, i + 1
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
 
+def _texts(table: pa.Table) -> list[str]:
+    return [t or "" for t in table.column("text").to_pylist()]
 
-def _count(shout: bool):
+
+def _taught(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        for batch, texts in chunks(batches):
-            names = batch.column("label").to_pylist()
+        for table in chunks(batches):
+            names, texts = table.column("label").to_pylist(), _texts(table)
             for name in dict.fromkeys(names):
-                g, _ = grams([t for t, n in zip(texts, names, strict=True) if n == name], shout)
-                held.setdefault(name, np.zeros(CELLS, np.int32))
-                held[name] += np.bincount(g, minlength=CELLS).astype(np.int32)
-            while len(held) > 12 or any(c.max() > 1 << 30 for c in held.values()):
-                yield rows(*held.popitem())
-        for name, c in held.items():
-            yield rows(name, c)
-
-    def rows(name: str, c: np.ndarray) -> pa.RecordBatch:
-        g = np.flatnonzero(c)
-        return pa.record_batch([pa.array([name] * len(g)), pa.array(g.astype(np.int32)), pa.array(c[g].astype(np.int64))], ["label", "gram", "n"])
+                joined, h, at, _ = grams([t for t, n in zip(texts, names, strict=True) if n == name], order)
+                _, first, n = np.unique(h, return_index=True, return_counts=True)
+                found = [joined[i : i + order] for i in at[first].tolist()]
+                yield pa.record_batch([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n.astype(np.int64))], ["label", "gram", "n"])
 
     return run
 
 
-def counts(texts: DataFrame, shout: bool = False) -> DataFrame:
-    """(label, gram, n) over all rows of (label, text); at most CELLS rows a label. Null labels are left out."""
-    partial = texts.where("label IS NOT NULL").select("label", "text").mapInArrow(_count(shout), "label string, gram int, n long")
+def counts(texts: DataFrame, order: int) -> DataFrame:
+    """(label, gram, n) over all rows of (label, text). Null labels are left out."""
+    partial = texts.where("label IS NOT NULL").select("label", "text").mapInArrow(_taught(order), "label string, gram string, n long")
     return partial.groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def _discounts(c: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more (index 0: none)."""
-    n1, n2, n3, n4 = (max(1, int((c == i).sum())) for i in (1, 2, 3, 4))
+def _name(texts: list[str]) -> int:
+    """A chunk is named by its text, so that both readings agree on it wherever they run."""
+    h = hashlib.blake2b(digest_size=8)
+    for t in texts:
+        h.update(t.encode("utf-8", "surrogatepass") + b"\xff")
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def _asked(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches):
+            texts = _texts(table)
+            joined, h, at, _ = grams(texts, order)
+            found = sorted(joined[j : j + order] for j in at[np.unique(h, return_index=True)[1]].tolist())
+            yield pa.record_batch([pa.array([_name(texts)] * len(found), pa.int64()), pa.array(found, pa.string())], ["chunk", "gram"])
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in chunks(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table.combine_chunks())
+        yield pa.record_batch([pa.array([_name(_texts(table))], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
+
+
+def _priced(order: int, labels: int):
+    def run(group: pa.Table) -> pa.Table:
+        bodies = group.column("body").drop_null().to_pylist()
+        seen = group.filter(pa.compute.is_valid(group.column("gram")))
+        known = _hashes(_points("".join(seen.column("gram").to_pylist())), order)[::order]
+        cost = seen.column("costs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(seen.num_rows, labels)
+        by = np.argsort(known)
+        known, cost, out = known[by], cost[by], []
+        for body in bodies:
+            table = pa.ipc.open_stream(body).read_all()
+            _, h, _, ends = grams(_texts(table), order)
+            at = np.searchsorted(known, h)
+            if len(h) and (not len(known) or (known[np.minimum(at, len(known) - 1)] != h).any()):
+                raise ValueError("a chunk of text differs from the one whose n-grams were priced: the input is not deterministic")
+            n, means = np.diff(ends), np.zeros((table.num_rows, labels))
+            for j in range(labels if len(h) else 0):
+                total = np.concatenate([[0], np.cumsum(cost[at, j])])
+                means[:, j] = (total[ends[1:]] - total[ends[:-1]]) / np.maximum(n, 1)
+            costs = pa.ListArray.from_arrays(pa.array(np.arange(table.num_rows + 1) * labels, pa.int32()), pa.array(means.ravel()))
+            out.append(pa.table({"row": table.column("row"), "costs": costs, "chars": pa.array(n.astype(np.int64))}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _discounts() -> list[Column]:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, out of how many n-grams have each count."""
+    n1, n2, n3, n4 = (F.greatest(F.lit(1), F.count_if(F.col("n") == i)).cast("double") for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.1, 0.1], [0, 0.95, 1.9, 2.9])
-
-
-def kneser_ney(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """-log p of all CELLS n-grams from the sorted n-gram numbers seen and their counts."""
-    top = np.zeros(CELLS)
-    top[gram] = n
-    levels, seen = [top], top > 0
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols precede
-        seen = seen.reshape(SYMBOLS, SYMBOLS**k)
-        levels.append(seen.sum(0).astype(float))
-        seen = seen.any(0)
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for c in reversed(levels):
-        d = _discounts(c)[np.minimum(c, 3).astype(int)]
-        by = c.reshape(-1, SYMBOLS)
-        total = by.sum(1, keepdims=True)
-        left = d.reshape(by.shape).sum(1, keepdims=True)
-        lower = np.tile(p.reshape(-1, SYMBOLS), (len(by) // (len(p) // SYMBOLS), 1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            here = (by - d.reshape(by.shape)) / total + left / total * lower
-        p = np.where(total > 0, here, lower).ravel()
-    return -np.log(p).astype(np.float32)
-
-
-class Model:
-    """Costs (-log p) of every n-gram per label; held as sorted hash arrays, spread out on first use."""
-
-    def __init__(self, table: list[tuple[str, np.ndarray, np.ndarray]]) -> None:
-        self.labels = [t[0] for t in table]
-        self.grams = [t[1].astype(np.int32) for t in table]
-        self.counts = [t[2].astype(np.int64) for t in table]
-        self._costs: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_costs": None}
-
-    @property
-    def costs(self) -> np.ndarray:
-        if self._costs is None:
-            self._costs = np.array([kneser_ney(g, n) for g, n in zip(self.grams, self.counts, strict=True)], np.float32).reshape(-1, CELLS)
-        return self._costs
-
-    def mean_costs(self, texts: list[str], shout: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(texts by labels) mean cost a character, 0 for empty texts; and the characters."""
-        g, ends = grams(texts, shout)
-        n = np.diff(ends)
-        out = np.zeros((len(texts), len(self.labels)))
-        for j, cost in enumerate(self.costs):
-            total = np.concatenate([[0], np.cumsum(cost[g], dtype=np.float64)])
-            out[:, j] = (total[ends[1:]] - total[ends[:-1]]) / np.maximum(n, 1)
-        return out, n
-
-
-def fitted(table: DataFrame) -> Model:
-    """The model of a count table; what reaches the driver is bounded by CELLS rows a label, in sorted arrays."""
-    arrays = table.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("rows"))
-    packed = arrays.select("label", F.col("rows.gram").alias("gram"), F.col("rows.n").alias("n")).orderBy("label").toPandas()
-    return Model([(r.label, np.asarray(r.gram), np.asarray(r.n)) for r in packed.itertuples()])
+    within = lambda d, most: F.least(F.greatest(d, F.lit(0.1)), F.lit(most))
+    return [within(1 - 2 * y * n2 / n1, 0.95).alias("d1"), within(2 - 3 * y * n3 / n2, 1.9).alias("d2"), within(3 - 4 * y * n4 / n3, 2.9).alias("d3")]
+
+
+def prices(table: DataFrame, order: int) -> DataFrame:
+    """(label, gram, cost): -log p of all n-grams of a count table; those that were only asked for have n = 0."""
+    levels = [table]
+    for k in range(order - 1, 0, -1):  # continuation counts: how many different characters precede
+        levels.append(stored(levels[-1].groupBy("label", F.substring("gram", 2, k).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")), "charlm-level"))
+    lower = None
+    for k, level in enumerate(reversed(levels), 1):
+        d = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        own = level.join(F.broadcast(level.groupBy("label").agg(*_discounts())), "label").select("label", "gram", F.substring("gram", 1, k - 1).alias("context"), "n", d.alias("d"))
+        sums = own.groupBy("label", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"), F.count("*").alias("size"))
+        if k == 1:
+            own = own.join(F.broadcast(sums), ["label", "context"]).withColumn("below", 1 / F.greatest(F.col("size"), F.lit(1)))
+        else:
+            own = own.join(sums, ["label", "context"]).withColumn("end", F.substring("gram", 2, k - 1)).join(lower, ["label", "end"])
+        p = F.when(F.col("total") > 0, (F.col("n") - F.col("d")) / F.col("total") + F.col("left") / F.col("total") * F.col("below")).otherwise(F.col("below"))
+        lower = own.select("label", F.col("gram").alias("end"), p.alias("below"))
+    return lower.select("label", F.col("end").alias("gram"), (-F.log("below")).alias("cost"))
+
+
+def scored(taught: DataFrame, rows: DataFrame, order: int) -> tuple[list[str], DataFrame]:
+    """The sorted labels of taught (label, text), and for each of rows (row struct, text): row, costs (mean cost a character under each label, 0 for empty texts), chars."""
+    counted = stored(counts(taught, order), "charlm-counts")
+    labels = sorted(r["label"] for r in counted.select("label").distinct().collect())
+    asked = stored(rows.select("text").mapInArrow(_asked(order), "chunk long, gram string"), "charlm-asked")
+    names = F.explode(F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>"))
+    wanted = asked.select("gram").distinct().select(names.alias("label"), "gram", F.lit(0).cast("long").alias("n"))
+    table = stored(counted.unionByName(wanted).groupBy("label", "gram").agg(F.sum("n").alias("n")), "charlm-table")
+    cost = prices(table, order).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("label", "cost"))).alias("c")).select("gram", F.col("c.cost").alias("costs"))
+    replies = asked.join(cost, "gram", "left" if not labels else "inner").select("chunk", "gram", "costs", F.lit(None).cast("binary").alias("body"))
+    if not labels:
+        replies = replies.withColumn("costs", F.array().cast("array<double>"))
+    kind = rows.schema["row"].dataType.simpleString()  # the cast lets every field be null
+    bodies = rows.select(F.col("row").cast(kind).alias("row"), "text").mapInArrow(_packed, "chunk long, body binary")
+    bodies = bodies.select("chunk", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("array<double>").alias("costs"), "body")
+    return labels, replies.unionByName(bodies).groupBy("chunk").applyInArrow(_priced(order, len(labels)), f"row {kind}, costs array<double>, chars long")

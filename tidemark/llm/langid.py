@@ -1,6 +1,7 @@
 """Language identification with one character model per language.
 
-Each language's model is trained on all labelled text that the caller gives; a document gets
+Each language's model of code points is trained on all labelled text that the caller gives, and
+documents' n-grams are joined with the counts of every language (see charlm); a document gets
 the language with the lowest cross-entropy a character. The score is the weight of that
 language among all, and a document is rejected (``accepted`` false, prediction kept) when its
 margin over the runner-up is below what all but a small share of training documents reach.
@@ -12,58 +13,30 @@ each; an empty table gives an empty result; no other column is read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import charlm
 
 UNKNOWN = "und"
+#: Code points in an n-gram.
+ORDER = 4
 #: Share of training documents that the calibrated margin may reject.
 REJECTED = 0.002
 #: Characters up to which evidence sharpens the score.
 EVIDENCE = 200
-_SCHEMA = "lang_pred string, score double, margin double, letters boolean"
-
-
-def train(texts: DataFrame) -> charlm.Model:
-    """A model per label of (label, text), from all rows."""
-    return charlm.fitted(charlm.counts(texts))
-
-
-def _predict(broadcast, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = broadcast.value
-        for batch, texts in charlm.chunks(batches):
-            cost, n = model.mean_costs(texts, False)
-            letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-            if model.labels:
-                order = np.argsort(cost, 1, kind="stable")
-                best = order[:, 0]
-                rows = np.arange(len(texts))
-                weight = np.exp(-(cost - cost[rows, best][:, None]) * np.minimum(n, EVIDENCE)[:, None])
-                score = 1 / weight.sum(1)
-                margin = cost[rows, order[:, 1]] - cost[rows, best] if len(model.labels) > 1 else np.ones(len(texts))
-                names = [model.labels[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-            else:
-                score = margin = np.zeros(len(texts))
-                names = [UNKNOWN] * len(texts)
-            known = np.array([x != UNKNOWN for x in names], bool)
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, margin, 0.0)), pa.array(letters)], [*keep, "lang_pred", "score", "margin", "letters"])
-
-    return run
 
 
-def predict(docs: DataFrame, model: charlm.Model, text: Column, keep: list[Column]) -> DataFrame:
-    """keep (with their own names) and lang_pred, score, margin, letters for every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text.alias("text"))
-    names = [c for c in rows.columns if c != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_predict(sent, names), f"{fields}, {_SCHEMA}")
+def _decided(scored: DataFrame, labels: list[str]) -> DataFrame:
+    """scored with lang_pred, score and margin; a tie goes to the first label."""
+    if not labels:
+        return scored.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "margin": F.lit(0.0)})
+    best = F.array_min("costs")
+    weight = F.aggregate("costs", F.lit(0.0), lambda acc, c: acc + F.exp((best - c) * F.least("chars", F.lit(EVIDENCE))))
+    margin = F.sort_array("costs")[1] - best if len(labels) > 1 else F.lit(1.0)
+    at = F.array_position("costs", best).cast("int")
+    ok = F.col("row.letters")
+    return scored.withColumns({"lang_pred": F.when(ok, F.element_at(F.array(*map(F.lit, labels)), at)).otherwise(UNKNOWN), "score": F.when(ok, 1 / weight).otherwise(0.0), "margin": F.when(ok, margin).otherwise(0.0)})
 
 
 def identify(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", keep: list[Column] | None = None) -> DataFrame:
@@ -71,9 +44,11 @@ def identify(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col:
     from .workspace import stored
 
     text = F.col(text_col)
-    model = train(docs.where(teaches & text.isNotNull()).select(F.col(lang_col).alias("label"), text.alias("text")))
     taught = F.coalesce(teaches & F.col(lang_col).isNotNull(), F.lit(False)).alias("taught")
-    found = stored(predict(docs, model, text, [*(keep or []), taught]), "langid")
+    lessons = docs.where(teaches & text.isNotNull()).select(F.col(lang_col).alias("label"), text.alias("text"))
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    labels, scored = charlm.scored(lessons, docs.select(F.struct(*(keep or []), taught, letters).alias("row"), text.alias("text")), ORDER)
+    found = stored(_decided(scored, labels).select("row.*", "lang_pred", "score", "margin"), "langid")
     calibrated = found.where("taught AND letters").agg(F.percentile_approx("margin", REJECTED, 10_000).alias("least"))
     least = calibrated.first()["least"]
     return found.withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("margin") >= F.lit(least or 0.0))).drop("taught", "letters", "margin")

@@ -6,8 +6,8 @@ with quantiles of the trusted documents of its own language, at both ends: unlik
 above the upper, endless repetition below the lower. A tolerance keeps clean documents that
 are merely short or unusual.
 
-The count table is bounded by the alphabet, so documents look their n-grams up in the
-broadcast model instead of shuffling every n-gram of the corpus to the counts.
+The distinct n-grams of each chunk of documents are joined with the count table, sharded by
+n-gram (see charlm).
 
 Defined cases: null or empty text has perplexity null and is kept; a null language and a
 language with few trusted documents use the thresholds of all languages; without trusted
@@ -18,16 +18,14 @@ empty result; no other column is read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import charlm
 from .workspace import small, stored
 
+#: Code points in an n-gram.
+ORDER = 5
 LOW, HIGH = 0.005, 0.995
 #: Added to both thresholds, in nats a character; and for a text of n characters, over sqrt(n).
 SLACK, SHORT = 0.05, 3.0
@@ -41,26 +39,15 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.coalesce(good, F.lit(False))).alias("trusted")).where("trusted").select("id")
 
 
-def _score(broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = broadcast.value
-        for batch, texts in charlm.chunks(batches):
-            cost, n = model.mean_costs(texts, True) if model.labels else (np.zeros((len(texts), 1)), np.zeros(len(texts), int))
-            yield pa.record_batch([batch.column("row"), pa.array(cost[:, 0], mask=n == 0), pa.array(n.astype(np.int64))], ["row", "cost", "chars"])
-
-    return run
-
-
 def classify(docs: DataFrame, labels: DataFrame, keep: list[Column], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """keep, perplexity, low, high, accepted for every row of docs."""
     trusted = stored(trusted_ids(labels), "quality-trusted")
     own = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     taught = own.join(small(trusted), "id", "left_semi")
-    model = charlm.fitted(charlm.counts(taught.select(F.lit("trusted").alias("label"), "text"), True))
     rows = own.select(F.struct("kept", "id", "lang").alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"row {kind}, cost double, chars long")
-    scored = stored(scored.select("row.kept", "row.id", "row.lang", "cost", "chars"), "quality-scores")
+    labels, scored = charlm.scored(taught.select(F.lit("trusted").alias("label"), "text"), rows, ORDER)
+    cost = F.when(F.col("chars") > 0, F.col("costs")[0] if labels else F.lit(0.0))
+    scored = stored(scored.select("row.kept", "row.id", "row.lang", cost.alias("cost"), "chars"), "quality-scores")
     known = scored.join(small(trusted), "id", "left_semi").where("cost IS NOT NULL")
     bounds = lambda df: df.agg(F.percentile_approx("cost", F.array(F.lit(LOW), F.lit(HIGH)), 10_000).alias("q"), F.count("*").alias("n"))
     each = bounds(known.where("lang IS NOT NULL").groupBy("lang")).where(F.col("n") >= LEAST).select("lang", "q")
