@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, mixing, ngram_join, packing, quality
 from tidemark.llm.queries import table, tokenizer_file
-from tidemark.llm.workspace import stored
+from tidemark.llm.workspace import small, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,30 +16,30 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return judged.where("accepted").select(*docs.columns)
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact copies."""
-    found = exact_dedup.exact_dedup(docs)
-    gone = stored(found.where("NOT kept").select(F.col("id").alias("doc_id"), "digest"), "pipeline-copies")
-    return _without(docs, gone.select("doc_id").distinct(), found, "kept")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, a struct of its own for every row: ordered by id, null ids last, then by row."""
+    numbered = stored(docs.withColumn("row_no", F.monotonically_increasing_id()), "pipeline-rows")
+    return numbered.withColumn("row_key", F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_no"))
+
 
+def _only(keyed: DataFrame, docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose row_no is in kept."""
+    return keyed.join(small(stored(kept, "pipeline-kept")), "row_no", "left_semi").select(*docs.columns)
 
-def _without(docs: DataFrame, gone: DataFrame, found: DataFrame, kept: str) -> DataFrame:
-    """docs less the rows of ids in gone; an id with both kept and dropped rows keeps one row a text."""
-    from tidemark.llm.workspace import small
 
-    both = stored(found.where(kept).select(F.col("id").alias("doc_id")).join(gone, "doc_id", "left_semi").distinct(), "pipeline-mixed")
-    clear = stored(gone.join(both, "doc_id", "left_anti"), "pipeline-gone")
-    rest = docs.join(small(clear), "doc_id", "left_anti")
-    if both.isEmpty():
-        return rest
-    mixed = rest.join(small(both), "doc_id", "left_semi")
-    return rest.join(small(both), "doc_id", "left_anti").unionByName(mixed.dropDuplicates(["doc_id", "text"]))
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of exact copies."""
+    keyed = _keyed(docs)
+    found = exact_dedup.exact_dedup(keyed.select("row_key", "text"), id_col="row_key")
+    return _only(keyed, docs, found.where("kept").select("id.row_no"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links of similarity 0.8 join."""
-    found = stored(ngram_join.join(docs).select("id", (F.col("id") == F.col("component_id")).alias("kept")), "pipeline-near")
-    return _without(docs, found.where("NOT kept").select(F.col("id").alias("doc_id")).distinct(), found, "kept")
+    """The row with the smallest id of each group that links of similarity 0.8 join."""
+    keyed = _keyed(docs)
+    found = ngram_join.join(keyed.select("row_no", "text"), id_col="row_no").select(F.col("id").alias("row_no"), "component_id")
+    first = found.join(keyed.select("row_no", "row_key"), "row_no").groupBy("component_id").agg(F.min("row_key").alias("first"))
+    return _only(keyed, docs, first.select("first.row_no"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,18 @@ def test_every_stage_takes_nulls_and_empty_tables(spark):
             assert after.count() >= 0, name
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert after.columns == docs.columns
+
+
+def test_copies_of_null_and_repeated_ids_go(spark):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long + " more"
+    given = [(None, long, None, None, 1), (None, long, None, None, 2), (None, near, None, None, 3), (7, "a b c", None, None, 4), (7, "a  b c", None, None, 5), (7, "other words", None, None, 6), (3, "otherwords", None, None, 7)]
+    docs = stored(spark.createDataFrame(given, kinds), "test-rows")
+    once = stored(corpus_pipeline.drop_copies(spark, docs, DIR), "test-once")
+    squeezed = sorted(r["text"].replace(" ", "") for r in once.collect())
+    assert squeezed == sorted({t.replace(" ", "") for _, t, *_ in given})
+    assert corpus_pipeline.drop_near_copies(spark, once, DIR).where("doc_id IS NULL").count() == 1
+    both = [(None, long, None, None, 1), (5, near, None, None, 2), (9, long, None, None, 3)]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(both, kinds), DIR).collect()
+    assert [r["doc_id"] for r in left] == [5]
