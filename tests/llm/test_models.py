@@ -95,3 +95,21 @@ def test_costs_match_a_count_of_all_ngrams(spark):
         t = asked[r["row"]["i"]]
         want = -sum(np.log(p(("  " + t)[i : i + 3])) for i in range(len(t))) / max(1, len(t))
         assert r["chars"] == len(t) and abs(r["costs"][0] - want) < 1e-9
+
+
+def test_thresholds_change_smoothly_with_a_languages_documents(spark):
+    def bounds(n):
+        rows = [("en", 2.0 + i % 10 / 10, 100) for i in range(200)] + [("xx", 5.0 + i % 10 / 10, 100) for i in range(n)]
+        df = spark.createDataFrame([(f"{i}", *r) for i, r in enumerate(rows)], "id string, lang string, cost double, chars long")
+        got = quality._judged(df.withColumn("kept", F.struct("lang")), df).where("lang = 'xx'").first()
+        return np.log(got["low"]), np.log(got["high"])
+
+    a, b = bounds(49), bounds(50)
+    assert all(abs(x - y) < 0.1 for x, y in zip(a, b, strict=True))
+
+
+def test_short_junk_gets_no_flat_slack(spark):
+    rows = [(f"{i}", "en", 2.0 + i % 10 / 1000, 20) for i in range(500)]
+    df = spark.createDataFrame(rows, "id string, lang string, cost double, chars long").withColumn("kept", F.struct("id"))
+    odd = spark.createDataFrame([("x", "en", 2.5, 20), ("y", "en", 2.004, 20)], "id string, lang string, cost double, chars long").withColumn("kept", F.struct("id"))
+    assert {r["id"]: r["accepted"] for r in quality._judged(odd, df).collect()} == {"x": False, "y": True}

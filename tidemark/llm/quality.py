@@ -2,15 +2,17 @@
 
 An interpolated modified Kneser-Ney model of character n-grams is trained on all trusted
 documents (sharded partial counts, summed by n-gram). A document's perplexity is compared
-with quantiles of the trusted documents of its own language, at both ends: unlike text is
-above the upper, endless repetition below the lower. A tolerance keeps clean documents that
-are merely short or unusual.
+with quantiles of the trusted documents of its own language and length class (powers of two),
+at both ends: unlike text is above the upper, endless repetition below the lower. The fewer
+trusted documents a language or class has, the nearer its figures are to those of all: one
+formula at every size. A trusted document is judged, and sets thresholds, by its cost under a
+model of the other half of them, as its own text would make it look too usual.
 
 The distinct n-grams of each chunk of documents are joined with the count table, sharded by
 n-gram (see charlm).
 
-Defined cases: null or empty text has perplexity null and is kept; a null language and a
-language with few trusted documents use the thresholds of all languages; without trusted
+Defined cases: null or empty text has perplexity null and is kept; a null language
+uses the thresholds of all languages; without trusted
 documents everything is kept; a label for a missing document plays no part; several labels
 of one document trust it if all do; repeated rows are scored each; an empty table gives an
 empty result; no other column is read.
@@ -27,10 +29,8 @@ from .workspace import small, stored
 #: Code points in an n-gram.
 ORDER = 5
 LOW, HIGH = 0.005, 0.995
-#: Added to both thresholds, in nats a character; and for a text of n characters, over sqrt(n).
-SLACK, SHORT = 0.05, 3.0
-#: Trusted documents that a language needs for thresholds of its own.
-LEAST = 50
+#: Trusted documents of a group that weigh as much as the wider group does.
+WEIGHT = 50
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -45,15 +45,35 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[Column], id_col: str
     own = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     taught = own.join(small(trusted), "id", "left_semi")
     rows = own.select(F.struct("kept", "id", "lang").alias("row"), "text")
-    labels, scored = charlm.scored(taught.select(F.lit("trusted").alias("label"), "text"), rows, ORDER)
-    cost = F.when(F.col("chars") > 0, F.col("costs")[0] if labels else F.lit(0.0))
-    scored = stored(scored.select("row.kept", "row.id", "row.lang", cost.alias("cost"), "chars"), "quality-scores")
-    known = scored.join(small(trusted), "id", "left_semi").where("cost IS NOT NULL")
-    bounds = lambda df: df.agg(F.percentile_approx("cost", F.array(F.lit(LOW), F.lit(HIGH)), 10_000).alias("q"), F.count("*").alias("n"))
-    each = bounds(known.where("lang IS NOT NULL").groupBy("lang")).where(F.col("n") >= LEAST).select("lang", "q")
-    whole = bounds(known).select(F.col("q").alias("whole"))
-    q = F.coalesce("q", "whole")
-    room = SLACK + SHORT / F.sqrt(F.greatest("chars", F.lit(1)))
-    judged = scored.join(each, "lang", "left").join(F.broadcast(whole), how="left").withColumns({"low": q[0] - room, "high": q[1] + room})
+    fold = F.explode(F.array(F.lit("all"), F.concat(F.lit("fold "), F.crc32(F.col("id").cast("string").cast("binary")) % 2)))
+    labels, scored = charlm.scored(taught.select(fold.alias("label"), "text"), rows, ORDER)
+    under = lambda label: F.when(F.col("chars") > 0, F.col("costs")[labels.index(label)] if label in labels else F.lit(None).cast("double"))
+    apart = F.when(F.crc32(F.col("row.id").cast("string").cast("binary")) % 2 == 0, under("fold 1")).otherwise(under("fold 0"))
+    cost = under("all") if labels else F.when(F.col("chars") > 0, 0.0)
+    good = small(trusted.withColumn("trusted", F.lit(True)))
+    scored = scored.select("row.kept", "row.id", "row.lang", cost.alias("cost"), F.coalesce(apart, cost).alias("apart"), "chars").join(good, "id", "left")
+    scored = stored(scored.withColumn("cost", F.when(F.col("trusted"), F.col("apart")).otherwise(F.col("cost"))).drop("apart"), "quality-scores")
+    return _judged(scored, scored.where("trusted AND cost IS NOT NULL"))
+
+
+def _shrunk(own: Column, wider: Column, n: Column) -> Column:
+    """A group's figure drawn towards the wider group's, the more the fewer trusted documents it has."""
+    n = F.coalesce(n, F.lit(0))
+    return F.when(n > 0, (n * own + WEIGHT * wider) / (n + WEIGHT)).otherwise(wider)
+
+
+def _judged(scored: DataFrame, known: DataFrame) -> DataFrame:
+    """scored against quantiles of known: of the distance from the language's mean cost, by language and length class."""
+    size = F.floor(F.log2(F.greatest("chars", F.lit(1)))).alias("size")
+    whole = F.broadcast(known.agg(F.avg("cost").alias("mean")))
+    means = known.where("lang IS NOT NULL").groupBy("lang").agg(F.avg("cost").alias("own"), F.count("*").alias("n"))
+    centre = _shrunk(F.col("own"), F.col("mean"), F.col("n")).alias("centre")
+    placed = lambda df: df.join(F.broadcast(means), "lang", "left").join(whole, how="left").select(*df.columns, size, centre)
+    away = stored(placed(known).select("lang", "size", (F.col("cost") - F.col("centre")).alias("away")), "quality-distances")
+    bounds = lambda df, name: df.agg(F.percentile_approx("away", F.array(F.lit(LOW), F.lit(HIGH)), 10_000).alias(f"q_{name}"), F.count("*").alias(f"n_{name}"))
+    by_cell = bounds(away.where("lang IS NOT NULL").groupBy("lang", "size"), "cell")
+    rows = placed(scored).join(F.broadcast(by_cell), ["lang", "size"], "left").join(F.broadcast(bounds(away.groupBy("size"), "size")), "size", "left").join(F.broadcast(bounds(away, "all")), how="left")
+    edge = lambda i: F.col("centre") + _shrunk(F.col("q_cell")[i], _shrunk(F.col("q_size")[i], F.col("q_all")[i], F.col("n_size")), F.col("n_cell"))
+    judged = rows.withColumns({"low": edge(0), "high": edge(1)})
     fine = F.coalesce(F.col("cost").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select("kept.*", F.exp("cost").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), fine.alias("accepted"))
