@@ -77,7 +77,7 @@ def test_costs_match_a_count_of_all_ngrams(spark):
     for k in (1, 0):
         for g in levels[k + 1]:
             levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
-    size = len({g[-1] for t in asked + taught for g in t})
+    size = len({g for t in taught for g in t}) + 1  # and one for all that is not known
 
     def p(g):
         if not g:
@@ -94,7 +94,7 @@ def test_costs_match_a_count_of_all_ngrams(spark):
     for r in found.collect():
         t = asked[r["row"]["i"]]
         want = -sum(np.log(p(("  " + t)[i : i + 3])) for i in range(len(t))) / max(1, len(t))
-        assert r["chars"] == len(t) and abs(r["costs"][0] - want) < 1e-9
+        assert r["chars"] == len(t) and abs(r["costs"][0] - want) < 1e-6  # the table holds 32-bit floats
 
 
 def test_thresholds_change_smoothly_with_a_languages_documents(spark):

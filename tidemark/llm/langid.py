@@ -1,14 +1,17 @@
 """Language identification with one character model per language.
 
-Each language's model of code points is trained on all labelled text that the caller gives, and
-documents' n-grams are joined with the counts of every language (see charlm); a document gets
-the language with the lowest cross-entropy a character. The score is the weight of that
-language among all, and a document is rejected (``accepted`` false, prediction kept) when its
-margin over the runner-up is below what all but a small share of training documents reach.
+Each language's model of code points is trained on the labelled text that the caller gives, held
+in sorted hash arrays (see charlm); a document gets the language with the lowest cross-entropy a
+character. The score is the weight of that language among all, and a document is rejected
+(``accepted`` false, prediction kept) when its margin over the runner-up is below what all but a
+small share of the calibration documents reach: one labelled document in ``CALIBRATION``, by a
+hash of its text, teaches no model and is only used for this (unless its language has no others).
 
 Defined cases: null text or one without a letter is ``und`` with score 0; labels that are
-null teach nothing; without any label everything is ``und``; repeated rows are predicted
-each; an empty table gives an empty result; no other column is read.
+null teach nothing; without any label everything is ``und``; languages that tie go by the
+first label; repeated rows are predicted each; without calibration documents none is rejected for
+its margin; an empty table gives an empty result; no other column is read, and ``keep`` may have
+columns of any name but the four that are added.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import charlm
+from .workspace import small_batches, stored
 
 UNKNOWN = "und"
 #: Code points in an n-gram.
 ORDER = 4
-#: Share of training documents that the calibrated margin may reject.
-REJECTED = 0.002
+#: Share of calibration documents that the margin may reject, and one in how many documents is one.
+REJECTED, CALIBRATION = 0.002, 10
 #: Characters up to which evidence sharpens the score.
 EVIDENCE = 200
 
@@ -41,14 +45,17 @@ def _decided(scored: DataFrame, labels: list[str]) -> DataFrame:
 
 def identify(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", keep: list[Column] | None = None) -> DataFrame:
     """keep, lang_pred, score, accepted for every row, learnt from the rows where teaches holds and lang is set."""
-    from .workspace import stored
-
+    small_batches(docs.sparkSession)
     text = F.col(text_col)
-    taught = F.coalesce(teaches & F.col(lang_col).isNotNull(), F.lit(False)).alias("taught")
-    lessons = docs.where(teaches & text.isNotNull()).select(F.col(lang_col).alias("label"), text.alias("text"))
+    taught = F.coalesce(teaches & F.col(lang_col).isNotNull() & text.isNotNull(), F.lit(False))
+    held = F.pmod(F.xxhash64(text), F.lit(CALIBRATION)) == 0
+    others = [r[0] for r in docs.where(taught & ~held).select(lang_col).distinct().collect()]
+    apart = held & F.col(lang_col).isin(others)
+    lessons = docs.where(taught & ~apart).select(F.col(lang_col).alias("label"), text.alias("text"))
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    labels, scored = charlm.scored(lessons, docs.select(F.struct(*(keep or []), taught, letters).alias("row"), text.alias("text")), ORDER)
+    kept = F.struct(*(keep or [F.lit(None).cast("int").alias("none")])).alias("kept")
+    labels, scored = charlm.scored(lessons, docs.select(F.struct(kept, (taught & apart).alias("calibrates"), letters).alias("row"), text.alias("text")), ORDER)
     found = stored(_decided(scored, labels).select("row.*", "lang_pred", "score", "margin"), "langid")
-    calibrated = found.where("taught AND letters").agg(F.percentile_approx("margin", REJECTED, 10_000).alias("least"))
-    least = calibrated.first()["least"]
-    return found.withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("margin") >= F.lit(least or 0.0))).drop("taught", "letters", "margin")
+    least = found.where("calibrates AND letters").agg(F.percentile_approx("margin", REJECTED, 10_000).alias("least")).first()["least"]
+    accepted = (F.col("lang_pred") != UNKNOWN) & (F.col("margin") >= F.lit(least or 0.0))
+    return found.select(*(["kept.*"] if keep else []), "lang_pred", "score", accepted.alias("accepted"))

@@ -5,8 +5,9 @@ documents (sharded partial counts, summed by n-gram). A document's perplexity is
 with quantiles of the trusted documents of its own language and length class (powers of two),
 at both ends: unlike text is above the upper, endless repetition below the lower. The fewer
 trusted documents a language or class has, the nearer its figures are to those of all: one
-formula at every size. A trusted document is judged, and sets thresholds, by its cost under a
-model of the other half of them, as its own text would make it look too usual.
+formula at every size. There are two models, each of one half of the trusted documents by
+their ids' checksums, and a document is judged by the model of the half that it isn't in, as its
+own text would make it look too usual.
 
 The distinct n-grams of each chunk of documents are joined with the count table, sharded by
 n-gram (see charlm).
@@ -24,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import charlm
-from .workspace import small, stored
+from .workspace import small, small_batches, stored
 
 #: Code points in an n-gram.
-ORDER = 5
+ORDER = 4
 LOW, HIGH = 0.005, 0.995
 #: Trusted documents of a group that weigh as much as the wider group does.
 WEIGHT = 50
@@ -41,18 +42,19 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[Column], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """keep, perplexity, low, high, accepted for every row of docs."""
+    small_batches(docs.sparkSession)
     trusted = stored(trusted_ids(labels), "quality-trusted")
     own = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     taught = own.join(small(trusted), "id", "left_semi")
     rows = own.select(F.struct("kept", "id", "lang").alias("row"), "text")
-    fold = F.explode(F.array(F.lit("all"), F.concat(F.lit("fold "), F.crc32(F.col("id").cast("string").cast("binary")) % 2)))
-    labels, scored = charlm.scored(taught.select(fold.alias("label"), "text"), rows, ORDER)
-    under = lambda label: F.when(F.col("chars") > 0, F.col("costs")[labels.index(label)] if label in labels else F.lit(None).cast("double"))
-    apart = F.when(F.crc32(F.col("row.id").cast("string").cast("binary")) % 2 == 0, under("fold 1")).otherwise(under("fold 0"))
-    cost = under("all") if labels else F.when(F.col("chars") > 0, 0.0)
+    half = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 2, F.lit(0))
+    halves, scored = charlm.scored(taught.select(half.cast("string").alias("label"), "text"), rows, ORDER)
+    under = lambda label: F.col("costs")[halves.index(label if label in halves else halves[0])]
+    half = F.coalesce(F.crc32(F.col("row.id").cast("string").cast("binary")) % 2, F.lit(0))
+    cost = F.when(half == 0, under("1")).otherwise(under("0")) if halves else F.lit(0.0)
+    scored = scored.select("row.kept", "row.id", "row.lang", F.when(F.col("chars") > 0, cost).alias("cost"), "chars")
     good = small(trusted.withColumn("trusted", F.lit(True)))
-    scored = scored.select("row.kept", "row.id", "row.lang", cost.alias("cost"), F.coalesce(apart, cost).alias("apart"), "chars").join(good, "id", "left")
-    scored = stored(scored.withColumn("cost", F.when(F.col("trusted"), F.col("apart")).otherwise(F.col("cost"))).drop("apart"), "quality-scores")
+    scored = stored(scored.join(good, "id", "left"), "quality-scores")
     return _judged(scored, scored.where("trusted AND cost IS NOT NULL"))
 
 

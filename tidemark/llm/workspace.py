@@ -28,7 +28,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to a shared Parquet table and read back: cuts the lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a stored DataFrame, which no plan may read any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bounds the bytes of an Arrow batch that goes to a Python task, unless the session already does."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str((1 << 31) - 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
