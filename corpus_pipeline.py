@@ -12,8 +12,9 @@ from tidemark.llm.workspace import small, stored
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), [F.col(c) for c in docs.columns])
-    return judged.where("accepted").select(*docs.columns)
+    keyed = _keyed(docs)
+    judged = quality.classify(keyed.select("row_no", "doc_id", "lang", "text"), table(spark, sf_dir, "labels"), [F.col("row_no")])
+    return _only(keyed, docs, judged.where("accepted").select("row_no"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
