@@ -209,7 +209,7 @@ def _asked(order: int, bits: int):
                 _named(name, texts)
                 held.add(*grams(texts, order)[:3])
                 continue
-            wanted = np.unique(np.concatenate([keys(held.codes[:, a:b]) for a in range(order + 1) for b in range(a, order + 1)]))
+            wanted = np.unique(np.concatenate([keys(np.zeros((1, 0), np.uint32)), *(keys(held.codes[:, a:b]) for a in range(order) for b in range(a + 1, order + 1))]))
             cuts = np.searchsorted(wanted, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             parts = [wanted[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(wanted)], strict=True)]
             yield pa.record_batch([pa.array([_number(name)] * len(parts), pa.int64()), pa.array(np.arange(len(parts))), pa.array(parts, pa.binary())], ["chunk", "shard", "keys"])
