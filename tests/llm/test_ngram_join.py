@@ -70,12 +70,30 @@ def test_join_of_nothing(spark):
 def test_trie_answers_like_brute_force(sets):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     like = lambda a, b: 100 * len(a & b) >= 80 * len(a | b) and a & b
-    ranked, width = trie.ordered(arrays)
-    t = trie.Trie(ranked, width)
-    for i, s in enumerate(sets):
-        assert sorted(t.similar(ranked[i])) == [j for j, o in enumerate(sets) if like(s, o)]
+    found = {(i, int(j)) for i, q in trie.Trie(arrays).similar(arrays) for j in q}
+    assert found == {(i, j) for i in range(len(sets)) for j in range(len(sets)) if like(sets[i], sets[j])}
     half = len(sets) // 2
-    assert (trie.meeting(arrays[:half], arrays[half:]) is not None) == any(like(a, b) for a in sets[:half] for b in sets[half:])
+    for left, right in ((arrays, None), (arrays[:half], arrays[half:])):
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if like(sets[i], sets[j]) and (right is None or (i < half) != (j < half))]
+        assert joined(len(sets), trie.links(left, right)) == joined(len(sets), pairs)
+        assert set(trie.links(left, right)) <= {*pairs, *((j, i) for i, j in pairs)}
+
+
+def joined(n, links):
+    root = list(range(n))
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("bounds", [(3, 50_000), (3, 5), (1024, 2)])
+def test_groups_in_parts_and_by_key_lose_no_link(spark, monkeypatch, bounds):
+    monkeypatch.setattr(ngram_join, "PART", bounds[0])
+    monkeypatch.setattr(ngram_join, "GROUP", bounds[1])
+    rows = corpus(3)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
 def test_components(spark):

@@ -1,18 +1,18 @@
 """Jaccard join of documents on word n-grams with prefix trees, to exact components.
 
 1. Documents with the same set of shingles form a class; from there on a class counts once.
-2. Prefix filter: under the order of the shingles' hashes, two linked classes share at least
+2. Prefix filter: under one order of all shingles, by hash, two linked classes share at least
    ``least(n)`` of their first ``prefix(n)`` shingles. Classes that share fewer with all others
    together link with nothing.
-3. The remaining classes meet in small groups (by their first shared shingle, a large group
-   in parts that all hold its first class); a prefix tree in each finds links.
-4. Completeness: ordered by rising frequency, two linked classes share one of the rarest of
-   their shared prefix shingles. For every two components of step 3 that meet at such a
-   shingle, a prefix tree over one side is asked for the other's sets until a link is found.
-   What is in one component already needs no more links, so a group of thousands of near
-   copies costs no pairs.
+3. Of the shingles that its prefix shares with others, a remaining class takes the rarest as keys, so
+   many that two linked classes have a key in common. What common keys connect is a group.
+4. A class goes to its group once, not to each of its keys. A group of many classes is cut into
+   parts, and every two parts meet in a task of bounded size, where a prefix tree of one part's sets
+   answers the other's. A group beyond ``GROUP`` classes is taken key by key instead.
+5. The tasks' links, only so many as connect what all of them would, give the components.
 
-Shingles are 64-bit hashes, and a class is named by 64 bits of the digest of its set.
+Shingles are told apart by 64-bit hashes. A class is named by 64 bits of the digest of its set;
+should two sets of different digests get one name, all names are drawn anew.
 
 Defined cases: null text is empty; a document without words has no shingles and links with
 nothing; 1 to 4 words count as one shingle; a null id never names a component unless alone;
@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 from . import trie
 from .components import components
 from .textops import column, shingles, slices
-from .workspace import small, stored
+from .workspace import discard, small, small_batches, stored
 
 GRAM = 5
 #: Passages of fewer shingles than this make no candidates.
 FLOOR = 64
-#: Sets that one prefix tree holds, about.
-PART = 256
-#: Rows of sets that one task gets, about.
-ROWS = 2000
+#: Sets that one prefix tree holds, about, and shingles in them.
+PART, SHINGLES = 1024, 1_000_000
+#: Classes of a group that is still taken as a whole.
+GROUP = 50_000
 
 
 def overlap(n: int) -> int:
@@ -64,16 +64,21 @@ def least(n: Column) -> Column:
     return F.least(F.ceil(m * trie.PERCENT / 100), F.greatest(F.lit(FLOOR), F.floor(m / 16))).cast("int")
 
 
-def _sets(whole: bool):
+def _sets(whole: bool, draw: int = 0):
+    """Sets of the texts' shingles, whole or as prefixes, with their size, name and check (the rest of the digest)."""
+    salt = draw.to_bytes(8, "little")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, off = column(batch.column("text"))
             h, first, _ = shingles(data, off, GRAM)
-            sizes, names, parts = [], [], []
+            sizes, names, checks, parts = [], [], [], []
             for a, b in zip(first[:-1], first[1:], strict=True):
                 s = np.unique(h[a:b])
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt).digest()
                 sizes.append(len(s))
-                names.append(int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True) if len(s) else None)
+                for held, part in ((names, digest[:8]), (checks, digest[8:])):
+                    held.append(int.from_bytes(part, "little", signed=True) if len(s) else None)
                 parts.append(s if whole else s[: prefix(len(s))])
             n, name = pa.array(sizes, pa.int32()), pa.array(names, pa.int64())
             if whole:
@@ -81,82 +86,78 @@ def _sets(whole: bool):
             else:
                 ends = np.cumsum([0, *map(len, parts)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)))
-                yield pa.record_batch([batch.column("id"), n, name, lists], ["id", "n", "class", "prefix"])
+                yield pa.record_batch([batch.column("id"), n, name, pa.array(checks, pa.int64()), lists], ["id", "n", "class", "check", "prefix"])
 
     return run
 
 
-def _groups(rows: int) -> int:
-    return max(8, -(-rows // ROWS))
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Every row with its class, stored; the prefixes that come with them; and the draw of names."""
+    draw = 0
+    while True:
+        found = rows.mapInArrow(_sets(False, draw), "id long, n int, class long, check long, prefix array<long>")
+        own = stored(found.select("id", "n", "class", "check"), "join-classes")
+        if own.where("class IS NOT NULL").groupBy("class").agg((F.min("check") < F.max("check")).alias("two")).where("two").isEmpty():
+            return own.drop("check"), found, draw
+        discard(own)
+        draw += 1
 
 
-def _blocks(frame: pd.DataFrame) -> pd.DataFrame:
+def _linked(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links of the parts that meet in one task."""
     out = []
-    for _, g in frame.groupby(["token", "part"], sort=False):
-        g = g.drop_duplicates("class")
-        name = g["class"].to_numpy()
-        out += [(name[i], name[j]) for i, j in trie.flood([np.frombuffer(b, np.uint64) for b in g["grams"]])]
+    for (_, i, j), g in frame.groupby(["group", "i", "j"], sort=False):
+        g = g.drop_duplicates(["part", "class"])
+        sides = [g[g["part"] == p] for p in ((i,) if i == j else (i, j))]
+        sets = [[np.frombuffer(b, np.uint64) for b in side["grams"]] for side in sides]
+        name = np.concatenate([side["class"].to_numpy() for side in sides])
+        out += [(name[a], name[b]) for a, b in trie.links(*sets)]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _meetings(frame: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for _, g in frame.groupby(["low", "high", "i", "j"], sort=False):
-        left, right = g[g["side"] == 0], g[g["side"] == 1]
-        if len(left) and len(right):
-            read = lambda x: [np.frombuffer(b, np.uint64) for b in x["grams"]]
-            if found := trie.meeting(read(left), read(right)):
-                out.append((left["class"].iloc[found[0]], right["class"].iloc[found[1]]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _groups(live: DataFrame) -> DataFrame:
+    """(group, class) for every live class that has a key in common with another."""
+    key = F.explode(F.expr("slice(sort_array(shared), 1, greatest(1, size(shared) - least + 1))"))
+    keys = stored(live.select("class", "n", key.alias("key")).select("class", "n", "key.token"), "join-keys")
+    heads = keys.groupBy("token").agg(F.min("class").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head")
+    held = stored(components(keys.join(heads, "token").select(F.col("class").alias("a"), F.col("head").alias("b"))), "join-groups")
+    large = held.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select("component")
+    whole = held.join(large, "component", "left_anti").select(F.col("component").alias("group"), F.col("node").alias("class"))
+    rest = held.join(large, "component", "left_semi").select(F.col("node").alias("class"))
+    return whole.unionByName(keys.join(heads, "token").join(rest, "class", "left_semi").select(F.col("token").alias("group"), "class"))
 
 
-def _candidates(live: DataFrame, parts: DataFrame) -> DataFrame:
-    """(low, high, side, class): the classes over which two components meet at a rare prefix shingle."""
-    keys = live.select("class", F.explode(F.expr("slice(sort_array(shared), 1, greatest(1, size(shared) - least + 1))")).alias("key")).select("class", "key.token")
-    keys = keys.join(parts, keys["class"] == parts["node"], "left").select("token", "class", F.coalesce("component", "class").alias("component"))
-    several = keys.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    met = stored(keys.join(several, "token"), "join-meetings")
-    sides = met.select("token", "component").distinct()
-    pairs = sides.withColumnRenamed("component", "low").join(sides.withColumnRenamed("component", "high"), "token").where("low < high")
-    low = pairs.join(met, (pairs["token"] == met["token"]) & (pairs["low"] == met["component"])).select("low", "high", F.lit(0).alias("side"), "class")
-    high = pairs.join(met, (pairs["token"] == met["token"]) & (pairs["high"] == met["component"])).select("low", "high", F.lit(1).alias("side"), "class")
-    return stored(low.unionByName(high).distinct(), "join-candidates")
+def _links(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect the live classes as all links would."""
+    grouped = stored(_groups(live).join(live.select("class", "n"), "class"), "join-members")
+    parts = grouped.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
+    placed = grouped.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    met = placed.select("group", "class", "n", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = met.select("group", "class", "n", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    tasks = max(8, -(-(met.agg(F.sum("n")).first()[0] or 0) // SHINGLES))
+    spread = met.join(sets, "class").withColumn("task", F.pmod(F.xxhash64("group", "i", "j"), F.lit(tasks)))
+    return spread.groupBy("task").applyInPandas(_linked, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id (smallest id with the same set), component_id for every row of docs."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_sets(False), "id long, n int, class long, prefix array<long>")
-    own = stored(found.select("id", "n", "class"), "join-classes")
+    own, found, draw = _classes(rows)
     tokens = found.where("class IS NOT NULL").select("class", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df", "lo")
-    live = tokens.join(shared, "token").groupBy("class").agg(F.collect_set(F.struct("df", "token", "lo")).alias("shared"))
+    shared = tokens.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df")
+    live = tokens.join(shared, "token").groupBy("class").agg(F.collect_set(F.struct("df", "token")).alias("shared"))
     classes = own.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     live = stored(live.join(classes, "class").withColumn("least", least(F.col("n"))).where(F.size("shared") >= F.col("least")), "join-live")
 
     reps = live.select(F.col("rep").alias("id")).where("id IS NOT NULL")
     wanted = rows.join(small(reps), "id", "left_semi").unionByName(rows.where("id IS NULL"))
-    sets = wanted.select("text").mapInArrow(_sets(True), "n int, class long, grams binary")
+    sets = wanted.select("text").mapInArrow(_sets(True, draw), "n int, class long, grams binary")
     sets = stored(sets.join(small(live.select("class")), "class", "left_semi").dropDuplicates(["class"]).select("class", "grams"), "join-sets")
+    final = components(_links(live, sets))
+    discard(sets)
 
-    at = live.select("class", F.expr("array_min(transform(shared, s -> struct(s.token AS token, s.df AS df, s.lo AS lo)))").alias("key")).select("class", "key.*")
-    at = at.withColumn("parts", F.ceil(F.col("df") / PART).cast("int"))
-    part = at.select("token", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), "class")
-    heads = at.where("parts > 1").select("token", "lo", "parts").distinct().select("token", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("lo").alias("class"))
-    grouped = part.unionByName(heads).join(sets, "class").withColumn("task", F.pmod(F.xxhash64("token", "part"), F.lit(_groups(live.count()))))
-    links = stored(grouped.groupBy("task").applyInPandas(_blocks, "a long, b long"), "join-links")
-    parts = stored(components(links), "join-parts")
-
-    across = _candidates(live, parts)
-    blocks = across.groupBy("low", "high").agg(*(F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / (2 * PART)).cast("int").alias(c) for s, c in ((0, "ni"), (1, "nj"))))
-    spread = across.join(blocks, ["low", "high"]).withColumn("own", F.pmod(F.xxhash64("class"), F.when(F.col("side") == 0, F.col("ni")).otherwise(F.col("nj"))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("nj")).otherwise(F.col("ni")) - 1))
-    spread = spread.withColumn("other", other).select("low", "high", "side", "class", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("j"))
-    spread = spread.join(sets, "class").withColumn("task", F.pmod(F.xxhash64("low", "high", "i", "j"), F.lit(_groups(across.count()))))
-    more = spread.groupBy("task").applyInPandas(_meetings, "a long, b long")
-    final = components(links.unionByName(more))
-
-    named = own.select("id", "n", "class").join(final, own["class"] == final["node"], "left").select("id", "n", "class", F.coalesce("component", "class").alias("component"))
+    named = own.join(final, own["class"] == final["node"], "left").select("id", "n", "class", F.coalesce("component", "class").alias("component"))
     named = stored(named, "join-members")
     first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id"))
     same = classes.select("class", F.col("rep").alias("class_id"))

@@ -1,129 +1,110 @@
-"""A prefix tree of ordered n-gram sets that answers Jaccard queries exactly.
+"""A prefix tree of n-gram sets that finds all sets of high Jaccard similarity to many others at once.
 
-Sets are arrays of integers under one order (most frequent first), sorted, so that similar
-sets share long paths. A node stands for a run of n-grams that all sets below it share. A
-query walks down with the overlap counted so far, which all sets below a node share, and
-leaves a subtree once the overlap plus what both sides have left cannot reach the threshold.
+Sets are sorted arrays of integers under one order for all, so that similar sets share paths from
+the root. A node stands for a run of n-grams that all sets below it share. A walk goes down the tree
+once for a block of queries: each carries the overlap counted so far, which it shares with all sets
+below a node, and leaves a subtree as soon as the overlap plus what both sides have left after
+the node's last n-gram cannot reach the threshold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Similarity in hundredths.
 PERCENT = 80
-
-
-def ordered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """The sets as sorted ranks, 0 the most frequent; and the number of distinct n-grams."""
-    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int32)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(values), dtype=np.int32)
-    ends = np.cumsum([0, *map(len, sets)])
-    ranks = rank[place]
-    return [np.sort(ranks[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], len(values)
+#: Cells of the table of a block of queries by n-grams of the tree.
+CELLS = 8 << 20
 
 
 class Trie:
-    def __init__(self, sets: list[np.ndarray], width: int) -> None:
-        self.sets, self.mask = sets, np.zeros(width, bool)
-        keys = [s.astype(">u4").tobytes() for s in sets]
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.values = np.unique(np.concatenate(sets))
+        self.sets = [np.searchsorted(self.values, s) for s in sets]
+        keys = [s.astype(">u4").tobytes() for s in self.sets]
         order = sorted(range(len(sets)), key=keys.__getitem__)
         shared = np.zeros(len(order), np.int64)
         for i in range(1, len(order)):
-            a, b = sets[order[i - 1]], sets[order[i]]
+            a, b = self.sets[order[i - 1]], self.sets[order[i]]
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             shared[i] = differ[0] if len(differ) else n
-        # A node: the run of its n-grams, depth at its end, parent, children, set (at a leaf), alive sets, and their least and most size.
+        #: A node: its run of n-grams, children, set (at a leaf, else -1), and the least and most size of the sets below it.
         self.run: list[np.ndarray] = []
         self.depth: list[int] = []
-        self.parent: list[int] = []
         self.children: list[list[int]] = []
         self.leaf: list[int] = []
-        self.alive: list[int] = []
         self.least: list[int] = []
         self.most: list[int] = []
-        self.place = [0] * len(sets)
         todo = [(0, len(order), 0, -1)]
         while todo:
             lo, hi, start, parent = todo.pop()
-            first = sets[order[lo]]
-            end = len(first) if hi - lo == 1 else int(shared[lo + 1 : hi].min())
+            first = self.sets[order[lo]]
+            # Equal sets, and one that another begins with, end in leaves of empty runs.
+            end = len(first) if hi - lo == 1 else min(len(first), int(shared[lo + 1 : hi].min()))
             node = len(self.run)
-            sizes = [len(sets[order[i]]) for i in range(lo, hi)]
+            sizes = [len(self.sets[order[i]]) for i in range(lo, hi)]
             self.run.append(first[start:end])
             self.depth.append(end)
-            self.parent.append(parent)
             self.children.append([])
             self.leaf.append(order[lo] if hi - lo == 1 else -1)
-            self.alive.append(hi - lo)
             self.least.append(min(sizes))
             self.most.append(max(sizes))
             if parent >= 0:
                 self.children[parent].append(node)
-            if hi - lo == 1:
-                self.place[order[lo]] = node
-            else:
+            if hi - lo > 1:
                 cuts = [lo, *(i for i in range(lo + 1, hi) if shared[i] == end), hi]
                 todo += [(a, b, end, node) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def remove(self, i: int) -> None:
-        node = self.place[i]
-        while node >= 0:
-            self.alive[node] -= 1
-            node = self.parent[node]
+    def similar(self, queries: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """(set, the queries whose similarity with it reaches the threshold), for sets that have any; nothing twice."""
+        width = len(self.values)
+        step = max(1, CELLS // max(1, width))
+        for begin in range(0, len(queries), step):
+            block = queries[begin : begin + step]
+            held = np.zeros((width, len(block)), np.uint8)
+            for i, q in enumerate(block):
+                place = np.searchsorted(self.values, q)
+                place[place == width] = 0
+                held[place[self.values[place] == q], i] = 1
+            passed = np.cumsum(held, axis=0, dtype=np.int32)  # n-grams of the query up to one of the tree's
+            size = np.array([len(q) for q in block])
+            in_tree = passed[-1] if width else np.zeros(len(block), np.int32)
+            todo = [(0, np.arange(len(block)), np.zeros(len(block), np.int64))]
+            while todo:
+                node, alive, both = todo.pop()
+                run, left = self.run[node], in_tree[alive]
+                if len(run):
+                    both = both + (held[run] if len(alive) == len(block) else held[run][:, alive]).sum(0, dtype=np.int64)
+                    left = left - passed[run[-1], alive]
+                if self.leaf[node] >= 0:
+                    hit = (100 * both >= PERCENT * (size[alive] + self.most[node] - both)) & (both > 0)
+                    if hit.any():
+                        yield self.leaf[node], begin + alive[hit]
+                    continue
+                reach = both + np.minimum(left, self.most[node] - self.depth[node])
+                keep = 100 * reach >= PERCENT * np.maximum(size[alive], self.least[node])
+                if keep.any():
+                    todo += [(c, alive[keep], both[keep]) for c in self.children[node]]
 
-    def similar(self, x: np.ndarray, first: bool = False) -> list[int]:
-        """Sets not removed whose Jaccard similarity with x reaches the threshold; only one if first."""
-        out, n = [], len(x)
-        self.mask[x] = True
-        todo = [(0, 0)] if self.alive[0] else []
-        while todo:
-            node, both = todo.pop()
-            run = self.run[node]
-            left = n
-            if len(run):
-                both += int(self.mask[run].sum())
-                left = n - int(np.searchsorted(x, run[-1], "right"))
-            if self.leaf[node] >= 0:
-                if 100 * both >= PERCENT * (n + self.most[node] - both) and both:
-                    out.append(self.leaf[node])
-                    if first:
-                        break
-                continue
-            reach = both + (min(left, self.most[node] - self.depth[node]) if len(run) else min(n, self.most[node]))
-            if 100 * reach >= PERCENT * max(n, self.least[node]):
-                todo += [(c, both) for c in self.children[node] if self.alive[c]]
-        self.mask[x] = False
-        return out
 
+def links(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links between sets of left and right (within left, if right is None) that connect whatever all of them would: a spanning forest.
 
-def flood(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect exactly the components of the similarity graph of the sets (a spanning forest)."""
-    if len(sets) < 2:
+    Sets are numbered left first.
+    """
+    if not left or right == []:
         return []
-    ranked, width = ordered(sets)
-    trie, links = Trie(ranked, width), []
-    waiting = set(range(len(sets)))
-    while waiting:
-        todo = [waiting.pop()]
-        trie.remove(todo[0])
-        while todo:
-            i = todo.pop()
-            for j in trie.similar(ranked[i]):
-                links.append((i, j))
-                waiting.discard(j)
-                trie.remove(j)
-                todo.append(j)
-    return links
-
-
-def meeting(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[int, int] | None:
-    """A link between a set of left and one of right, if there is any."""
-    ranked, width = ordered([*left, *right])
-    trie = Trie(ranked[len(left) :], width)
-    for i in range(len(left)):
-        if found := trie.similar(ranked[i], first=True):
-            return i, found[0]
-    return None
+    trie, shift = Trie(right if right is not None else left), len(left) if right is not None else 0
+    root, out = np.arange(len(left) + (len(right) if right is not None else 0)), []
+    for i, found in trie.similar(left):
+        group = root[found]
+        own = root[shift + i]
+        if (group == own).all():
+            continue
+        joined, first = np.unique(group, return_index=True)
+        out += [(int(found[j]), shift + i) for r, j in zip(joined, first, strict=True) if r != own]
+        root[np.isin(root, joined)] = own
+    return out
