@@ -5,17 +5,29 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tokenizers import Tokenizer
+
 from tidemark.llm import packing, token_store
 from tidemark.llm.tokens import PieceEncoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ENCODERS = {f: PieceEncoder(public_tokenizers.path(f), entries=50) for f in FILES}
-TEXT = st.text(alphabet=st.sampled_from(list("aA bB'st  \n\t\r  \x1c\x85é́ßΣ.,!<|>1一😀")), max_size=60)
+PLAIN = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in FILES}
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", " <|endoftext|> "]
+TEXT = st.lists(st.sampled_from([*"aA bB'st  \n\t\r  \x1c\x85é́ßΣ.,!<|>1一😀", *SPECIAL]), max_size=60).map("".join)
+
+
+def plain(file, text):
+    """The ids of the library's own call, by a tokenizer that nothing else uses."""
+    return PLAIN[file].encode(text or "", add_special_tokens=False).ids
 
 
-def plain(encoder, text):
-    return encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+def test_strings_of_added_tokens_are_those_tokens():
+    assert plain(FILES[0], "<|endoftext|> is text") == [50256, 318, 2420]
+    assert plain(FILES[1], "<|endoftext|> is text") == [49407, 533, 4160]
+    as_text = PieceEncoder(public_tokenizers.path(FILES[0]), plain_specials=True)
+    assert 50256 not in np.frombuffer(as_text.ids("<|endoftext|> is text"), "<u4")
 
 
 @pytest.mark.parametrize("file", FILES)
@@ -23,7 +35,7 @@ def plain(encoder, text):
 @given(texts=st.lists(TEXT, max_size=4))
 def test_pieces_give_the_ids_of_the_whole_text(file, texts):
     e = ENCODERS[file]
-    assert [np.frombuffer(x, "<u4").tolist() for x in map(e.ids, texts)] == [plain(e, t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in map(e.ids, texts)] == [plain(file, t) for t in texts]
 
 
 ROWS = [(3, "b b the cat", "x"), (1, None, None), (2, "", "y"), (None, "no id", "z"), (5, "word " * 3000, "x"), (5, "word " * 3000, "x"), (9, "<|endoftext|> is text", "x")]
@@ -36,11 +48,12 @@ def test_token_store_round_trip(spark, tmp_path):
     got = sorted(token_store.token_index(spark, f"{tmp_path}/t").collect(), key=lambda r: r.start)
     want, start = [], 0
     for key, text, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = np.array([*plain(ENCODERS[FILES[0]], text), 0], "<u4")
+        ids = np.array([*plain(FILES[0], text), 0], "<u4")
         want.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert [tuple(r) for r in got] == want
-    assert token_store.read_tokens(spark, f"{tmp_path}/t").where("doc_id = 3").count() == 1
+    one = token_store.read_tokens(spark, f"{tmp_path}/t").where("doc_id = 3")
+    assert one.count() == 1 and "EqualTo(doc_id,3)" in one._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("rows", [ROWS, []])
@@ -56,13 +69,23 @@ def test_packing_covers_every_id_once(spark, rows):
         total = sum(r.length for r in parts)
         assert total <= 2048 and total & (total - 1) == 0
     for key, text in {(r[0], r[1]) for r in rows}:
-        ids = np.array([*plain(ENCODERS[FILES[1]], text), 1], "<u4")
+        ids = np.array([*plain(FILES[1], text), 1], "<u4")
         times = sum(1 for r in rows if r[:2] == (key, text))
         pieces = sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == key and r.doc_tokens == len(ids))
         assert sum(p[1] for p in pieces) == times * len(ids)
         assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in pieces)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=40), st.integers(1, 8))
+def test_steps_are_even_in_sequences_and_cost(costs, groups):
+    of = packing.balanced(costs, groups)
+    n = [of.count(g) for g in range(groups)]
+    assert len(of) == len(costs) and max(n) - min(n) <= 1
+    spent = [sum(c for c, g in zip(costs, of, strict=True) if g == k) for k in range(groups)]
+    assert max(spent) - min(spent) <= 2 * max(costs)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 5000), max_size=40))
 def test_pack_conserves_tokens(lengths):

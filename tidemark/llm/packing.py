@@ -7,8 +7,10 @@ sequence is exactly full. What a buffer leaves is carried to the next, and the l
 a task is cut into windows of powers of two. Packing needs no shuffle: each task packs the
 documents it reads, a bounded buffer at a time.
 
-Steps are balanced: within a task and tier, consecutive sequences form groups of
-``STEP_TOKENS`` tokens.
+Steps are balanced: the sequences of a tier that come from one buffer are dealt to groups of
+``STEP_TOKENS`` tokens, about, dearest first and back and forth, so that groups are alike in number and
+in cost (the sum of squared lengths of the pieces, what attention within documents takes).
+Which documents share a buffer, and so a sequence, follows Spark's splits of the input.
 
 Defined cases: a null text is empty and holds just the end id; repeated rows are packed each;
 null ids pass through; an empty table gives an empty result; other columns play no part.
@@ -26,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import small_batches
+
 #: Context sizes, longest first; powers of two.
 TIERS = (2048, 1024, 512, 256)
 BUFFER_IDS = 1 << 20
@@ -103,6 +107,15 @@ def last(parts: list[Part]) -> list[tuple[int, list[Part]]]:
     return out
 
 
+def balanced(costs: list[int], groups: int) -> list[int]:
+    """A group for each cost: dearest first, dealt back and forth, so that groups are alike in number and cost."""
+    out = [0] * len(costs)
+    for place, i in enumerate(sorted(range(len(costs)), key=lambda i: -costs[i])):
+        turn, at = divmod(place, groups)
+        out[i] = at if turn % 2 == 0 else groups - 1 - at
+    return out
+
+
 def _packed(path: str, end_id: int, tiers: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
@@ -116,12 +129,15 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...]):
 
         def emit(sequences: list[tuple[int, list[Part]]]) -> pa.RecordBatch:
             nonlocal sequence
-            rows = []
+            rows, steps = [], {}
+            for tier in sorted({t for t, _ in sequences}):
+                costs = [sum(n * n for n, _, _ in held) for t, held in sequences if t == tier]
+                groups = max(1, round(len(costs) * tier / STEP_TOKENS))
+                base = (task << 40) + (tier.bit_length() << 32) + counts.get(tier, 0)
+                steps[tier] = iter([base + g for g in balanced(costs, groups)])
+                counts[tier] = counts.get(tier, 0) + groups
             for tier, held in sequences:
-                group = counts.get(tier, 0)
-                counts[tier] = group + 1
-                step = (task << 40) + (tier.bit_length() << 32) + group * tier // STEP_TOKENS
-                offset = 0
+                step, offset = next(steps[tier]), 0
                 for n, doc, start in held:
                     key, ids = docs[doc]
                     rows.append((key, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, (task << 40) + sequence, offset, tier, step))
@@ -155,5 +171,6 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...]):
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, as SCHEMA says; a sequence's length is a tier or, at a task's end, a power of two."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(_packed(tokenizer, end_id, tiers), SCHEMA)

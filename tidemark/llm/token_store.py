@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .workspace import small_batches, stored
+
 #: Ids in one Arrow batch, about.
 BATCH_IDS = 1_000_000
 STORE_SCHEMA = "doc_id long, shard int, row long, ids array<int>"
@@ -61,7 +63,9 @@ def _stored_rows(path: str, end_id: int):
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes (doc_id, shard, row, ids) as ORC, ascending in doc_id over files and within them."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    small_batches(docs.sparkSession)
+    # Texts split an id that many rows have, as a null one.
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     tokens = ordered.mapInArrow(_stored_rows(tokenizer, end_id), STORE_SCHEMA)
     tokens.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "10000").orc(out)
 
@@ -84,8 +88,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     rows = read_tokens(spark, path).mapInArrow(_checked, "doc_id long, shard int, row long, n_tokens long, ids_crc32 long")
-    from .workspace import stored
-
     rows = stored(rows, "token-index")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))

@@ -5,7 +5,8 @@ so a text is split there and each distinct piece is encoded once per worker. A n
 of plain characters is split into its runs of letters, digits and other signs, as the
 pre-tokenisation does, and each distinct run goes to the tokenizer's model once. Pieces
 with other characters are encoded by the whole tokenizer, and so are texts in which the
-split isn't provably neutral and all texts of other kinds of tokenizers.
+split isn't provably neutral, texts that hold the string of an added token (which is that token, as in
+the library's plain call) and all texts of other kinds of tokenizers.
 """
 
 from __future__ import annotations
@@ -51,14 +52,19 @@ class Cache(dict):
 
 
 class PieceEncoder:
-    """ids(text): little-endian unsigned 32-bit ids, special tokens' strings as ordinary text."""
+    """ids(text): little-endian unsigned 32-bit ids of encode(text, add_special_tokens=False).
 
-    def __init__(self, path: str, entries: int = 600_000):
+    With plain_specials the strings of added tokens are ordinary text.
+    """
+
+    def __init__(self, path: str, entries: int = 600_000, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.kind = self._kind()
         # With a byte-level split a piece carries the one space before it; otherwise white space only separates.
         self.first = Cache(lambda piece: self._new(piece, ""), entries)
@@ -95,6 +101,8 @@ class PieceEncoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            return self._encode(text)
         if self.kind == "bytes":
             if "  " in text or " \n" in text or "\n " in text or (_OTHER_SPACE.search(text) and _UNEVEN.search(text)):
                 return self._encode(text)
