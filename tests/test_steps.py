@@ -1,6 +1,7 @@
 import pytest
 
 from tidemark.functions import sel, steps
+from tidemark.functions.division import guarded
 from tidemark.functions.types import compatible, dsl, of_source, widened
 from tidemark.plans import pipeline
 
@@ -66,6 +67,34 @@ def test_sel_refuses(text):
         sel.to_sql(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("(a + b) / c", "try_divide((a + b), c)"),
+        ("sum(a) / count(b)", "try_divide(sum(a), count(b))"),
+        ("a / b / c", "try_divide(try_divide(a, b), c)"),
+        ("a - b * c / -d", "a - try_divide(b * c, -d)"),
+        ("CASE WHEN x / y > 1 THEN 'a/b' ELSE c END / 2", "try_divide(CASE WHEN try_divide(x, y) > 1 THEN 'a/b' ELSE c END, 2)"),
+        ("sum(a) OVER (ORDER BY x / y) / m[b / c]", "try_divide(sum(a) OVER (ORDER BY try_divide(x, y)), m[try_divide(b, c)])"),
+    ],
+)
+def test_divisions(text, want):
+    assert guarded(text) == want
+
+
+@pytest.mark.parametrize("text", ["a /", "(a / b", "a / )"])
+def test_divisions_refuse(text):
+    with pytest.raises(ValueError):
+        guarded(text)
+
+
+def test_preview_and_guarded_math(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (4.0, 2.0)], "a double, b double")
+    step = {"type": "math_op", "expression": "(a + a) / b", "column": "c", "on_error": "null"}
+    assert sorted((r.c for r in pipeline.preview(df, {"transforms": [step]}).collect()), key=str) == [4.0, None]
+    assert pipeline.preview(df, {"transforms": [step]}, 1).count() == 1
+
+
 def test_types():
     assert (dsl("Integer"), of_source("VARCHAR(20)"), of_source("decimal(10,2)")) == ("int", "string", "decimal(38,18)")
     assert widened("int", "double") == "double" and widened("int", "string") == "string" and compatible("int", "bigint") and not compatible("double", "int")

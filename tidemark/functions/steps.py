@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import sel
+from .division import guarded
 from .types import dsl
 
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
@@ -89,7 +90,7 @@ def string_op(step: dict) -> dict[str, Column]:
 def math_op(step: dict) -> dict[str, Column]:
     text = step["expression"]
     if _get(step, "on_error", "raise") == "null":
-        text = re.sub(r"([\w.()]+)\s*/\s*([\w.]+|\([^()]*\))", r"try_divide(\1, \2)", text)
+        text = guarded(text)
     return {_out(step, step.get("column") or "math_result"): F.expr(text).cast(dsl(_get(step, "output_type", "double")))}
 
 

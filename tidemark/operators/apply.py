@@ -1,6 +1,6 @@
 """Applying batches to tables: append, overwrite, upsert, merge, history, and their sync modes.
 
-Operators return the new table as a plan; ``replace`` swaps a stored table atomically for it.
+Operators return the new table as a plan; ``replace`` puts it in the place of a stored one.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Sync modes and the shorter names they also go by (fixed values).
 MODES = {"full_refresh_overwrite", "full_refresh_append", "incremental_append", "incremental_append_deduped", "cdc_incremental_deduped_history"}
+#: Write modes (fixed values).
+WRITES = {"append", "replace", "upsert", "merge"}
 ALIASES = {"full_refresh": "full_refresh_overwrite", "incremental": "incremental_append_deduped", "cdc": "cdc_incremental_deduped_history"}
 
 
@@ -51,26 +53,47 @@ def merge(table: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
 def scd2(history: DataFrame, events: DataFrame, keys: list[str], at: str = "valid_from", order: list[str] | None = None) -> DataFrame:
     """history (columns, valid_from, valid_to, is_deleted) with events (columns, op, valid_from): every change closes the row before it.
 
-    A delete closes and marks the row and adds none. Validity is event time.
+    A delete closes and marks the row and adds none. Validity is event time: a late event cuts the
+    row that was valid then, closed or open, and is valid up to that row's end. Rows of no
+    duration stay as they are.
     """
     columns = [c for c in history.columns if c not in ("valid_from", "valid_to", "is_deleted")]
     tie = order or [at]
-    old = history.select(*columns, "valid_from", "valid_to", "is_deleted", F.lit("r").alias("op"), *(F.lit(None).cast(events.schema[c].dataType).alias(f"__{c}") for c in tie))
-    new = events.select(*columns, "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.lit(False).alias("is_deleted"), "op", *(F.col(c).alias(f"__{c}") for c in tie))
-    chain = Window.partitionBy(*keys).orderBy("valid_from", *(F.col(f"__{c}").asc_nulls_first() for c in tie))
-    open_ = F.col("valid_to").isNull() & (F.col("op") != "d")
-    all_ = old.unionByName(new).withColumns({"__next": F.lead("valid_from").over(chain), "__next_op": F.lead("op").over(chain)})
-    closed = all_.withColumns({"valid_to": F.when(open_, F.col("__next")).otherwise(F.col("valid_to")), "is_deleted": F.col("is_deleted") | (open_ & (F.coalesce("__next_op", F.lit("")) == "d"))})
-    return closed.where("op <> 'd'").select(*columns, "valid_from", "valid_to", "is_deleted")
+    no_tie = [F.lit(None).cast(events.schema[c].dataType).alias(f"__{c}") for c in tie]
+    item = lambda df, since, op, rank, ties: df.select(*columns, since.alias("valid_from"), op.alias("op"), F.lit(rank).alias("__rank"), *ties)
+    lasting = history.where("valid_to IS NULL OR valid_to > valid_from")
+    # Ends of closed rows stand in the chain as deletes, or as gaps if nothing was deleted.
+    ends = item(lasting.where("valid_to IS NOT NULL"), F.col("valid_to"), F.when(F.col("is_deleted"), "d").otherwise("gap"), 0, no_tie)
+    chain = item(lasting, F.col("valid_from"), F.lit("r"), 1, no_tie).unionByName(ends)
+    chain = chain.unionByName(item(events, F.col("valid_from"), F.col("op"), 1, [F.col(c).alias(f"__{c}") for c in tie]))
+    following = Window.partitionBy(*keys).orderBy("valid_from", "__rank", *(F.col(f"__{c}").asc_nulls_first() for c in tie))
+    closed = chain.withColumns({"valid_to": F.lead("valid_from").over(following), "is_deleted": F.coalesce(F.lead("op").over(following) == "d", F.lit(False))})
+    out = closed.where("op NOT IN ('d', 'gap')").select(*columns, "valid_from", "valid_to", "is_deleted")
+    return out.unionByName(history.where("valid_to <= valid_from").select(*out.columns))
+
+
+def empty(mode: str, batch: DataFrame) -> DataFrame:
+    """The table that a mode's first batch meets."""
+    if mode == "cdc_incremental_deduped_history":
+        batch = batch.drop("op").withColumns({"valid_to": F.lit(None).cast("timestamp"), "is_deleted": F.lit(False)})
+    return batch.where("false")
+
+
+def newest(batch: DataFrame, keys: list[str], cursor: str | None = None) -> DataFrame:
+    """One row a key: the greatest by cursor, then by all other columns as text, so that reruns agree."""
+    rest = [c for c in batch.columns if c not in keys]
+    rank = F.struct(*([F.col(cursor)] if cursor else []), F.to_json(F.struct(*rest)) if rest else F.lit(0))
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest) if rest else F.lit(0), rank).alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*batch.columns)
 
 
 def sync(mode: str, table: DataFrame | None, batch: DataFrame, keys: list[str] | None = None, cursor: str | None = None, loaded_at: Column | None = None) -> DataFrame:
-    """The table after a batch under one of MODES (or an alias of one)."""
+    """The table after a batch under one of MODES (or an alias of one); without a table, after its first batch."""
     mode = ALIASES.get(mode.lower(), mode.lower())
     if mode not in MODES:
         raise ValueError(f"unknown sync mode {mode!r}")
-    if mode == "full_refresh_overwrite" or table is None:
+    if mode == "full_refresh_overwrite":
         return batch
+    table = empty(mode, batch) if table is None else table
     if mode == "full_refresh_append":
         return table.unionByName(batch.withColumn("loaded_at", loaded_at if loaded_at is not None else F.current_timestamp()), allowMissingColumns=True)
     if mode == "incremental_append":
@@ -79,9 +102,21 @@ def sync(mode: str, table: DataFrame | None, batch: DataFrame, keys: list[str] |
         raise ValueError(f"{mode} needs its keys in the batch")
     if mode == "cdc_incremental_deduped_history":
         return scd2(table, batch, keys)
-    order = [F.desc(cursor)] if cursor else [F.lit(0)]
-    last = batch.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
-    return upsert(table, last, keys)
+    return upsert(table, newest(batch, keys, cursor), keys)
+
+
+def write(mode: str, table: DataFrame | None, batch: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The table after a batch under one of WRITES; merge takes events with an op, the others take rows."""
+    if mode not in WRITES:
+        raise ValueError(f"unknown write mode {mode!r}")
+    if mode == "replace":
+        return batch
+    table = (batch.drop("op") if mode == "merge" else batch).where("false") if table is None else table
+    if mode == "append":
+        return table.unionByName(batch, allowMissingColumns=True)
+    if not keys:
+        raise ValueError(f"{mode} needs keys")
+    return upsert(table, newest(batch, keys), keys) if mode == "upsert" else scd1(table, batch, keys)
 
 
 def since(df: DataFrame, cursor: str, mark) -> DataFrame:
@@ -94,21 +129,56 @@ def high_water(df: DataFrame, cursor: str) -> str | None:
 
 
 def replace(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Writes df beside path, then renames it into place, so that readers see the old or the new table."""
+    """Writes df beside path, then renames it into place.
+
+    Between two renames there is no table at path for a moment. If the second one fails, the
+    old table is put back; it is deleted only after the new one is in place.
+    """
     spark: SparkSession = df.sparkSession
     temp, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(temp)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, hadoop.Path(old))
-    fs.rename(hadoop.Path(temp), target)
-    fs.delete(hadoop.Path(old), True)
-
-
-def partition_columns(specs: list[dict]) -> dict[str, Column]:
-    """Derived partition columns: identity, year, month, day, hour, bucket(n), truncate(n)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    swap(fs, at(temp), at(path), at(old))
+
+
+def swap(fs, temp, target, old) -> None:
+    """Puts the folder temp in the place of target by renames, whose results are looked at."""
+    held = fs.exists(target)
+    if held and not fs.rename(target, old):
+        fs.delete(temp, True)
+        raise OSError(f"{target} could not be set aside and stays as it was")
+    if not fs.rename(temp, target):
+        back = not held or fs.rename(old, target)
+        raise OSError(f"{temp} could not take the place of {target}; the old table is {'back' if back else f'at {old}'}")
+    if held:
+        fs.delete(old, True)
+
+
+def rewrite_small(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> int:
+    """Rewrites a table's files to about target_bytes each, if it has more files than that takes; returns the files it wants."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at)
+    wanted = max(1, -(-held.getLength() // target_bytes))
+    df = spark.read.parquet(path)
+    if len(df.inputFiles()) > wanted:
+        replace(df.coalesce(wanted), path)
+    return wanted
+
+
+def audit(table: DataFrame | None, entries: DataFrame, at: str = "created_at") -> DataFrame:
+    """An audit table with new entries, with the day that it is partitioned by (replace(..., partition_by=["day"]))."""
+    entries = entries.withColumn("day", F.to_date(at))
+    return entries if table is None else table.unionByName(entries, allowMissingColumns=True)
+
+
+def partition_columns(specs: list[dict], df: DataFrame | None = None) -> dict[str, Column]:
+    """Derived partition columns: identity, year, month, day, hour, bucket(n), truncate(n).
+
+    truncate keeps the first n characters of text and rounds whole numbers down to a multiple
+    of n; which of them a column is says df, without which all are text.
+    """
+    kinds = dict(df.dtypes) if df is not None else {}
     out = {}
     for s in specs:
         kind, name = s.get("transform", "identity"), s["column"]
@@ -119,7 +189,8 @@ def partition_columns(specs: list[dict]) -> dict[str, Column]:
         elif kind == "bucket":
             out[f"{name}_bucket"] = F.pmod(F.hash(c), F.lit(n))
         elif kind == "truncate":
-            out[f"{name}_trunc"] = F.substring(c.cast("string"), 1, n)
+            whole = kinds.get(name, "string") in ("tinyint", "smallint", "int", "bigint") or kinds.get(name, "").startswith("decimal")
+            out[f"{name}_trunc"] = c - F.pmod(c, F.lit(n)) if whole else F.substring(c.cast("string"), 1, n)
         elif kind == "identity":
             out[name] = c
         else:

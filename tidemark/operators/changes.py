@@ -65,14 +65,20 @@ def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def route(events: DataFrame, routes: DataFrame) -> DataFrame:
     """A copy of each event per matching route (schema_name, table_name or *, target); a route for a schema and all its tables does not exist.
 
-    The two wildcards are joined apart, so both joins have an equality on the table.
+    Every event asks for its own name, its table in any schema, and everything: one equi-join, which
+    Spark broadcasts if the routes are few.
     """
-    exact = events.join(routes.where("route_schema <> '*' AND route_table <> '*'"), (F.col("schema_name") == F.col("route_schema")) & (F.col("table_name") == F.col("route_table")))
-    table = events.join(routes.where("route_schema = '*' AND route_table <> '*'"), F.col("table_name") == F.col("route_table"))
-    every = routes.where("route_schema = '*' AND route_table = '*'").agg(F.collect_list("target").alias("__targets"))
-    whole = events.crossJoin(F.broadcast(every)).withColumn("target", F.explode("__targets")).drop("__targets")
-    names = [*events.columns, "target"]
-    return exact.select(*names).unionByName(table.select(*names)).unionByName(whole.select(*names))
+    anything = F.lit("*")
+    asked = F.array(F.struct(F.col("schema_name").alias("s"), F.col("table_name").alias("t")), F.struct(anything.alias("s"), F.col("table_name").alias("t")), F.struct(anything.alias("s"), anything.alias("t")))
+    wanted = events.withColumn("__asked", F.explode(F.array_distinct(asked)))
+    held = routes.where("NOT (route_schema <> '*' AND route_table = '*')").select("route_schema", "route_table", "target")
+    met = wanted.join(held, (F.col("__asked.s") == F.col("route_schema")) & (F.col("__asked.t") == F.col("route_table")))
+    return met.select(*events.columns, "target")
+
+
+def in_order(events: DataFrame, connection: str = "source_id", order: list[str] | None = None) -> DataFrame:
+    """The events of each connection in one partition and in order, as a sink that applies them one by one needs."""
+    return events.repartition(connection).sortWithinPartitions(connection, *(order or ["lsn"]))
 
 
 def tombstones(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:

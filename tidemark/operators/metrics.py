@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .apply import upsert
+
+#: Rows that one window of positions should hold, about.
+WINDOW_ROWS = 1_000_000
+#: Time ranges of views (fixed values).
+RANGES = {"1h": timedelta(hours=1), "24h": timedelta(hours=24), "7d": timedelta(days=7), "30d": timedelta(days=30)}
+
 
 def lag(events: DataFrame, now: Column, ts: str = "ts", by: list[str] | None = None) -> DataFrame:
     """Greatest and mean seconds between an event and now."""
@@ -33,6 +42,87 @@ def smoothed(values: Column, alpha: float = 0.3) -> Column:
     return F.aggregate(values, first, lambda acc, x: acc * (1 - alpha) + x.cast("double") * alpha)
 
 
+def positions(df: DataFrame, by: list[str], order: str, ties: list[str] | None = None) -> DataFrame:
+    """df with position (from 1, by order and ties) and size of each group.
+
+    Groups are cut by quantiles of the order over all rows; the cuts' counts are summed up in a
+    small table, and only within a cut does a window run, so a group of any size is no task's own.
+    """
+    cuts = max(1, -(-df.count() // WINDOW_ROWS))
+    at = F.col(order).cast("double")
+    bounds = df.agg(F.percentile_approx(at, [i / cuts for i in range(1, cuts)], 10_000)).first()[0] if cuts > 1 else []
+    cut = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < at)) if bounds else F.lit(0)
+    placed = df.withColumn("__cut", cut)
+    groups = by or [F.lit(0)]
+    counts = placed.groupBy(*by, "__cut").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "size": F.sum("__n").over(Window.partitionBy(*groups))}).drop("__n")
+    names = {b: f"__by{i}" for i, b in enumerate([*by, "__cut"])}
+    met = placed.join(counts.withColumnsRenamed(names), [F.col(b).eqNullSafe(F.col(n)) for b, n in names.items()])
+    inside = Window.partitionBy(*by, "__cut").orderBy(order, *(ties or []))
+    return met.select(*df.columns, (F.col("__before") + F.row_number().over(inside)).alias("position"), "size")
+
+
+def moving_average(df: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.3, ties: list[str] | None = None) -> DataFrame:
+    """The exponential moving average of each group after its last row: a sum of all rows, each weighed by its position."""
+    age = F.col("size") - F.col("position")
+    weight = F.pow(F.lit(1 - alpha), age) * F.when(F.col("position") == 1, 1.0).otherwise(alpha)
+    return positions(df, by, order, ties).groupBy(*by).agg(F.sum(weight * F.col(value)).alias("ema"))
+
+
+def remaining(done: Column, total: Column, rate: Column) -> Column:
+    """Seconds until done reaches total at rate a second; null where nothing moves."""
+    return F.when(rate > 0, F.greatest(F.lit(0), total - done) / rate)
+
+
+def within(df: DataFrame, ts: str, span: str, now: datetime) -> DataFrame:
+    """Rows of the last 1h, 24h, 7d or 30d; the filter reaches the scan."""
+    if span not in RANGES:
+        raise ValueError(f"unknown time range {span!r}")
+    return df.where((F.col(ts) >= F.lit(now - RANGES[span])) & (F.col(ts) <= F.lit(now)))
+
+
+def threshold_alerts(samples: DataFrame, rules: list[dict], by: list[str], ts: str = "ts", window: str = "5 minutes") -> DataFrame:
+    """by, start, alert, severity, value: windows in which every sample of a metric (metric, value) is above a rule's bound.
+
+    rules: {"alert", "metric", "above", "severity"}. One that holds through a window fires.
+    """
+    w = F.window(ts, window)
+    least = samples.groupBy(w.alias("w"), *by, "metric").agg(F.min("value").alias("least"), F.max("value").alias("value"))
+    of = F.array(*[F.struct(F.lit(r["alert"]).alias("alert"), F.lit(r["metric"]).alias("metric"), F.lit(float(r["above"])).alias("above"), F.lit(r.get("severity", "warning")).alias("severity")) for r in rules])
+    met = least.withColumn("rule", F.explode(of)).where((F.col("metric") == F.col("rule.metric")) & (F.col("least") > F.col("rule.above")))
+    return met.select(*by, F.col("w.start").alias("start"), "rule.alert", "rule.severity", "value")
+
+
+def alert_statistics(alerts: DataFrame, by: list[str], now: datetime) -> DataFrame:
+    """Counts of alerts (severity, acknowledged, resolved, triggered_at, resolved_at) by state, severity and age, and mean minutes to resolution."""
+    open_, at = ~F.col("resolved"), F.col("triggered_at")
+    counts = {"total": F.lit(True), "active": open_ & ~F.col("acknowledged"), "acknowledged": open_ & F.col("acknowledged"), "resolved": F.col("resolved")}
+    counts |= {s: F.col("severity") == s for s in ("critical", "error", "warning", "info")}
+    counts |= {f"last_{k}": at >= F.lit(now - RANGES[k]) for k in ("24h", "7d")}
+    minutes = F.avg(F.when(F.col("resolved"), (F.unix_micros("resolved_at") - F.unix_micros(at)) / 60e6))
+    return alerts.groupBy(*by).agg(*[F.count_if(c).alias(f"n_{k}") for k, c in counts.items()], minutes.alias("mean_minutes"))
+
+
+def queue_status(letters: DataFrame, by: list[str], open_: Column, critical: float = 0.1) -> DataFrame:
+    """Dead letters by group: total, still open, and ok, degraded or critical by the share that is open."""
+    counts = letters.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(open_).alias("open"))
+    return counts.withColumn("status", F.when(F.col("open") == 0, "ok").when(F.col("open") > F.col("total") * critical, "critical").otherwise("degraded"))
+
+
+def daily_usage(usage: DataFrame | None, rows: DataFrame, keys: list[str], ts: str, measures: dict[str, Column]) -> DataFrame:
+    """A rollup by keys and day; days that rows bring replace those of usage."""
+    days = rows.groupBy(*keys, F.to_date(ts).alias("day")).agg(*[c.alias(k) for k, c in measures.items()])
+    return days if usage is None else upsert(usage, days, [*keys, "day"])
+
+
+def page(df: DataFrame, filters: dict | None = None, order: list[Column] | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of a list: equality filters (a list: any of), an order, limit and offset."""
+    for name, value in (filters or {}).items():
+        df = df.where(F.col(name).isin(value) if isinstance(value, (list, tuple)) else F.col(name).eqNullSafe(F.lit(value)))
+    return (df.orderBy(*order) if order else df).offset(offset).limit(limit)
+
+
 def latest_of(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The last row of each key, without a sort."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__v")).select(*keys, "__v.*")

@@ -23,13 +23,33 @@ def density(rows: int, lo: int, hi: int, total_lo: int, total_hi: int) -> int:
     return round(rows * (hi - lo) / (total_hi - total_lo)) if total_hi > total_lo else rows
 
 
-def overlaps(files: DataFrame) -> DataFrame:
-    """Pairs (a, b) of files (path, lo, hi) whose ranges (lo, hi] meet; null is unbounded. contained: b lies in a."""
-    a = files.select(F.col("path").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    b = files.select(F.col("path").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+def overlaps(files: DataFrame, key: str = "path") -> DataFrame:
+    """Pairs (a, b), a before b, of files (path, lo, hi) whose ranges (lo, hi] meet; null is unbounded. contained: b lies in a.
+
+    The key space is cut into as many cells as there are files; ranges meet by an equi-join on
+    the cells that they cover, and a pair counts in the one cell where the later range begins.
+    """
+    span = files.agg(F.min(F.least("lo", "hi")).alias("lo"), F.max(F.greatest("lo", "hi")).alias("hi"), F.count("*").alias("n")).first()
+    first, width = span["lo"] or 0, max(1e-9, ((span["hi"] or 0) - (span["lo"] or 0)) / max(1, span["n"]))
+    cell = lambda c, otherwise: F.when(c.isNull(), otherwise).otherwise(F.floor((c - F.lit(first)) / F.lit(width)))
+    begin, end = cell(F.col("lo"), F.lit(0)).cast("long"), cell(F.col("hi"), F.lit(max(1, span["n"]))).cast("long")
+    held = files.select(F.col(key).alias("path"), "lo", "hi", begin.alias("begin"), F.greatest(begin, end).alias("end"))
+    held = held.withColumn("cell", F.explode(F.sequence("begin", "end")))
+    side = lambda x: held.select("cell", F.col("path").alias(x), F.col("lo").alias(f"{x}lo"), F.col("hi").alias(f"{x}hi"), F.col("begin").alias(f"{x}begin"))
+    met = side("a").join(side("b"), "cell").where((F.col("a") < F.col("b")) & (F.col("cell") == F.greatest("abegin", "bbegin")))
     meet = (F.col("alo").isNull() | F.col("bhi").isNull() | (F.col("alo") < F.col("bhi"))) & (F.col("blo").isNull() | F.col("ahi").isNull() | (F.col("blo") < F.col("ahi")))
     inside = (F.col("alo").isNull() | (F.col("blo") >= F.col("alo"))) & (F.col("ahi").isNull() | (F.col("bhi") <= F.col("ahi")))
-    return a.join(b, (F.col("a") < F.col("b")) & meet).select("a", "b", F.coalesce(inside, F.lit(False)).alias("contained"))
+    return met.where(meet).select("a", "b", F.coalesce(inside, F.lit(False)).alias("contained"))
+
+
+def admit(committed: DataFrame, incoming: DataFrame) -> DataFrame:
+    """What to do with each incoming file (path, lo, hi), given those committed: skip (it lies in one of
+    them), dedup (it overlaps one: its keys are to be deleted first) or add."""
+    old, new = committed.select(F.lit(0).alias("new"), "path", "lo", "hi"), incoming.select(F.lit(1).alias("new"), "path", "lo", "hi")
+    both = old.unionByName(new).withColumn("key", F.struct("new", "path"))  # committed files come first
+    pairs = overlaps(both, "key").where("a.new = 0 AND b.new = 1").groupBy(F.col("b.path").alias("path")).agg(F.bool_or("contained").alias("inside"))
+    action = F.when(F.col("inside"), "skip").when(F.col("inside").isNotNull(), "dedup").otherwise("add")
+    return incoming.join(pairs, "path", "left").select(*[incoming[c] for c in incoming.columns], action.alias("action"))
 
 
 def orphans(listing: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import steps
 from ..functions.types import compatible, widened
 from ..operators import apply, changes, metrics, quality, ranges, schemas
 from ..sources import clean, logs
+from ..streaming import runner
 from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,7 +193,7 @@ def quality_score(t: Tables) -> DataFrame:
 @case("profile_columns", """SELECT 'p_size' AS "column", count(*) AS total, count(*) FILTER (p_size IS NULL) AS nulls, count(DISTINCT p_size) AS "distinct", CAST(min(p_size) AS VARCHAR) AS least, CAST(max(p_size) AS VARCHAR) AS most, round(avg(p_size), 6) AS mean, median(p_size) AS median, round(stddev_samp(p_size), 6) AS deviation FROM part
 UNION ALL SELECT 'p_brand', count(*), count(*) FILTER (p_brand IS NULL), count(DISTINCT p_brand), min(p_brand), max(p_brand), NULL, NULL, NULL FROM part""")
 def profile_columns(t: Tables) -> DataFrame:
-    return quality.profile(t("part"), ["p_size", "p_brand"]).withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
+    return quality.profile(t("part"), ["p_size", "p_brand"], exact=True).withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
 
 
 case("top_values", "SELECT p_brand AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda t: quality.top_values(t("part"), "p_brand"))
@@ -304,8 +305,8 @@ case("sync_incremental", f"SELECT * FROM {_OLD} UNION ALL SELECT * FROM {_NEW}")
 case("sync_incremental_dedup", f"SELECT * FROM {_OLD} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_NEW}) UNION ALL SELECT * FROM {_NEW}")(lambda t: _sync(t, "incremental"))
 case("partition_transforms", "SELECT strftime(o_orderdate, '%Y-%m') AS o_orderdate_month, strftime(o_orderdate, '%Y') AS o_orderdate_year, substring(o_orderstatus, 1, 1) AS o_orderstatus_trunc, count(*) AS n FROM orders GROUP BY 1, 2, 3")(lambda t: (lambda p: t("orders").withColumns(p).groupBy(*p).agg(F.count("*").alias("n")))(apply.partition_columns([{"column": "o_orderdate", "transform": "month"}, {"column": "o_orderdate", "transform": "year"}, {"column": "o_orderstatus", "transform": "truncate", "n": 1}])))
 case("watermark_scan", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")(lambda t: apply.since(t("orders"), "o_orderdate", datetime(1997, 1, 1)).select("o_orderkey"))
-case("poll_source", "SELECT o_orderkey, 'c' AS op, 'poll:' || o_orderkey AS lsn FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50")(lambda t: logs.poll(t("orders").select("o_orderkey"), "o_orderkey", 100, 50))
-case("keyset_chunk", "SELECT o_orderkey FROM orders WHERE o_orderkey > 50 AND o_orderkey <= 500 ORDER BY o_orderkey LIMIT 100")(lambda t: logs.keyset(t("orders").select("o_orderkey"), "o_orderkey", 50, 500, 100))
+case("poll_source", "SELECT o_orderkey, 'c' AS op, 'poll:' || o_orderkey AS lsn FROM orders WHERE o_orderkey > 100")(lambda t: logs.poll(t("orders").select("o_orderkey"), "o_orderkey", 100, None))
+case("keyset_chunk", "SELECT page, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS page FROM orders) GROUP BY page")(lambda t: logs.pages(t("orders").select("o_orderkey"), "o_orderkey", 100).groupBy("page").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.count("*").alias("n")))
 
 
 @case("range_counts", "SELECT 'ranges' AS part, count(*) AS n FROM orders")
@@ -338,16 +339,185 @@ def type_compat(t: Tables) -> DataFrame:
 
 
 # -- metrics -------------------------------------------------------------------------------------
-case("stream_dedup", "SELECT DISTINCT event_id FROM events")(lambda t: t("events").unionByName(t("events")).dropDuplicates(["event_id"]).select("event_id"))
+
+
+def events_stream(t: Tables) -> DataFrame:
+    """The events as a stream of files."""
+    events = t("events")
+    files = events.inputFiles()
+    folder, _, name = files[0].rpartition("/")
+    return runner.file_events(events.sparkSession, folder, events.schema, glob=name if len(files) == 1 else "*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@case("stream_dedup", "SELECT event_id, user_id, value FROM events")
+def stream_dedup(t: Tables) -> DataFrame:
+    spark = t("events").sparkSession
+    twice = events_stream(t).unionByName(events_stream(t))
+    path = runner.scratch(spark, "dedup")
+    runner.to_table(runner.deduplicated(twice).select("event_id", "user_id", "value"), path, f"{path}-checkpoint")
+    return spark.read.schema("event_id bigint, user_id bigint, value double").parquet(path)
+
+
+@case("stream_rates", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS events, count(*) / 300 AS rate FROM events GROUP BY 1, 2")
+def stream_rates(t: Tables) -> DataFrame:
+    spark = t("events").sparkSession
+    path = runner.scratch(spark, "rates")
+    runner.updates_to_table(runner.rates(events_stream(t), by=["event_type"]), path, f"{path}-checkpoint")
+    return runner.newest_updates(spark.read.parquet(path), ["start", "event_type"])
+
+
+@case("stream_pipeline", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE value <= 50")
+def stream_pipeline(t: Tables) -> DataFrame:
+    """The micro-batch loop with a pipeline, a blocking policy and a sink that may fail once."""
+    spark = t("events").sparkSession
+    path, failures = runner.scratch(spark, "loop"), [1]
+
+    def sink(df: DataFrame, number: int) -> None:
+        if failures:
+            failures.pop()
+            raise OSError("a sink that is away for a moment")
+        df.select("event_id", "k").write.mode("overwrite").parquet(f"{path}/part={number}")
+
+    spec = {"transforms": [{"type": "json_extract", "column": "props", "path": "$.k", "output_type": "long", "output_column": "k"}]}
+    policy = {"rules": [{"type": "range_check", "column": "value", "max": 50}], "on_fail": "block"}
+    runner.start(events_stream(t), lambda: spec, policy, runner.retried(sink, pause=0.01), f"{path}-checkpoint", f"{path}-dead").awaitTermination()
+    return spark.read.parquet(path).select("event_id", "k")
+
+
+
 case("lag_summary", f"SELECT event_type, max(epoch_us({NOW_SQL}) - epoch_us(ts)) / 1e6 AS max_lag, round(avg((epoch_us({NOW_SQL}) - epoch_us(ts)) / 1e6), 3) AS avg_lag, count(*) AS events FROM events GROUP BY 1")(lambda t: metrics.lag(t("events"), F.lit(NOW), F.col("ts").cast("timestamp"), ["event_type"]).withColumn("avg_lag", F.round("avg_lag", 3)))
 case("throughput_5m", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS events, count(*) / 300 AS rate FROM events GROUP BY 1, 2")(lambda t: metrics.rate(t("events"), by=["event_type"]))
 case("sliding_rate", "SELECT start, count(*) AS events, count(*) / 300 AS rate FROM (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS start FROM events, range(5) r(k)) GROUP BY 1")(lambda t: metrics.rate(t("events"), slide="1 minute"))
 case("session_windows", "SELECT user_id, min(ts) AS start, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")(lambda t: t("events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), "events"))
 case("latest_run", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")(lambda t: metrics.latest_of(t("events"), ["user_id"], ["ts", "event_id"], ["event_id", "event_type"]))
-case("tenant_usage", "SELECT n_name, CAST(o_orderdate AS DATE) AS day, count(*) AS orders, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS finished_customers, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")(lambda t: t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders"), F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey"))).alias("finished_customers"), F.round(F.sum("o_totalprice"), 2).alias("total")))
-case("dlq_summary", "SELECT c_mktsegment, count(*) AS total, count(*) FILTER (c_acctbal < 0) AS open, CASE WHEN count(*) FILTER (c_acctbal < 0) = 0 THEN 'ok' WHEN count(*) FILTER (c_acctbal < 0) * 10 > count(*) THEN 'critical' ELSE 'degraded' END AS status FROM customer GROUP BY 1")(lambda t: t("customer").groupBy("c_mktsegment").agg(F.count("*").alias("total"), F.count_if(F.col("c_acctbal") < 0).alias("open")).withColumn("status", F.when(F.col("open") == 0, "ok").when(F.col("open") * 10 > F.col("total"), "critical").otherwise("degraded")))
-case("alert_stats", "SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS severe, round(avg(value), 6) AS mean_minutes FROM events GROUP BY 1")(lambda t: t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("severe"), F.round(F.avg("value"), 6).alias("mean_minutes")))
+_USAGE = "SELECT n_name, CAST(o_orderdate AS DATE) AS day, count(*) AS orders, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS finished_customers, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"
+
+
+def usage_rows(t: Tables) -> DataFrame:
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+def usage(t: Tables, old: DataFrame | None, rows: DataFrame) -> DataFrame:
+    measures = {"orders": F.count("*"), "finished_customers": F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey"))), "total": F.round(F.sum("o_totalprice"), 2)}
+    return metrics.daily_usage(old, rows, ["n_name"], "o_orderdate", measures)
+
+
+case("tenant_usage", _USAGE)(lambda t: usage(t, None, usage_rows(t)))
+case("tenant_usage_upsert", _USAGE)(lambda t: usage(t, usage(t, None, usage_rows(t).where("o_orderkey % 2 = 0")), usage_rows(t)))
+case("dlq_summary", "SELECT c_mktsegment, count(*) AS total, count(*) FILTER (c_acctbal < 0) AS open, CASE WHEN count(*) FILTER (c_acctbal < 0) = 0 THEN 'ok' WHEN count(*) FILTER (c_acctbal < 0) > count(*) * 0.1::DOUBLE THEN 'critical' ELSE 'degraded' END AS status FROM customer GROUP BY 1")(lambda t: metrics.queue_status(t("customer"), ["c_mktsegment"], F.col("c_acctbal") < 0))
+
+
+@case("alert_stats", f"SELECT event_type, count(*) AS n_total, count(*) FILTER (value <= 50 AND user_id % 2 = 1) AS n_active, count(*) FILTER (value <= 50 AND user_id % 2 = 0) AS n_acknowledged, count(*) FILTER (value > 50) AS n_resolved, count(*) FILTER (value > 90) AS n_critical, 0 AS n_error, count(*) FILTER (value <= 90) AS n_warning, 0 AS n_info, count(*) FILTER (ts >= {NOW_SQL} - INTERVAL 24 HOUR) AS n_last_24h, count(*) FILTER (ts >= {NOW_SQL} - INTERVAL 7 DAY) AS n_last_7d, CASE WHEN count(*) FILTER (value > 50) > 0 THEN 30.0 END AS mean_minutes FROM (SELECT * FROM events WHERE value IS NOT NULL) GROUP BY 1")
+def alert_stats(t: Tables) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    alerts = t("events").where("value IS NOT NULL").select("event_type", F.when(F.col("value") > 90, "critical").otherwise("warning").alias("severity"), (F.col("user_id") % 2 == 0).alias("acknowledged"), (F.col("value") > 50).alias("resolved"), at.alias("triggered_at"), (at + F.expr("INTERVAL 30 MINUTES")).alias("resolved_at"))
+    return metrics.alert_statistics(alerts, ["event_type"], NOW)
+
+
+
 case("alert_trend", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), p AS (SELECT *, lag(n) OVER (ORDER BY day) AS before FROM d) SELECT day, n, CASE WHEN n > before * 1.2 THEN 'increasing' WHEN n < before * 0.8 THEN 'decreasing' ELSE 'stable' END AS trend FROM p")(lambda t: (lambda d: d.join(d.select(F.date_add("day", 1).alias("day"), F.col("n").alias("before")), "day", "left").select("day", "n", metrics.trend(F.col("n"), F.col("before")).alias("trend")))(t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))))
-case("top_failing", "SELECT user_id, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda t: t("events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("failures")).orderBy(F.desc("failures"), "user_id").limit(10))
+
+POLICIES = "(SELECT p_partkey AS policy_id, p_size AS connection_id, p_partkey % 5 <> 0 AS is_active, CASE WHEN p_size % 4 = 0 THEN 'critical' ELSE 'warning' END AS severity FROM part)"
+VIOLATIONS = "(SELECT l_partkey AS policy_id, CASE WHEN l_linenumber % 2 = 0 THEN 'active' ELSE 'resolved' END AS status, l_shipdate AS executed_at FROM lineitem)"
+
+
+def policies(t: Tables) -> DataFrame:
+    return t("part").selectExpr("p_partkey AS policy_id", "p_size AS connection_id", "p_partkey % 5 <> 0 AS is_active", "CASE WHEN p_size % 4 = 0 THEN 'critical' ELSE 'warning' END AS severity")
+
+
+def violations(t: Tables) -> DataFrame:
+    return t("lineitem").selectExpr("l_partkey AS policy_id", "CASE WHEN l_linenumber % 2 = 0 THEN 'active' ELSE 'resolved' END AS status", "l_shipdate AS executed_at")
+
+
+case("top_failing", f"SELECT policy_id, severity, count(*) AS violations FROM {VIOLATIONS} JOIN {POLICIES} USING (policy_id) WHERE status = 'active' GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 10")(lambda t: quality.top_failing(policies(t), violations(t)))
+case("dq_dashboard", f"""SELECT *, greatest(0.0, 100 - least(100.0, active_violations / active_policies * 20)) AS score, CASE WHEN active_violations > policies THEN 'degrading' WHEN active_violations < policies / 2 THEN 'improving' ELSE 'stable' END AS trend
+FROM (SELECT count(*) AS policies, count(*) FILTER (is_active) AS active_policies FROM {POLICIES}), (SELECT count(*) AS violations, count(*) FILTER (status = 'active') AS active_violations, count(*) FILTER (status = 'active' AND severity = 'critical') AS critical_violations,
+count(DISTINCT connection_id) FILTER (status = 'active') AS connections_with_issues FROM {VIOLATIONS} JOIN {POLICIES} USING (policy_id))""")(lambda t: quality.dashboard(policies(t), violations(t)))
+case("connection_scores", f"""SELECT c.connection_id, CASE WHEN coalesce(p.n, 0) = 0 THEN 100.0 ELSE round(greatest(0.0, 100 - least(100.0, coalesce(v.n, 0) / p.n * 20)), 1) END AS score, coalesce(v.n, 0) AS violations, r.last_check
+FROM (SELECT DISTINCT connection_id FROM {POLICIES}) c LEFT JOIN (SELECT connection_id, count(*) AS n FROM {POLICIES} WHERE is_active GROUP BY 1) p USING (connection_id)
+LEFT JOIN (SELECT connection_id, count(*) AS n FROM {VIOLATIONS} JOIN {POLICIES} USING (policy_id) WHERE status = 'active' GROUP BY 1) v USING (connection_id)
+LEFT JOIN (SELECT connection_id, max(executed_at) AS last_check FROM {VIOLATIONS} JOIN {POLICIES} USING (policy_id) GROUP BY 1) r USING (connection_id)""")(lambda t: quality.scores(policies(t).select("connection_id").distinct(), policies(t), violations(t), violations(t)))
 case("row_tiers", "SELECT CASE WHEN r < 1000000 THEN 'S' WHEN r < 20000000 THEN 'M' WHEN r < 200000000 THEN 'L' ELSE 'XL' END AS tier, count(*) AS n FROM (SELECT o_orderkey * 10000 AS r FROM orders) GROUP BY 1")(lambda t: t("orders").groupBy(metrics.tier(F.col("o_orderkey") * 10000).alias("tier")).agg(F.count("*").alias("n")))
-case("throughput_ema", "WITH RECURSIVE v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), e AS (SELECT event_type, i, value AS ema FROM v WHERE i = 1 UNION ALL SELECT v.event_type, v.i, e.ema * 0.7 + v.value * 0.3 FROM e JOIN v ON v.event_type = e.event_type AND v.i = e.i + 1) SELECT event_type, round(max(ema) FILTER (i = 20), 6) AS ema FROM e WHERE i <= 20 GROUP BY 1")(lambda t: changes.latest(t("events"), ["event_id"], [F.col("ts")]).groupBy("event_type").agg(F.slice(F.sort_array(F.collect_list(F.struct("event_id", "value"))), 1, 20).alias("v")).select("event_type", F.round(metrics.smoothed(F.col("v.value")), 6).alias("ema")))
+case("throughput_ema", "SELECT event_type, round(sum(CASE WHEN i = 1 THEN power(0.7::DOUBLE, n - 1) ELSE 0.3::DOUBLE * power(0.7::DOUBLE, n - i) END * value), 6) AS ema FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY 1")(lambda t: metrics.moving_average(t("events"), ["event_type"], "event_id", "value").select("event_type", F.round("ema", 6).alias("ema")))
+
+case("copy_eta", "SELECT event_type, greatest(0, 1000000 - count(*)) / (count(*) / 3600) AS seconds FROM events GROUP BY 1")(lambda t: t("events").groupBy("event_type").agg(metrics.remaining(F.count("*"), F.lit(1000000), F.count("*") / 3600).alias("seconds")))
+case("last_30d", f"SELECT event_id FROM events WHERE ts >= {NOW_SQL} - INTERVAL 30 DAY AND ts <= {NOW_SQL}")(lambda t: metrics.within(t("events"), "ts", "30d", NOW).select("event_id"))
+case("last_1h", "SELECT event_id FROM events WHERE ts >= (TIMESTAMP '2024-01-02 00:00:00') - INTERVAL 1 HOUR AND ts <= TIMESTAMP '2024-01-02 00:00:00'")(lambda t: metrics.within(t("events"), "ts", "1h", datetime(2024, 1, 2)).select("event_id"))
+case("alert_page", "SELECT event_id, value FROM events WHERE event_type IN ('error', 'click') AND user_id IS NOT NULL ORDER BY value DESC NULLS LAST, event_id LIMIT 50 OFFSET 100")(lambda t: metrics.page(t("events").where("user_id IS NOT NULL"), {"event_type": ["error", "click"]}, [F.desc("value"), F.col("event_id")], 50, 100).select("event_id", "value"))
+
+
+@case("threshold_alerts", "SELECT event_type, start, alert, severity, round(most, 6) AS value FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, min(value) AS least, max(value) AS most FROM events WHERE value IS NOT NULL GROUP BY 1, 2) JOIN (VALUES ('lag', 10.0, 'warning'), ('late', 30.0, 'critical')) r(alert, above, severity) ON least > above")
+def threshold_alerts(t: Tables) -> DataFrame:
+    rules = [{"alert": "lag", "metric": "seconds", "above": 10}, {"alert": "late", "metric": "seconds", "above": 30, "severity": "critical"}]
+    samples = t("events").where("value IS NOT NULL").select("event_type", "ts", F.lit("seconds").alias("metric"), "value")
+    return metrics.threshold_alerts(samples, rules, ["event_type"]).withColumn("value", F.round("value", 6))
+
+
+# -- more of quality -----------------------------------------------------------------------------
+_KIND_RULES = [{"type": "range_check", "column": "value", "max": 50, "action": "quarantine", "severity": "error", "threshold_type": "percentage", "threshold_value": 10}, {"type": "enum_check", "column": "event_type", "allowed": ["click", "view"], "action": "alert", "threshold_type": "count", "threshold_value": 100000000}, {"type": "null_check", "column": "user_id", "action": "block", "severity": "critical"}, {"type": "custom_sql", "expression": "value + event_id > 20", "action": "reject"}]
+case("dq_actions", "SELECT r.rule, r.type, total, failing, violated, severity, action FROM (SELECT count(*) AS total, count(*) FILTER (value > 50) AS a, count(*) FILTER (event_type NOT IN ('click', 'view')) AS b, count(*) FILTER (user_id IS NULL) AS c, count(*) FILTER (NOT value + event_id > 20) AS d FROM events), LATERAL (VALUES (0, 'range_check', a, a * 100 / total > 10, 'error', 'quarantine'), (1, 'enum_check', b, b > 100000000, 'warning', 'alert'), (2, 'null_check', c, c > 0, 'critical', 'block'), (3, 'custom_sql', d, d > 0, 'warning', 'reject')) r(rule, type, failing, violated, severity, action)")(lambda t: quality.by_action(t("events"), _KIND_RULES)[2])
+case("dq_actions_pass", "SELECT event_id FROM events WHERE NOT (coalesce(value > 50, false) OR coalesce(NOT value + event_id > 20, false)) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id IS NULL)")(lambda t: quality.by_action(t("events"), _KIND_RULES)[0].select("event_id"))
+case("dq_two_references", "SELECT * FROM (SELECT count(*) AS total, count(*) FILTER (o_custkey % 5 = 0) AS a, count(*) FILTER (o_custkey % 7 = 0) AS b FROM orders), LATERAL (VALUES (0, 'referential_integrity', a, a > 0), (1, 'referential_integrity', b, b > 0)) r(rule, type, failing, violated)".replace("SELECT *", "SELECT rule, type, total, failing, violated", 1))(lambda t: quality.report(t("orders"), [{"type": "referential_integrity", "column": "o_custkey", "reference": t("orders").where(f"o_custkey % {n} <> 0").select("o_custkey")} for n in (5, 7)]))
+case("value_patterns", "SELECT regexp_replace(regexp_replace(regexp_replace(p_brand, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda t: quality.patterns(t("part"), "p_brand"))
+case("json_quarantine", "SELECT event_id FROM events WHERE event_id % 10 = 0 AND props IS NOT NULL")(lambda t: pipeline.split_json(t("events").withColumn("props", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))), ["props"])[1].select("event_id"))
+
+# -- more of sources -----------------------------------------------------------------------------
+case("high_water", "SELECT strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS mark FROM orders")(lambda t: t("orders").sparkSession.createDataFrame([(apply.high_water(t("orders"), "o_orderdate"),)], "mark string"))
+case("name_dedup", """SELECT c_custkey AS id, c_name AS "ID_1", c_nationkey AS "id_2" FROM customer""")(lambda t: clean.deduplicated_names(t("customer").select("c_custkey", "c_name", "c_nationkey").toDF("id", "ID", "id")))
+case("strip_nul", "SELECT c_custkey, c_name || 'x' AS c_name FROM customer")(lambda t: clean.clean(t("customer").select("c_custkey", F.concat("c_name", F.lit("\0x\0")).alias("c_name"))))
+case("bytes_to_text", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ff00' ELSE c_name END AS b, CASE WHEN c_custkey % 2 = 0 THEN 'ff00' ELSE c_name END AS inner FROM customer")(lambda t: (lambda b: clean.readable(t("customer").select("c_custkey", b.alias("b"), F.array(F.struct(b.alias("x"))).alias("deep"))).select("c_custkey", "b", F.col("deep")[0]["x"].alias("inner")))(F.when(F.col("c_custkey") % 2 == 0, F.unhex(F.lit("ff00"))).otherwise(F.col("c_name").cast("binary"))))
+case("coerce_to_text", """SELECT c_custkey, '{"a":' || c_nationkey || '}' AS nested, CAST(c_nationkey AS VARCHAR) AS n FROM customer""")(lambda t: (lambda df: clean.as_text(df, df.selectExpr("c_custkey", "'' AS nested", "'' AS n").schema))(t("customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("a")).alias("nested"), F.col("c_nationkey").alias("n"))))
+case("document_batch", "SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-02 00:00:00'")(lambda t: logs.documents(t("orders").select(F.struct(F.col("o_orderkey").cast("string").alias("oid")).alias("_id"), "o_orderdate"), "o_orderdate", "1996/01/02 00:00:00"))
+_FORMATS = ["2024-01-02 03:04:05.000006", "2024-01-02 03:04:05", "2024-01-02 03:04", "2024-01-02", "2024-01-02T03:04:05.000006", "2024-01-02T03:04:05", "2024-01-02T03:04", "2024/01/02 03:04:05.000006", "2024/01/02 03:04:05", "2024/01/02"]
+case("watermark_formats", f"SELECT text, CAST(replace(text, '/', '-') AS TIMESTAMP) AS mark FROM (VALUES {', '.join(f"('{f}')" for f in _FORMATS)}) v(text)")(lambda t: t("region").sparkSession.createDataFrame([(f,) for f in _FORMATS], "text string").select("text", clean.watermark(F.col("text")).alias("mark")))
+_ROW_KIND = "CASE event_type WHEN 'signup' THEN 'write_rows' WHEN 'error' THEN 'delete_rows' WHEN 'view' THEN 'query' ELSE 'update_rows' END"
+
+
+def binlog_rows(t: Tables) -> DataFrame:
+    image = F.concat(F.lit('{"UNKNOWN_COL0":'), F.col("user_id").cast("string"), F.lit(',"UNKNOWN_COL1":"x"}'))
+    return t("events").where("user_id IS NOT NULL").select(F.expr(_ROW_KIND).alias("event_type"), F.lit("s").alias("schema_name"), F.when(F.col("event_id") % 4 == 0, "other").otherwise("t").alias("table_name"), F.lit("bin.1").alias("log_file"), F.col("event_id").alias("log_pos"), image.alias("before"), image.alias("after"), F.when(F.col("event_id") % 2 == 0, "ALTER TABLE t").otherwise("BEGIN").alias("query"))
+
+
+case("parse_binlog", "SELECT CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' ELSE 'u' END AS op, 'bin.1:' || event_id AS lsn, CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) END AS id FROM events WHERE user_id IS NOT NULL AND event_type <> 'view' AND event_id % 4 <> 0")(lambda t: logs.binlog(binlog_rows(t), [("s", "t")], {("s", "t"): ["id", "name"]}).select("op", "lsn", F.get_json_object("after", "$.id").alias("id")))
+case("table_changes", "SELECT 's' AS schema_name, 'ALTER TABLE t' AS query FROM events WHERE user_id IS NOT NULL AND event_type = 'view' AND event_id % 2 = 0")(lambda t: logs.table_changes(binlog_rows(t)))
+case("new_columns", "SELECT DISTINCT 's' AS schema_name, event_type AS table_name, 'extra' AS column_name FROM events WHERE event_id % 3 = 0")(lambda t: logs.new_columns(t("events").select(F.lit("s").alias("schema_name"), F.col("event_type").alias("table_name"), F.when(F.col("event_id") % 3 == 0, '{"k":1,"extra":2}').otherwise('{"k":1}').alias("after")), t("events").select(F.lit("s").alias("schema_name"), F.col("event_type").alias("table_name"), F.lit("k").alias("column_name")).distinct()))
+case("discover_schema", "SELECT * FROM (VALUES ('s', 'region', 'r_regionkey', 'bigint', false, 1, false), ('s', 'region', 'r_name', 'string', true, NULL, true)) v(schema_name, table_name, column_name, data_type, is_nullable, key_position, json_candidate)")(lambda t: logs.discovered(t("region").select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"), "r_name"), "s", "region", ["r_regionkey"]))
+case("json_rate", "SELECT event_type, CAST(count(*) FILTER (props IS NOT NULL AND event_id % 2 = 0) AS DOUBLE) / count(props) AS rate FROM events GROUP BY 1")(lambda t: t("events").withColumn("props", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("{"), "props"))).groupBy("event_type").agg(logs.json_rate(F.col("props")).alias("rate")))
+
+# -- more of steps -------------------------------------------------------------------------------
+piped("math_guarded", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_tax"], [
+    {"type": "math_op", "expression": "(l_quantity + l_tax) / (l_linenumber - 1)", "column": "m1", "on_error": "null"}, {"type": "math_op", "expression": "l_quantity / (l_linenumber - 1) / 2", "column": "m2", "on_error": "null"},
+    {"type": "math_op", "expression": "abs(l_quantity) / abs(l_linenumber - 2) + 1", "column": "m3", "on_error": "null"},
+], """SELECT *, CASE WHEN l_linenumber <> 1 THEN (l_quantity + l_tax) / (l_linenumber - 1) END AS m1, CASE WHEN l_linenumber <> 1 THEN l_quantity / (l_linenumber - 1) / 2 END AS m2, CASE WHEN l_linenumber <> 2 THEN abs(l_quantity) / abs(l_linenumber - 2) + 1 END AS m3
+      FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem)""")
+piped("string_patterns", "customer", ["c_custkey", "c_name"], [{"type": "string_op", "column": "c_name", "op": "regexp_replace", "pattern": "[0-9]+", "to": "#", "output_column": "r"}], "SELECT c_custkey, c_name, regexp_replace(c_name, '[0-9]+', '#', 'g') AS r FROM customer")
+piped("mask_names", "customer", ["c_custkey", "c_name"], [_M("nullify", "nu"), _M("email_domain", "em", "email")], "SELECT c_custkey, c_name, 'bob@x.org' AS email, CAST(NULL AS VARCHAR) AS nu, 'b***@x.org' AS em FROM customer", {"email": "'bob@x.org'"})
+piped("json_dotted_path", "events", ["event_id"], [{"type": "json_extract", "column": "doc", "path": "$.a.b", "output_type": "long", "output_column": "b"}], "SELECT event_id, '{\"a\":{\"b\":' || event_id || '}}' AS doc, event_id AS b FROM events", {"doc": "concat('{\"a\":{\"b\":', event_id, '}}')"})
+
+# -- more of applying ----------------------------------------------------------------------------
+case("upsert_two_keys", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem")(lambda t: (lambda x: apply.upsert(x, x.where("l_linenumber = 1").withColumn("l_quantity", F.col("l_quantity") + 1), ["l_orderkey", "l_linenumber"]))(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")))
+case("write_merge", f"SELECT * FROM {BASE} WHERE user_id NOT IN (SELECT user_id FROM {LAST}) UNION ALL SELECT user_id, value, event_type FROM {LAST} WHERE op <> 'd'")(lambda t: apply.write("merge", base(t), last(t), KEYS))
+case("write_append_first", "SELECT o_orderkey FROM orders")(lambda t: apply.write("append", None, t("orders").select("o_orderkey")))
+case("sync_history", f"SELECT user_id, events, valid_from, lead(valid_from) OVER (PARTITION BY user_id ORDER BY valid_from) AS valid_to, false AS is_deleted FROM (SELECT user_id, ts AS valid_from, count(*) AS events FROM {LOG} WHERE op <> 'd' GROUP BY 1, 2)")(lambda t: (lambda rows: apply.sync("cdc", None, rows, KEYS))(log(t).where("op <> 'd'").groupBy("user_id", F.col("ts").cast("timestamp").alias("valid_from")).agg(F.count("*").alias("events")).withColumn("op", F.lit("u"))))
+
+
+@case("scd2_late_event", "SELECT o_orderkey, v, CAST(a AS TIMESTAMP) AS valid_from, CAST(b AS TIMESTAMP) AS valid_to, d AS is_deleted FROM orders, (VALUES (1, '2024-01-01', '2024-02-01', false), (2, '2024-02-01', '2024-03-01', true), (3, '2024-05-01', NULL, false)) x(v, a, b, d)")
+def scd2_late_event(t: Tables) -> DataFrame:
+    """January to March, deleted then, and again from May; February's value arrives last."""
+    at = lambda m: F.lit(f"2024-{m:02}-01").cast("timestamp")
+    row = lambda v, a, b, d: F.struct(F.lit(v).alias("v"), at(a).alias("valid_from"), (at(b) if b else F.lit(None).cast("timestamp")).alias("valid_to"), F.lit(d).alias("is_deleted"))
+    history = t("orders").select("o_orderkey", F.inline(F.array(row(1, 1, 3, True), row(3, 5, None, False))))
+    return apply.scd2(history, t("orders").select("o_orderkey", F.lit(2).alias("v"), F.lit("u").alias("op"), at(2).alias("valid_from")), ["o_orderkey"])
+
+
+case("partition_more", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate_day, strftime(o_orderdate, '%Y-%m-%d-%H') AS o_orderdate_hour, o_orderstatus, o_orderkey // 100 * 100 AS o_orderkey_trunc, count(*) AS n FROM orders GROUP BY 1, 2, 3, 4")(lambda t: (lambda o: (lambda p: o.withColumns(p).groupBy(*p).agg(F.count("*").alias("n")))(apply.partition_columns([{"column": "o_orderdate", "transform": "day"}, {"column": "o_orderdate", "transform": "hour"}, {"column": "o_orderstatus"}, {"column": "o_orderkey", "transform": "truncate", "n": 100}], o)))(t("orders")))
+case("partition_buckets", "SELECT count(*) AS rows, true AS inside FROM orders")(lambda t: t("orders").withColumns(apply.partition_columns([{"column": "o_orderkey", "transform": "bucket", "n": 16}])).agg(F.count("*").alias("rows"), F.bool_and(F.col("o_orderkey_bucket").between(0, 15)).alias("inside")))
+case("audit_table", "SELECT o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) AS day FROM orders")(lambda t: (lambda o: apply.audit(apply.audit(None, o.where("o_orderkey % 2 = 0"), "o_orderdate"), o.where("o_orderkey % 2 <> 0"), "o_orderdate"))(t("orders").select("o_orderkey", "o_orderdate")))
+case("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")(lambda t: t("customer").join(t("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey"))
+case("range_density", "SELECT n_nationkey, CAST(round(15000 * (n_nationkey + 1) / 25.0) AS BIGINT) AS rows FROM nation")(lambda t: t("nation").sparkSession.createDataFrame([(r[0], ranges.density(15000, 0, r[0] + 1, 0, 25)) for r in t("nation").select(F.col("n_nationkey").cast("bigint")).collect()], "n_nationkey bigint, rows bigint"))
+
+
+@case("range_admit", "SELECT path, CASE path WHEN 'x' THEN 'skip' WHEN 'y' THEN 'dedup' ELSE 'add' END AS action FROM (VALUES ('x'), ('y'), ('z'), ('w')) v(path)")
+def range_admit(t: Tables) -> DataFrame:
+    make = lambda rows: t("region").sparkSession.createDataFrame(rows, "path string, lo bigint, hi bigint")
+    return ranges.admit(make([("a", 0, 100), ("b", 200, 300)]), make([("x", 10, 50), ("y", 90, 150), ("z", 150, 200), ("w", 300, None)])).select("path", "action")

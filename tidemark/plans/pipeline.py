@@ -64,6 +64,14 @@ def run(df: DataFrame, spec: dict | str, strict: bool = True) -> Result:
     return Result(df, children)
 
 
+def split_json(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose columns begin with a whole JSON value or are null, and the others, which are for the quarantine."""
+    bad = F.lit(False)
+    for c in columns:
+        bad = bad | (F.col(c).isNotNull() & F.try_parse_json(F.col(c)).isNull())
+    return df.where(~bad), df.where(bad)
+
+
 def preview(df: DataFrame, spec: dict | str, rows: int = 20) -> DataFrame:
     """The first rows through the real pipeline."""
     return run(df.limit(rows), spec).rows

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Formats in which a watermark may be written (fixed values).
-WATERMARKS = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
+WATERMARKS = [
+    "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm",
+    "yyyy/MM/dd HH:mm:ss.SSSSSS", "yyyy/MM/dd HH:mm:ss.SSS", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX",
+]
 
 
 def watermark(text: Column) -> Column:
@@ -51,3 +56,46 @@ def unique_names(names: list[str]) -> list[str]:
 def text_or_hex(c: Column) -> Column:
     """Bytes as text where they are UTF-8, else as hex."""
     return F.coalesce(F.try_validate_utf8(c.cast("string")), F.lower(F.hex(c)))
+
+
+def _readable(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.BinaryType):
+        return text_or_hex(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _readable(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(_readable(e["key"], kind.keyType).alias("key"), _readable(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_readable(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
+def readable(df: DataFrame) -> DataFrame:
+    """df with all bytes as text or hex, however deep in its columns."""
+    return df.select(*[_readable(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
+def flat_id(df: DataFrame, name: str = "_id") -> DataFrame:
+    """df with a document id as text: the oid (or $oid) of an object, else the value itself."""
+    if name not in df.columns:
+        return df
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.StructType):
+        c = F.coalesce(F.get_json_object(F.to_json(c), "$.oid"), F.get_json_object(F.to_json(c), "$['$oid']"))
+    return df.withColumn(name, c.cast("string"))
+
+
+def as_text(df: DataFrame, target: T.StructType) -> DataFrame:
+    """df where every column that a text column of the target awaits is text: nested ones as JSON, bytes as text or hex."""
+    kinds, out = {f.name: f.dataType for f in target}, {}
+    for f in df.schema:
+        if isinstance(kinds.get(f.name), T.StringType) and not isinstance(f.dataType, T.StringType):
+            c = F.col(f"`{f.name}`")
+            nested = isinstance(f.dataType, (T.StructType, T.MapType, T.ArrayType))
+            out[f.name] = F.to_json(_readable(c, f.dataType)) if nested else text_or_hex(c) if isinstance(f.dataType, T.BinaryType) else c.cast("string")
+    return df.withColumns(out) if out else df
+
+
+def deduplicated_names(df: DataFrame) -> DataFrame:
+    """df with column names that differ without regard to case."""
+    return df.toDF(*unique_names(df.columns))

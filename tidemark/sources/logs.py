@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.types import json_candidate
+from ..operators.metrics import positions
+from . import clean
+
 _WAL = "change array<struct<kind:string,schema:string,table:string,columnnames:array<string>,columnvalues:array<string>,oldkeys:struct<keynames:array<string>,keyvalues:array<string>>>>"
 
 
@@ -26,16 +30,49 @@ def document_stream(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.select(op.alias("op"), j("$.ns.db").alias("schema_name"), j("$.ns.coll").alias("table_name"), key.alias("pk_values"), F.when(op == "d", key).alias("before"), F.when(op != "d", j("$.fullDocument")).alias("after"), j("$._id").alias("lsn")).where("op IS NOT NULL")
 
 
-def binlog(df: DataFrame) -> DataFrame:
-    """Row events (event_type, schema_name, table_name, log_file, log_pos, before, after as JSON) as events."""
+#: Words that make a statement of a log one that changes tables (fixed values).
+DDL = ["ALTER", "CREATE", "DROP", "RENAME"]
+
+
+def binlog(df: DataFrame, tables: list[tuple[str, str]] | None = None, names: dict[tuple[str, str], list[str]] | None = None) -> DataFrame:
+    """Row events (event_type, schema_name, table_name, log_file, log_pos, before, after as JSON) as events.
+
+    tables: only these (schema, table). names: a table's columns in order, for images whose keys
+    are UNKNOWN_COL and a number.
+    """
     op = F.element_at(F.create_map(*[F.lit(x) for x in ("write_rows", "c", "update_rows", "u", "delete_rows", "d")]), F.col("event_type"))
-    return df.select(op.alias("op"), "schema_name", "table_name", F.concat_ws(":", "log_file", F.col("log_pos").cast("string")).alias("lsn"), F.when(op != "c", F.col("before")).alias("before"), F.when(op != "d", F.col("after")).alias("after")).where("op IS NOT NULL")
+    of = F.struct("schema_name", "table_name")
+    df = df.where(of.isin([F.struct(F.lit(s), F.lit(t)) for s, t in tables])) if tables else df
+    image = lambda c: F.col(c)
+    if names:
+        known = F.create_map(*[x for (s, t), columns in names.items() for x in (F.struct(F.lit(s), F.lit(t)), F.array(*map(F.lit, columns)))])[of]
+        pairs = lambda c: F.map_entries(F.from_json(c, "map<string,string>"))
+        renamed = lambda c: F.to_json(F.map_from_entries(F.transform(F.slice(pairs(c), F.lit(1), F.greatest(F.lit(0), F.size(known))), lambda e, i: F.struct(known[i].alias("key"), e["value"].alias("value")))))
+        image = lambda c: F.when(known.isNotNull() & F.contains(c, F.lit('"UNKNOWN_COL')), renamed(F.col(c))).otherwise(F.col(c))
+    return df.select(op.alias("op"), "schema_name", "table_name", F.concat_ws(":", "log_file", F.col("log_pos").cast("string")).alias("lsn"), F.when(op != "c", image("before")).alias("before"), F.when(op != "d", image("after")).alias("after")).where("op IS NOT NULL")
+
 
+def table_changes(df: DataFrame) -> DataFrame:
+    """Statements of a log (event_type query, schema_name, query) that change tables."""
+    return df.where((F.col("event_type") == "query") & F.upper("query").rlike("|".join(DDL))).select("schema_name", "query")
 
-def poll(df: DataFrame, cursor: str, last, limit: int = 1000) -> DataFrame:
-    """The next rows after a cursor, in its order, as creations."""
+
+def new_columns(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(schema_name, table_name, column_name): columns of events' after images that a catalog (of the same columns) lacks."""
+    seen = events.where("after IS NOT NULL").select("schema_name", "table_name", F.explode(F.json_object_keys("after")).alias("column_name")).distinct()
+    return seen.join(catalog.select("schema_name", "table_name", "column_name"), ["schema_name", "table_name", "column_name"], "left_anti")
+
+
+def poll(df: DataFrame, cursor: str, last, limit: int | None = 1000) -> DataFrame:
+    """The next rows after a cursor (without a limit, all of them), in its order, as creations."""
     rows = df if last is None else df.where(F.col(cursor) > F.lit(last))
-    return rows.orderBy(cursor).limit(limit).withColumns({"op": F.lit("c"), "lsn": F.concat(F.lit("poll:"), F.col(cursor).cast("string"))})
+    rows = rows.orderBy(cursor).limit(limit) if limit else rows
+    return rows.withColumns({"op": F.lit("c"), "lsn": F.concat(F.lit("poll:"), F.col(cursor).cast("string"))})
+
+
+def pages(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """All chunks of a snapshot at once: df with page, the number (from 0) of the keyset chunk of limit rows that a row lies in."""
+    return positions(df, [], key).withColumn("page", F.floor((F.col("position") - 1) / limit)).drop("position", "size")
 
 
 def keyset(df: DataFrame, key: str, after, upto, limit: int) -> DataFrame:
@@ -49,10 +86,38 @@ def jdbc(spark: SparkSession, url: str, table: str, conditions: list[str] | None
     return df if mark is None else df.where(F.col(cursor) >= F.lit(mark))
 
 
-def discovered(df: DataFrame, schema_name: str, table_name: str) -> DataFrame:
-    """The columns of a table as catalog rows."""
-    rows = [(schema_name, table_name, f.name, f.dataType.simpleString()) for f in df.schema]
-    return df.sparkSession.createDataFrame(rows, "schema_name string, table_name string, column_name string, data_type string")
+def jdbc_query(spark: SparkSession, url: str, query: str, **properties: str) -> DataFrame:
+    """The result of a query that the source runs itself, so that only its rows travel."""
+    return spark.read.format("jdbc").options(url=url, query=query, **properties).load()
+
+
+#: Estimated rows of a table, out of what a source keeps about it (fixed values of those sources).
+ESTIMATES = {
+    "postgresql": "SELECT reltuples AS n FROM pg_class WHERE oid = '{schema}.{table}'::regclass",
+    "mysql": "SELECT table_rows AS n FROM information_schema.tables WHERE table_schema = '{schema}' AND table_name = '{table}'",
+}
+
+
+def estimate_query(dialect: str, schema: str, table: str) -> str:
+    if not all(x.replace("_", "").isalnum() for x in (schema, table)):
+        raise ValueError(f"not a table name: {schema}.{table}")
+    return ESTIMATES[dialect].format(schema=schema, table=table)
+
+
+def documents(df: DataFrame, cursor: str | None = None, mark: str | None = None) -> DataFrame:
+    """A batch read of a document collection: rows after a watermark in any known format (all of them,
+    if it is in none), distinct names, the id as text, nested values as JSON."""
+    if cursor and mark:
+        since = df.sparkSession.range(1).select(clean.watermark(F.lit(mark))).first()[0]
+        df = df if since is None else df.where(F.col(cursor) > F.lit(since))
+    return clean.clean(clean.flat_id(clean.deduplicated_names(df)), lower=False)
+
+
+def discovered(df: DataFrame, schema_name: str, table_name: str, keys: list[str] | None = None) -> DataFrame:
+    """The columns of a table as catalog rows, with nullability, place in the key (from 1) and whether their type may hold JSON."""
+    place = {k: i for i, k in enumerate(keys or [], 1)}
+    rows = [(schema_name, table_name, f.name, f.dataType.simpleString(), f.nullable and f.name not in place, place.get(f.name), json_candidate(f.dataType.simpleString()) or f.dataType.simpleString() == "string") for f in df.schema]
+    return df.sparkSession.createDataFrame(rows, "schema_name string, table_name string, column_name string, data_type string, is_nullable boolean, key_position int, json_candidate boolean")
 
 
 def json_rate(c: Column) -> Column:

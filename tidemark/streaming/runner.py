@@ -2,26 +2,103 @@
 
 from __future__ import annotations
 
-import json
+import tempfile
+import time
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql import functions as F
 
-from ..operators import quality
+from ..operators import metrics, quality
 from ..plans import pipeline
 
+#: Fields of a line of an event log.
+EVENT = "op string, pk string, before string, after string, ts_ms bigint"
 
-def file_events(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir`` (set here only where unset, as in tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def file_events(spark: SparkSession, path: str, schema, max_files: int | None = None, glob: str = "*.parquet") -> DataFrame:
+    """The Parquet files of a folder whose names fit glob, as a stream."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
+def log_events(spark: SparkSession, folder: str, starting: str | datetime = "earliest", max_files: int | None = None) -> DataFrame:
+    """The lines of a folder of JSON event logs as a stream: the event's fields, and line for one that is no event.
+
+    starting: earliest, latest (files that come from now on) or a time. Spark plans the files
+    and their splits, and its checkpoint says which were read.
+    """
+    reader = spark.readStream
+    lines = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).text(folder)
+    if starting != "earliest":
+        since = datetime.now() if starting == "latest" else starting
+        lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    event = F.from_json("value", EVENT)
+    known = F.try_parse_json("value").isNotNull() & event["op"].isNotNull()
+    return lines.select(F.when(known, event).alias("e"), F.when(~known, F.col("value")).alias("line")).select("e.*", "line")
+
+
 def deduplicated(events: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Each event id once within the delay; what comes later is applied again, harmlessly by key."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def rates(events: DataFrame, ts: str = "ts", size: str = "5 minutes", delay: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
+    """Events a second in windows of event time; events later than the delay are left out."""
+    return metrics.rate(events.withWatermark(ts, delay), ts, size, by=by)
+
+
+def to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Takes what is available and writes the rows that it adds."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def updates_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Takes what is available and writes the groups that each batch changes, under the batch's number."""
+    batch = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/part={n}")
+    stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def newest_updates(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the groups that batches wrote, each as the last one left it."""
+    return metrics.latest_of(table, keys, ["batch"], [c for c in table.columns if c not in (*keys, "batch", "part")])
+
+
+def retried(sink: Callable[[DataFrame, int], None], attempts: int = 3, pause: float = 1.0, most: float = 60.0, dead_letters: str | None = None, sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
+    """A sink that is tried again after a pause that doubles up to most seconds. A batch that fails every
+    time goes to the dead letters with the reason, under its number; without them the error is raised."""
+
+    def run(df: DataFrame, number: int) -> None:
+        df.persist()
+        try:
+            for i in range(attempts):
+                try:
+                    return sink(df, number)
+                except Exception as e:  # noqa: BLE001
+                    if i + 1 == attempts:
+                        if dead_letters is None:
+                            raise
+                        reason = f"retry budget exhausted: {e}"[:2000]
+                    else:
+                        sleep(min(most, pause * 2**i))
+            quality.quarantined(df, str(number)).withColumn("reason", F.lit(reason)).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+        finally:
+            df.unpersist()
+
+    return run
+
+
 def start(events: DataFrame, spec: dict | Callable[[], dict], policy: dict | None, sink: Callable[[DataFrame, int], None], checkpoint: str, dead_letters: str | None = None, every: str | None = None):
     """Runs the query; without every it takes what is available and stops.
 
@@ -40,51 +117,3 @@ def start(events: DataFrame, spec: dict | Callable[[], dict], policy: dict | Non
 
     out = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return out.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
-
-
-class EventLogSource(DataSource):
-    """A log of JSON lines per table as a stream: format ``event_log``, option path, startingOffsets earliest or latest."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "event_log"
-
-    def schema(self) -> str:
-        return "offset bigint, op string, pk_values string, before string, after string, ts_ms bigint"
-
-    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
-        return _LogReader(self.options)
-
-
-class _Lines(InputPartition):
-    def __init__(self, start: int, end: int) -> None:
-        self.start, self.end = start, end
-
-
-class _LogReader(DataSourceStreamReader):
-    def __init__(self, options: dict) -> None:
-        self.path, self.latest = options["path"], options.get("startingOffsets", "earliest") == "latest"
-
-    def _count(self) -> int:
-        with open(self.path) as f:
-            return sum(1 for _ in f)
-
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"line": self._count() if self.latest else 0}
-
-    def latestOffset(self) -> dict:  # noqa: N802
-        return {"line": self._count()}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Lines(start["line"], end["line"])]
-
-    def read(self, partition: _Lines):
-        with open(self.path) as f:
-            for i, line in enumerate(f):
-                if partition.start <= i < partition.end:
-                    try:
-                        e = json.loads(line)
-                    except ValueError:
-                        continue  # malformed lines are skipped
-                    text = lambda v: None if v is None else json.dumps(v, sort_keys=True)
-                    yield (i, e.get("op"), text(e.get("pk")), text(e.get("before")), text(e.get("after")), e.get("ts_ms"))
