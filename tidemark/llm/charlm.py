@@ -29,7 +29,7 @@ from .textops import mix
 from .workspace import stored
 
 #: Code points in a chunk, and in the slices of it that are worked on at once.
-CHUNK, SLICE = 32 << 20, 1 << 20
+CHUNK, SLICE = 32 << 20, 1 << 19
 #: n-grams in a shard of the table, about.
 SHARD = 250_000
 #: Odd factor of the hash of an n-gram.
