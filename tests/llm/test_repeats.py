@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidemark.llm import repeats
 
@@ -43,12 +45,41 @@ def test_repeats_match_brute_force(spark):
     assert got == brute(rows)
 
 
+def longest(data, at, position):
+    """Previous factors by comparing every start with every one of a smaller position."""
+    common = lambda a, b: next((i for i in range(100) if data[a + i] != data[b + i]), 100)
+    return [max([common(a, b) for b, q in zip(at, position, strict=True) if q < p], default=0) for a, p in zip(at, position, strict=True)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 4), st.booleans())
+def test_factors_like_brute_force(seed, kinds, collide):
+    r = np.random.default_rng(seed)
+    parts = [r.integers(0, 2, 40).astype(np.uint8) for _ in range(kinds)]
+    data = np.concatenate([parts[i] for i in r.integers(0, kinds, 6)] + [r.integers(0, 3, 20).astype(np.uint8)])
+    at = np.sort(r.choice(len(data) - 99, min(40, len(data) - 99), replace=False))
+    position = r.permutation(len(at)) * 3 // 4
+    mark = np.array([0 if collide else hash(data[a : a + 100].tobytes()) & (1 << 62) - 1 for a in at], np.uint64)
+    assert repeats.factors(data, at, position, mark).tolist() == longest(data, at, position)
+
+
 def test_fingerprint_collisions_are_settled_by_bytes():
     data = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8)
     at = np.array([0, 100, 200])
-    got = repeats.settle(data, at, (at, np.zeros(3, int), np.zeros(3, int)), np.zeros(3, np.uint64))
+    got = repeats.factors(data, at, at, np.zeros(3, np.uint64)) >= 100
     assert got.tolist() == [False, False, True]
 
 
+def test_strings_known_to_a_task_are_not_sent_again():
+    data = np.frombuffer(b"a" * 100 + b"b" * 100, np.uint8)
+    view, known = np.lib.stride_tricks.sliding_window_view(data, 100), repeats._Known(most=1)
+    keys = lambda i: tuple(np.array([v]) for v in (i, 0, 0))
+    mark = np.array([7], np.uint64)
+    known.add(view, np.array([0]), mark, keys(5))
+    known.add(view, np.array([100]), mark + np.uint64(1), keys(5))  # there is no room
+    found = lambda at, i: known.earlier(view, np.array([at]), mark, keys(i)).tolist()
+    assert found(0, 6) == [True] and found(0, 5) == [False] and found(0, 4) == [False] and found(100, 6) == [False] and len(known.mark) == 1
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

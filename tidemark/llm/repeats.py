@@ -1,21 +1,19 @@
-"""Removal of byte strings that occurred earlier in the corpus, by previous factors.
+"""Removal of byte strings that occurred earlier in the corpus, by longest previous factors.
 
-A byte goes if a string of ``LENGTH`` bytes over it also starts earlier (by document id, then
-offset): the longest previous factor at some start that covers it has LENGTH bytes or more.
+A byte goes if the longest previous factor at some start that covers it has ``LENGTH`` bytes or
+more: a string of LENGTH bytes over it also starts earlier (by document id, then offset).
 
 1. Texts that equal an earlier text as a whole are settled by their digest.
 2. Every start is filed under the least hash of the short strings inside its LENGTH bytes, so
    equal strings are filed alike. Starts whose file holds nothing else occur once and are
    left; this first look moves one narrow row for about every 35 bytes.
-3. The other starts are sorted in suffix order as far as that matters: by the fingerprint of
-   their first LENGTH bytes, then by position. A start's previous smaller position in that
-   order, within the run of equal strings, is its previous factor; bytes are compared.
-   Each task settles repeats among its own texts first, so that a passage of countless
-   documents reaches the shuffle once a task, then files meet in groups of bounded size.
-4. Settled starts become spans, and spans are cut from the texts they belong to.
-
-Suffix arrays proper would order strings that never compare equal; only runs of equal LENGTH
-bytes decide here, so longer factors are not measured.
+3. The other starts go into suffix order, by their first LENGTH bytes (all that can decide), then
+   position. Previous and next smaller positions in that order, with the least common prefix on
+   the way there, give the longest previous factor of every start, up to LENGTH (``factors``).
+   Each task does so with its own texts first, and remembers strings that repeat, so that a
+   passage of countless documents reaches the shuffle once a task; then files meet in groups of
+   bounded size, which do it again with what tasks have sent.
+4. Starts of long factors become spans, and spans are cut from the texts they belong to.
 
 Defined cases: null text is empty; texts below LENGTH bytes lose nothing; null ids count as
 larger than all others; one id with several texts is ordered by their digests; repeated rows
@@ -34,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import column, range_hash, rolled, slices
-from .workspace import BROADCAST_ROWS, stored
+from .workspace import BROADCAST_ROWS, discard, small_batches, stored
 
 LENGTH, SEED = 100, 32
 #: Short strings inside a string.
@@ -96,38 +94,147 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(value[keep].view(np.int64)), pa.array(ids[doc[keep]])], ["file", "doc"])
 
 
-def settle(data: np.ndarray, at: np.ndarray, order: tuple[np.ndarray, ...], mark: np.ndarray) -> np.ndarray:
-    """Of starts at (with fingerprints mark), those whose string has a smaller position among them.
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number that sorts as they do."""
+    out = np.zeros(max(0, len(data) - 7), _U)
+    for j in range(8):
+        out <<= _U(8)
+        out |= data[j : j + len(out)]
+    return out
+
+
+#: Where the words of a string begin; the last one overlaps the one before.
+_PLACES = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+
+
+def _lexical(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """An order of the strings at, all different: word by word, each looking at what is still tied."""
+    order = np.argsort(words[at], kind="stable")
+    tied = ~_runs(words[at[order]])
+    for p in _PLACES[1:]:
+        inside = tied.copy()
+        inside[:-1] |= tied[1:]
+        part = np.flatnonzero(inside)
+        if not len(part):
+            break
+        group = np.cumsum(~tied[part])
+        key = words[at[order[part]] + p]
+        by = np.lexsort((key, group))
+        order[part] = order[part[by]]
+        tied[part] = ~_runs(group[by], key[by])
+    return order
+
+
+def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the strings at a and b, up to LENGTH."""
+    out, alive = np.full(len(a), LENGTH, np.int32), np.arange(len(a))
+    for p in _PLACES:
+        x = words[a[alive] + p] ^ words[b[alive] + p]
+        done = x != 0
+        same = sum((x[done] < _U(1 << (8 * i))).astype(np.int32) for i in range(1, 8))
+        out[alive[done]] = p + same
+        alive = alive[~done]
+    return out
+
+
+def _smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place of the suffix order, the common prefix with the nearest place before it of a smaller position; 0 if there is none.
 
-    order: position keys, least significant first; starts of equal position don't count for each other.
+    common: prefix shared with the place before. All places jump at once to where the larger one before them has got.
+    """
+    before, shared = np.arange(len(position)) - 1, common.copy()
+    active = np.arange(len(position))
+    while len(active):
+        j = before[active]
+        active = active[(j >= 0) & (position[j] >= position[active])]
+        j = before[active]
+        shared[active] = np.minimum(shared[active], shared[j])
+        before[active] = before[j]
+    shared[before < 0] = 0
+    return shared
+
+
+def factors(data: np.ndarray, at: np.ndarray, position: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The longest previous factor, up to LENGTH, of the starts at, among each other.
+
+    position: their places in the corpus' order (equal ones don't count for each other); mark: fingerprints of their first LENGTH bytes.
     """
-    index = np.lexsort((*order, mark))
+    if not len(at):
+        return np.zeros(0, np.int32)
+    index = np.lexsort((position, mark))
     new = _runs(mark[index])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(index)), 0))
-    first = index[head]
-    earlier = np.logical_or.reduce([k[first] != k[index] for k in order]) & ~new
-    out = np.zeros(len(at), bool)
-    odd: set[int] = set()
-    hits = np.flatnonzero(earlier)
-    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH) if len(data) >= LENGTH else None
-    for i in range(0, len(hits), 50_000):
-        h = hits[i : i + 50_000]
-        odd.update(mark[index[h[(view[at[index[h]]] != view[at[first[h]]]).any(1)]]].tolist())
-    out[index[hits]] = True
-    for m in odd:  # different strings of one fingerprint: by their bytes
-        seen: dict[bytes, tuple] = {}
-        for i in index[mark[index] == m]:
-            place = tuple(k[i] for k in order)
-            out[i] = seen.setdefault(data[at[i] : at[i] + LENGTH].tobytes(), place) != place
+    head = index[np.maximum.accumulate(np.where(new, np.arange(len(index)), 0))]
+    words, odd = _words(data), np.zeros(len(index), bool)
+    for p in _PLACES:
+        odd |= words[at[index] + p] != words[at[head] + p]
+    if odd.any():  # different strings of one fingerprint: all strings get new ones, by their bytes
+        view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+        return factors(data, at, position, np.unique(view[at], axis=0, return_inverse=True)[1].ravel().astype(_U))
+    first = index[new]
+    order = _lexical(words, at[first])
+    place = np.empty(len(first), np.int64)
+    place[order] = np.arange(len(first))
+    run = np.cumsum(new) - 1
+    by = np.argsort(place[run], kind="stable")
+    suffixes, begins = index[by], new[by]
+    common = np.full(len(suffixes), LENGTH, np.int32)
+    heads = at[first[order]]
+    common[np.flatnonzero(begins)] = np.concatenate([[0], _common(words, heads[:-1], heads[1:])])
+    rank = position[suffixes]
+    longest = np.maximum(_smaller(rank, common), _smaller(rank[::-1], np.concatenate([[0], common[:0:-1]]).astype(np.int32))[::-1])
+    out = np.empty(len(at), np.int32)
+    out[suffixes] = longest
     return out
 
 
+def _positions(key: np.ndarray, tie: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers in the order of (key, tie) of the rows, then place."""
+    order = np.lexsort((tie, key))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(_runs(key[order], tie[order])) - 1
+    return (rank[row] << 32) + place
+
+
+class _Known:
+    """Strings that repeat in a task's texts, with the least position seen: later ones need not be sent."""
+
+    def __init__(self, most: int = 200_000) -> None:
+        self.most, self.mark = most, np.zeros(0, _U)
+        self.held = [np.zeros(0, np.int64) for _ in range(3)]
+        self.text = np.zeros((0, LENGTH), np.uint8)
+
+    def earlier(self, view: np.ndarray, at: np.ndarray, mark: np.ndarray, keys: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Which starts (keys: id, tie, place) have an equal string among those known, at a smaller position."""
+        out = np.zeros(len(at), bool)
+        if not len(self.mark):
+            return out
+        j = np.minimum(np.searchsorted(self.mark, mark), len(self.mark) - 1)
+        hit = np.flatnonzero(self.mark[j] == mark)
+        for begin in range(0, len(hit), 50_000):
+            h = hit[begin : begin + 50_000]
+            k = j[h]
+            (a, b, c), (x, y, z) = (v[k] for v in self.held), (v[h] for v in keys)
+            less = (a < x) | ((a == x) & ((b < y) | ((b == y) & (c < z))))
+            out[h] = less & (view[at[h]] == self.text[k]).all(1)
+        return out
+
+    def add(self, view: np.ndarray, at: np.ndarray, mark: np.ndarray, keys: tuple[np.ndarray, ...]) -> None:
+        mark, first = np.unique(mark, return_index=True)
+        fresh = ~np.isin(mark, self.mark)
+        mark, first = mark[fresh][: self.most - len(self.mark)], first[fresh][: self.most - len(self.mark)]
+        by = np.argsort(both := np.concatenate([self.mark, mark]))
+        self.mark = both[by]
+        self.held = [np.concatenate([old, new[first]])[by] for old, new in zip(self.held, keys, strict=True)]
+        self.text = np.concatenate([self.text, view[at[first]]])[by]
+
+
 _KINDS = [("task", pa.int64()), ("doc", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("bytes", pa.binary())]
 _SHIPPED = "task long, doc long, id long, tie long, start long, count long, bytes binary"
 
 
 def _ship(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for batch in slices(batches, "text"):
             data, off = column(batch.column("text"))
             prefix, _, at, row, file = _starts(data, off)
@@ -138,8 +245,16 @@ def _ship(groups: int):
                 marks = marks.values.to_numpy(zero_copy_only=False).view(_U)
                 wanted[edge[i] : edge[i + 1]] = np.isin(file[edge[i] : edge[i + 1]], marks)
             at, row, file = at[wanted], row[wanted], file[wanted]
-            place = at - off[row]
-            gone = settle(data, at, (place, keys["tie"][row], keys["id"][row]), range_hash(prefix, at, at + LENGTH))
+            if not len(at):
+                continue
+            place, mark = at - off[row], range_hash(prefix, at, at + LENGTH)
+            gone = factors(data, at, _positions(keys["id"], keys["tie"], row, place), mark) >= LENGTH
+            view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+            where = (keys["id"][row], keys["tie"][row], place)
+            repeated = ~gone & np.isin(mark, mark[gone])
+            gone |= known.earlier(view, at, mark, where)
+            repeated &= ~gone
+            known.add(view, at[repeated], mark[repeated], tuple(w[repeated] for w in where))
             for part, sent in ((np.flatnonzero(gone), False), (np.flatnonzero(~gone), True)):
                 p, r, f = at[part], row[part], file[part]
                 begin = np.flatnonzero(_runs(r, p - np.arange(len(p)), f) if sent else _runs(r, p - np.arange(len(p))))
@@ -165,7 +280,7 @@ def _meet(table: pa.Table) -> pa.Table:
     at = base[row] + step
     value = {k: table.column(k).to_numpy() for k in ("doc", "id", "tie", "start")}
     place = value["start"][row] + step
-    gone = settle(data, at, (place, value["tie"][row], value["id"][row]), range_hash(rolled(data), at, at + LENGTH))
+    gone = factors(data, at, _positions(value["id"], value["tie"], row, place), range_hash(rolled(data), at, at + LENGTH)) >= LENGTH
     r, p = row[gone], place[gone]
     begin = np.flatnonzero(_runs(r, p - np.arange(len(p))))
     return pa.table({"doc": value["doc"][r[begin]], "start": p[begin], "count": np.diff([*begin, len(p)]).astype(np.int64)})
@@ -200,11 +315,20 @@ def _near(df: DataFrame, lists: str) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     sha = F.sha2(text.cast("binary"), 256)
-    rows = docs.select(F.col(id_col).cast("long").alias("real"), text.alias("text"), sha.alias("sha"))
-    rows = rows.select("real", F.coalesce("real", F.lit((1 << 63) - 1)).alias("id"), "text", "sha", F.xxhash64("real", "sha").alias("doc"), F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("tie"))
-    own = stored(rows.select("real", "id", "sha", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row_no")), "repeat-texts")
+    named = docs.select(F.col(id_col).cast("long").alias("real"), text.alias("text"), sha.alias("sha"))
+    named = named.select("real", F.coalesce("real", F.lit((1 << 63) - 1)).alias("id"), "text", "sha", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("tie"))
+    draw = 0
+    while True:  # a document is named by 64 bits of its id and digest; should two get one name, all names are drawn anew
+        rows = named.withColumn("doc", F.xxhash64(F.lit(draw), "real", "sha"))
+        own = stored(rows.select("real", "id", "sha", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row_no")), "repeat-texts")
+        who = F.struct("real", "sha")
+        if own.groupBy("doc").agg((F.min(who) < F.max(who)).alias("two")).where("two").isEmpty():
+            break
+        discard(own)
+        draw += 1
     firsts = own.groupBy("sha").agg(F.min(F.struct("id", "row_no", "doc")).alias("first"))
     judged = stored(own.join(firsts, "sha").select("real", "sha", "doc", "n_bytes", F.col("first.row_no").alias("keep"), "row_no", F.col("first.doc").alias("first_doc")), "repeat-firsts")
     copies = stored(judged.where("doc <> first_doc").select("doc").distinct(), "repeat-copies")
