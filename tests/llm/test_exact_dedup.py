@@ -61,5 +61,19 @@ def test_null_id_stays_only_alone(spark):
     assert {(r["id"], r["keep_id"], r["kept"]) for r in exact_dedup(df).collect()} == {(None, 2, False), (2, 2, True), (None, None, True)}
 
 
+@pytest.mark.parametrize("deal", [1, 2])
+def test_groups_of_many_copies_are_dealt_out(spark, monkeypatch, tmp_path, deal):
+    monkeypatch.setattr("tidemark.llm.exact_dedup.DEAL", deal)
+    rows = [(i, "one text " + " " * (i % 3), None) for i in range(40)] + ROWS[7:]
+    spark.createDataFrame(rows, "doc_id long, text string, _metadata string").repartition(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert sorted({r for r in found(df)}) == sorted(set(brute(rows)))
+    twice = df.drop("_metadata").select("doc_id", F.explode(F.array("text", "text")).alias("text"))
+    got = found(twice)
+    assert len(got) == 2 * len(rows) and sum(r[3] for r in got) == sum(r[3] for r in brute(rows))
+    got = found(df, digest=lambda normal: F.lit("same"))
+    assert [r[:4] for r in got] == [r[:4] for r in brute(rows)]
+
+
 def test_empty(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []

@@ -1,26 +1,32 @@
 """Exact deduplication as a stateful stream over fingerprints.
 
-A first pass turns each text into a narrow fingerprint row (digest, length, row locator).
-A Structured Streaming aggregation then keeps, per digest and without expiry, the row that
-stays in RocksDB state; running it again on the same checkpoint with more rows continues
-from that state. Texts whose digest was hit are read again and compared byte for byte, so a
-digest collision cannot merge different texts. Only DataFrame functions are used.
+A first pass turns each text into a narrow fingerprint row: digest, length, id, and the file and
+row in it that the text is found at. A Structured Streaming aggregation then keeps, per digest and
+without expiry, the row that stays in RocksDB state; running it again on the same checkpoint with
+more rows continues from that state. Texts whose digest was hit are found again by file and row
+and compared byte for byte with the one that stays, so a digest collision cannot merge different
+texts; a group of many copies is dealt out, with a copy of the text that stays to ``DEAL`` hits each.
+Only DataFrame functions are used.
 
 Defined cases: a null text counts as empty; rows without an id rank after all others; of
 repeated rows exactly one is kept; an empty table gives an empty result; other columns of
-the input play no part, whatever their names.
+the input play no part, whatever their names. Input that is no plain read of a Parquet table is stored first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .workspace import scratch, settings, small, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Hits that one copy of the text that stays is compared with, about.
+DEAL = 1000
 #: Deleted before texts are compared (fixed values): space, tab, newline, vertical tab, form feed, carriage return.
 DELETED = [" ", "\t", "\n", "\u000b", "\f", "\r"]
 
@@ -37,30 +43,38 @@ def sha256(normal: Column) -> Column:
     return F.sha2(normal, 256)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One narrow row per document: id, digest, points (code points), row_no, file."""
-    text = F.col(text_col)
-    return docs.select(
-        F.col(id_col).alias("id"),
-        digest(squeezed(text)).alias("digest"),
-        F.coalesce(F.length(text), F.lit(0)).alias("points"),
-        F.monotonically_increasing_id().alias("row_no"),
-        F.input_file_name().alias("file"),
-    )
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, file, row: every text with where it is found."""
+    rows, place = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    if not re.search(r"\b(Generate|Expand|Join|Union)\b", docs._jdf.queryExecution().analyzed().toString()):  # these may make several rows of one
+        try:
+            return rows.select("id", "text", *place)
+        except AnalysisException:  # no read of files
+            pass
+    return stored(rows, "dedup-input").select("id", "text", *place)
+
+
+def fingerprints(texts: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One narrow row per located text: id, digest, points (code points), file, row."""
+    return texts.select("id", digest(squeezed(F.col("text"))).alias("digest"), F.coalesce(F.length("text"), F.lit(0)).alias("points"), "file", "row")
+
+
+def _best() -> Column:
+    """The row that stays is the least of these: the longest text, a row with an id, the smallest id, the first place."""
+    return F.struct((-F.col("points")).alias("points_down"), F.col("id").isNull().alias("unidentified"), "id", "file", "row")
 
 
 def keyed_state(spark: SparkSession, table: str, checkpoint: str, max_files: int | None = None) -> DataFrame:
     """Runs the fingerprints in a folder through the stream; returns the state, a row per digest.
 
-    Columns: digest, keep (points_down, unidentified, id, row_no, file), group_size. Files that
+    Columns: digest, keep (points_down, unidentified, id, file, row), group_size. Files that
     an earlier run on this checkpoint has read are not read again; state never expires.
     """
     schema = spark.read.parquet(table).schema
     source = spark.readStream.schema(schema)
     if max_files:
         source = source.option("maxFilesPerTrigger", max_files)
-    best = F.struct((-F.col("points")).alias("points_down"), F.col("id").isNull().alias("unidentified"), "id", "row_no", "file")
-    state = source.parquet(table).groupBy("digest").agg(F.min(best).alias("keep"), F.count("*").alias("group_size"))
+    state = source.parquet(table).groupBy("digest").agg(F.min(_best()).alias("keep"), F.count("*").alias("group_size"))
     # Without fallocate a store of few keys takes few bytes of disk, however many partitions there are.
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -70,40 +84,42 @@ def keyed_state(spark: SparkSession, table: str, checkpoint: str, max_files: int
         return held.select("key.digest", F.col(keep).alias("keep"), F.col(size).alias("group_size"))
 
 
-def collisions(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+def collisions(texts: DataFrame, members: DataFrame) -> DataFrame:
     """Digests of which two texts differ: full bytes of each hit against the row that stays."""
-    hits = members.where("group_size > 1")
-    wanted = stored(hits.select("id", "digest", F.col("keep.id").alias("keep_id")).distinct(), "dedup-hits")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    full = texts.join(small(wanted), texts["id"].eqNullSafe(wanted["id"])).select(wanted["id"], "digest", "keep_id", squeezed(F.col("text")).alias("normal"))
-    full = full.where(digest(F.col("normal")) == F.col("digest"))
-    first = full.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("normal").alias("first"))
-    return full.join(first, "digest").where("normal <> first").select("digest").distinct()
+    here = F.col("kept")
+    deals = F.ceil(F.col("group_size") / DEAL).cast("int")
+    hits = members.where("group_size > 1").select("file", "row", "digest", "kept", deals.alias("deals"), F.pmod(F.xxhash64("file", "row"), deals).cast("int").alias("deal"))
+    hits = stored(hits, "dedup-hits")
+    full = texts.join(small(hits), ["file", "row"]).select("digest", "kept", "deals", "deal", squeezed(F.col("text")).alias("normal"))
+    first = full.where(here).select("digest", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("normal").alias("first"))
+    return full.where(~here).join(first, ["digest", "deal"]).where("normal <> first").select("digest").distinct()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, max_files: int | None = None) -> DataFrame:
-    """One row per row of docs: id, row_no, digest, keep_id, group_size, kept.
+    """One row per row of docs: id, digest, keep_id, group_size, kept.
 
     Of texts equal without white space, the longest (in code points of the original), then the
-    smallest id, stays. row_no tells repeated rows apart.
+    smallest id, stays.
     """
     spark = docs.sparkSession
+    texts = located(docs, id_col, text_col)
     table = scratch(spark, "dedup-fingerprints")
-    fingerprints(docs, id_col, text_col, digest).write.parquet(table)
+    fingerprints(texts, digest).write.parquet(table)
     prints = spark.read.parquet(table)
     state = stored(keyed_state(spark, table, scratch(spark, "dedup-state"), max_files), "dedup-groups")
-    members = prints.join(state, "digest")
-    bad = stored(collisions(docs, members, id_col, text_col, digest), "dedup-collisions")
-    out = members.select("id", "row_no", "digest", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("keep.row_no")).alias("kept"))
+    kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
+    members = prints.join(state, "digest").withColumn("kept", kept)
+    bad = stored(collisions(texts, members), "dedup-collisions")
+    out = members.select("id", "digest", F.col("keep.id").alias("keep_id"), "group_size", "kept")
     if bad.isEmpty():
         return out
-    return out.join(bad, "digest", "left_anti").unionByName(_by_bytes(docs, bad, prints, id_col, text_col, digest))
+    return out.join(bad, "digest", "left_anti").unionByName(_by_bytes(texts, bad, digest))
 
 
-def _by_bytes(docs: DataFrame, bad: DataFrame, prints: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+def _by_bytes(texts: DataFrame, bad: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """The rows of colliding digests, grouped by their bytes instead."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("points"), squeezed(F.col(text_col)).alias("normal"))
-    texts = texts.withColumn("digest", digest(F.col("normal"))).join(bad, "digest", "left_semi").withColumn("row_no", F.monotonically_increasing_id())
-    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("u"), "id", "row_no"))
-    groups = texts.groupBy("digest", "normal").agg(best.alias("keep"), F.count("*").alias("group_size"))
-    return texts.join(groups, ["digest", "normal"]).select("id", "row_no", "digest", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("keep.row_no")).alias("kept"))
+    normal = squeezed(F.col("text"))
+    rows = texts.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("points"), normal.alias("normal"), digest(normal).alias("digest"), "file", "row").join(bad, "digest", "left_semi")
+    groups = rows.groupBy("digest", "normal").agg(F.min(_best()).alias("keep"), F.count("*").alias("group_size"))
+    kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
+    return rows.join(groups, ["digest", "normal"]).select("id", "digest", F.col("keep.id").alias("keep_id"), "group_size", kept.alias("kept"))
