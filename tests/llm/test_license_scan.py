@@ -42,15 +42,25 @@ def test_scan_matches_brute_force(spark):
     assert got == sorted(want, key=str)
 
 
-def test_bands_collide_with_the_stated_probability():
-    r = np.random.default_rng(1)
-    hits = 0
-    for _ in range(300):
-        shared, a, b = (r.integers(0, 1 << 62, n).astype(np.uint64) for n in (40, 20, 20))
-        x, y = np.concatenate([shared, a]), np.concatenate([shared, b])  # Jaccard similarity 0.5
-        sign = lambda s: [ls._band(ls._signature(s, 2 * i).min(), ls._signature(s, 2 * i + 1).min(), i) for i in range(ls.BANDS)]
-        hits += any(p == q for p, q in zip(sign(x), sign(y), strict=True))
-    assert hits >= 0.97 * 300
+def test_every_pair_that_would_be_accepted_shares_a_band():
+    """The worst case: a tier's shortest template, 0.8 of it in a window of the tier's full length."""
+    r, missed, tried = np.random.default_rng(1), 0, 0
+    for longest in (5, 20, 60, 150):
+        shortest = int(np.ceil(longest / ls.WIDTH))
+        for _ in range(1500):
+            template = r.integers(0, 1 << 62, shortest).astype(np.uint64)
+            tier = ls.Tier(5, {"t": template, "longest": r.integers(0, 1 << 62, longest).astype(np.uint64)})
+            kept = template[: int(np.ceil(ls.SIMILAR * shortest))]
+            window = np.concatenate([kept, r.integers(0, 1 << 62, tier.window - len(kept)).astype(np.uint64)])
+            missed += not any(ls._signature(window, b).min() == tier.bands[b]["t"] for b in range(ls.BANDS))
+            tried += 1
+    assert missed <= 0.001 * tried
+
+
+def test_tiers_are_narrow_and_hold_every_template():
+    held = ls.tiers(ls.TEMPLATES)
+    assert sorted(n for t in held for n in t.templates) == sorted(ls.TEMPLATES)
+    assert all(max(map(len, t.templates.values())) <= ls.WIDTH * min(map(len, t.templates.values())) for t in held)
 
 
 def test_scan_of_nothing(spark):
