@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, mixing, ngram_join, packing, quality
@@ -10,43 +10,55 @@ from tidemark.llm.queries import table, tokenizer_file
 from tidemark.llm.workspace import small, stored
 
 
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    keyed = _keyed(docs)
-    judged = quality.classify(keyed.select("row_no", "doc_id", "lang", "text"), table(spark, sf_dir, "labels"), [F.col("row_no")])
-    return _only(keyed, docs, judged.where("accepted").select("row_no"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc, the whole row, whatever its columns are called, and row_no, a number of its own; stored, so that numbers stay."""
+    return stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row_no")), "pipeline-rows")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with row_key, a struct of its own for every row: ordered by id, null ids last, then by row."""
-    numbered = stored(docs.withColumn("row_no", F.monotonically_increasing_id()), "pipeline-rows")
-    return numbered.withColumn("row_key", F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_no"))
+def _part(keyed: DataFrame, *columns: str) -> DataFrame:
+    """row_no and some columns of the rows."""
+    return keyed.select("row_no", *[F.col(f"doc.`{c}`").alias(c) for c in columns])
 
 
-def _only(keyed: DataFrame, docs: DataFrame, kept: DataFrame) -> DataFrame:
+def _only(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows whose row_no is in kept."""
-    return keyed.join(small(stored(kept, "pipeline-kept")), "row_no", "left_semi").select(*docs.columns)
+    return keyed.join(small(stored(kept, "pipeline-kept")), "row_no", "left_semi").select("doc.*")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    keyed = _keyed(docs)
+    judged = quality.classify(_part(keyed, "doc_id", "lang", "text"), table(spark, sf_dir, "labels"), [F.col("row_no")])
+    return _only(keyed, judged.where("accepted").select("row_no"))
+
+
+def _row_key() -> Column:
+    """Orders rows by id, null ids last, then by number."""
+    return F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").alias("doc_id"), "row_no").alias("row_key")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of exact copies."""
     keyed = _keyed(docs)
-    found = exact_dedup.exact_dedup(keyed.select("row_key", "text"), id_col="row_key")
-    return _only(keyed, docs, found.where("kept").select("id.row_no"))
+    found = exact_dedup.exact_dedup(keyed.select(_row_key(), F.col("doc.text").alias("text")), id_col="row_key")
+    return _only(keyed, found.where("kept").select("id.row_no"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each group that links of similarity 0.8 join."""
     keyed = _keyed(docs)
-    found = ngram_join.join(keyed.select("row_no", "text"), id_col="row_no").select(F.col("id").alias("row_no"), "component_id")
-    first = found.join(keyed.select("row_no", "row_key"), "row_no").groupBy("component_id").agg(F.min("row_key").alias("first"))
-    return _only(keyed, docs, first.select("first.row_no"))
+    found = ngram_join.join(_part(keyed, "text"), id_col="row_no").select(F.col("id").alias("row_no"), "component_id")
+    first = found.join(keyed.select("row_no", _row_key()), "row_no").groupBy("component_id").agg(F.min("row_key").alias("first"))
+    return _only(keyed, first.select("first.row_no"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix draws: repeated epochs are rows again, a document at a cut keeps its first words."""
-    sized = docs.withColumn("mix_size", mixing.words(F.col("text")))
-    return mixing.drawn(mixing.mix(sized, size_col="mix_size"), size_col="mix_size").select(*docs.columns)
+    keyed = _keyed(docs)
+    sized = stored(_part(keyed, "doc_id", "source", "text").withColumn("size", mixing.words(F.col("text"))).drop("text"), "pipeline-sizes")
+    taken = stored(mixing.mix(sized).where("taken > 0").select("row_no", "size", "taken"), "pipeline-taken")
+    drawn = mixing.drawn(keyed.join(small(taken), "row_no").select("doc", F.col("doc.text").alias("text"), "size", "taken"))
+    return drawn.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
