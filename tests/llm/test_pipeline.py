@@ -86,6 +86,22 @@ def test_every_stage_takes_nulls_and_empty_tables(spark):
                 assert after.columns == docs.columns
 
 
+def test_columns_of_any_name_pass_through(spark):
+    """Names that stages use themselves: the rows are those of a run without them, and what they hold stays."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    given = [(i, f"{'a b c d e f g ' * (i % 4 + 1)} {i % 6}", "en", f"s{i % 2}", i) for i in range(24)]
+    docs = spark.createDataFrame(given, kinds)
+    names = ["accepted", "taken", "target", "source_size", "size", "mix_size", "row_no", "row_key", "doc", "kept", "id", "class", "digest", "file", "chars", "costs"]
+    more = docs.select("*", *[F.col("n_chars").alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, more = stored(stage(spark, docs, DIR), "test-plain"), stored(stage(spark, more, DIR), "test-clash")
+        assert more.columns == [*docs.columns, *names], name
+        assert rows(more.select(*docs.columns)) == rows(docs), name
+        assert more.where(" OR ".join(f"NOT {c} <=> n_chars" for c in names)).isEmpty(), name
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, more, DIR).count() == pack(spark, docs, DIR).count()
+
+
 def test_copies_of_null_and_repeated_ids_go(spark):
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
     long = " ".join(f"w{i}" for i in range(60))
