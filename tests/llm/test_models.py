@@ -1,7 +1,9 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, quality, queries
+from tidemark.llm import charlm, langid, quality, queries
 
 DIR = "/root/testdata/sf0.01"
 
@@ -64,17 +66,14 @@ def test_letters_of_any_script_stay_apart(spark):
     assert len(got) == len(rows) and all(r["lang"] == r["lang_pred"] for r in got)
 
 
-def test_costs_match_a_count_of_all_ngrams(spark):
-    from tidemark.llm import charlm
-
-    taught, asked = ["абаб ába", "ab абв"], ["абв ab", "щ", ""]
-    rows = spark.createDataFrame([(t, (i,)) for i, t in enumerate(asked)], "text string, row struct<i: int>")
-    labels, found = charlm.scored(spark.createDataFrame([("x", t) for t in taught], "label string, text string"), rows, 3)
-    levels = [{}, {}, {}]
+def brute_cost(taught, text, order):
+    """Mean -log p of the characters of text under a model of the taught texts, by counting all n-grams in plain Python."""
+    levels = [{} for _ in range(order)]
+    pad = " " * (order - 1)
     for t in taught:
-        for g in (("  " + t)[i : i + 3] for i in range(len(t))):
-            levels[2][g] = levels[2].get(g, 0) + 1
-    for k in (1, 0):
+        for g in ((pad + t)[i : i + order] for i in range(len(t))):
+            levels[-1][g] = levels[-1].get(g, 0) + 1
+    for k in reversed(range(order - 1)):
         for g in levels[k + 1]:
             levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
     size = len({g for t in taught for g in t}) + 1  # and one for all that is not known
@@ -90,11 +89,81 @@ def test_costs_match_a_count_of_all_ngrams(spark):
         n = level.get(g, 0)
         return (n - d[min(n, 3)]) / sum(after) + sum(d[min(c, 3)] for c in after) / sum(after) * p(g[1:]) if after else p(g[1:])
 
+    return -sum(np.log(p((pad + text)[i : i + order])) for i in range(len(text))) / max(1, len(text))
+
+
+def test_costs_match_a_count_of_all_ngrams(spark):
+    taught, asked = ["абаб ába", "ab абв"], ["абв ab", "щ", "", "𐐀б 𐐀"]
+    rows = spark.createDataFrame([(t, (i,)) for i, t in enumerate(asked)], "text string, row struct<i: int>")
+    labels, found = charlm.scored(spark.createDataFrame([("x", t) for t in taught], "label string, text string"), rows, 3)
     assert labels == ["x"]
     for r in found.collect():
         t = asked[r["row"]["i"]]
-        want = -sum(np.log(p(("  " + t)[i : i + 3])) for i in range(len(t))) / max(1, len(t))
-        assert r["chars"] == len(t) and abs(r["costs"][0] - want) < 1e-6  # the table holds 32-bit floats
+        assert r["chars"] == len(t) and abs(r["costs"][0] - brute_cost(taught, t, 3)) < 1e-6  # the table holds 32-bit floats
+
+
+def test_many_shards_change_no_cost(spark, monkeypatch):
+    """A table in many shards gives what one gives."""
+    r = np.random.default_rng(2)
+    texts = ["".join(r.choice(list("abcd é"), r.integers(0, 30))) for _ in range(40)]
+    rows = spark.createDataFrame([(t, (i,)) for i, t in enumerate(texts)], "text string, row struct<i: int>").coalesce(2)
+    taught = spark.createDataFrame([(str(i % 2), t) for i, t in enumerate(texts[:20])], "label string, text string")
+    monkeypatch.setattr(charlm, "SHARD", 5)
+    labels, found = charlm.scored(taught, rows, 3)
+    for x in found.collect():
+        for label, cost in zip(labels, x["costs"], strict=True):
+            want = brute_cost([t for i, t in enumerate(texts[:20]) if str(i % 2) == label], texts[x["row"]["i"]], 3)
+            assert abs(cost - want) < 1e-6
+
+
+def test_slices_and_chunks_hold_every_row_once():
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array(["a" * n for n in part], pa.string())], ["text"]) for part in ([3, 0, 7], [], [50, 1], [2, 2])]
+    old = charlm.SLICE, charlm.CHUNK
+    charlm.SLICE, charlm.CHUNK = 5, 12
+    try:
+        got = list(charlm.chunked(iter(batches)))
+    finally:
+        charlm.SLICE, charlm.CHUNK = old
+    assert [len(t) for b in got if b is not None for t in b.column("text").to_pylist()] == [3, 0, 7, 50, 1, 2, 2]
+    assert got[-1] is None and sum(b is None for b in got) == 2
+
+
+def test_perplexity_and_thresholds_like_brute_force(spark):
+    r = np.random.default_rng(4)
+    words = ["haus", "baum", "katze", "hund", "und", "der"]
+    rows = [(i, " ".join(r.choice(words, r.integers(1, 12))), "de") for i in range(60)] + [(100, "zzqx qqzz xxqz", "de"), (101, "haus baum", "de"), (101, "haus baum", "de"), (102, "der hund " * 30000, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    half = lambda i: zlib.crc32(str(i).encode()) % 2
+    taught = {h: [t for i, t, _ in rows if i < 60 and half(i) == h] for h in (0, 1)}
+    got = quality.classify(docs, labels, [F.col("doc_id"), F.col("text")]).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        if x["doc_id"] != 102:
+            assert abs(np.log(x["perplexity"]) - brute_cost(taught[1 - half(x["doc_id"])], x["text"], quality.ORDER)) < 1e-5
+        assert x["accepted"] == (x["low"] <= x["perplexity"] <= x["high"])
+    assert not next(x["accepted"] for x in got if x["doc_id"] == 100)
+    assert len({(x["perplexity"], x["accepted"]) for x in got if x["doc_id"] == 101}) == 1
+
+
+def test_language_of_least_cost_like_brute_force(spark):
+    taught = {"de": ["der hund und die katze", "das haus und der baum"], "en": ["the dog and the cat", "the house and the tree"]}
+    asked = ["und der hund", "the cat and", "a", "haus", "dog tree", "nothing known here"]
+    rows = [(i, t, lang) for lang, ts in taught.items() for i, t in enumerate(ts)] + [(10 + i, t, None) for i, t in enumerate(asked)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r["text"] for r in df.where(F.pmod(F.xxhash64("text"), F.lit(langid.CALIBRATION)) == 0).collect()}
+    teach = {k: [t for t in v if t not in held] or v for k, v in taught.items()}
+    for r in langid.identify(df, F.lit(True), keep=[F.col("doc_id"), F.col("text"), F.lit(1).alias("margin"), F.lit(2).alias("letters")]).where("doc_id >= 10").collect():
+        costs = {k: brute_cost(v, r["text"], langid.ORDER) for k, v in teach.items()}
+        assert r["lang_pred"] == min(sorted(costs), key=costs.get) and r["margin"] == 1 and r["letters"] == 2
+
+
+def test_languages_that_tie_go_by_the_first(spark):
+    rows = [(1, "abc abd", "yy"), (2, "abc abd", "xx"), (3, "abc", None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), keep=[F.col("doc_id")])
+    assert {r["lang_pred"] for r in got.collect()} == {"xx"}
 
 
 def test_thresholds_change_smoothly_with_a_languages_documents(spark):
