@@ -7,8 +7,8 @@ more: a string of LENGTH bytes over it also starts earlier (by document id, then
 2. Every start is filed under the least hash of the short strings inside its LENGTH bytes, so
    equal strings are filed alike. Starts whose file holds nothing else occur once and are
    left; this first look moves one narrow row for about every 35 bytes.
-3. The other starts go into suffix order, by their first LENGTH bytes (all that can decide), then
-   position. Previous and next smaller positions in that order, with the least common prefix on
+3. Of the other starts, those whose first LENGTH bytes have the fingerprint of another's (without one,
+   no factor is long enough) go into suffix order, by these bytes (all that can decide), then position. Previous and next smaller positions in that order, with the least common prefix on
    the way there, give the longest previous factor of every start, up to LENGTH (``factors``).
    Each task does so with its own texts first, and remembers strings that repeat, so that a
    passage of countless documents reaches the shuffle once a task; then files meet in groups of
@@ -163,11 +163,9 @@ def factors(data: np.ndarray, at: np.ndarray, position: np.ndarray, mark: np.nda
         return np.zeros(0, np.int32)
     index = np.lexsort((position, mark))
     new = _runs(mark[index])
-    head = index[np.maximum.accumulate(np.where(new, np.arange(len(index)), 0))]
-    words, odd = _words(data), np.zeros(len(index), bool)
-    for p in _PLACES:
-        odd |= words[at[index] + p] != words[at[head] + p]
-    if odd.any():  # different strings of one fingerprint: all strings get new ones, by their bytes
+    words, more = _words(data), np.flatnonzero(~new)
+    mine, head = at[index[more]], at[index[np.maximum.accumulate(np.where(new, np.arange(len(index)), 0))[more]]]
+    if any((words[mine + p] != words[head + p]).any() for p in _PLACES):  # different strings of one fingerprint: all strings get new ones, by their bytes
         view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
         return factors(data, at, position, np.unique(view[at], axis=0, return_inverse=True)[1].ravel().astype(_U))
     first = index[new]
@@ -187,6 +185,18 @@ def factors(data: np.ndarray, at: np.ndarray, position: np.ndarray, mark: np.nda
     return out
 
 
+def _settled(data: np.ndarray, at: np.ndarray, position: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which starts have a factor of LENGTH bytes, and which others have a string that such a one repeats."""
+    order = np.argsort(mark)
+    ends = np.flatnonzero(_runs(mark[order]))
+    several = np.repeat((n := np.diff([*ends, len(order)])) > 1, n)
+    some = order[several]
+    gone, first = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    gone[some] = factors(data, at[some], position[some], mark[some]) >= LENGTH
+    first[some] = ~gone[some]
+    return gone, first
+
+
 def _positions(key: np.ndarray, tie: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Numbers in the order of (key, tie) of the rows, then place."""
     order = np.lexsort((tie, key))
@@ -239,22 +249,19 @@ def _ship(groups: int):
             data, off = column(batch.column("text"))
             prefix, _, at, row, file = _starts(data, off)
             keys = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "id", "tie")}
-            wanted = np.zeros(len(at), bool)
-            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            for i, marks in enumerate(batch.column("files")):
-                marks = marks.values.to_numpy(zero_copy_only=False).view(_U)
-                wanted[edge[i] : edge[i + 1]] = np.isin(file[edge[i] : edge[i + 1]], marks)
+            shared = batch.column("files").flatten().to_numpy(zero_copy_only=False).view(_U)
+            begin = np.flatnonzero(_runs(file))  # neighbours mostly lie in one file
+            wanted = np.repeat(np.isin(file[begin], shared), np.diff([*begin, len(file)]))
             at, row, file = at[wanted], row[wanted], file[wanted]
             if not len(at):
                 continue
             place, mark = at - off[row], range_hash(prefix, at, at + LENGTH)
-            gone = factors(data, at, _positions(keys["id"], keys["tie"], row, place), mark) >= LENGTH
+            gone, first = _settled(data, at, _positions(keys["id"], keys["tie"], row, place), mark)
             view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
             where = (keys["id"][row], keys["tie"][row], place)
-            repeated = ~gone & np.isin(mark, mark[gone])
             gone |= known.earlier(view, at, mark, where)
-            repeated &= ~gone
-            known.add(view, at[repeated], mark[repeated], tuple(w[repeated] for w in where))
+            first &= ~gone
+            known.add(view, at[first], mark[first], tuple(w[first] for w in where))
             for part, sent in ((np.flatnonzero(gone), False), (np.flatnonzero(~gone), True)):
                 p, r, f = at[part], row[part], file[part]
                 begin = np.flatnonzero(_runs(r, p - np.arange(len(p)), f) if sent else _runs(r, p - np.arange(len(p))))
@@ -280,7 +287,7 @@ def _meet(table: pa.Table) -> pa.Table:
     at = base[row] + step
     value = {k: table.column(k).to_numpy() for k in ("doc", "id", "tie", "start")}
     place = value["start"][row] + step
-    gone = factors(data, at, _positions(value["id"], value["tie"], row, place), range_hash(rolled(data), at, at + LENGTH)) >= LENGTH
+    gone, _ = _settled(data, at, _positions(value["id"], value["tie"], row, place), range_hash(rolled(data), at, at + LENGTH))
     r, p = row[gone], place[gone]
     begin = np.flatnonzero(_runs(r, p - np.arange(len(p))))
     return pa.table({"doc": value["doc"][r[begin]], "start": p[begin], "count": np.diff([*begin, len(p)]).astype(np.int64)})
