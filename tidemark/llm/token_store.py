@@ -60,12 +60,16 @@ def _stored_rows(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes (doc_id, shard, row, ids) as ORC, ascending in doc_id over files and within them."""
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
+    """Writes (doc_id, shard, row, ids) as ORC, ascending in doc_id over files and within them.
+
+    shards: how many files, else as many as the session's shuffle has partitions (or fewer, as
+    adaptive execution joins small ones).
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
     # Texts split an id that many rows have, as a null one.
-    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(*([shards] if shards else []), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     tokens = ordered.mapInArrow(_stored_rows(tokenizer, end_id), STORE_SCHEMA)
     tokens.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "10000").orc(out)
 

@@ -63,9 +63,10 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
-        self.kind = self._kind()
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = sorted(t.content for t in added)
+        # An added token that is looked for in normalised text may stand behind other characters.
+        self.kind = "" if any(t.normalized for t in added) else self._kind()
         # With a byte-level split a piece carries the one space before it; otherwise white space only separates.
         self.first = Cache(lambda piece: self._new(piece, ""), entries)
         self.rest = Cache(lambda piece: self._new(piece, " "), entries) if self.kind == "bytes" else self.first
@@ -101,8 +102,9 @@ class PieceEncoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.added and self.added.search(text):
-            return self._encode(text)
+        for token in self.added:
+            if token in text:
+                return self._encode(text)
         if self.kind == "bytes":
             if "  " in text or " \n" in text or "\n " in text or (_OTHER_SPACE.search(text) and _UNEVEN.search(text)):
                 return self._encode(text)
