@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -96,6 +97,28 @@ def test_mix_meets_targets(spark, seed):
     assert sorted(map(key, again)) == sorted(map(key, got))
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_ids_in_deals_take_what_a_loop_takes(spark, monkeypatch, hot):
+    monkeypatch.setattr(mixing, "HOT", hot)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 4)
+    draw = random.Random(9)
+    rows = [(draw.choice([None, None, 1, 2, i]), draw.choice(["a", "b", None]), draw.choice([0, 3, 7])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("number", F.lit(1))
+    sizes = {}
+    for _, source, size in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    want, target = [], brute_targets(sizes)
+    for source, total in sizes.items():
+        start, budget = 0, math.floor(target[source] + 1e-9)
+        digest = lambda i: hashlib.md5(b"" if i is None else str(i).encode()).hexdigest()
+        for i, size in sorted(((i, n) for i, s, n in rows if s == source), key=lambda x: (digest(x[0]), x[0] is not None, x[0] or 0, x[1])):
+            epochs = budget // total
+            want.append((i, source, size, epochs * size + max(0, min(size, budget - epochs * total - start))))
+            start += size
+    got = [(r["doc_id"], r["source"], r["size"], r["taken"]) for r in mixing.mix(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_drawn_holds_the_words_taken(spark):
     df = spark.createDataFrame(corpus(4), "doc_id long, text string, source string").withColumn("size", mixing.words(F.col("text")))
     mixed = mixing.mix(df)

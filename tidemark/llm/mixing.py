@@ -3,11 +3,14 @@
 Every source gets a share of a token budget; within a source, documents are taken in the
 order of a hash of their id. The prefix sums that find the cut are distributed: each source
 is range-split by the leading hex digits of the hash, the sums of these ranges are small,
-and only within a range does a window run. No task sees a whole source.
+and only within a range does a window run. Rows of one id and size that are more than ``HOT`` (null
+ids above all) go through a range as one; their own places are counted in deals of a bounded
+number of rows. No task sees a whole source, or all rows of an id.
 
 Defined cases: null text has size 0; the null source is a source of its own, last in order;
 repeated rows are taken independently, ordered by (hash of id, id, size); sources of size 0
-get target 0; an empty table gives an empty result; other columns are carried along.
+get target 0; an empty table gives an empty result; other columns are carried along, but the three
+that are added must be free, else it raises.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import stored
+from .workspace import small, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Rows that one prefix window should hold, about.
 RANGE_ROWS = 20_000
+#: Rows of one id and size beyond which they are counted in deals.
+HOT = 5_000
 
 
 def words(text: Column) -> Column:
@@ -50,7 +55,7 @@ def targets(totals: DataFrame, share: float = 1.5, most: float = 2.0, weights: t
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> DataFrame:
-    """docs with source_size, target and taken; all other columns pass through.
+    """docs with source_size, target and taken; all other columns pass through. docs is stored once, so it should be narrow.
 
     taken is size times the whole epochs of its source, and once more (in part for the one
     document at the cut) up to the rest of the source's budget in hash order.
@@ -59,6 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     named = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"), key.alias("key"))
+    named = stored(named.withColumn("number", F.monotonically_increasing_id()), "mix-rows")
     sums = stored(named.groupBy("source", F.substring("key", 1, 6).alias("fine")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "mix-sums")
     totals = sums.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("rows").alias("rows"))
     plan = stored(targets(totals), "mix-targets")
@@ -69,14 +75,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     right = ranges.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("rank", F.col("source").alias("s"), F.col("bucket").alias("b"), "range_start", "source_size", "target")
-    left = named.withColumn("bucket", F.substring("key", 1, digits))
-    joined = left.join(right, left["source"].eqNullSafe(right["s"]) & (left["bucket"] == right["b"]))
+
+    hot = stored(named.groupBy("source", "id", "size", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "mix-hot")
+    some = not hot.isEmpty()
+    items = named.withColumn("weight", F.col("size"))
+    if some:
+        items = items.join(small(hot.select("source", "id", "size")), _same(items, hot), "left_anti")
+        items = items.unionByName(hot.select("source", "id", "size", "key", (F.col("size") * F.col("n")).alias("weight")), allowMissingColumns=True)
+    items = items.withColumn("bucket", F.substring("key", 1, digits))
+    joined = items.join(right, items["source"].eqNullSafe(right["s"]) & (items["bucket"] == right["b"]))
     inside = Window.partitionBy("rank", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    start = F.col("range_start") + F.coalesce(F.sum("weight").over(inside), F.lit(0))
+    placed = joined.select("row", "number", "source", "id", "size", "source_size", "target", start.alias("start"))
+    out = placed.where("number IS NOT NULL").select("row", "size", "source_size", "target", "start")
+    if some:
+        out = out.unionByName(_dealt(named, placed.where("number IS NULL").select("source", "id", "size", "source_size", "target", "start"), hot))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor("target") - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return joined.select("row", "source_size", "target", taken.cast("long").alias("taken")).select("row.*", "source_size", "target", "taken")
+    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
+    return out.select("row", "source_size", "target", taken.cast("long").alias("taken")).select("row.*", "source_size", "target", "taken")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["source"].eqNullSafe(b["source"]) & a["id"].eqNullSafe(b["id"]) & a["size"].eqNullSafe(b["size"])
+
+
+def _dealt(named: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of hot groups with their own starts: deals by a hash of the row's number, then the place in the deal."""
+    groups = stored(groups.join(hot.select("source", "id", "size", "n"), _same(groups, hot)).select(groups["source"], groups["id"], groups["size"], "source_size", "target", "start", "n").withColumn("group", F.monotonically_increasing_id()), "mix-groups")
+    deal = F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / RANGE_ROWS)).cast("int")
+    rows = named.join(small(groups), _same(named, groups)).select("row", "number", named["size"], "source_size", "target", "start", "group", deal.alias("deal"))
+    counts = rows.groupBy("group", "deal").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("group").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = rows.join(counts.select("group", "deal", before.alias("before")), ["group", "deal"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("group", "deal").orderBy("number")) - 1
+    return met.select("row", "size", "source_size", "target", (F.col("start") + place * F.col("size")).alias("start"))
 
 
 def drawn(mixed: DataFrame, text_col: str = "text", size_col: str = "size") -> DataFrame:
