@@ -11,7 +11,8 @@ Defined cases: a vector that is null, or holds null, NaN or infinity, takes no p
 does a row without an id, as a query or a candidate; a candidate with the query's own id is the query itself
 and not returned; vectors of another length than the query's are no candidates of it; rows repeated under one id
 count once per distinct vector; ties go to the smaller id. Components count as floor(scale * x); products are exact while
-they fit 64 bits (pruned in floating point below 2^52, whole in integers beyond).
+they fit 64 bits (pruned in floating point below 2^52, whole in integers beyond); larger ones are ranked exactly
+within a pair of blocks and returned as the nearest 64-bit number.
 """
 
 from __future__ import annotations
