@@ -95,6 +95,14 @@ def test_preview_and_guarded_math(spark):
     assert pipeline.preview(df, {"transforms": [step]}, 1).count() == 1
 
 
+@pytest.mark.parametrize("text", ["DROP TABLE t", "SELECT 1 +", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)"])
+def test_pipelines_in_sql_are_queries(spark, text):
+    with pytest.raises(ValueError):
+        pipeline.check_sql(spark, text)
+    df = spark.range(3)
+    assert pipeline.run_sql(spark, "WITH x AS (SELECT id + 1 AS n FROM {t}) SELECT sum(n) AS s FROM x", {"t": df}).first().s == 6
+
+
 def test_types():
     assert (dsl("Integer"), of_source("VARCHAR(20)"), of_source("decimal(10,2)")) == ("int", "string", "decimal(38,18)")
     assert widened("int", "double") == "double" and widened("int", "string") == "string" and compatible("int", "bigint") and not compatible("double", "int")

@@ -172,6 +172,16 @@ def profile(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
+def recommended(df: DataFrame, columns: list[str], few: int = 10, exact: bool = False) -> DataFrame:
+    """(column, rule): rules that a table meets: null_check without nulls, uniqueness where no value comes twice, enum_check of few values, range_check of numbers."""
+    kinds, found = dict(df.dtypes), profile(df, columns, exact)
+    number = F.col("column").isin([c for c in columns if kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))])
+    some = F.col("total") > 0
+    rules = {"null_check": some & (F.col("nulls") == 0), "uniqueness": some & (F.col("distinct") == F.col("total")), "enum_check": some & (F.col("distinct") <= few), "range_check": some & number & F.col("least").isNotNull()}
+    of = F.array_compact(F.array(*[F.when(c, r) for r, c in rules.items()]))
+    return found.select("column", F.explode(of).alias("rule"))
+
+
 def patterns(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """The commonest shapes of a text column: letters as A or a, digits as 9."""
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(column).cast("string"), r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"\d", "9")

@@ -459,6 +459,8 @@ case("dq_actions", "SELECT r.rule, r.type, total, failing, violated, severity, a
 case("dq_actions_pass", "SELECT event_id FROM events WHERE NOT (coalesce(value > 50, false) OR coalesce(NOT value + event_id > 20, false)) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id IS NULL)")(lambda t: quality.by_action(t("events"), _KIND_RULES)[0].select("event_id"))
 case("dq_two_references", "SELECT * FROM (SELECT count(*) AS total, count(*) FILTER (o_custkey % 5 = 0) AS a, count(*) FILTER (o_custkey % 7 = 0) AS b FROM orders), LATERAL (VALUES (0, 'referential_integrity', a, a > 0), (1, 'referential_integrity', b, b > 0)) r(rule, type, failing, violated)".replace("SELECT *", "SELECT rule, type, total, failing, violated", 1))(lambda t: quality.report(t("orders"), [{"type": "referential_integrity", "column": "o_custkey", "reference": t("orders").where(f"o_custkey % {n} <> 0").select("o_custkey")} for n in (5, 7)]))
 case("value_patterns", "SELECT regexp_replace(regexp_replace(regexp_replace(p_brand, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda t: quality.patterns(t("part"), "p_brand"))
+case("recommended_rules", """SELECT c AS "column", rule FROM (SELECT 'p_partkey' AS c, count(*) AS n, count(p_partkey) AS k, count(DISTINCT p_partkey) AS d, true AS num FROM part UNION ALL SELECT 'p_brand', count(*), count(p_brand), count(DISTINCT p_brand), false FROM part UNION ALL SELECT 'p_size', count(*), count(p_size), count(DISTINCT p_size), true FROM part),
+LATERAL (VALUES ('null_check', n = k), ('uniqueness', n = d), ('enum_check', d <= 10), ('range_check', num)) r(rule, ok) WHERE ok""")(lambda t: quality.recommended(t("part"), ["p_partkey", "p_brand", "p_size"], exact=True))
 case("json_quarantine", "SELECT event_id FROM events WHERE event_id % 10 = 0 AND props IS NOT NULL")(lambda t: pipeline.split_json(t("events").withColumn("props", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))), ["props"])[1].select("event_id"))
 
 # -- more of sources -----------------------------------------------------------------------------
@@ -521,3 +523,6 @@ case("range_density", "SELECT n_nationkey, CAST(round(15000 * (n_nationkey + 1)
 def range_admit(t: Tables) -> DataFrame:
     make = lambda rows: t("region").sparkSession.createDataFrame(rows, "path string, lo bigint, hi bigint")
     return ranges.admit(make([("a", 0, 100), ("b", 200, 300)]), make([("x", 10, 50), ("y", 90, 150), ("z", 150, 200), ("w", 300, None)])).select("path", "action")
+
+_PIPELINE_SQL = "SELECT o.o_orderstatus AS status, count(*) AS n, round(sum(l.l_quantity), 2) AS quantity FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderstatus"
+case("sql_pipeline", _PIPELINE_SQL.format(orders="orders", lineitem="lineitem"))(lambda t: pipeline.run_sql(t("orders").sparkSession, _PIPELINE_SQL, {"orders": t("orders"), "lineitem": t("lineitem")}))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import steps
@@ -72,6 +73,20 @@ def split_json(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]
     return df.where(~bad), df.where(bad)
 
 
+def check_sql(spark: SparkSession, text: str) -> str:
+    """The text of a pipeline if it is one query (tables in braces), as Spark's parser reads it; anything else raises."""
+    try:
+        spark._jsparkSession.sessionState().sqlParser().parseQuery(re.sub(r"\{(\w+)\}", r"\1", text))
+    except Exception as e:  # noqa: BLE001
+        raise ValueError(f"not a query: {str(e).strip()[:200]}") from None
+    return text
+
+
+def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A pipeline given as one query over named tables, put in as arguments: no view outlives it."""
+    return spark.sql(check_sql(spark, text), **tables)
+
+
 def preview(df: DataFrame, spec: dict | str, rows: int = 20) -> DataFrame:
     """The first rows through the real pipeline."""
     return run(df.limit(rows), spec).rows
