@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textops import mix
-from .workspace import stored
+from .workspace import lean, stored
 
 #: Code points in a chunk, and in the slices of it that are worked on at once.
 CHUNK, SLICE = 32 << 20, 1 << 19
@@ -101,6 +101,7 @@ class Grams:
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     """The rows of the batches in slices (one row at least), with a None after each chunk."""
+    lean()
     total = 0
     for batch in batches:
         begin = size = 0
@@ -115,6 +116,7 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None
         if begin < batch.num_rows:
             yield batch.slice(begin)
     yield None
+    lean()
 
 
 def _texts(batch: pa.RecordBatch | pa.Table) -> list[str]:
@@ -182,7 +184,7 @@ def model(counted: DataFrame, order: int) -> DataFrame:
 
 
 def _keyed(bits: int):
-    """Rows of the table by shard and hash, with p and backoff for each label in cells."""
+    """Rows of the table by shard and hash, with p and backoff for each label in cells, as bytes, NaN where null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +195,11 @@ def _keyed(bits: int):
             for k in np.unique(length):
                 of = np.flatnonzero(length == k)
                 key[of] = keys(points[(end[of] - k)[:, None] + np.arange(k)])
-            yield pa.record_batch([pa.array((key >> np.uint64(64 - bits)).astype(np.int64)), pa.array(key.view(np.int64)), batch.column("cells")], ["shard", "key", "cells"])
+            cells = batch.column("cells")
+            flat = cells.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            width = len(flat) // max(1, len(cells))
+            packed = pa.array([flat[i * width : (i + 1) * width].tobytes() for i in range(len(cells))], pa.binary())
+            yield pa.record_batch([pa.array((key >> np.uint64(64 - bits)).astype(np.int64)), pa.array(key.view(np.int64)), packed], ["shard", "key", "cells"])
 
     return run
 
@@ -338,6 +344,7 @@ def _priced(order: int, labels: int):
                     held.answers.append((known.as_py(), body.as_py()))
                 else:
                     yield held.priced(body.as_py())
+        lean()
 
     return run
 
@@ -353,7 +360,7 @@ def scored(taught: DataFrame, rows: DataFrame, order: int) -> tuple[list[str], D
     table = stored(table, "charlm-model")
     shards = max(8, -(-table.count() // SHARD))
     bits = (shards - 1).bit_length()
-    packed = table.select("gram", "cells").mapInArrow(_cells, "gram string, cells binary").mapInArrow(_keyed(bits), "shard long, key long, cells binary")
+    packed = table.select("gram", "cells").mapInArrow(_keyed(bits), "shard long, key long, cells binary")
     asked = rows.select("text").mapInArrow(_asked(order, bits), "chunk long, shard long, keys binary")
     both = packed.select("shard", F.lit(None).cast("long").alias("chunk"), "key", F.col("cells").alias("blob")).unionByName(asked.select("shard", "chunk", F.lit(None).cast("long").alias("key"), F.col("keys").alias("blob")))
     answers = both.repartition(1 << bits, "shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(_answers(len(labels)), "chunk long, keys binary, body binary")
@@ -362,12 +369,3 @@ def scored(taught: DataFrame, rows: DataFrame, order: int) -> tuple[list[str], D
     met = answers.unionByName(bodies.select("chunk", F.lit(None).cast("binary").alias("keys"), "body"))
     met = met.repartition("chunk").sortWithinPartitions("chunk", F.col("keys").isNull())
     return labels, met.mapInArrow(_priced(order, len(labels)), f"row {kind}, costs array<double>, chars long")
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrays of floats as bytes, NaN where null."""
-    for batch in batches:
-        held = batch.column("cells")
-        flat = held.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-        width = len(flat) // max(1, len(held))
-        yield pa.record_batch([batch.column("gram"), pa.array([flat[i * width : (i + 1) * width].tobytes() for i in range(len(held))], pa.binary())], ["gram", "cells"])

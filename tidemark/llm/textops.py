@@ -12,6 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .workspace import lean
+
 CHUNK = 2 << 20
 SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 U = np.uint64
@@ -52,6 +54,7 @@ def column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of about ``size`` bytes of text, at least a row each."""
+    lean()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,6 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK) -> I
             to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    lean()
 
 
 @lru_cache(maxsize=2)

@@ -18,7 +18,7 @@ from collections.abc import Callable
 _UNEVEN = re.compile(r" \s|\s ")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_LOADED: dict[tuple[str, int], PieceEncoder] = {}
+LOADED: dict[tuple[str, int], PieceEncoder] = {}
 
 # Letters of Latin-1 that normalisation leaves as they are, digits, and ASCII signs but the apostrophe.
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
@@ -118,6 +118,6 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """One encoder per Python worker and file."""
     key = (path, os.getpid())
-    if key not in _LOADED:
-        _LOADED[key] = PieceEncoder(path)
-    return _LOADED[key]
+    if key not in LOADED:
+        LOADED[key] = PieceEncoder(path)
+    return LOADED[key]

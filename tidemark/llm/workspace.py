@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def lean() -> None:
+    """For the start and end of a Python task: the worker, which Spark uses again, lets go of freed memory and of another operator's tokenizer."""
+    tokens = sys.modules.get("tidemark.llm.tokens")
+    if tokens and tokens.LOADED:
+        tokens.LOADED.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings (dots written as double underscores) for a block of code."""
