@@ -29,7 +29,8 @@ from .workspace import small, small_batches, stored
 
 #: Code points in an n-gram.
 ORDER = 4
-LOW, HIGH = 0.005, 0.995
+#: Quantiles of trusted documents: one in 500 of them is rejected.
+LOW, HIGH = 0.001, 0.999
 #: Trusted documents of a group that weigh as much as the wider group does.
 WEIGHT = 50
 
