@@ -56,6 +56,28 @@ def test_token_store_round_trip(spark, tmp_path):
     assert one.count() == 1 and "EqualTo(doc_id,3)" in one._jdf.queryExecution().toString()
 
 
+def scanned(df):
+    """Rows that the scan of df hands on, by its own count, after running it."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_statistics_and_bloom_filters_skip_stripes(spark, tmp_path):
+    docs = spark.createDataFrame([(2 * i, f"text {i}") for i in range(900)], "doc_id long, text string")
+    token_store.write_tokens(docs, f"{tmp_path}/t", public_tokenizers.path(FILES[0]), shards=3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ask = lambda condition: scanned(token_store.read_tokens(spark, f"{tmp_path}/t").where(condition).select("doc_id", "row"))
+        assert ask("doc_id >= 0") == 900
+        assert 0 < ask("doc_id = 4") < 500  # the other files' ranges exclude it
+        assert [ask(f"doc_id = {i}") for i in (101, 777, 1203)].count(0) >= 2  # odd ids lie in a file's range, but not in its Bloom filter
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @pytest.mark.parametrize("rows", [ROWS, []])
 def test_packing_covers_every_id_once(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, tier string")
