@@ -46,7 +46,8 @@ def sha256(normal: Column) -> Column:
 def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, file, row: every text with where it is found."""
     rows, place = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    if not re.search(r"\b(Generate|Expand|Join|Union)\b", docs._jdf.queryExecution().analyzed().toString()):  # these may make several rows of one
+    steps = set(re.findall(r"^[\s:+-]*(\w+)", docs._jdf.queryExecution().analyzed().toString(), re.M))
+    if steps <= {"Project", "Filter", "SubqueryAlias", "Relation"}:  # others may make several rows of one
         try:
             return rows.select("id", "text", *place)
         except AnalysisException:  # no read of files

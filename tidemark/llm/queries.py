@@ -86,7 +86,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from those outside the held-out third."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    found = langid.identify(table(spark, sf_dir, "documents"), fold != 1, keep=[F.col("doc_id"), (fold == 1).alias("held_out")])
+    found = langid.identify(table(spark, sf_dir, "documents"), fold != 1, keep=[F.col("doc_id"), F.coalesce(fold == 1, F.lit(False)).alias("held_out")])
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
