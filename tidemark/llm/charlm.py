@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textops import mix
-from .workspace import lean, stored
+from .workspace import lean, stored, tidy
 
 #: Code points in a chunk, and in the slices of it that are worked on at once.
 CHUNK, SLICE = 32 << 20, 1 << 19
@@ -368,4 +368,5 @@ def scored(taught: DataFrame, rows: DataFrame, order: int) -> tuple[list[str], D
     bodies = rows.select(F.col("row").cast(kind).alias("row"), "text").mapInArrow(_packed, "chunk long, body binary")
     met = answers.unionByName(bodies.select("chunk", F.lit(None).cast("binary").alias("keys"), "body"))
     met = met.repartition("chunk").sortWithinPartitions("chunk", F.col("keys").isNull())
+    tidy(rows.sparkSession)
     return labels, met.mapInArrow(_priced(order, len(labels)), f"row {kind}, costs array<double>, chars long")

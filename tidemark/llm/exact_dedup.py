@@ -15,14 +15,12 @@ the input play no part, whatever their names. Input that is no plain read of a P
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import scratch, settings, small, stored
+from .workspace import placed, readable_rows, scratch, settings, small, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Hits that one copy of the text that stays is compared with, about.
@@ -45,14 +43,7 @@ def sha256(normal: Column) -> Column:
 
 def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, file, row: every text with where it is found."""
-    rows, place = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    steps = set(re.findall(r"^[\s:+-]*(\w+)", docs._jdf.queryExecution().analyzed().toString(), re.M))
-    if steps <= {"Project", "Filter", "SubqueryAlias", "Relation"}:  # others may make several rows of one
-        try:
-            return rows.select("id", "text", *place)
-        except AnalysisException:  # no read of files
-            pass
-    return stored(rows, "dedup-input").select("id", "text", *place)
+    return placed(readable_rows(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text")]))
 
 
 def fingerprints(texts: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -97,7 +88,7 @@ def collisions(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, max_files: int | None = None) -> DataFrame:
-    """One row per row of docs: id, digest, keep_id, group_size, kept.
+    """One row per row of docs: id, digest, keep_id, group_size, kept, and file and row where it is found.
 
     Of texts equal without white space, the longest (in code points of the original), then the
     smallest id, stays.
@@ -111,7 +102,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
     members = prints.join(state, "digest").withColumn("kept", kept)
     bad = stored(collisions(texts, members), "dedup-collisions")
-    out = members.select("id", "digest", F.col("keep.id").alias("keep_id"), "group_size", "kept")
+    out = members.select("id", "digest", F.col("keep.id").alias("keep_id"), "group_size", "kept", "file", "row")
     if bad.isEmpty():
         return out
     return out.join(bad, "digest", "left_anti").unionByName(_by_bytes(texts, bad, digest))
@@ -123,4 +114,4 @@ def _by_bytes(texts: DataFrame, bad: DataFrame, digest: Callable[[Column], Colum
     rows = texts.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("points"), normal.alias("normal"), digest(normal).alias("digest"), "file", "row").join(bad, "digest", "left_semi")
     groups = rows.groupBy("digest", "normal").agg(F.min(_best()).alias("keep"), F.count("*").alias("group_size"))
     kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
-    return rows.join(groups, ["digest", "normal"]).select("id", "digest", F.col("keep.id").alias("keep_id"), "group_size", kept.alias("kept"))
+    return rows.join(groups, ["digest", "normal"]).select("id", "digest", F.col("keep.id").alias("keep_id"), "group_size", kept.alias("kept"), rows["file"], rows["row"])

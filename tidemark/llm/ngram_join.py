@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import trie
 from .components import components
 from .textops import column, shingles, slices
-from .workspace import discard, small, small_batches, stored
+from .workspace import discard, small, small_batches, stored, tidy
 
 GRAM = 5
 #: Passages of fewer shingles than this make no candidates.
@@ -115,8 +115,8 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _groups(live: DataFrame) -> DataFrame:
-    """(group, class) for every live class that has a key in common with another."""
+def _groups(live: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(group, class) for every live class that has a key in common with another; and the tables that it reads."""
     key = F.explode(F.expr("slice(sort_array(shared), 1, greatest(1, size(shared) - least + 1))"))
     keys = stored(live.select("class", "n", key.alias("key")).select("class", "n", "key.token"), "join-keys")
     heads = keys.groupBy("token").agg(F.min("class").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head")
@@ -124,24 +124,28 @@ def _groups(live: DataFrame) -> DataFrame:
     large = held.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select("component")
     whole = held.join(large, "component", "left_anti").select(F.col("component").alias("group"), F.col("node").alias("class"))
     rest = held.join(large, "component", "left_semi").select(F.col("node").alias("class"))
-    return whole.unionByName(keys.join(heads, "token").join(rest, "class", "left_semi").select(F.col("token").alias("group"), "class"))
+    return whole.unionByName(keys.join(heads, "token").join(rest, "class", "left_semi").select(F.col("token").alias("group"), "class")), [keys, held]
 
 
-def _links(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links that connect the live classes as all links would."""
-    grouped = stored(_groups(live).join(live.select("class", "n"), "class"), "join-members")
+def _links(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links that connect the live classes as all links would; and the tables that they are read from."""
+    groups, used = _groups(live)
+    grouped = stored(groups.join(live.select("class", "n"), "class"), "join-members")
+    for table in used:
+        discard(table)
     parts = grouped.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
     placed = grouped.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
     met = placed.select("group", "class", "n", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     met = met.select("group", "class", "n", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     tasks = max(8, -(-(met.agg(F.sum("n")).first()[0] or 0) // SHINGLES))
     spread = met.join(sets, "class").withColumn("task", F.pmod(F.xxhash64("group", "i", "j"), F.lit(tasks)))
-    return spread.groupBy("task").applyInPandas(_linked, "a long, b long")
+    return spread.groupBy("task").applyInPandas(_linked, "a long, b long"), [grouped]
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id (smallest id with the same set), component_id for every row of docs."""
     small_batches(docs.sparkSession)
+    tidy(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     own, found, draw = _classes(rows)
     tokens = found.where("class IS NOT NULL").select("class", F.explode("prefix").alias("token"))
@@ -149,13 +153,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     live = tokens.join(shared, "token").groupBy("class").agg(F.collect_set(F.struct("df", "token")).alias("shared"))
     classes = own.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     live = stored(live.join(classes, "class").withColumn("least", least(F.col("n"))).where(F.size("shared") >= F.col("least")), "join-live")
+    del tokens, shared
+    tidy(docs.sparkSession)
 
     reps = live.select(F.col("rep").alias("id")).where("id IS NOT NULL")
     wanted = rows.join(small(reps), "id", "left_semi").unionByName(rows.where("id IS NULL"))
     sets = wanted.select("text").mapInArrow(_sets(True, draw), "n int, class long, grams binary")
     sets = stored(sets.join(small(live.select("class")), "class", "left_semi").dropDuplicates(["class"]).select("class", "grams"), "join-sets")
-    final = components(_links(live, sets))
-    discard(sets)
+    links, used = _links(live, sets)
+    final = components(links)
+    for table in (sets, live, *used):
+        discard(table)
 
     named = own.join(final, own["class"] == final["node"], "left").select("id", "n", "class", F.coalesce("component", "class").alias("component"))
     named = stored(named, "join-members")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one side that a join may broadcast; beyond it the join shuffles.
@@ -42,6 +43,36 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect garbage, so that Spark deletes the shuffle files of plans that are gone before more are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def readable_rows(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """columns of docs, as a plain read of a Parquet table (``placed`` can say where its rows are); stored, if docs is none."""
+    steps = set(re.findall(r"^[\s:+-]*(\w+)", docs._jdf.queryExecution().analyzed().toString(), re.M))
+    # Other steps may make several rows of one.
+    plain = steps <= {"Project", "Filter", "SubqueryAlias", "Relation"} and docs.inputFiles() and "_metadata" not in docs.columns
+    rows = docs.select(*columns)
+    return rows if plain else stored(rows, "rows")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Readable rows with the file and the row in it where they are found, which a retry finds again."""
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def file_numbers(rows: DataFrame) -> DataFrame:
+    """(file, file_no) of the files of placed rows."""
+    return stored(rows.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file"))), "files")
+
+
+def numbered(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Placed rows with row_no, a number of their own."""
+    return rows.join(small(files), "file").withColumn("row_no", F.shiftleft(F.col("file_no").cast("long"), 40) + F.col("row")).drop("file_no")
+
+
 def small_batches(spark: SparkSession, size: str = "16m") -> None:
     """Bounds the bytes of an Arrow batch that goes to a Python task, unless the session already does."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str((1 << 31) - 1)):
