@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, mixing, ngram_join, packing, quality
 from tidemark.llm.queries import table, tokenizer_file
-from tidemark.llm.workspace import small, stored
+from tidemark.llm.workspace import file_numbers, numbered, placed, readable_rows, small, stored
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc, the whole row, whatever its columns are called, and row_no, a number of its own; stored, so that numbers stay."""
-    return stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row_no")), "pipeline-rows")
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows as doc, whatever their columns are called; the same with row_no, a number of their own; and the numbers of their files."""
+    rows = readable_rows(docs, [F.struct("*").alias("doc")])
+    files = file_numbers(placed(rows))
+    return rows, numbered(placed(rows), files), files
 
 
 def _part(keyed: DataFrame, *columns: str) -> DataFrame:
@@ -27,34 +29,32 @@ def _only(keyed: DataFrame, kept: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    keyed = _keyed(docs)
-    judged = quality.classify(_part(keyed, "doc_id", "lang", "text"), table(spark, sf_dir, "labels"), [F.col("row_no")])
-    return _only(keyed, judged.where("accepted").select("row_no"))
-
-
-def _row_key() -> Column:
-    """Orders rows by id, null ids last, then by number."""
-    return F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").alias("doc_id"), "row_no").alias("row_key")
+    rows, keyed, files = _rows(docs)
+    given = placed(rows).select("file", "row", *[F.col(f"doc.`{c}`").alias(c) for c in ("doc_id", "lang", "text")])
+    judged = quality.classify(given, table(spark, sf_dir, "labels"), [F.col("file"), F.col("row")])
+    return _only(keyed, numbered(judged.where("accepted").select("file", "row"), files).select("row_no"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of exact copies."""
-    keyed = _keyed(docs)
-    found = exact_dedup.exact_dedup(keyed.select(_row_key(), F.col("doc.text").alias("text")), id_col="row_key")
-    return _only(keyed, found.where("kept").select("id.row_no"))
+    rows, keyed, files = _rows(docs)
+    key = F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").alias("doc_id")).alias("key")
+    found = exact_dedup.exact_dedup(rows.select(key, F.col("doc.text").alias("text")), id_col="key")
+    return _only(keyed, numbered(found.where("kept").select("file", "row"), files).select("row_no"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each group that links of similarity 0.8 join."""
-    keyed = _keyed(docs)
+    _, keyed, _ = _rows(docs)
     found = ngram_join.join(_part(keyed, "text"), id_col="row_no").select(F.col("id").alias("row_no"), "component_id")
-    first = found.join(keyed.select("row_no", _row_key()), "row_no").groupBy("component_id").agg(F.min("row_key").alias("first"))
+    key = F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").alias("doc_id"), "row_no").alias("row_key")  # null ids last
+    first = found.join(keyed.select("row_no", key), "row_no").groupBy("component_id").agg(F.min("row_key").alias("first"))
     return _only(keyed, first.select("first.row_no"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix draws: repeated epochs are rows again, a document at a cut keeps its first words."""
-    keyed = _keyed(docs)
+    _, keyed, _ = _rows(docs)
     sized = stored(_part(keyed, "doc_id", "source", "text").withColumn("size", mixing.words(F.col("text"))).drop("text"), "pipeline-sizes")
     taken = stored(mixing.mix(sized).where("taken > 0").select("row_no", "size", "taken"), "pipeline-taken")
     drawn = mixing.drawn(keyed.join(small(taken), "row_no").select("doc", F.col("doc.text").alias("text"), "size", "taken"))
