@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable
 
 _UNEVEN = re.compile(r" \s|\s ")
@@ -34,6 +35,7 @@ def _byte_signs() -> dict[int, int]:
 
 
 _SIGN_OF_BYTE = _byte_signs()
+_SPACE = chr(_SIGN_OF_BYTE[32])
 
 
 class Cache(dict):
@@ -63,6 +65,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
+        self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = sorted(t.content for t in added)
         # An added token that is looked for in normalised text may stand behind other characters.
@@ -87,9 +90,12 @@ class PieceEncoder:
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _new(self, piece: str, before: str) -> bytes:
+        if piece.isascii() and piece.isalpha():  # one run, whose bytes stand for themselves
+            run = (_SPACE + piece if before else piece) if self.kind == "bytes" else piece.lower()
+            return self._packed([t.id for t in self.model.tokenize(run)])
         if not _PLAIN[self.kind].fullmatch(piece):
             return self._encode(before + piece)
         first, *rest = _RUNS[self.kind].findall(piece)
@@ -97,7 +103,7 @@ class PieceEncoder:
             return (self.rest if before else self.first)[first] + b"".join(map(self.first.__getitem__, rest))
         run = (before + piece) if self.kind == "bytes" else piece.lower()
         signs = run.encode().decode("latin-1").translate(_SIGN_OF_BYTE)
-        return self._packed([t.id for t in self.tokenizer.model.tokenize(signs)])
+        return self._packed([t.id for t in self.model.tokenize(signs)])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
