@@ -262,6 +262,7 @@ def _answers(labels: int):
                     out.append((rows.column("chunk")[i].as_py(), wanted[hit].tobytes(), table[1][place[hit]].tobytes()))
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.binary()], strict=True)], ["chunk", "keys", "body"])
+        lean()
 
     return run
 

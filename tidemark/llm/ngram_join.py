@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import trie
 from .components import components
 from .textops import column, shingles, slices
-from .workspace import discard, small, small_batches, stored, tidy
+from .workspace import discard, lean, small, small_batches, stored, tidy
 
 GRAM = 5
 #: Passages of fewer shingles than this make no candidates.
@@ -105,6 +105,7 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 def _linked(frame: pd.DataFrame) -> pd.DataFrame:
     """Links of the parts that meet in one task."""
+    lean()
     out = []
     for (_, i, j), g in frame.groupby(["group", "i", "j"], sort=False):
         g = g.drop_duplicates(["part", "class"])
@@ -112,6 +113,8 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [[np.frombuffer(b, np.uint64) for b in side["grams"]] for side in sides]
         name = np.concatenate([side["class"].to_numpy() for side in sides])
         out += [(name[a], name[b]) for a, b in trie.links(*sets)]
+        del g, sides, sets
+    lean()
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 

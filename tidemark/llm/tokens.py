@@ -16,9 +16,13 @@ import re
 import struct
 from collections.abc import Callable
 
+from .workspace import lean
+
 _UNEVEN = re.compile(r" \s|\s ")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Pieces that a cache holds, by kind of tokenizer.
+ENTRIES = {"bytes": 600_000, "words": 400_000}
 LOADED: dict[tuple[str, int], PieceEncoder] = {}
 
 # Letters of Latin-1 that normalisation leaves as they are, digits, and ASCII signs but the apostrophe.
@@ -59,7 +63,7 @@ class PieceEncoder:
     With plain_specials the strings of added tokens are ordinary text.
     """
 
-    def __init__(self, path: str, entries: int = 600_000, plain_specials: bool = False):
+    def __init__(self, path: str, entries: int | None = None, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,6 +74,7 @@ class PieceEncoder:
         self.added = sorted(t.content for t in added)
         # An added token that is looked for in normalised text may stand behind other characters.
         self.kind = "" if any(t.normalized for t in added) else self._kind()
+        entries = entries or ENTRIES.get(self.kind, 0)
         # With a byte-level split a piece carries the one space before it; otherwise white space only separates.
         self.first = Cache(lambda piece: self._new(piece, ""), entries)
         self.rest = Cache(lambda piece: self._new(piece, " "), entries) if self.kind == "bytes" else self.first
@@ -123,6 +128,7 @@ class PieceEncoder:
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder per Python worker and file."""
+    lean(keep_tokenizer=True)
     key = (path, os.getpid())
     if key not in LOADED:
         LOADED[key] = PieceEncoder(path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,7 +74,7 @@ def numbered(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(small(files), "file").withColumn("row_no", F.shiftleft(F.col("file_no").cast("long"), 40) + F.col("row")).drop("file_no")
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bounds the bytes of an Arrow batch that goes to a Python task, unless the session already does."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str((1 << 31) - 1)):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -87,13 +88,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def lean() -> None:
+def lean(keep_tokenizer: bool = False) -> None:
     """For the start and end of a Python task: the worker, which Spark uses again, lets go of freed memory and of another operator's tokenizer."""
     tokens = sys.modules.get("tidemark.llm.tokens")
-    if tokens and tokens.LOADED:
+    if tokens and tokens.LOADED and not keep_tokenizer:
         tokens.LOADED.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library can give freed pages back
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 @contextmanager
