@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, license_scan, mixing, ngram_join, packing, quality, repeats, token_store, topk
+from . import divergence, exact_dedup, langid, lexical, license_scan, mixing, ngram_join, packing, quality, repeats, secret_scan, token_store, topk
 from .oracles import ORACLE_SQL
 from .workspace import scratch, stored
 
@@ -96,4 +96,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all documents for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source is from every other one of its language, and by which terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets. A source is the owner, and each of its languages a repository of it."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), F.col("source"), F.struct("source", "lang"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owned", "n_live", "n_copied")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
