@@ -111,7 +111,7 @@ def fitted(rows: DataFrame, count: int, terms: int) -> tuple[np.ndarray, np.ndar
         weights, bounds = bisection.fit(doc, term, len(frame), terms, depth)
         return pd.DataFrame({"node": np.arange(len(bounds)), "weights": [w.tobytes() for w in weights], "bound": bounds})
 
-    nodes = rows.where(F.rand(7) < SAMPLE / count).select("terms").groupBy(F.lit(0)).applyInPandas(run, "node int, weights binary, bound double").orderBy("node").collect()
+    nodes = rows.where(F.rand(7) < SAMPLE / count).select("terms", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "node int, weights binary, bound double").orderBy("node").collect()
     if not nodes:
         return np.zeros((0, terms), np.float32), np.zeros(0)
     return np.stack([np.frombuffer(r.weights, np.float32) for r in nodes]), np.array([r.bound for r in nodes])

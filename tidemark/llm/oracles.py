@@ -88,14 +88,14 @@ ORACLE_SQL["op6_source_mix"] = f"WITH {_MIX.format(docs='documents')} SELECT * F
 
 ORACLE_SQL["op11_lexical_search"] = r"""
 WITH term AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS pattern, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper, 'abcdefghijklmnopqrstuvwxyz' AS lower),
-d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), upper, lower), pattern) AS words FROM documents, term),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), upper, lower), pattern) AS words FROM documents, term),
 q AS (SELECT item_id, t, count(*) AS asked FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), upper, lower), pattern)) AS t FROM benchmark, term) GROUP BY 1, 2),
 s AS (SELECT count(*) AS docs, sum(len(words)) AS l FROM d WHERE len(words) > 0),
-tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(words) AS n, unnest(words) AS t FROM d) GROUP BY 1, 2, 3),
+tf AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, len(words) AS n, unnest(words) AS t FROM d) GROUP BY ALL),
 w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, s GROUP BY t, docs),
 score AS (
-  SELECT item_id, doc_id, CAST(sum(asked * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l)))) AS BIGINT) AS score
-  FROM q JOIN tf USING (t) JOIN w USING (t), s GROUP BY 1, 2),
+  SELECT item_id, row, doc_id, CAST(sum(asked * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN w USING (t), s GROUP BY 1, 2, 3),
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0)
 SELECT * FROM r WHERE rank <= 10
 """
