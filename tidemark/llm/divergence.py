@@ -133,6 +133,7 @@ def sparse(source: np.ndarray, term: np.ndarray, count: np.ndarray, terms: int,
             g, h = source[x], source[y]
             both = differences(p[x], p[y]) - differences(p[x], base[h]) - differences(base[g], p[y]) + common[g, h]
             np.add.at(out, (g, h), both)
+    np.fill_diagonal(out, 0)
     return out
 
 
