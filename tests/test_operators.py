@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import apply, changes, metrics, quality, ranges, schemas
+from tidemark.operators import apply, changes, metrics, quality, ranges, schemas, sweep
 from tidemark.sources import clean, logs
 from tidemark.streaming import runner
 
@@ -101,6 +101,8 @@ def test_event_log(spark, tmp_path):
     assert rows(got.where("line IS NULL").select("ts_ms", F.get_json_object("after", "$.id"))) == [(i, str(i)) for i in range(4)]
     assert rows(got.where("line IS NOT NULL").select("line")) == [("broken",)]
     assert read("new", datetime(2999, 1, 1)).count() == 0
+    with pytest.raises(ValueError):
+        read("newest", "latest")
     (tmp_path / "log" / "2.jsonl").write_text(lines)
     assert read("all").count() == 9  # what was read before is not read again
 
@@ -122,7 +124,7 @@ def test_a_failing_sink_is_tried_again_and_then_its_batch_is_set_aside(spark, tm
         if len(seen) <= bad:
             raise OSError("away")
 
-    runner.retried(sink, 4, 1.0, 3.0, sleep=pauses.append)(df, 7)
+    runner.retried(sink, 4, 1.0, 3.0, sleep=pauses.append, chance=lambda: 0.5)(df, 7)
     assert seen == [7] * 4 and pauses == [1.0, 2.0, 3.0]
     with pytest.raises(OSError):
         runner.retried(lambda *_: sink(*_, bad=99), 2, sleep=pauses.append)(df, 8)
@@ -167,7 +169,7 @@ def test_a_failed_swap_loses_no_table():
 
 def test_small_files_are_rewritten(spark, tmp_path):
     spark.range(100).repartition(10).write.parquet(f"{tmp_path}/t")
-    assert apply.rewrite_small(spark, f"{tmp_path}/t") == 1
+    assert apply.compact(spark, f"{tmp_path}/t") == {"before": 10, "after": 1, "rewritten": 10}
     held = spark.read.parquet(f"{tmp_path}/t")
     assert held.count() == 100 and len(held.inputFiles()) == 1
 
@@ -238,7 +240,7 @@ def test_overlaps_like_brute_force(spark, seed):
 
 
 def test_positions_and_averages_like_a_loop(spark, monkeypatch):
-    monkeypatch.setattr(metrics, "WINDOW_ROWS", 7)
+    monkeypatch.setattr(sweep, "PART_ROWS", 7)
     r = random.Random(5)
     data = [(r.choice(["a", "b", None]), i, float(r.randrange(50))) for i in range(100)]
     r.shuffle(data)

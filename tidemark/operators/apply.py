@@ -5,11 +5,14 @@ Operators return the new table as a plan; ``replace`` puts it in the place of a
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
+
 #: Sync modes and the shorter names they also go by (fixed values).
 MODES = {"full_refresh_overwrite", "full_refresh_append", "incremental_append", "incremental_append_deduped", "cdc_incremental_deduped_history"}
 #: Write modes (fixed values).
@@ -79,15 +82,40 @@ def empty(mode: str, batch: DataFrame) -> DataFrame:
     return batch.where("false")
 
 
-def newest(batch: DataFrame, keys: list[str], cursor: str | None = None) -> DataFrame:
-    """One row a key: the greatest by cursor, then by all other columns as text, so that reruns agree."""
+def newest(batch: DataFrame, keys: list[str], order: list[str] | str | None = None) -> DataFrame:
+    """One row a key: the last by order. Where rows tie, or without an order, the row that the batch's plan brings last."""
+    order = [order] if isinstance(order, str) else order or []
     rest = [c for c in batch.columns if c not in keys]
-    rank = F.struct(*([F.col(cursor)] if cursor else []), F.to_json(F.struct(*rest)) if rest else F.lit(0))
-    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest) if rest else F.lit(0), rank).alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*batch.columns)
+    arrived = batch.withColumn("__arrived", F.monotonically_increasing_id())
+    rank = F.struct(*order, "__arrived")
+    return arrived.groupBy(*keys).agg(F.max_by(F.struct(*rest) if rest else F.lit(0), rank).alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*batch.columns)
+
 
+def coerced(table: DataFrame, batch: DataFrame, keys: list[str], tries: int = 3) -> tuple[DataFrame, DataFrame]:
+    """table and batch of one schema: the batch in the table's types, where its values fit them; a column with a value that does not is text in both.
 
-def sync(mode: str, table: DataFrame | None, batch: DataFrame, keys: list[str] | None = None, cursor: str | None = None, loaded_at: Column | None = None) -> DataFrame:
-    """The table after a batch under one of MODES (or an alias of one); without a table, after its first batch."""
+    A key never changes its type: a key value that does not fit raises, and so does what still does not fit after tries.
+    """
+    shared = [c for c in table.columns if c in batch.columns]
+    for _ in range(tries):
+        kinds = dict(table.dtypes)
+        misfit = [F.bool_or(F.col(c).isNotNull() & F.col(c).try_cast(kinds[c]).isNull()).alias(c) for c in shared if kinds[c] != "string" and dict(batch.dtypes)[c] != kinds[c]]
+        bad = [c for c, v in (batch.agg(*misfit).first().asDict() if misfit else {}).items() if v]
+        if not bad:
+            return table, batch.withColumns({c: F.col(c).cast(kinds[c]) for c in shared if dict(batch.dtypes)[c] != kinds[c]})
+        if held := [c for c in bad if c in keys]:
+            raise ValueError(f"values of the keys {held} do not fit the table")
+        table = table.withColumns({c: F.col(c).cast("string") for c in bad})
+        batch = batch.withColumns({c: F.col(c).cast("string") for c in bad})
+    raise ValueError(f"{bad} still do not fit after {tries} tries")
+
+
+def sync(mode: str, table: DataFrame | None, batch: DataFrame, keys: list[str] | None = None, cursor: str | None = None, loaded_at: Column | None = None, order: list[str] | None = None) -> DataFrame:
+    """The table after a batch under one of MODES (or an alias of one); without a table, after its first batch.
+
+    Of rows of one key (for history: of one key and instant) the last stays, by cursor and by order, the columns that
+    number changes; where these tie, the one that the batch brings last.
+    """
     mode = ALIASES.get(mode.lower(), mode.lower())
     if mode not in MODES:
         raise ValueError(f"unknown sync mode {mode!r}")
@@ -101,12 +129,16 @@ def sync(mode: str, table: DataFrame | None, batch: DataFrame, keys: list[str] |
     if not keys or set(keys) - set(batch.columns):
         raise ValueError(f"{mode} needs its keys in the batch")
     if mode == "cdc_incremental_deduped_history":
-        return scd2(table, batch, keys)
-    return upsert(table, newest(batch, keys, cursor), keys)
+        known = batch if order is None else batch.drop(*[c for c in order if c not in (*table.columns, "op", "valid_from")])
+        return scd2(table, newest(batch, [*keys, "valid_from"], order).select(*known.columns), keys)
+    return upsert(table, newest(batch, keys, [*([cursor] if cursor else []), *(order or [])]), keys)
+
 
+def write(mode: str, table: DataFrame | None, batch: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """The table after a batch under one of WRITES; merge takes compacted events with an op, the others take rows.
 
-def write(mode: str, table: DataFrame | None, batch: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The table after a batch under one of WRITES; merge takes events with an op, the others take rows."""
+    Of rows of one key, upsert takes the last by order, or the one that the batch brings last.
+    """
     if mode not in WRITES:
         raise ValueError(f"unknown write mode {mode!r}")
     if mode == "replace":
@@ -116,7 +148,7 @@ def write(mode: str, table: DataFrame | None, batch: DataFrame, keys: list[str]
         return table.unionByName(batch, allowMissingColumns=True)
     if not keys:
         raise ValueError(f"{mode} needs keys")
-    return upsert(table, newest(batch, keys), keys) if mode == "upsert" else scd1(table, batch, keys)
+    return upsert(table, newest(batch, keys, order), keys) if mode == "upsert" else scd1(table, batch, keys)
 
 
 def since(df: DataFrame, cursor: str, mark) -> DataFrame:
@@ -155,15 +187,91 @@ def swap(fs, temp, target, old) -> None:
         fs.delete(old, True)
 
 
-def rewrite_small(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> int:
-    """Rewrites a table's files to about target_bytes each, if it has more files than that takes; returns the files it wants."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    held = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at)
-    wanted = max(1, -(-held.getLength() // target_bytes))
-    df = spark.read.parquet(path)
-    if len(df.inputFiles()) > wanted:
-        replace(df.coalesce(wanted), path)
-    return wanted
+def bins(sizes: dict[str, int], target: int) -> list[list[str]]:
+    """Files below three quarters of target, packed into bins of about target, each bin from one folder: two files or more each."""
+    small, out = {}, []
+    for path, size in sorted(sizes.items()):
+        if size < target * 3 // 4:
+            small.setdefault(path.rpartition("/")[0], []).append((size, path))
+    for found in small.values():
+        free: list[list] = []  # room left, files
+        for size, path in sorted(found, reverse=True):
+            place = next((b for b in free if b[0] >= size), None)  # first fit, the largest first
+            if place is None:
+                free.append(place := [target, []])
+            place[0] -= size
+            place[1].append(path)
+        out += [paths for _, paths in free if len(paths) > 1]
+    return out
+
+
+def compact(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> dict[str, int]:
+    """Rewrites the small Parquet files of a table, folder by folder, to about target_bytes each; large files and folders stay.
+
+    Only file names and sizes pass through the driver. A task writes one bin's files as one. What replaces what is
+    first written to a journal beside the data, which ``finish_compaction`` carries on after a crash; for a
+    moment a reader may miss a bin's rows, as there is no table format. Returns files before, after and rewritten.
+    """
+    finish_compaction(spark, path)
+    sizes = storage.files(spark, path)
+    packed = bins(sizes, target_bytes)
+    if not packed:
+        return {"before": len(sizes), "after": len(sizes), "rewritten": 0}
+    work = f"{path}/_compact-{uuid.uuid4().hex}"
+    of = spark.createDataFrame([(f, i) for i, paths in enumerate(packed) for f in paths], "file string, bin int")
+    rows = spark.read.parquet(*[f for paths in packed for f in paths]).select("*", F.col("_metadata.file_path").alias("__file"))
+    name = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    met = rows.join(of.withColumnRenamed("bin", "__bin"), name(F.col("__file")) == name(F.col("file"))).drop("__file", "file")
+    met.repartition(len(packed), "__bin").write.partitionBy("__bin").parquet(f"{work}/rows")
+    held = storage.files(spark, f"{work}/rows")
+    moves = []
+    for i, paths in enumerate(packed):
+        new = [f for f in held if f"/__bin={i}/" in f]
+        folder = paths[0].rpartition("/")[0]
+        moves.append({"old": paths, "new": [[f, f"{folder}/compacted-{uuid.uuid4().hex}.parquet"] for f in new]})
+    storage.put_text(spark, f"{path}/_compaction.json", json.dumps({"work": work, "moves": moves}))
+    finish_compaction(spark, path)
+    return {"before": len(sizes), "after": len(storage.files(spark, path)), "rewritten": sum(map(len, packed))}
+
+
+def finish_compaction(spark: SparkSession, path: str) -> bool:
+    """Carries out the moves of a compaction's journal, if there is one: old files go, new ones take their place. May be repeated."""
+    journal = f"{path}/_compaction.json"
+    if not (held := storage.get_text(spark, journal)):
+        return False
+    plan = json.loads(held)
+    for move in plan["moves"]:
+        for old in move["old"]:
+            storage.delete(spark, old)
+        for new, to in move["new"]:
+            fs, at = storage.located(spark, new)
+            target = storage.located(spark, to)[1]
+            if fs.exists(at) and not fs.rename(at, target):
+                raise OSError(f"{new} could not be moved to {to}")
+    storage.delete(spark, journal)
+    storage.delete(spark, plan["work"])
+    return True
+
+
+def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Replaces only those partitions of a stored table that df has rows for; the files of all others stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def touched(spark: SparkSession, path: str, by: str, values: list) -> DataFrame:
+    """A stored table's rows in some of its partitions: only their files are read."""
+    return spark.read.parquet(path).where(F.col(by).isin(values))
+
+
+def bucketed(df: DataFrame, table: str, keys: list[str], buckets: int = 64, mode: str = "overwrite") -> DataFrame:
+    """Writes or appends to a table that is bucketed and sorted by its keys: joins and groups by them exchange only the other side."""
+    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def record(entries: DataFrame, path: str, at: str = "created_at") -> None:
+    """Appends entries to a stored audit table, which is partitioned by their day."""
+    entries.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
 
 
 def audit(table: DataFrame | None, entries: DataFrame, at: str = "created_at") -> DataFrame:

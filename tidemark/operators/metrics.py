@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .apply import upsert
+from .sweep import positions
 
-#: Rows that one window of positions should hold, about.
-WINDOW_ROWS = 1_000_000
 #: Time ranges of views (fixed values).
 RANGES = {"1h": timedelta(hours=1), "24h": timedelta(hours=24), "7d": timedelta(days=7), "30d": timedelta(days=30)}
 
@@ -36,33 +35,6 @@ def trend(today: Column, before: Column) -> Column:
     return F.when(today > before * 1.2, "increasing").when(today < before * 0.8, "decreasing").otherwise("stable")
 
 
-def smoothed(values: Column, alpha: float = 0.3) -> Column:
-    """Exponential moving average over an ordered array."""
-    first = values[0].cast("double")
-    return F.aggregate(values, first, lambda acc, x: acc * (1 - alpha) + x.cast("double") * alpha)
-
-
-def positions(df: DataFrame, by: list[str], order: str, ties: list[str] | None = None) -> DataFrame:
-    """df with position (from 1, by order and ties) and size of each group.
-
-    Groups are cut by quantiles of the order over all rows; the cuts' counts are summed up in a
-    small table, and only within a cut does a window run, so a group of any size is no task's own.
-    """
-    cuts = max(1, -(-df.count() // WINDOW_ROWS))
-    at = F.col(order).cast("double")
-    bounds = df.agg(F.percentile_approx(at, [i / cuts for i in range(1, cuts)], 10_000)).first()[0] if cuts > 1 else []
-    cut = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < at)) if bounds else F.lit(0)
-    placed = df.withColumn("__cut", cut)
-    groups = by or [F.lit(0)]
-    counts = placed.groupBy(*by, "__cut").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "size": F.sum("__n").over(Window.partitionBy(*groups))}).drop("__n")
-    names = {b: f"__by{i}" for i, b in enumerate([*by, "__cut"])}
-    met = placed.join(counts.withColumnsRenamed(names), [F.col(b).eqNullSafe(F.col(n)) for b, n in names.items()])
-    inside = Window.partitionBy(*by, "__cut").orderBy(order, *(ties or []))
-    return met.select(*df.columns, (F.col("__before") + F.row_number().over(inside)).alias("position"), "size")
-
-
 def moving_average(df: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.3, ties: list[str] | None = None) -> DataFrame:
     """The exponential moving average of each group after its last row: a sum of all rows, each weighed by its position."""
     age = F.col("size") - F.col("position")
@@ -132,3 +104,66 @@ def anomalies(df: DataFrame, value: str, by: list[str], z: float = 3.0) -> DataF
     """Rows further than z deviations from their group's mean."""
     stats = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev(value).alias("dev"))
     return df.join(stats, by).where(F.abs(F.col(value) - F.col("mean")) > z * F.col("dev"))
+
+
+def buckets(samples: DataFrame, by: list[str], ts: str = "ts", value: str = "value", size: str = "5 minutes") -> DataFrame:
+    """by, start, value: means of windows of event time; what rules over time look at, so that a busy group is as long as its time."""
+    return samples.groupBy(F.window(ts, size).alias("w"), *by).agg(F.avg(value).alias("value")).select(*by, F.col("w.start").alias("start"), "value")
+
+
+def daily(events: DataFrame, ts: str = "ts") -> DataFrame:
+    """day, n, trend: events a day, against those of the day before."""
+    days = events.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
+    before = days.select(F.date_add("day", 1).alias("day"), F.col("n").alias("before"))
+    return days.join(before, "day", "left").select("day", "n", trend(F.col("n"), F.col("before")).alias("trend"))
+
+
+def _seconds(ts: str) -> Column:
+    return F.unix_seconds(F.col(ts).cast("timestamp"))
+
+
+def changed(series: DataFrame, by: list[str], percent: float, seconds: int, ts: str = "start", value: str = "value") -> DataFrame:
+    """Points of a series whose value is off by more than percent from the one a given time earlier (RANGE frame: exactly there); change is signed."""
+    at = Window.partitionBy(*by).orderBy(_seconds(ts)).rangeBetween(-seconds, -seconds)
+    before = F.first(value).over(at)
+    change = F.when(before != 0, (F.col(value) - before) * 100 / F.abs(before))
+    return series.withColumns({"before": before, "change": change}).where(F.abs("change") > percent)
+
+
+def _middle(values: Column) -> Column:
+    """The lower median of an array without nulls."""
+    return F.element_at(F.array_sort(values), F.floor((F.size(values) + 1) / 2).cast("int"))
+
+
+def outliers(series: DataFrame, by: list[str], seconds: int, k: float = 3.5, least: int = 5, ts: str = "start", value: str = "value") -> DataFrame:
+    """Points further than k robust deviations from the median of the time before them, where that has least points.
+
+    The deviation is 1.4826 times the median distance from that median, so that single spikes do not hide the
+    next one; the frame is a RANGE of event time, of as many points as its buckets.
+    """
+    frame = Window.partitionBy(*by).orderBy(_seconds(ts)).rangeBetween(-seconds, -1)
+    held = series.where(F.col(value).isNotNull()).withColumn("__held", F.collect_list(value).over(frame)).where(F.size("__held") >= least)
+    held = held.withColumn("median", _middle(F.col("__held")))
+    held = held.withColumn("deviation", 1.4826 * _middle(F.transform("__held", lambda x: F.abs(x - F.col("median")))))
+    return held.where(F.abs(F.col(value) - F.col("median")) > k * F.col("deviation")).drop("__held")
+
+
+def sequences(events: DataFrame, by: list[str], steps: list[str], within: int, ts: str = "ts", ties: list[str] | None = None) -> DataFrame:
+    """by, first, last: rows that follow each other in a group and meet the conditions of steps one by one, within so many seconds.
+
+    Groups are cut by time, and each cut also sees what follows it within that time, so a busy
+    group is many tasks' work; a row begins a match in one cut only. Of rows of one instant, ties give the order.
+    """
+    size = max(1, within * 4)
+    seconds = _seconds(ts)
+    cut = F.floor(seconds / size)
+    cuts = F.when(seconds % size <= within, F.array(cut, cut - 1)).otherwise(F.array(cut))
+    keys = [f"__s{i}" for i in range(len(steps))]
+    rows = events.select(*by, F.col(ts).cast("timestamp").alias("__at"), *(ties or []), *[F.coalesce(F.expr(c), F.lit(False)).alias(k) for c, k in zip(steps, keys, strict=True)], cut.alias("__own"), F.explode(cuts).alias("__cut"))
+    order = Window.partitionBy(*by, "__cut").orderBy("__at", *(ties or []))
+    meets = F.col(keys[0])
+    for i, k in enumerate(keys[1:], 1):
+        meets = meets & F.coalesce(F.lead(k, i).over(order), F.lit(False))
+    found = rows.withColumns({"__meets": meets, "last": F.lead("__at", len(steps) - 1).over(order)})
+    near = F.unix_micros("last") - F.unix_micros("__at") <= within * 1_000_000
+    return found.where(F.col("__meets") & (F.col("__own") == F.col("__cut")) & near).select(*by, F.col("__at").alias("first"), "last")

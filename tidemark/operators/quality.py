@@ -172,6 +172,48 @@ def profile(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
+#: Of sketches: registers of the distinct counts as a power of 2 (relative error about 1.04 / sqrt(2^12)), and the size of quantile sketches (rank error about 1 %).
+LG_K, QUANTILES = 12, 400
+
+
+def sketched(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A mergeable profile of a batch: a row a column with counts, bounds, sums, and sketches of distinct values and quantiles, in one pass."""
+    kinds = dict(df.dtypes)
+    aggregates, rows = [F.count("*").alias("total")], []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double") if _number(kinds[c]) else F.lit(None).cast("double")
+        of = {
+            "nulls": F.count_if(F.col(c).isNull()), "least": F.min(c).cast("string"), "most": F.max(c).cast("string"), "low": F.min(x), "high": F.max(x), "numbers": F.count(x), "sum": F.sum(x), "squares": F.sum(x * x),
+            "distinct": F.hll_sketch_agg(F.col(c).cast("string"), F.lit(LG_K)), "quantiles": F.kll_sketch_agg_double(x, F.lit(QUANTILES)),
+        }
+        aggregates += [a.alias(f"{k}{i}") for k, a in of.items()]
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(_number(kinds[c])).alias("number"), "total", *[F.col(f"{k}{i}").alias(k) for k in of]))
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+
+def _number(kind: str) -> bool:
+    return kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))
+
+
+def merged(profiles: DataFrame) -> DataFrame:
+    """Profiles of batches as one profile, of the same columns: it can be merged again. Texts' bounds compare as text, numbers' as numbers."""
+    sums = [F.sum(c).alias(c) for c in ("total", "nulls", "numbers", "sum", "squares")]
+    by_number = lambda f, text, x: F.when(F.first("number"), f(F.struct(x, text))[text]).otherwise(f(text))
+    found = profiles.groupBy("column").agg(
+        F.first("number").alias("__number"), *sums, by_number(F.min, "least", "low").alias("least"), by_number(F.max, "most", "high").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("quantiles").alias("quantiles"),
+    )
+    return found.withColumnRenamed("__number", "number").select(*profiles.columns)
+
+
+def described(profiles: DataFrame) -> DataFrame:
+    """A merged profile in words: column, total, nulls, distinct, least, most, and for numbers mean, median and deviation."""
+    n = F.col("numbers")
+    variance = F.when(n > 1, F.greatest(F.lit(0.0), (F.col("squares") - F.col("sum") * F.col("sum") / n) / (n - 1)))
+    median = F.when(n > 0, F.kll_sketch_get_quantile_double(F.col("quantiles"), F.lit(0.5)))
+    return profiles.select("column", "total", "nulls", F.hll_sketch_estimate("distinct").alias("distinct"), "least", "most", F.when(n > 0, F.col("sum") / n).alias("mean"), median.alias("median"), F.sqrt(variance).alias("deviation"))
+
+
 def recommended(df: DataFrame, columns: list[str], few: int = 10, exact: bool = False) -> DataFrame:
     """(column, rule): rules that a table meets: null_check without nulls, uniqueness where no value comes twice, enum_check of few values, range_check of numbers."""
     kinds, found = dict(df.dtypes), profile(df, columns, exact)

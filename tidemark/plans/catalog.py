@@ -12,7 +12,7 @@ from ..functions import steps
 from ..functions.types import compatible, widened
 from ..operators import apply, changes, metrics, quality, ranges, schemas
 from ..sources import clean, logs
-from ..streaming import runner
+from ..streaming import eventtime, runner
 from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,12 +216,12 @@ def event_id(t: Tables) -> DataFrame:
     return t("events").select("event_id", changes.event_id(pk, F.col("event_id")).alias("id"))
 
 
-@case("cdc_envelope", f"SELECT op, count(*) AS n, CAST(sum(ts_ms) AS BIGINT) AS ms FROM (SELECT op, epoch_us(ts) // 1000 AS ts_ms FROM {LOG} WHERE event_id % 5 <> 0 OR op <> 'd') GROUP BY op")
+@case("cdc_envelope", f"SELECT CAST(event_id AS VARCHAR) AS event_id, op, epoch_us(ts) // 1000 AS ts_ms, op <> 'c' AS has_before, op <> 'd' AS has_after FROM {LOG} WHERE event_id % 5 <> 0 OR op <> 'd'")
 def cdc_envelope(t: Tables) -> DataFrame:
     image = F.to_json(F.struct("user_id", "value", "event_type"))
     e = log(t).select(F.col("event_id").cast("string").alias("event_id"), "op", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.when(F.col("op") != "c", image).alias("before"), F.when((F.col("op") != "d") | (F.col("event_id") % 5 == 0), image).alias("after"))
     good, _ = changes.split_valid(changes.from_wire(changes.to_wire(e)))
-    return good.groupBy("op").agg(F.count("*").alias("n"), F.sum("ts_ms").alias("ms"))
+    return good.select("event_id", "op", "ts_ms", F.col("before").isNotNull().alias("has_before"), F.col("after").isNotNull().alias("has_after"))
 
 
 @case("cdc_decode", f"SELECT event_id, user_id, value, event_type FROM {LOG}")
@@ -232,8 +232,8 @@ def cdc_decode(t: Tables) -> DataFrame:
 
 
 case("cdc_compact", f"SELECT user_id, event_id, op, value FROM {LAST}")(lambda t: changes.compact(log(t), ["user_id"], ["event_id"]).select("user_id", "event_id", "op", "value"))
-case("cdc_split", f"SELECT CASE WHEN op = 'd' THEN 'd' ELSE 'upsert' END AS kind, count(*) AS n FROM {LAST} GROUP BY 1")(lambda t: (lambda s: s[0].select(F.lit("upsert").alias("kind")).unionByName(s[1].select(F.lit("d").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n")))(changes.split(changes.compact(log(t), ["user_id"], ["event_id"]))))
-case("cdc_rekey", f"SELECT op, count(*) AS n FROM (SELECT op FROM {LOG} UNION ALL SELECT 'd' FROM {LOG} WHERE op = 'u' AND event_id % 3 = 0) GROUP BY op")(lambda t: changes.rekeyed(log(t).withColumn("old", F.when(F.col("event_id") % 3 == 0, -F.col("user_id") - 1)), "user_id", "old").groupBy("op").agg(F.count("*").alias("n")))
+case("cdc_split", f"SELECT user_id, event_id, CASE WHEN op = 'd' THEN 'd' ELSE 'upsert' END AS kind FROM {LAST}")(lambda t: (lambda s: s[0].select("user_id", "event_id", F.lit("upsert").alias("kind")).unionByName(s[1].select("user_id", "event_id", F.lit("d").alias("kind"))))(changes.split(changes.compact(log(t), ["user_id"], ["event_id"]))))
+case("cdc_rekey", f"SELECT user_id, event_id, op FROM {LOG} UNION ALL SELECT -user_id - 1, event_id, 'd' FROM {LOG} WHERE op = 'u' AND event_id % 3 = 0 AND user_id IS NOT NULL")(lambda t: changes.rekeyed(log(t).withColumn("old", F.when(F.col("event_id") % 3 == 0, -F.col("user_id") - 1)), "user_id", "old").select("user_id", "event_id", "op"))
 case("apply_ledger", "SELECT DISTINCT event_id FROM events WHERE event_id % 4 <> 0")(lambda t: changes.unapplied(t("events").unionByName(t("events").where("event_id < 100")), t("events").where("event_id % 4 = 0")).select("event_id"))
 case("tombstones", "SELECT o_orderkey, 'd' AS op FROM orders WHERE o_orderkey % 9 = 0")(lambda t: changes.tombstones(t("orders"), t("orders").where("o_orderkey % 9 <> 0"), ["o_orderkey"]))
 _ROUTES = [("app", "click", "t1"), ("*", "click", "t2"), ("*", "*", "t3"), ("app", "*", "t4"), ("app", "error", "t5")]
@@ -254,11 +254,12 @@ def parse_wal(t: Tables) -> DataFrame:
     return logs.wal(lines).select("op", F.get_json_object("after", "$.id").alias("id"))
 
 
-@case("parse_document_stream", "SELECT CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' ELSE 'u' END AS op, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1")
+@case("parse_document_stream", "SELECT CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' ELSE 'u' END AS op, '{\"_id\":' || event_id || '}' AS pk_values, CASE WHEN event_type = 'error' THEN '{\"_id\":' || event_id || '}' END AS before, CASE WHEN event_type <> 'error' THEN event_id END AS a, 't' || event_id AS lsn FROM events WHERE event_type <> 'view'")
 def parse_document_stream(t: Tables) -> DataFrame:
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "insert", "error", "delete", "click", "update", "purchase", "replace", "view", "invalidate")]), F.col("event_type"))
-    lines = t("events").select(F.concat(F.lit('{"operationType":"'), kind, F.lit('","ns":{"db":"d","coll":"c"},"documentKey":{"_id":1},"fullDocument":{"a":1}}')).alias("payload"))
-    return logs.document_stream(lines).groupBy("op").agg(F.count("*").alias("n"))
+    n = F.col("event_id").cast("string")
+    lines = t("events").select(F.concat(F.lit('{"_id":"t'), n, F.lit('","operationType":"'), kind, F.lit('","ns":{"db":"d","coll":"c"},"documentKey":{"_id":'), n, F.lit('},"fullDocument":{"a":'), n, F.lit("}}")).alias("payload"))
+    return logs.document_stream(lines).select("op", "pk_values", "before", F.get_json_object("after", "$.a").cast("bigint").alias("a"), "lsn")
 
 
 # -- applying ------------------------------------------------------------------------------------
@@ -323,19 +324,32 @@ case("orphan_files", "SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN
 case("clean_batch", f"SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS c_name, '{{\"a\":1}}' AS nested, {NOW_SQL} + INTERVAL 330 MINUTE AS audit_updated_date FROM customer")(lambda t: clean.clean(t("customer").select(F.col("c_custkey").alias("C_CUSTKEY"), F.when(F.col("c_custkey") % 3 == 0, "  ").otherwise(F.concat("c_name", F.lit("\0"))).alias("c_name"), F.struct(F.lit(1).alias("a")).alias("nested")), F.lit(NOW)))
 case("reconcile_schema", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, CAST(NULL AS DATE) AS born, c_name, c_nationkey FROM customer")(lambda t: schemas.reconcile(t("customer").select("c_name", "c_nationkey", "c_custkey"), t("customer").selectExpr("CAST(c_custkey AS double) c_custkey", "CAST(NULL AS date) born", "c_name").schema))
 case("infer_schema", "SELECT 'k' AS field, 'bigint' AS type, count(*) AS present FROM events WHERE props IS NOT NULL UNION ALL SELECT 'm', 'string', (SELECT count(*) FROM events)")(lambda t: schemas.infer(t("events").select(F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.when(F.col("event_id") % 2 == 0, ',"m":1}').otherwise(',"m":"x"}')).alias("props")), "props"))
-_C1, _C2 = [("s", "a", "x", "int"), ("s", "a", "y", "string"), ("s", "a", "z", "int"), ("s", "b", "x", "int")], [("s", "a", "x", "bigint"), ("s", "a", "z", "boolean"), ("s", "a", "w", "int"), ("s", "c", "x", "int")]
+def columns_of(df: DataFrame, table: str) -> DataFrame:
+    """The catalog rows of the columns that a table's rows hold values in."""
+    held = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    kinds = F.array(*[F.struct(F.lit("s").alias("schema_name"), F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.lit(k).alias("data_type"), F.col(c).alias("n")) for c, k in df.dtypes])
+    return held.select(F.inline(kinds)).where("n > 0").drop("n")
 
 
-@case("schema_diff", "SELECT * FROM (VALUES ('s','a','x','type_changed','int','bigint',false), ('s','a','y','column_removed','string',NULL,true), ('s','a','z','type_changed','int','boolean',true), ('s','a','w','column_added',NULL,'int',false), ('s','b',NULL,'table_removed',NULL,NULL,true), ('s','c',NULL,'table_added',NULL,NULL,false)) v(schema_name, table_name, column_name, change, old_type, new_type, is_breaking)")
+@case("schema_diff", """SELECT * FROM (VALUES ('s','a','k','type_changed','bigint','double',false), ('s','a','price','type_changed','double','int',true), ('s','a','status','column_removed','string',NULL,true), ('s','a','late','column_added',NULL,'int',false), ('s','b',NULL,'table_removed',NULL,NULL,true), ('s','c',NULL,'table_added',NULL,NULL,false)) v(schema_name, table_name, column_name, change, old_type, new_type, is_breaking)
+WHERE EXISTS (SELECT 1 FROM orders) AND EXISTS (SELECT 1 FROM customer)""")
 def schema_diff(t: Tables) -> DataFrame:
-    make = lambda rows: t("region").sparkSession.createDataFrame(rows, "schema_name string, table_name string, column_name string, data_type string")
-    return schemas.diff(make(_C1), make(_C2))
+    """The columns in use of a source's tables, then and now: a column without any value is in neither."""
+    o = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("late"))
+    now = o.select(F.col("k").cast("double").alias("k"), F.col("price").cast("int").alias("price"), F.lit(None).cast("string").alias("status"), (F.col("k") % 7).cast("int").alias("late"))
+    other = t("customer").select("c_custkey")
+    return schemas.diff(columns_of(o, "a").unionByName(columns_of(other, "b")), columns_of(now, "a").unionByName(columns_of(other, "c")))
 
 
-@case("type_compat", "SELECT * FROM (VALUES ('int','bigint',true,'bigint'), ('bigint','int',false,'bigint'), ('int','string',true,'string'), ('date','timestamp',true,'timestamp'), ('boolean','int',false,'string')) v(a, b, ok, wide)")
+@case("type_compat", "SELECT c AS column_name, CAST(least AS VARCHAR) AS least, CAST(most AS VARCHAR) AS most FROM (SELECT 'o_orderkey' AS c, CAST(min(o_orderkey) AS VARCHAR) AS least, CAST(max(o_orderkey) AS VARCHAR) AS most FROM orders UNION ALL SELECT 'o_orderdate', strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S'), strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders UNION ALL SELECT 'o_custkey', min(CAST(o_custkey AS VARCHAR)), max(CAST(o_custkey AS VARCHAR)) FROM orders)")
 def type_compat(t: Tables) -> DataFrame:
-    pairs = [("int", "bigint"), ("bigint", "int"), ("int", "string"), ("date", "timestamp"), ("boolean", "int")]
-    return t("region").sparkSession.createDataFrame([(a, b, compatible(a, b), widened(a, b)) for a, b in pairs], "a string, b string, ok boolean, wide string")
+    """Columns in the type that widening gives them, with all their values: a number and a wider one, a date and a time, a number and a text."""
+    wide = {"o_orderkey": widened("int", "bigint"), "o_orderdate": widened("date", "timestamp"), "o_custkey": widened("bigint", "string")}
+    if not all(compatible(a, b) for a, b in (("int", "bigint"), ("date", "timestamp"), ("bigint", "string"))) or compatible("bigint", "int"):
+        raise ValueError("widening and compatibility disagree")
+    held = t("orders").select(*[F.col(c).cast(k).alias(c) for c, k in wide.items()])
+    bounds = held.agg(*[f(c).cast("string").alias(f"{n}_{c}") for c in wide for n, f in (("least", F.min), ("most", F.max))])
+    return bounds.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"least_{c}").alias("least"), F.col(f"most_{c}").alias("most")) for c in wide])))
 
 
 # -- metrics -------------------------------------------------------------------------------------
@@ -388,7 +402,7 @@ def stream_pipeline(t: Tables) -> DataFrame:
 case("lag_summary", f"SELECT event_type, max(epoch_us({NOW_SQL}) - epoch_us(ts)) / 1e6 AS max_lag, round(avg((epoch_us({NOW_SQL}) - epoch_us(ts)) / 1e6), 3) AS avg_lag, count(*) AS events FROM events GROUP BY 1")(lambda t: metrics.lag(t("events"), F.lit(NOW), F.col("ts").cast("timestamp"), ["event_type"]).withColumn("avg_lag", F.round("avg_lag", 3)))
 case("throughput_5m", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS events, count(*) / 300 AS rate FROM events GROUP BY 1, 2")(lambda t: metrics.rate(t("events"), by=["event_type"]))
 case("sliding_rate", "SELECT start, count(*) AS events, count(*) / 300 AS rate FROM (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS start FROM events, range(5) r(k)) GROUP BY 1")(lambda t: metrics.rate(t("events"), slide="1 minute"))
-case("session_windows", "SELECT user_id, min(ts) AS start, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")(lambda t: t("events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), "events"))
+case("session_windows", "SELECT user_id, min(ts) AS start, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")(lambda t: eventtime.sessions(t("events"), ["user_id"]).drop("last"))
 case("latest_run", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")(lambda t: metrics.latest_of(t("events"), ["user_id"], ["ts", "event_id"], ["event_id", "event_type"]))
 _USAGE = "SELECT n_name, CAST(o_orderdate AS DATE) AS day, count(*) AS orders, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS finished_customers, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"
 
@@ -415,7 +429,7 @@ def alert_stats(t: Tables) -> DataFrame:
 
 
 
-case("alert_trend", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), p AS (SELECT *, lag(n) OVER (ORDER BY day) AS before FROM d) SELECT day, n, CASE WHEN n > before * 1.2 THEN 'increasing' WHEN n < before * 0.8 THEN 'decreasing' ELSE 'stable' END AS trend FROM p")(lambda t: (lambda d: d.join(d.select(F.date_add("day", 1).alias("day"), F.col("n").alias("before")), "day", "left").select("day", "n", metrics.trend(F.col("n"), F.col("before")).alias("trend")))(t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))))
+case("alert_trend", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), p AS (SELECT *, lag(n) OVER (ORDER BY day) AS before FROM d) SELECT day, n, CASE WHEN n > before * 1.2 THEN 'increasing' WHEN n < before * 0.8 THEN 'decreasing' ELSE 'stable' END AS trend FROM p")(lambda t: metrics.daily(t("events")))
 
 POLICIES = "(SELECT p_partkey AS policy_id, p_size AS connection_id, p_partkey % 5 <> 0 AS is_active, CASE WHEN p_size % 4 = 0 THEN 'critical' ELSE 'warning' END AS severity FROM part)"
 VIOLATIONS = "(SELECT l_partkey AS policy_id, CASE WHEN l_linenumber % 2 = 0 THEN 'active' ELSE 'resolved' END AS status, l_shipdate AS executed_at FROM lineitem)"
@@ -470,8 +484,10 @@ case("strip_nul", "SELECT c_custkey, c_name || 'x' AS c_name FROM customer")(lam
 case("bytes_to_text", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ff00' ELSE c_name END AS b, CASE WHEN c_custkey % 2 = 0 THEN 'ff00' ELSE c_name END AS inner FROM customer")(lambda t: (lambda b: clean.readable(t("customer").select("c_custkey", b.alias("b"), F.array(F.struct(b.alias("x"))).alias("deep"))).select("c_custkey", "b", F.col("deep")[0]["x"].alias("inner")))(F.when(F.col("c_custkey") % 2 == 0, F.unhex(F.lit("ff00"))).otherwise(F.col("c_name").cast("binary"))))
 case("coerce_to_text", """SELECT c_custkey, '{"a":' || c_nationkey || '}' AS nested, CAST(c_nationkey AS VARCHAR) AS n FROM customer""")(lambda t: (lambda df: clean.as_text(df, df.selectExpr("c_custkey", "'' AS nested", "'' AS n").schema))(t("customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("a")).alias("nested"), F.col("c_nationkey").alias("n"))))
 case("document_batch", "SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-02 00:00:00'")(lambda t: logs.documents(t("orders").select(F.struct(F.col("o_orderkey").cast("string").alias("oid")).alias("_id"), "o_orderdate"), "o_orderdate", "1996/01/02 00:00:00"))
-_FORMATS = ["2024-01-02 03:04:05.000006", "2024-01-02 03:04:05", "2024-01-02 03:04", "2024-01-02", "2024-01-02T03:04:05.000006", "2024-01-02T03:04:05", "2024-01-02T03:04", "2024/01/02 03:04:05.000006", "2024/01/02 03:04:05", "2024/01/02"]
-case("watermark_formats", f"SELECT text, CAST(replace(text, '/', '-') AS TIMESTAMP) AS mark FROM (VALUES {', '.join(f"('{f}')" for f in _FORMATS)}) v(text)")(lambda t: t("region").sparkSession.createDataFrame([(f,) for f in _FORMATS], "text string").select("text", clean.watermark(F.col("text")).alias("mark")))
+#: Forms that a watermark may have, as Spark formats times in them (fixed values).
+_FORMATS = ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy/MM/dd HH:mm:ss.SSSSSS", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd"]
+_CUTS = "[ts, date_trunc('second', ts), date_trunc('minute', ts), date_trunc('day', ts), ts, date_trunc('second', ts), date_trunc('minute', ts), ts, date_trunc('second', ts), date_trunc('day', ts)]"
+case("watermark_formats", f"SELECT event_id, ({_CUTS})[1 + event_id % 10] AS mark FROM events")(lambda t: t("events").withColumn("text", F.element_at(F.array(*[F.date_format("ts", f) for f in _FORMATS]), (F.col("event_id") % 10 + 1).cast("int"))).select("event_id", clean.watermark(F.col("text")).alias("mark")))
 _ROW_KIND = "CASE event_type WHEN 'signup' THEN 'write_rows' WHEN 'error' THEN 'delete_rows' WHEN 'view' THEN 'query' ELSE 'update_rows' END"
 
 
@@ -513,16 +529,11 @@ def scd2_late_event(t: Tables) -> DataFrame:
 
 
 case("partition_more", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate_day, strftime(o_orderdate, '%Y-%m-%d-%H') AS o_orderdate_hour, o_orderstatus, o_orderkey // 100 * 100 AS o_orderkey_trunc, count(*) AS n FROM orders GROUP BY 1, 2, 3, 4")(lambda t: (lambda o: (lambda p: o.withColumns(p).groupBy(*p).agg(F.count("*").alias("n")))(apply.partition_columns([{"column": "o_orderdate", "transform": "day"}, {"column": "o_orderdate", "transform": "hour"}, {"column": "o_orderstatus"}, {"column": "o_orderkey", "transform": "truncate", "n": 100}], o)))(t("orders")))
-case("partition_buckets", "SELECT count(*) AS rows, true AS inside FROM orders")(lambda t: t("orders").withColumns(apply.partition_columns([{"column": "o_orderkey", "transform": "bucket", "n": 16}])).agg(F.count("*").alias("rows"), F.bool_and(F.col("o_orderkey_bucket").between(0, 15)).alias("inside")))
+case("partition_buckets", "SELECT n, CASE WHEN n > 0 THEN true END AS one_bucket_a_key, true AS even FROM (SELECT count(*) AS n FROM orders)")(lambda t: (lambda o: o.groupBy("o_orderkey").agg(F.count_distinct("o_orderkey_bucket").alias("d")).agg(F.max("d").alias("d")).join(F.broadcast(o.groupBy("o_orderkey_bucket").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("b")))).select("n", (F.col("d") == 1).alias("one_bucket_a_key"), ((F.col("b") == 16) & (F.col("hi") < 2 * F.col("lo"))).alias("even")))(t("orders").withColumns(apply.partition_columns([{"column": "o_orderkey", "transform": "bucket", "n": 16}]))))
 case("audit_table", "SELECT o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) AS day FROM orders")(lambda t: (lambda o: apply.audit(apply.audit(None, o.where("o_orderkey % 2 = 0"), "o_orderdate"), o.where("o_orderkey % 2 <> 0"), "o_orderdate"))(t("orders").select("o_orderkey", "o_orderdate")))
 case("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")(lambda t: t("customer").join(t("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey"))
-case("range_density", "SELECT n_nationkey, CAST(round(15000 * (n_nationkey + 1) / 25.0) AS BIGINT) AS rows FROM nation")(lambda t: t("nation").sparkSession.createDataFrame([(r[0], ranges.density(15000, 0, r[0] + 1, 0, 25)) for r in t("nation").select(F.col("n_nationkey").cast("bigint")).collect()], "n_nationkey bigint, rows bigint"))
+case("range_density", "WITH b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, count(*) AS n FROM orders), r AS (SELECT k, lo + (hi - lo) * k // 8 AS a, lo + (hi - lo) * (k + 1) // 8 AS z, n, lo, hi FROM b, range(8) x(k)) SELECT k, CAST(round(CAST(n * (z - a) AS DOUBLE) / (hi - lo)) AS BIGINT) AS estimated, (SELECT count(*) FROM orders WHERE o_orderkey > a AND o_orderkey <= z) AS rows FROM r")(lambda t: ranges.densities(t("orders"), "o_orderkey", 8))
 
 
-@case("range_admit", "SELECT path, CASE path WHEN 'x' THEN 'skip' WHEN 'y' THEN 'dedup' ELSE 'add' END AS action FROM (VALUES ('x'), ('y'), ('z'), ('w')) v(path)")
-def range_admit(t: Tables) -> DataFrame:
-    make = lambda rows: t("region").sparkSession.createDataFrame(rows, "path string, lo bigint, hi bigint")
-    return ranges.admit(make([("a", 0, 100), ("b", 200, 300)]), make([("x", 10, 50), ("y", 90, 150), ("z", 150, 200), ("w", 300, None)])).select("path", "action")
-
 _PIPELINE_SQL = "SELECT o.o_orderstatus AS status, count(*) AS n, round(sum(l.l_quantity), 2) AS quantity FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderstatus"
 case("sql_pipeline", _PIPELINE_SQL.format(orders="orders", lineitem="lineitem"))(lambda t: pipeline.run_sql(t("orders").sparkSession, _PIPELINE_SQL, {"orders": t("orders"), "lineitem": t("lineitem")}))

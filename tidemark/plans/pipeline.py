@@ -9,14 +9,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import steps
+from ..functions import steps, tables
 from ..functions.types import dsl
+from ..sources.clean import whole_json
 
 
 @dataclass
 class Result:
     rows: DataFrame
     children: dict[str, DataFrame] = field(default_factory=dict)
+    #: Rows whose JSON could not be read, where ``run`` was asked to set them aside.
+    quarantine: DataFrame | None = None
 
 
 def validate(spec: dict | str) -> list[dict]:
@@ -45,14 +48,22 @@ def flatten_child(df: DataFrame, step: dict) -> DataFrame:
     return exploded.select(*keys, *items)
 
 
-def run(df: DataFrame, spec: dict | str, strict: bool = True) -> Result:
-    """Applies the steps in order; Catalyst fuses them into one projection. strict=False skips unknown types."""
+def run(df: DataFrame, spec: dict | str, strict: bool = True, quarantine: bool = False) -> Result:
+    """Applies the steps in order; Catalyst fuses them into one projection. strict=False skips unknown types.
+
+    With quarantine, rows whose JSON columns hold no JSON take no part in any step and are returned beside the result.
+    """
     children: dict[str, DataFrame] = {}
+    bad = None
+    if quarantine and (columns := [c for c in json_columns(spec) if c in df.columns]):
+        df, bad = split_json(df, columns)
     for i, step in enumerate(validate(spec)):
         kind = step["type"]
         if kind == "json_flatten_child":
             children[step.get("child_table") or step.get("id") or f"child_{i}"] = flatten_child(df, step)
             drop = not step.get("keep_original", True)
+        elif kind == "table_function":
+            df, drop = tables.applied(df, step), False
         elif kind in steps.STEPS:
             df = df.withColumns(steps.STEPS[kind](step))
             drop = kind == "json_flatten_inline" and not step.get("keep_original", True)
@@ -62,14 +73,24 @@ def run(df: DataFrame, spec: dict | str, strict: bool = True) -> Result:
             continue
         if drop:
             df = df.drop(step["column"])
-    return Result(df, children)
+    return Result(df, children, bad)
+
+
+def json_columns(spec: dict | str) -> list[str]:
+    """The columns of a pipeline's input that its steps read as JSON."""
+    made, out = set(), []
+    for step in validate(spec):
+        if step["type"] in ("json_extract", "json_flatten_inline", "json_flatten_child") and step["column"] not in (*made, *out):
+            out.append(step["column"])
+        made |= {step[k] for k in ("output_column", "target_column") if isinstance(step.get(k), str)}
+    return out
 
 
 def split_json(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose columns begin with a whole JSON value or are null, and the others, which are for the quarantine."""
+    """Rows whose columns each are one whole JSON value or null, and the others, which are for the quarantine."""
     bad = F.lit(False)
     for c in columns:
-        bad = bad | (F.col(c).isNotNull() & F.try_parse_json(F.col(c)).isNull())
+        bad = bad | (F.col(c).isNotNull() & ~whole_json(F.col(c)))
     return df.where(~bad), df.where(bad)
 
 

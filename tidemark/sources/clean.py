@@ -58,6 +58,14 @@ def text_or_hex(c: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(c.cast("string")), F.lower(F.hex(c)))
 
 
+def whole_json(c: Column) -> Column:
+    """Whether a text is one JSON value with nothing behind it; parsers stop after the first value, so it is looked at inside an object that has to end as it should."""
+    end = "__end_of_value"
+    inside = F.concat(F.lit('{"value":'), c, F.lit(f',"{end}":1}}'))
+    whole = (F.json_object_keys(inside) == F.array(F.lit("value"), F.lit(end))) & F.try_parse_json(inside).isNotNull()
+    return F.coalesce(whole, F.lit(False))
+
+
 def _readable(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BinaryType):
         return text_or_hex(c)

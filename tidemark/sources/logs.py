@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.types import json_candidate
-from ..operators.metrics import positions
+from ..operators.sweep import positions
 from . import clean
 
 _WAL = "change array<struct<kind:string,schema:string,table:string,columnnames:array<string>,columnvalues:array<string>,oldkeys:struct<keynames:array<string>,keyvalues:array<string>>>>"
@@ -54,7 +55,7 @@ def binlog(df: DataFrame, tables: list[tuple[str, str]] | None = None, names: di
 
 def table_changes(df: DataFrame) -> DataFrame:
     """Statements of a log (event_type query, schema_name, query) that change tables."""
-    return df.where((F.col("event_type") == "query") & F.upper("query").rlike("|".join(DDL))).select("schema_name", "query")
+    return df.where((F.col("event_type") == "query") & F.upper("query").rlike(rf"^\s*(/\*.*?\*/\s*)*({'|'.join(DDL)})\b")).select("schema_name", "query")
 
 
 def new_columns(events: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -75,11 +76,6 @@ def pages(df: DataFrame, key: str, limit: int) -> DataFrame:
     return positions(df, [], key).withColumn("page", F.floor((F.col("position") - 1) / limit)).drop("position", "size")
 
 
-def keyset(df: DataFrame, key: str, after, upto, limit: int) -> DataFrame:
-    """One chunk of a snapshot: keys in (after, upto], in order."""
-    return df.where((F.lit(True) if after is None else F.col(key) > F.lit(after)) & (F.lit(True) if upto is None else F.col(key) <= F.lit(upto))).orderBy(key).limit(limit)
-
-
 def jdbc(spark: SparkSession, url: str, table: str, conditions: list[str] | None = None, cursor: str | None = None, mark: str | None = None, **properties: str) -> DataFrame:
     """A source table over JDBC, one partition a condition, from a high-water mark on (the filter is pushed down)."""
     df = spark.read.jdbc(url, table, predicates=conditions, properties=properties) if conditions else spark.read.jdbc(url, table, properties=properties)
@@ -104,6 +100,73 @@ def estimate_query(dialect: str, schema: str, table: str) -> str:
     return ESTIMATES[dialect].format(schema=schema, table=table)
 
 
+def footer_counts(spark: SparkSession, path: str, columns: list[str] | None = None) -> dict:
+    """Rows of a Parquet table, and the least and greatest values of columns, out of the files' footers: no column is read.
+
+    Spark's second Parquet source answers these aggregates from footers; partition values and
+    numbers, dates and booleans can be asked for, texts can't. Evaluated at once.
+    """
+    with storage.settings(spark, FOOTERS):
+        row = footer_plan(spark, path, columns).first()
+    return row.asDict()
+
+
+#: Settings under which aggregates are pushed into footers.
+FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_plan(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.agg(F.count("*").alias("rows"), *[f(c).alias(f"{k}_{c}") for c in columns or [] for k, f in (("min", F.min), ("max", F.max))])
+
+
+def catalog_of(spark: SparkSession, url: str, schema_name: str, **properties: str) -> DataFrame:
+    """All tables of a source over JDBC as catalog rows, with keys, nullability and JSON candidates, out of the driver's metadata.
+
+    What is known of tables passes through the driver, none of their rows.
+    """
+    manager = spark._jvm.java.sql.DriverManager
+    connection = manager.getConnection(url, *[properties[k] for k in ("user", "password")]) if "user" in properties else manager.getConnection(url)
+    listed = lambda found, *names: _drained(found, names)
+    try:
+        meta = connection.getMetaData()
+        keys = {}
+        rows = []
+        tables = [t["TABLE_NAME"] for t in listed(meta.getTables(None, schema_name, "%", None), "TABLE_NAME", "TABLE_TYPE") if t["TABLE_TYPE"] in ("TABLE", "BASE TABLE")]
+        for t in tables:
+            keys = {k["COLUMN_NAME"]: int(k["KEY_SEQ"]) for k in listed(meta.getPrimaryKeys(None, schema_name, t), "COLUMN_NAME", "KEY_SEQ")}
+            for c in listed(meta.getColumns(None, schema_name, t, "%"), "COLUMN_NAME", "TYPE_NAME", "NULLABLE"):
+                kind = c["TYPE_NAME"].lower()
+                text = any(w in kind for w in ("char", "text", "clob", "string"))
+                rows.append((schema_name, t, c["COLUMN_NAME"], kind, c["NULLABLE"] != "0", keys.get(c["COLUMN_NAME"]), text or json_candidate(kind)))
+    finally:
+        connection.close()
+    return spark.createDataFrame(rows, CATALOG)
+
+
+CATALOG = "schema_name string, table_name string, column_name string, data_type string, is_nullable boolean, key_position int, json_candidate boolean"
+
+
+def _drained(found, names: tuple[str, ...]) -> list[dict[str, str]]:
+    out = []
+    while found.next():
+        out.append({n: found.getString(n) for n in names})
+    return out
+
+
+def key_candidates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, total, nulls, distinct, is_key: which columns of a table could be its key, by its data: no null, no value twice.
+
+    Each column is grouped for itself, so no task holds a column.
+    """
+    out = None
+    for c in columns or df.columns:
+        counts = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct")).select(F.lit(c).alias("column"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("is_key", (F.col("total") > 0) & (F.col("nulls") == 0) & (F.col("distinct") == F.col("total")))
+
+
 def documents(df: DataFrame, cursor: str | None = None, mark: str | None = None) -> DataFrame:
     """A batch read of a document collection: rows after a watermark in any known format (all of them,
     if it is in none), distinct names, the id as text, nested values as JSON."""

@@ -2,47 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import metrics, quality
 from ..plans import pipeline
+from ..storage import scratch
+from . import delivery
+
+__all__ = ["scratch"]
 
 #: Fields of a line of an event log.
 EVENT = "op string, pk string, before string, after string, ts_ms bigint"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (set here only where unset, as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
 def file_events(spark: SparkSession, path: str, schema, max_files: int | None = None, glob: str = "*.parquet") -> DataFrame:
     """The Parquet files of a folder whose names fit glob, as a stream."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def log_events(spark: SparkSession, folder: str, starting: str | datetime = "earliest", max_files: int | None = None) -> DataFrame:
+def started(spark: SparkSession, checkpoint: str) -> datetime:
+    """When a query with this checkpoint was first started; written beside it then, and read from there ever after."""
+    held = storage.get_text(spark, f"{checkpoint}.started")
+    if held is None:
+        held = datetime.now().astimezone().isoformat()
+        storage.put_text(spark, f"{checkpoint}.started", held)
+    return datetime.fromisoformat(held)
+
+
+def log_events(spark: SparkSession, folder: str, starting: str | datetime = "earliest", max_files: int | None = None, checkpoint: str | None = None) -> DataFrame:
     """The lines of a folder of JSON event logs as a stream: the event's fields, and line for one that is no event.
 
-    starting: earliest, latest (files that come from now on) or a time. Spark plans the files
-    and their splits, and its checkpoint says which were read.
+    starting: earliest, latest (files that come after the query's first start, which needs its checkpoint to find
+    that again) or a time. Spark plans the files and their splits, and its checkpoint says which were read.
     """
+    if starting == "latest" and checkpoint is None:
+        raise ValueError("latest needs the checkpoint, beside which the first start is kept")
     reader = spark.readStream
     lines = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).text(folder)
     if starting != "earliest":
-        since = datetime.now() if starting == "latest" else starting
+        since = started(spark, checkpoint) if starting == "latest" else starting
         lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(since))
     event = F.from_json("value", EVENT)
     known = F.try_parse_json("value").isNotNull() & event["op"].isNotNull()
@@ -75,9 +80,12 @@ def newest_updates(table: DataFrame, keys: list[str]) -> DataFrame:
     return metrics.latest_of(table, keys, ["batch"], [c for c in table.columns if c not in (*keys, "batch", "part")])
 
 
-def retried(sink: Callable[[DataFrame, int], None], attempts: int = 3, pause: float = 1.0, most: float = 60.0, dead_letters: str | None = None, sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
-    """A sink that is tried again after a pause that doubles up to most seconds. A batch that fails every
-    time goes to the dead letters with the reason, under its number; without them the error is raised."""
+def retried(sink: Callable[[DataFrame, int], None], attempts: int = 3, pause: float = 1.0, most: float = 60.0, dead_letters: str | None = None, sleep: Callable[[float], None] = time.sleep, chance: Callable[[], float] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that is tried again after a pause that doubles up to most seconds, spread by chance. A batch that fails every
+    time goes to the dead letters with the reason, under its number; without them the error is raised.
+
+    Attempts count within one session; ``delivery.durable`` counts across crashes.
+    """
 
     def run(df: DataFrame, number: int) -> None:
         df.persist()
@@ -91,7 +99,7 @@ def retried(sink: Callable[[DataFrame, int], None], attempts: int = 3, pause: fl
                             raise
                         reason = f"retry budget exhausted: {e}"[:2000]
                     else:
-                        sleep(min(most, pause * 2**i))
+                        sleep(delivery.pause(i, pause, most, **({"chance": chance} if chance else {})))
             quality.quarantined(df, str(number)).withColumn("reason", F.lit(reason)).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
         finally:
             df.unpersist()
@@ -104,16 +112,27 @@ def start(events: DataFrame, spec: dict | Callable[[], dict], policy: dict | Non
 
     spec may be a function, read again each batch, so that a changed pipeline takes effect. The
     sink and the dead letters are written under the batch's number: a replayed batch overwrites.
+    With dead letters, rows whose JSON the pipeline's steps can't read go there too. A batch's rows are kept
+    while they are divided, so the pipeline runs over them once.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = pipeline.run(df, spec() if callable(spec) else spec).rows
+        steps = spec() if callable(spec) else spec
+        columns = pipeline.json_columns(steps) if dead_letters else []
+        good, bad = pipeline.split_json(df, [c for c in columns if c in df.columns]) if columns else (df, None)
+        rows = pipeline.run(good, steps).rows
+        if bad is not None:
+            quality.quarantined(bad, str(number)).withColumn("reason", F.lit("no JSON")).write.mode("overwrite").parquet(f"{dead_letters}/kind=json/batch={number}")
         if policy is None:
             return sink(rows, number)
-        found = quality.apply(rows, policy)
-        sink(found.passed, number)
-        if dead_letters:
-            quality.quarantined(found.failed, str(number)).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+        rows = rows.persist()
+        try:
+            found = quality.apply(rows, policy)
+            sink(found.passed, number)
+            if dead_letters:
+                quality.quarantined(found.failed, str(number)).write.mode("overwrite").parquet(f"{dead_letters}/kind=rules/batch={number}")
+        finally:
+            rows.unpersist()
 
     out = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return out.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
