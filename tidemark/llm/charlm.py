@@ -8,7 +8,9 @@ To price texts, the distinct n-grams of each chunk of text, and all shorter runs
 sorted arrays of 64-bit hashes to the shards of the table, the hash's leading bits. A shard holds its
 part of the table as a sorted hash array and answers each array with what it knows. A chunk's
 answers then meet its text, compressed, where each character is priced by the longest n-gram known.
-Nothing of the table or the texts is gathered anywhere: a shard holds ``SHARD`` n-grams, about.
+Nothing of the table or the texts is gathered anywhere: a shard holds ``SHARD`` n-grams, about. How many
+tasks answer follows the text that asks: each shard is copied so often that there is a task for every ``ASKING``
+partitions of text, and chunks are dealt to the copies.
 
 Texts to price are read twice (for their n-grams, and to be packed), so the input must be
 deterministic, as a table is; a chunk without answers raises. n-grams are told apart by hashes.
@@ -32,6 +34,8 @@ from .workspace import lean, stored, tidy
 CHUNK, SLICE = 32 << 20, 1 << 19
 #: n-grams in a shard of the table, about.
 SHARD = 250_000
+#: Partitions of text whose questions one task answers, about.
+ASKING = 4
 #: Odd factor of the hash of an n-gram.
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 PAD = " "
@@ -350,6 +354,11 @@ def _priced(order: int, labels: int):
     return run
 
 
+def copied(partitions: int, shards: int) -> int:
+    """Copies of each shard of the table, so that answering tasks grow with the partitions of text."""
+    return max(1, -(-partitions // (ASKING * shards)))
+
+
 def scored(taught: DataFrame, rows: DataFrame, order: int) -> tuple[list[str], DataFrame]:
     """The sorted labels of taught (label, text), and for each of rows (row struct, text): row, costs (mean cost a character under each label, 0 for empty texts), chars."""
     counted = stored(counts(taught, order), "charlm-counts")
@@ -363,8 +372,11 @@ def scored(taught: DataFrame, rows: DataFrame, order: int) -> tuple[list[str], D
     bits = (shards - 1).bit_length()
     packed = table.select("gram", "cells").mapInArrow(_keyed(bits), "shard long, key long, cells binary")
     asked = rows.select("text").mapInArrow(_asked(order, bits), "chunk long, shard long, keys binary")
-    both = packed.select("shard", F.lit(None).cast("long").alias("chunk"), "key", F.col("cells").alias("blob")).unionByName(asked.select("shard", "chunk", F.lit(None).cast("long").alias("key"), F.col("keys").alias("blob")))
-    answers = both.repartition(1 << bits, "shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(_answers(len(labels)), "chunk long, keys binary, body binary")
+    copies = copied(rows.select("text").rdd.getNumPartitions(), 1 << bits)
+    each = packed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    held = each.select((F.col("shard") * copies + F.col("copy")).alias("shard"), F.lit(None).cast("long").alias("chunk"), "key", F.col("cells").alias("blob"))
+    both = held.unionByName(asked.select((F.col("shard") * copies + F.pmod("chunk", F.lit(copies))).alias("shard"), "chunk", F.lit(None).cast("long").alias("key"), F.col("keys").alias("blob")))
+    answers = both.repartition(copies << bits, "shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(_answers(len(labels)), "chunk long, keys binary, body binary")
     kind = rows.schema["row"].dataType.simpleString()  # the cast lets every field be null
     bodies = rows.select(F.col("row").cast(kind).alias("row"), "text").mapInArrow(_packed, "chunk long, body binary")
     met = answers.unionByName(bodies.select("chunk", F.lit(None).cast("binary").alias("keys"), "body"))

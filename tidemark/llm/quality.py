@@ -55,7 +55,9 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[Column], id_col: str
     cost = F.when(half == 0, under("1")).otherwise(under("0")) if halves else F.lit(0.0)
     scored = scored.select("row.kept", "row.id", "row.lang", F.when(F.col("chars") > 0, cost).alias("cost"), "chars")
     good = small(trusted.withColumn("trusted", F.lit(True)))
-    scored = stored(scored.join(good, "id", "left"), "quality-scores")
+    # Rows without an id match none, and would all meet in one task.
+    known = scored.where("id IS NOT NULL").join(good, "id", "left")
+    scored = stored(known.unionByName(scored.where("id IS NULL").withColumn("trusted", F.lit(None).cast("boolean"))), "quality-scores")
     return _judged(scored, scored.where("trusted AND cost IS NOT NULL"))
 
 
@@ -69,13 +71,14 @@ def _judged(scored: DataFrame, known: DataFrame) -> DataFrame:
     """scored against quantiles of known: of the distance from the language's mean cost, by language and length class."""
     size = F.floor(F.log2(F.greatest("chars", F.lit(1)))).alias("size")
     whole = F.broadcast(known.agg(F.avg("cost").alias("mean")))
-    means = known.where("lang IS NOT NULL").groupBy("lang").agg(F.avg("cost").alias("own"), F.count("*").alias("n"))
+    means = small(stored(known.where("lang IS NOT NULL").groupBy("lang").agg(F.avg("cost").alias("own"), F.count("*").alias("n")), "quality-means"))
     centre = _shrunk(F.col("own"), F.col("mean"), F.col("n")).alias("centre")
-    placed = lambda df: df.join(F.broadcast(means), "lang", "left").join(whole, how="left").select(*df.columns, size, centre)
+    placed = lambda df: df.join(means, "lang", "left").join(whole, how="left").select(*df.columns, size, centre)
     away = stored(placed(known).select("lang", "size", (F.col("cost") - F.col("centre")).alias("away")), "quality-distances")
     bounds = lambda df, name: df.agg(F.percentile_approx("away", F.array(F.lit(LOW), F.lit(HIGH)), 10_000).alias(f"q_{name}"), F.count("*").alias(f"n_{name}"))
-    by_cell = bounds(away.where("lang IS NOT NULL").groupBy("lang", "size"), "cell")
-    rows = placed(scored).join(F.broadcast(by_cell), ["lang", "size"], "left").join(F.broadcast(bounds(away.groupBy("size"), "size")), "size", "left").join(F.broadcast(bounds(away, "all")), how="left")
+    by_cell = small(stored(bounds(away.where("lang IS NOT NULL").groupBy("lang", "size"), "cell"), "quality-bounds"))
+    by_size = F.broadcast(bounds(away.groupBy("size"), "size"))  # a row for each power of two
+    rows = placed(scored).join(by_cell, ["lang", "size"], "left").join(by_size, "size", "left").join(F.broadcast(bounds(away, "all")), how="left")
     edge = lambda i: F.col("centre") + _shrunk(F.col("q_cell")[i], _shrunk(F.col("q_size")[i], F.col("q_all")[i], F.col("n_size")), F.col("n_cell"))
     judged = rows.withColumns({"low": edge(0), "high": edge(1)})
     fine = F.coalesce(F.col("cost").between(F.col("low"), F.col("high")), F.lit(True))
