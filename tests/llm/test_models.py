@@ -116,6 +116,20 @@ def test_many_shards_change_no_cost(spark, monkeypatch):
             assert abs(cost - want) < 1e-6
 
 
+def test_answering_tasks_follow_the_text():
+    assert [charlm.copied(n, 8) for n in (1, 8 * charlm.ASKING, 16 * charlm.ASKING, 8000)] == [1, 1, 2, 1000 // charlm.ASKING]
+
+
+def test_copied_shards_change_no_cost(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("abcd é"), r.integers(0, 30))) for _ in range(60)]
+    rows = spark.createDataFrame([(t, (i,)) for i, t in enumerate(texts)], "text string, row struct<i: int>").repartition(6)
+    taught = spark.createDataFrame([("x", t) for t in texts[:20]], "label string, text string")
+    plain = {x["row"]["i"]: x["costs"] for x in charlm.scored(taught, rows, 3)[1].collect()}
+    monkeypatch.setattr(charlm, "copied", lambda *_: 3)
+    assert {x["row"]["i"]: x["costs"] for x in charlm.scored(taught, rows, 3)[1].collect()} == plain and len(plain) == 60
+
+
 def test_slices_and_chunks_hold_every_row_once():
     import pyarrow as pa
 
@@ -177,6 +191,34 @@ def test_thresholds_change_smoothly_with_a_languages_documents(spark):
     assert all(abs(x - y) < 0.1 for x, y in zip(a, b, strict=True))
 
 
+def test_thresholds_like_brute_force(spark):
+    r = np.random.default_rng(7)
+    known = [(str(i), r.choice(["en", "fr", None], p=[0.7, 0.2, 0.1]), float(r.normal(2, 0.3)), int(r.choice([5, 40, 300]))) for i in range(700)]
+    known = [(i, None if lang == "None" else lang, c, n) for i, lang, c, n in known]
+    df = spark.createDataFrame(known, "id string, lang string, cost double, chars long").withColumn("kept", F.struct("id"))
+    asked = [("a", "en", 2.0, 40), ("b", "fr", 2.0, 300), ("c", None, 2.0, 5), ("d", "zz", 2.0, 40), ("e", "fr", 2.0, 100_000)]
+    at = lambda xs, q: sorted(xs)[max(0, int(np.ceil(q * len(xs))) - 1)]
+    size = lambda n: int(np.log2(n))
+    whole = np.mean([c for *_, c, _ in known])
+
+    def drawn(own, wider, n):
+        return (n * own + quality.WEIGHT * wider) / (n + quality.WEIGHT) if n else wider
+
+    def centre(lang):
+        own = [c for _, x, c, _ in known if x == lang and lang is not None]
+        return drawn(np.mean(own) if own else 0, whole, len(own))
+
+    away = [(x, size(n), c - centre(x)) for _, x, c, n in known]
+    got = {x["id"]: x for x in quality._judged(spark.createDataFrame(asked, "id string, lang string, cost double, chars long").withColumn("kept", F.struct("id")), df).collect()}
+    for i, lang, _, n in asked:
+        cell = [d for x, k, d in away if x == lang and lang is not None and k == size(n)]
+        same = [d for _, k, d in away if k == size(n)]
+        for name, q in (("low", quality.LOW), ("high", quality.HIGH)):
+            wide = drawn(at(same, q) if same else 0, at([d for *_, d in away], q), len(same))
+            want = centre(lang) + drawn(at(cell, q) if cell else 0, wide, len(cell))
+            assert abs(np.log(got[i][name]) - want) < 1e-9, (i, name)
+
+
 def test_short_junk_gets_no_flat_slack(spark):
     rows = [(f"{i}", "en", 2.0 + i % 10 / 1000, 20) for i in range(500)]
     df = spark.createDataFrame(rows, "id string, lang string, cost double, chars long").withColumn("kept", F.struct("id"))
