@@ -21,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textops import slices
 from .workspace import small_batches, stored
 
-#: Ids in one Arrow batch, about.
-BATCH_IDS = 1_000_000
+#: Bytes of text that are encoded at once, about.
+SLICE = 4 << 20
 STORE_SCHEMA = "doc_id long, shard int, row long, ids array<int>"
 
 
@@ -32,30 +33,14 @@ def _stored_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode = encoder(path)
         shard, row = TaskContext.get().partitionId(), 0
-        keys: list[int | None] = []
-        parts: list[bytes] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal row
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
-            out = pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), shard), pa.int32()), pa.array(np.arange(row, row + len(keys)), pa.int64()), ids], ["doc_id", "shard", "row", "ids"])
-            row += len(keys)
-            return out
-
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                keys.append(key)
-                parts.append(encode.ids(text.as_py()) + end)
-                size += len(parts[-1]) // 4
-                if size >= BATCH_IDS:
-                    yield flush()
-                    keys, parts, size = [], [], 0
-        if keys:
-            yield flush()
+        for batch in slices(batches, "text", SLICE):
+            off, ids = encode.batch(batch.column("text"), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.view(np.int32)))
+            n = batch.num_rows
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.full(n, shard), pa.int32()), pa.array(np.arange(row, row + n)), lists], ["doc_id", "shard", "row", "ids"])
+            row += n
 
     return run
 

@@ -7,6 +7,9 @@ pre-tokenisation does, and each distinct run goes to the tokenizer's model once.
 with other characters are encoded by the whole tokenizer, and so are texts in which the
 split isn't provably neutral, texts that hold the string of an added token (which is that token, as in
 the library's plain call) and all texts of other kinds of tokenizers.
+
+``batch`` does the same for a column of texts: numpy cuts all texts into pieces, and plain pieces into their runs, Arrow tells
+them apart, each different one is looked up once a batch, and the ids are put together from their numbers.
 """
 
 from __future__ import annotations
@@ -16,6 +19,11 @@ import re
 import struct
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .textops import column, words
 from .workspace import lean
 
 _UNEVEN = re.compile(r" \s|\s ")
@@ -32,6 +40,19 @@ _PLAIN = {"bytes": re.compile(rf"(?:[{_LETTERS}0-9{_SIGNS}]|\n(?!\n))+"), "words
 _RUNS = {"bytes": re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n"), "words": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")}
 
 
+_LATIN_BYTES = re.compile("[ ]?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_ODD_ASCII = re.compile(r"['\x00-\x09\x0b-\x1f\x7f]|\n\n")
+#: By kind of tokenizer: the bytes that separate pieces.
+_SEPARATORS = {"bytes": [0x20], "words": [0x20, 0x09, 0x0A, 0x0D]}
+#: White space beside those of one byte, as UTF-8 (fixed values): its second and third bytes by its first.
+_WIDE_SPACES = {0xC2: [(0x85,), (0xA0,)], 0xE1: [(0x9A, 0x80)], 0xE2: [*((0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0x81, 0x9F)], 0xE3: [(0x80, 0x80)]}
+
+
+#: Of bytes: letter, digit, sign, line feed or space, 0 for those that are not plain.
+_LETTER, _DIGIT, _SIGN, _FEED, _BLANK = 1, 2, 3, 4, 5
+_CLASS = np.array([_LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _FEED if b == 10 else _BLANK if b == 32 else _SIGN if 33 <= b < 127 and b != 39 else 0 for b in range(128)] + [0] * 128, np.uint8)
+
+
 def _byte_signs() -> dict[int, int]:
     """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
     hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
@@ -39,7 +60,7 @@ def _byte_signs() -> dict[int, int]:
 
 
 _SIGN_OF_BYTE = _byte_signs()
-_SPACE = chr(_SIGN_OF_BYTE[32])
+_SPACE, _FEED_SIGN = chr(_SIGN_OF_BYTE[32]), chr(_SIGN_OF_BYTE[10])
 
 
 class Cache(dict):
@@ -77,8 +98,25 @@ class PieceEncoder:
         entries = entries or ENTRIES.get(self.kind, 0)
         # With a byte-level split a piece carries the one space before it; otherwise white space only separates.
         self.first = Cache(lambda piece: self._new(piece, ""), entries)
+        self.raw = Cache(self._raw, entries)
         self.rest = Cache(lambda piece: self._new(piece, " "), entries) if self.kind == "bytes" else self.first
 
+    def _raw(self, key: str) -> bytes:
+        """The ids of a piece or run that stands as its bytes, a character each; a byte-level one begins with the space before it."""
+        if self.kind == "bytes":
+            signs = None  # of one run
+            if key.isascii():
+                if not _ODD_ASCII.search(key):
+                    signs = key.replace(" ", _SPACE).replace("\n", _FEED_SIGN)
+            elif _LATIN_BYTES.fullmatch(key):
+                signs = key.translate(_SIGN_OF_BYTE)
+            if signs:
+                return self._packed([t.id for t in self.model.tokenize(signs)])
+        text = key.encode("latin-1").decode()
+        if self.kind == "bytes" and text[0] == " ":
+            return self._new(text[1:], " ")
+        return self._new(text, "")
+
     def _kind(self) -> str:
         """How the text is normalised and split: the kinds are fixed values of the library's description."""
         normalizer, split = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
@@ -126,6 +164,107 @@ class PieceEncoder:
         return b"".join(map(self.first.__getitem__, text.split()))
 
 
+    def _whole(self, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows that ``ids`` has to look at: the split may not be neutral, or they hold an added token."""
+        n = len(off) - 1
+        if not self.kind:
+            return np.ones(n, bool)
+        out = np.zeros(n, bool)
+        for token in self.added:
+            out |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        plain = np.zeros(256, bool)
+        plain[[0x20, 0x0A] if self.kind == "bytes" else _SEPARATORS["words"]] = True
+        narrow = np.zeros(256, bool)
+        narrow[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+        odd = [np.flatnonzero((narrow & ~plain)[data])]
+        after = np.concatenate([data, np.zeros(2, np.uint8)])
+        for first, rest in _WIDE_SPACES.items():
+            at = np.flatnonzero(data == first)
+            for tail in rest if len(at) else []:
+                hit = np.ones(len(at), bool)
+                for i, b in enumerate(tail, 1):
+                    hit &= after[at + i] == b
+                odd.append(at[hit])
+        if self.kind == "bytes":
+            space = np.flatnonzero(data == 0x20)
+            beside = np.isin(after[space + 1], [0x20, 0x0A]) | ((space > 0) & (data[space - 1] == 0x0A))
+            odd.append(space[beside])
+            some = off[1:] > off[:-1]
+            edge = np.concatenate([off[:-1][some], off[1:][some] - 1])
+            odd.append(edge[data[edge] == 0x20])
+        found = np.concatenate(odd)
+        out[np.searchsorted(off, found, "right") - 1] = True
+        return out
+
+    def _starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where pieces begin, and the runs of plain pieces; a byte-level piece begins with the space before it."""
+        n = len(data)
+        first = np.zeros(n + 1, bool)
+        first[off] = True
+        first = first[:n]
+        space = data == 0x20
+        kind = _CLASS[data]
+        # Two bytes of a letter of Latin-1 count as letters; other bytes from 128 on are not plain.
+        lead = np.flatnonzero(data == 0xC3)
+        after = np.concatenate([data, np.zeros(1, np.uint8)])[lead + 1]
+        good = lead[(after != 0x97) & (after != 0xB7)]
+        kind[good] = kind[good + 1] = _LETTER
+        begins = first | space
+        piece = np.cumsum(begins) - 1
+        odd = kind == 0
+        double = np.zeros(n, bool)
+        double[1:] = (data[1:] == 0x0A) & (data[:-1] == 0x0A) & ~first[1:]
+        strange = np.zeros(int(piece[-1]) + 1 if n else 0, bool)
+        strange[piece[odd | double]] = True
+        turns = np.zeros(n, bool)
+        turns[1:] = (kind[1:] != kind[:-1]) & ~space[:-1]
+        turns &= ~strange[piece] if n else turns
+        return np.flatnonzero(begins | turns)
+
+    def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets (rows + 1) and ids of all texts one after another, each with the end id behind it."""
+        data, off = column(texts)
+        n = len(off) - 1
+        whole = self._whole(texts, data, off)
+        if self.kind == "bytes":
+            start = self._starts(data, off)
+            stop = np.append(start[1:], len(data)) if len(start) else start
+            flat = data
+        else:
+            separator = np.zeros(256, bool)
+            separator[_SEPARATORS.get(self.kind, [])] = True
+            start, stop, _ = words(data, off, separator)
+            flat = data[~separator[data]]
+        row = np.searchsorted(off, start, "right") - 1
+        size = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(stop - start, out=size[1:])
+        pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(size), pa.py_buffer(np.ascontiguousarray(flat)))
+        keep = ~whole[row]
+        pieces, row = (pieces, row) if keep.all() else (pieces.filter(pa.array(keep)), row[keep])
+        known = pieces.dictionary_encode()
+        code = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        held, at = column(known.dictionary)
+        text, at = held.tobytes().decode("latin-1"), at.tolist()  # a character a byte
+        entries = [self.raw[text[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
+        alone = np.flatnonzero(whole)
+        entries += [self.ids(texts[i].as_py()) for i in alone.tolist()]
+        entries.append(self._packed([end]))
+        # Every row's pieces, or its whole text, and then the end.
+        codes = np.concatenate([code, len(entries) - 1 - len(alone) + np.arange(len(alone))])
+        if len(alone):
+            row = np.concatenate([row, alone])
+            by = np.argsort(row, kind="stable")
+            codes, row = codes[by], row[by]
+        ends = np.searchsorted(row, np.arange(n), "right")
+        codes = np.insert(codes, ends, len(entries) - 1)
+        length = np.array([len(e) >> 2 for e in entries], np.int64)
+        begin = np.cumsum(length) - length
+        held = np.frombuffer(b"".join(entries), "<u4")
+        after = np.concatenate([[0], np.cumsum(length[codes])])
+        ids = held[np.repeat(begin[codes] - after[:-1], np.diff(after)) + np.arange(after[-1])]
+        return np.concatenate([[0], after[ends + np.arange(1, n + 1)]]), ids
+
+
 def encoder(path: str) -> PieceEncoder:
     """One encoder per Python worker and file."""
     lean(keep_tokenizer=True)
