@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,6 +39,21 @@ def test_pieces_give_the_ids_of_the_whole_text(file, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in map(e.ids, texts)] == [plain(file, t) for t in texts]
 
 
+@pytest.mark.parametrize("file", FILES)
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.none() | TEXT, max_size=8))
+def test_batches_give_the_ids_of_each_text(file, texts):
+    off, ids = ENCODERS[file].batch(pa.array(texts, pa.string()), 7)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[*plain(file, t), 7] for t in texts]
+
+
+def test_batches_of_other_tokenizers_and_slices():
+    e = PieceEncoder(public_tokenizers.path(FILES[0]))
+    e.kind = ""
+    off, ids = e.batch(pa.array(["x", None, "a b", "<|endoftext|> c"]).slice(1, 3), 0)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[0], [*plain(FILES[0], "a b"), 0], [*plain(FILES[0], "<|endoftext|> c"), 0]]
+
+
 ROWS = [(3, "b b the cat", "x"), (1, None, None), (2, "", "y"), (None, "no id", "z"), (5, "word " * 3000, "x"), (5, "word " * 3000, "x"), (9, "<|endoftext|> is text", "x")]
 
 
