@@ -25,7 +25,7 @@ from .textops import slices
 from .workspace import small_batches, stored
 
 #: Bytes of text that are encoded at once, about.
-SLICE = 4 << 20
+SLICE = 1 << 20
 STORE_SCHEMA = "doc_id long, shard int, row long, ids array<int>"
 
 
