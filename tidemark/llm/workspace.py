@@ -50,13 +50,26 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _read_once(docs: DataFrame) -> bool:
+    """Whether docs is a plain read of files that know their rows' numbers, each of them once: by its plan, whose folders and not whose files are looked at."""
+    plan = docs._jdf.queryExecution().analyzed()
+    steps = set(re.findall(r"^[\s:+-]*(\w+)", plan.toString(), re.M))
+    # Other steps may make several rows of one.
+    if not steps <= {"Project", "Filter", "SubqueryAlias", "Relation"} or "_metadata" in docs.columns:
+        return False
+    try:
+        docs.select("_metadata.row_index")
+        roots = plan.collectLeaves().head().relation().location().rootPaths()
+        paths = sorted(roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.size()))
+    except Exception:  # noqa: BLE001  another format, or no files at all
+        return False
+    return all(not b.startswith(a) for a, b in zip(paths, paths[1:], strict=False))
+
+
 def readable_rows(docs: DataFrame, columns: list[Column]) -> DataFrame:
     """columns of docs, as a plain read of a Parquet table (``placed`` can say where its rows are); stored, if docs is none."""
-    steps = set(re.findall(r"^[\s:+-]*(\w+)", docs._jdf.queryExecution().analyzed().toString(), re.M))
-    # Other steps may make several rows of one.
-    plain = steps <= {"Project", "Filter", "SubqueryAlias", "Relation"} and docs.inputFiles() and "_metadata" not in docs.columns
     rows = docs.select(*columns)
-    return rows if plain else stored(rows, "rows")
+    return rows if _read_once(docs) else stored(rows, "rows")
 
 
 def placed(rows: DataFrame) -> DataFrame:
