@@ -2,7 +2,7 @@
 
 Text becomes words of letters and digits, lower case, then five-word shingles (a template of
 fewer words is one shingle of its own length). Templates whose lengths differ by a quarter at most share
-a tier; its windows are a quarter longer than its longest template and overlap so that every
+a tier; its windows are up to a quarter longer than its longest template, and overlap so that every
 stretch as long as a template lies whole in some window. A window has ``BANDS`` minima, each under another hash,
 and each one is a band. A window that holds ``SIMILAR`` of a template's shingles has a Jaccard
 similarity of 0.45 with it at least, whatever else it holds (0.8 * 0.8 shingles in common of 1.25 + 0.2 * 0.8,
@@ -80,8 +80,9 @@ class Tier:
     def __init__(self, gram: int, templates: dict[str, np.ndarray]) -> None:
         self.gram, self.templates = gram, templates
         longest = max(len(t) for t in templates.values())
-        self.step = max(1, longest // 4)
-        self.window = longest + self.step - 1
+        # Whole steps: at least longest + step - 1 shingles, at most 1.25 times longest (one more, if that is none).
+        self.step = max(1, longest // 8)
+        self.window = max(longest + 1, longest * 5 // 4 // self.step * self.step)
         self.bands = [{n: _signature(t, b).min() for n, t in templates.items()} for b in range(BANDS)]
 
     def blocks(self, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
