@@ -342,6 +342,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     copies = F.broadcast(copies) if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else copies
     texts = rows.where(F.octet_length("text") >= LENGTH).join(copies, "doc", "left_anti").select("doc", "id", "tie", "text")
 
+    # Rows of one id and one text have one name: one of them stands for all, and a task hands on one at most.
+    repeated = stored(own.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeat-rows")
+    if not repeated.isEmpty():
+        again = F.broadcast(repeated) if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else repeated
+        one = texts.join(again, "doc", "left_semi").groupBy("doc").agg(*[F.any_value(c).alias(c) for c in ("id", "tie", "text")])
+        texts = stored(texts.join(again, "doc", "left_anti").unionByName(one), "repeat-single")
+
     files = texts.select("doc", "text").mapInArrow(_files, "file long, doc long")
     shared = files.groupBy("file").agg(F.count("*").alias("n")).where("n > 1").select("file")
     marked = stored(files.join(shared, "file").groupBy("doc").agg(F.collect_set("file").alias("files")), "repeat-marks")
