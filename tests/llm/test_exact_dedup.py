@@ -77,3 +77,14 @@ def test_groups_of_many_copies_are_dealt_out(spark, monkeypatch, tmp_path, deal)
 
 def test_empty(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_input_of_other_kinds_and_paths_read_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
+    docs.write.json(f"{tmp_path}/json")
+    docs.write.orc(f"{tmp_path}/orc")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/p")
+    for df in (spark.read.schema(docs.schema).json(f"{tmp_path}/json"), spark.read.orc(f"{tmp_path}/orc"), spark.read.parquet(f"{tmp_path}/p")):
+        assert {(r.id, r.keep_id, r.kept) for r in exact_dedup(df).collect()} == {(1, 1, True), (2, 1, False), (3, 3, True)}
+    twice = exact_dedup(spark.read.parquet(f"{tmp_path}/p", f"{tmp_path}/p")).collect()
+    assert len(twice) == 6 and sorted(r.id for r in twice if r.kept) == [1, 3] and {r.group_size for r in twice} == {4, 2}

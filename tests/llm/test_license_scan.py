@@ -29,15 +29,14 @@ def test_scan_matches_brute_force(spark):
     rows += [(300, None), (301, ""), (302, "All rights"), (303, "All rights reserved"), (304, "  ALL\nrights, reserved!! "), (303, "All rights reserved"), (None, ls.TEMPLATES["GPL-3.0"]), (305, "x " * 50000 + ls.TEMPLATES["MIT"])]
     docs = spark.createDataFrame([(k, t, "w") for k, t in rows], "doc_id long, text string, windows string")
     got = sorted(((x.doc_id, x.license_id) for x in ls.scan(docs).collect()), key=str)
-    want = []
+    want, of = [], {n: t for t in ls.tiers(ls.TEMPLATES) for n in t.templates}
     for key, t in rows:
         for name, template in ls.TEMPLATES.items():
             n = len(grams(template, 1))
             k = min(5, n)
             need = set(grams(template, k))
             held = grams(t, k)
-            width = len(need) + max(1, len(need) // 4)
-            if any(len(need & set(held[i : i + width])) >= 0.8 * len(need) for i in range(max(1, len(held)))):
+            if any(len(need & set(held[i : i + of[name].window])) >= 0.8 * len(need) for i in range(0, max(1, len(held)), of[name].step)):
                 want.append((key, name))
     assert got == sorted(want, key=str)
 
@@ -57,6 +56,22 @@ def test_every_pair_that_would_be_accepted_shares_a_band():
     assert missed <= 0.001 * tried
 
 
+def test_windows_are_as_wide_as_they_say():
+    r = np.random.default_rng(2)
+    for longest in range(1, 400):
+        tier = ls.Tier(5, {"t": np.arange(longest, dtype=np.uint64)})
+        assert longest + tier.step - 1 <= tier.window <= max(longest + 1, 1.25 * longest) and tier.window % tier.step == 0
+    for longest in (1, 7, 36, 42, 150):
+        tier = ls.Tier(5, {"t": np.arange(longest, dtype=np.uint64)})
+        first = np.array([0, 130, 130, 500])
+        h = r.integers(0, 1 << 62, 500).astype(np.uint64)
+        starts, same = tier.blocks(first)
+        got = tier.windows(h, starts, same)
+        for s, least in zip(starts, got, strict=True):
+            end = first[np.searchsorted(first, s, "right")]
+            assert least == h[s : min(end, s + tier.window)].min()
+
+
 def test_tiers_are_narrow_and_hold_every_template():
     held = ls.tiers(ls.TEMPLATES)
     assert sorted(n for t in held for n in t.templates) == sorted(ls.TEMPLATES)

@@ -83,3 +83,14 @@ def test_strings_known_to_a_task_are_not_sent_again():
 
 def test_repeats_of_nothing(spark):
     assert repeats.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_rows_stand_for_each_other(spark, monkeypatch):
+    """Rows of one id and one text are looked at once: no start of theirs is sent."""
+    sent = []
+    plain = repeats._ship
+    monkeypatch.setattr(repeats, "_ship", lambda groups: sent.append(groups) or plain(groups))
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(None, text)] * 40 + [(7, text)] + [(i + 10, f"{i} {text[:150]}") for i in range(3)]
+    got = sorted((tuple(x) for x in repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows) and sent
