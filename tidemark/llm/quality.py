@@ -54,10 +54,10 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[Column], id_col: str
     half = F.coalesce(F.crc32(F.col("row.id").cast("string").cast("binary")) % 2, F.lit(0))
     cost = F.when(half == 0, under("1")).otherwise(under("0")) if halves else F.lit(0.0)
     scored = scored.select("row.kept", "row.id", "row.lang", F.when(F.col("chars") > 0, cost).alias("cost"), "chars")
-    good = small(trusted.withColumn("trusted", F.lit(True)))
+    good = small(trusted.withColumns({"trusted": F.lit(True), "salt": F.lit(0).cast("long")}))
     # Rows without an id match none, and would all meet in one task.
-    known = scored.where("id IS NOT NULL").join(good, "id", "left")
-    scored = stored(known.unionByName(scored.where("id IS NULL").withColumn("trusted", F.lit(None).cast("boolean"))), "quality-scores")
+    salt = F.when(F.col("id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(0)
+    scored = stored(scored.withColumn("salt", salt).join(good, ["id", "salt"], "left").drop("salt"), "quality-scores")
     return _judged(scored, scored.where("trusted AND cost IS NOT NULL"))
 
 
