@@ -396,3 +396,63 @@ def test_all_tables_of_a_source_and_their_keys(spark):
     connection.close()
     got = {(r.table_name, r.column_name): (r.is_nullable, r.key_position, r.json_candidate) for r in logs.catalog_of(spark, url, "APP").collect()}
     assert got == {("A", "X"): (False, 2, False), ("A", "Y"): (False, 1, True), ("A", "Z"): (True, None, True), ("B", "N"): (True, None, False)}
+
+
+# -- alerts
+
+
+def hours(spark, values, group="g"):
+    data = [(group, i * 3600, v) for i, v in enumerate(values) if v != "missing"]
+    return spark.createDataFrame(data, "g string, s long, value double").select("g", F.timestamp_seconds("s").alias("ts"), F.lit("m").alias("metric"), "value")
+
+
+def test_episodes_begin_and_end(spark):
+    from tidemark.operators import alerts
+
+    samples = hours(spark, [1.0, 9.0, 9.0, 1.0, 9.0, "missing", 9.0, 9.0, 9.0])
+    rule = {"alert": "a", "condition_type": "threshold", "condition": {"metric": "m", "operator": "gte", "value": 5}, "window_minutes": 60, "consecutive_failures": 2}
+    found = alerts.alerts(samples, [rule], ["g"]).select(F.unix_seconds("triggered_at") / 3600, F.unix_seconds("resolved_at") / 3600, "windows", "peak")
+    assert rows(found) == [(2.0, 3.0, 2, 9.0), (7.0, None, 3, 9.0)]
+    quiet = alerts.alerts(samples, [rule | {"consecutive_failures": 1, "suppression_window_minutes": 240}], ["g"])
+    assert [r[0] for r in quiet.select((F.unix_seconds("triggered_at") / 3600).alias("h")).orderBy("h").collect()] == [1.0, 6.0]
+    assert alerts.alerts(samples.where("false"), [rule], ["g"]).count() == 0
+
+
+def test_kinds_of_conditions(spark):
+    from tidemark.operators import alerts
+
+    samples = hours(spark, [10.0, 10.0, 11.0, 10.0, 9.0, 10.0, 40.0, 10.0, 4.0, 4.0])
+    of = lambda kind, **c: [r[0] for r in alerts.alerts(samples, [{"alert": "a", "condition_type": kind, "condition": {"metric": "m"} | c, "window_minutes": 60}], ["g"]).select((F.unix_seconds("triggered_at") / 3600).alias("h")).orderBy("h").collect()]
+    assert of("change", change_type="increase", threshold=100) == [6.0] and of("change", change_type="decrease", threshold=50) == [7.0]
+    assert of("anomaly", sensitivity="high") == [6.0, 8.0] and of("pattern", pattern=["value > 30", "value < 20", "value < 5"]) == [8.0]
+    for bad in ({"condition_type": "nope"}, {"condition_type": "change", "condition": {"metric": "m"}}, {"condition_type": "threshold", "condition": {"metric": "m", "operator": "nope", "value": 1}}):
+        with pytest.raises(ValueError):
+            alerts.checked({"alert": "a"} | bad)
+
+
+def test_detection_types(spark):
+    series = hours(spark, [10.0, 11.0, 10.0, 9.0, 10.0, 11.0, 50.0, 10.0, None, 2.0]).select("g", F.col("ts").alias("start"), "value")
+    of = lambda **c: sorted(r.value for r in metrics.detect(series, ["g"], c).collect())
+    assert of(detection_type="threshold", config={"min": 5, "max": 40}) == [2.0, 50.0]
+    assert of(detection_type="statistical", sensitivity="low", baseline_period_days=1) == [2.0, 50.0]
+    assert of(detection_type="pattern", config={"conditions": ["value > 40", "value < 20"]}) == [10.0]
+    for bad in ({"detection_type": "ml"}, {"detection_type": "statistical", "sensitivity": "x"}, {"detection_type": "statistical", "baseline_period_days": 91}):
+        with pytest.raises(ValueError):
+            of(**bad)
+
+
+@pytest.mark.parametrize("seconds", [1, 5, 100])
+def test_counts_of_the_last_seconds(spark, seconds):
+    r = random.Random(seconds)
+    data = [(i, r.choice("ab"), r.randrange(3_000_000_00) // 1000) for i in range(200)]
+    df = spark.createDataFrame(data, "i int, g string, ms long").select("i", "g", F.timestamp_millis("ms").alias("ts"))
+    want = {i: sum(h == g and 0 <= t - u < seconds * 1000 for _, h, u in data) for i, g, t in data}
+    assert {x.i: x.recent for x in metrics.rolling(df, ["g"], seconds).collect()} == want
+
+
+def test_change_streams_go_on_after_their_tokens(spark):
+    df = spark.createDataFrame([("a", i, f"a{i}") for i in range(4)] + [("b", 0, "b0"), ("c", 5, "c5")], "collection string, position int, _id string")
+    tokens = spark.createDataFrame([("a", "a1"), ("c", "c2"), ("d", "d0")], "collection string, _id string")
+    rest, lost = logs.resumed(df, tokens)
+    assert rows(rest.select("_id")) == [("a2",), ("a3",), ("b0",)] and rows(lost) == [("c",), ("d",)]
+    assert rows(logs.resume_tokens(df)) == [("a", "a3"), ("b", "b0"), ("c", "c5")]

@@ -6,12 +6,14 @@ Operators return the new table as a plan; ``replace`` puts it in the place of a
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
+from . import schemas
 
 #: Sync modes and the shorter names they also go by (fixed values).
 MODES = {"full_refresh_overwrite", "full_refresh_append", "incremental_append", "incremental_append_deduped", "cdc_incremental_deduped_history"}
@@ -174,6 +176,36 @@ def replace(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     swap(fs, at(temp), at(path), at(old))
 
 
+def publish_version(df: DataFrame, path: str, partition_by: list[str] | None = None, keep: int = 2) -> str:
+    """Full refresh without a moment in between: df becomes a version of its own below path, and a small file names it as the current one.
+
+    Readers that resolved the version before go on with it; the last keep versions stay. Returns the version's folder.
+    """
+    spark = df.sparkSession
+    name = f"v-{time.time_ns():020}-{uuid.uuid4().hex[:8]}"
+    df.write.partitionBy(*(partition_by or [])).parquet(f"{path}/{name}")
+    storage.put_text(spark, f"{path}/_current", name)
+    fs, at = storage.located(spark, path)
+    versions = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().startswith("v-"))
+    for old in [v for v in versions if v < name][: max(0, len(versions) - keep)]:
+        storage.delete(spark, f"{path}/{old}")
+    return f"{path}/{name}"
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that ``publish_version`` writes."""
+    name = storage.get_text(spark, f"{path}/_current")
+    if name is None:
+        raise FileNotFoundError(f"{path} has no version yet")
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def evolved(table: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, list]:
+    """table and batch in the schema that holds both, and the changes that a stored table needs for it."""
+    schema, changes = schemas.evolve(table.schema, batch.schema)
+    return schemas.reconcile(table, schema), schemas.reconcile(batch, schema), changes
+
+
 def swap(fs, temp, target, old) -> None:
     """Puts the folder temp in the place of target by renames, whose results are looked at."""
     held = fs.exists(target)

@@ -65,15 +65,18 @@ def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def route(events: DataFrame, routes: DataFrame) -> DataFrame:
     """A copy of each event per matching route (schema_name, table_name or *, target); a route for a schema and all its tables does not exist.
 
-    Every event asks for its own name, its table in any schema, and everything: one equi-join, which
-    Spark broadcasts if the routes are few.
+    Routes are gathered by what they ask for, so an event meets three rows at most, of small tables that Spark
+    broadcasts, and is only multiplied by the routes that it takes.
     """
-    anything = F.lit("*")
-    asked = F.array(F.struct(F.col("schema_name").alias("s"), F.col("table_name").alias("t")), F.struct(anything.alias("s"), F.col("table_name").alias("t")), F.struct(anything.alias("s"), anything.alias("t")))
-    wanted = events.withColumn("__asked", F.explode(F.array_distinct(asked)))
-    held = routes.where("NOT (route_schema <> '*' AND route_table = '*')").select("route_schema", "route_table", "target")
-    met = wanted.join(held, (F.col("__asked.s") == F.col("route_schema")) & (F.col("__asked.t") == F.col("route_table")))
-    return met.select(*events.columns, "target")
+    some = lambda where: routes.where(where)
+    own = some("NOT (route_schema = '*' AND route_table = '*') AND route_table <> '*'").groupBy("route_schema", "route_table").agg(F.collect_list("target").alias("__targets"))
+    named = own.where("route_schema <> '*'").withColumnRenamed("__targets", "__named")
+    anywhere = own.where("route_schema = '*'").select(F.col("route_table").alias("__table"), F.col("__targets").alias("__anywhere"))
+    every = some("route_schema = '*' AND route_table = '*'").agg(F.collect_list("target").alias("__every"))
+    # An event that is itself called * takes each route once.
+    met = events.join(named, (F.col("schema_name") == F.col("route_schema")) & (F.col("table_name") == F.col("route_table")), "left").join(anywhere, F.col("table_name") == F.col("__table"), "left").join(F.broadcast(every))
+    none = F.array().cast("array<string>")
+    return met.withColumn("target", F.explode(F.concat(F.coalesce("__named", none), F.coalesce("__anywhere", none), "__every"))).select(*events.columns, "target")
 
 
 def in_order(events: DataFrame, connection: str = "source_id", order: list[str] | None = None) -> DataFrame:

@@ -42,6 +42,23 @@ def moving_average(df: DataFrame, by: list[str], order: str, value: str, alpha:
     return positions(df, by, order, ties).groupBy(*by).agg(F.sum(weight * F.col(value)).alias("ema"))
 
 
+def rolling(events: DataFrame, by: list[str], seconds: int = 1, ts: str = "ts") -> DataFrame:
+    """events with recent: how many of their group came in the seconds up to each (RANGE frame), itself and its instant included.
+
+    Counted by instant first, and groups are cut by time so that a busy one is many tasks' work.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    span = seconds * 1_000_000
+    instants = events.groupBy(*by, micros.alias("__at")).agg(F.count("*").alias("__n"))
+    cut = F.floor(F.col("__at") / (span * 4))
+    cuts = F.when(F.col("__at") % (span * 4) >= span * 3, F.array(cut, cut + 1)).otherwise(F.array(cut))  # what the next cut looks back to
+    frame = Window.partitionBy(*by, "__cut").orderBy("__at").rangeBetween(-(span - 1), 0)
+    dealt = instants.withColumns({"__own": cut, "__cut": F.explode(cuts)}).withColumn("recent", F.sum("__n").over(frame)).where(F.col("__own") == F.col("__cut"))
+    names = {b: f"__{i}" for i, b in enumerate(by)}
+    held = dealt.select(*[F.col(b).alias(n) for b, n in names.items()], "__at", "recent")
+    return events.join(held, [*[F.col(b).eqNullSafe(F.col(n)) for b, n in names.items()], micros == F.col("__at")]).select(*events.columns, "recent")
+
+
 def remaining(done: Column, total: Column, rate: Column) -> Column:
     """Seconds until done reaches total at rate a second; null where nothing moves."""
     return F.when(rate > 0, F.greatest(F.lit(0), total - done) / rate)
@@ -106,6 +123,36 @@ def anomalies(df: DataFrame, value: str, by: list[str], z: float = 3.0) -> DataF
     return df.join(stats, by).where(F.abs(F.col(value) - F.col("mean")) > z * F.col("dev"))
 
 
+#: Robust deviations that a sensitivity allows.
+SENSITIVITY = {"low": 5.0, "medium": 3.5, "high": 2.5}
+
+
+def detect(series: DataFrame, by: list[str], config: dict, ts: str = "start", value: str = "value") -> DataFrame:
+    """Anomalous points of a series under {"detection_type", "sensitivity", "baseline_period_days", "config"}.
+
+    statistical: against the median of the baseline before the point; threshold: outside config's min and max; pattern: the
+    last points of runs that meet config's conditions one by one.
+    """
+    kind, more = config.get("detection_type"), config.get("config", {})
+    if config.get("sensitivity", "medium") not in SENSITIVITY:
+        raise ValueError(f"sensitivity must be one of {', '.join(SENSITIVITY)}")
+    days = config.get("baseline_period_days", 7)
+    if not 1 <= days <= 90:
+        raise ValueError("baseline_period_days must be from 1 to 90")
+    if kind == "statistical":
+        return outliers(series, by, days * 86_400, SENSITIVITY[config.get("sensitivity", "medium")], ts=ts, value=value).select(*series.columns)
+    if kind == "threshold":
+        low, high = more.get("min"), more.get("max")
+        bad = (F.col(value) < low if low is not None else F.lit(False)) | (F.col(value) > high if high is not None else F.lit(False))
+        return series.where(F.coalesce(bad, F.lit(False)))
+    if kind == "pattern":
+        ends = sequences(series, by, more["conditions"], more.get("within", days * 86_400), ts)
+        names = {c: f"__{i}" for i, c in enumerate([*by, ts])}
+        held = ends.select(*by, F.col("last").alias(ts)).distinct().withColumnsRenamed(names)
+        return series.join(held, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left_semi")
+    raise ValueError("detection_type must be one of statistical, threshold, pattern")
+
+
 def buckets(samples: DataFrame, by: list[str], ts: str = "ts", value: str = "value", size: str = "5 minutes") -> DataFrame:
     """by, start, value: means of windows of event time; what rules over time look at, so that a busy group is as long as its time."""
     return samples.groupBy(F.window(ts, size).alias("w"), *by).agg(F.avg(value).alias("value")).select(*by, F.col("w.start").alias("start"), "value")

@@ -87,7 +87,11 @@ def report(df: DataFrame, rules: list[dict], now: datetime | None = None) -> Dat
 
     A rule with a threshold_type is violated above threshold_value rows, or per cent of them.
     """
-    df = with_references(df, rules)
+    return _report(with_references(df, rules), rules, now)
+
+
+def _report(df: DataFrame, rules: list[dict], now: datetime | None) -> DataFrame:
+    """The report on rows that have the flags of their references."""
     aggregates = [F.count("*").alias("total")]
     for i, rule in enumerate(rules):
         flag = row_flag(rule, i)
@@ -112,12 +116,13 @@ def apply(df: DataFrame, policy: dict, now: datetime | None = None) -> Outcome:
     rules, mode = policy["rules"], policy.get("on_fail", "block")
     if mode not in ("block", "alert", "continue"):
         raise ValueError(f"unknown policy {mode!r}")
-    found = report(df, rules, now)
+    joined = with_references(df, rules)  # once, for the report and for the rows
+    found = _report(joined, rules, now)
     flags = [f for f in (row_flag(r, i) for i, r in enumerate(rules)) if f is not None]
     flagged = F.lit(False)
     for f in flags:
         flagged = flagged | f
-    checked = with_references(df, rules).withColumn("__bad", flagged)
+    checked = joined.withColumn("__bad", flagged)
     columns = df.columns
     if mode == "block":
         aggregate = [i for i, r in enumerate(rules) if row_flag(r, i) is None]
@@ -142,8 +147,8 @@ def by_action(df: DataFrame, rules: list[dict], now: datetime | None = None) ->
     """
     rules = [checked_rule(r) for r in rules]
     of = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(i), F.struct(F.lit(r["severity"]).alias("severity"), F.lit(r["action"]).alias("action")))])
-    found = report(df, rules, now).withColumn("of", of[F.col("rule")]).select("rule", "type", "total", "failing", "violated", "of.severity", "of.action")
     marked = with_references(df, rules)
+    found = _report(marked, rules, now).withColumn("of", of[F.col("rule")]).select("rule", "type", "total", "failing", "violated", "of.severity", "of.action")
     bad = F.lit(False)
     for i, r in enumerate(rules):
         if r["action"] in ("quarantine", "reject") and (flag := row_flag(r, i)) is not None:

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import apply, changes, metrics, quality, ranges
+from ..operators import alerts as metrics_alerts
+from ..operators import apply, changes, metrics, quality, ranges, schemas
 from ..sources import logs, streams
 from ..streaming import delivery, eventtime, ordered, runner
 from . import pipeline
-from .catalog import BASE, LOG, Tables, base, case, log, usage, usage_rows
+from .catalog import BASE, LOG, Tables, base, case, columns_of, log, usage, usage_rows
 
 #: Event types, which are the keys of the logs (fixed values of the test data).
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -298,7 +299,6 @@ def profile_merged(t: Tables) -> DataFrame:
     found = quality.described(quality.merged(two.unionByName(rest)))
     exact = None
     for c in columns:
-        near = F.col("estimated.column") == c
         counts = t("events").groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")).where("v IS NOT NULL")
         medians = found.where(F.col("column") == c).select(F.col("median").alias("m"))
         below = counts.join(F.broadcast(medians), how="cross") if c != "event_type" else counts.withColumn("m", F.lit(None).cast("double"))
@@ -306,7 +306,6 @@ def profile_merged(t: Tables) -> DataFrame:
         share = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)) / F.sum("n")
         one = below.agg(F.count("*").alias("d"), share(number < F.col("m")).alias("below"), share(number <= F.col("m")).alias("upto")).select(F.lit(c).alias("c"), "*")
         exact = one if exact is None else exact.unionByName(one)
-        del near
     met = found.join(exact, found["column"] == exact["c"])
     return met.select("column", "total", "nulls", "least", "most", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), (F.abs(F.col("distinct") - F.col("d")) <= F.greatest(F.lit(1), 0.05 * F.col("d"))).alias("distinct_near"), F.when(F.col("median").isNotNull(), (F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_near"))
 
@@ -328,6 +327,40 @@ SELECT event_type, start, round(value, 6) AS value, round(median, 3) AS median,
 case("sequence_alerts", """SELECT user_id, first, last FROM (SELECT user_id, ts AS first, event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c, lead(ts, 2) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 WHERE a = 'click' AND b IN ('view', 'error') AND c <> 'signup' AND last - first <= INTERVAL 12 HOUR""")(lambda t: metrics.sequences(stamped(t("events")), ["user_id"], ["event_type = 'click'", "event_type IN ('view', 'error')", "event_type <> 'signup'"], 12 * 3600, ties=["event_id"]))
 
+RULES = [
+    {"alert": "high", "condition_type": "threshold", "condition": {"metric": "value", "operator": "gt", "value": 60}, "window_minutes": 60, "consecutive_failures": 2, "severity": "critical"},
+    {"alert": "jump", "condition_type": "change", "condition": {"metric": "value", "change_type": "increase", "threshold": 100}, "window_minutes": 60},
+    {"alert": "fall", "condition_type": "pattern", "condition": {"metric": "value", "pattern": ["value > 60", "value < 40", "value < 40"]}, "window_minutes": 60, "severity": "error"},
+]
+
+
+@case("alert_rules", f"""WITH s AS {_SERIES},
+f AS (SELECT event_type, start, value, 'high' AS alert, coalesce(value > 60, false) AS flag FROM s
+UNION ALL SELECT a.event_type, a.start, a.value, 'jump', coalesce((a.value - b.value) * 100 / abs(b.value) > 100 AND b.value <> 0, false) FROM s a LEFT JOIN s b ON a.event_type = b.event_type AND a.start = b.start + INTERVAL 1 HOUR
+UNION ALL SELECT event_type, start, value, 'fall', coalesce(lag(value, 2) OVER w > 60 AND lag(value) OVER w < 40 AND value < 40 AND start - lag(start, 2) OVER w <= INTERVAL 3 HOUR, false) FROM s WINDOW w AS (PARTITION BY event_type ORDER BY start)),
+r AS (SELECT *, sum(CASE WHEN flag AND NOT coalesce(before AND start - earlier = INTERVAL 1 HOUR, false) THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, alert ORDER BY start) AS run FROM (SELECT *, max(start) OVER (PARTITION BY event_type, alert) AS newest, lag(flag) OVER (PARTITION BY event_type, alert ORDER BY start) AS before, lag(start) OVER (PARTITION BY event_type, alert ORDER BY start) AS earlier FROM f)),
+e AS (SELECT event_type, alert, min(start) AS first, max(start) AS last, count(*) AS windows, max(value) AS peak, any_value(newest) AS newest FROM r WHERE flag GROUP BY event_type, alert, run)
+SELECT event_type, alert, CASE alert WHEN 'high' THEN 'critical' WHEN 'fall' THEN 'error' ELSE 'warning' END AS severity, CASE WHEN alert = 'high' THEN first + INTERVAL 1 HOUR ELSE first END AS triggered_at, CASE WHEN last < newest THEN last + INTERVAL 1 HOUR END AS resolved_at, windows, round(peak, 6) AS peak
+FROM e WHERE windows >= CASE WHEN alert = 'high' THEN 2 ELSE 1 END""")
+def alert_rules(t: Tables) -> DataFrame:
+    """Episodes of three kinds of rules over hourly means."""
+    samples = stamped(t("events")).select("event_type", "ts", F.lit("value").alias("metric"), "value")
+    return metrics_alerts.alerts(samples, RULES, ["event_type"]).withColumn("peak", F.round("peak", 6))
+
+
+case("detect_threshold", f"SELECT event_type, start, round(value, 6) AS value FROM {_SERIES} WHERE value < 5 OR value > 120")(lambda t: metrics.detect(hourly(t), ["event_type"], {"detection_type": "threshold", "config": {"min": 5, "max": 120}}).select("event_type", "start", F.round("value", 6).alias("value")))
+case("rolling_counts", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS recent FROM events")(lambda t: metrics.rolling(stamped(t("events")), ["event_type"], 600).select("event_id", "recent"))
+
+
+@case("document_resume", "SELECT event_id, event_type AS collection, false AS lost FROM events WHERE event_id > 5000 AND event_type <> 'error' UNION ALL SELECT event_id, event_type, false FROM events WHERE event_type = 'view' AND event_id <= 5000 UNION ALL SELECT NULL, 'error', true")
+def document_resume(t: Tables) -> DataFrame:
+    """Change streams go on after their tokens; one collection is new, and one's token is no longer in its log."""
+    records = t("events").select("event_id", F.col("event_type").alias("collection"), F.col("event_id").alias("position"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("_id"))
+    tokens = logs.resume_tokens(records.where("position <= 5000 AND collection <> 'view'")).withColumn("_id", F.when(F.col("collection") == "error", "gone").otherwise(F.col("_id")))
+    rest, lost = logs.resumed(records, tokens)
+    return rest.select("event_id", "collection", F.lit(False).alias("lost")).unionByName(lost.select(F.lit(None).cast("bigint").alias("event_id"), "collection", F.lit(True).alias("lost")))
+
+
 # -- table functions -----------------------------------------------------------------------------
 case("table_runs", """SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS island FROM events) GROUP BY user_id, event_type, island""")(lambda t: pipeline.run(t("events").select("event_id", "user_id", "event_type"), {"transforms": [{"type": "table_function", "name": "runs", "args": ["user_id", "event_id", "event_type"]}]}).rows)
 case("table_pieces", "SELECT c_custkey, c_name, CAST(i AS BIGINT) AS number, string_split(c_name, '#')[i] AS piece FROM customer, unnest(range(1, len(string_split(c_name, '#')) + 1)) r(i)")(lambda t: pipeline.run(t("customer").select("c_custkey", "c_name"), {"transforms": [{"type": "table_function", "name": "pieces", "args": ["c_name", "#"]}]}).rows)
@@ -380,6 +413,65 @@ def coerce_policy(t: Tables) -> DataFrame:
     return held.unionByName(new)
 
 
+@case("jdbc_pushdown", "SELECT count(*) AS n, max(c_acctbal) AS most FROM customer WHERE c_custkey % 2 = 0")
+def jdbc_pushdown(t: Tables) -> DataFrame:
+    """A query that the source runs itself: one row travels."""
+    found = logs.jdbc_query(t("customer").sparkSession, _database(t), "SELECT COUNT(*) AS N, MAX(C_ACCTBAL) AS MOST FROM CUSTOMERS WHERE MOD(C_CUSTKEY, 2) = 0")
+    return found.select(F.col("N").cast("bigint").alias("n"), F.col("MOST").alias("most"))
+
+
+@case("discover_catalog", "SELECT * FROM (VALUES ('CUSTOMERS', 'C_CUSTKEY', 'bigint', false, 1, false), ('CUSTOMERS', 'C_NAME', 'varchar', true, NULL, true), ('CUSTOMERS', 'C_ACCTBAL', 'double', true, NULL, false)) v(table_name, column_name, data_type, is_nullable, key_position, json_candidate) WHERE EXISTS (SELECT 1 FROM customer)")
+def discover_catalog(t: Tables) -> DataFrame:
+    """All tables of a source with their keys, as its driver describes them."""
+    spark, url = t("customer").sparkSession, _database(t)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    for statement in ("ALTER TABLE CUSTOMERS ALTER COLUMN C_CUSTKEY NOT NULL", "ALTER TABLE CUSTOMERS ADD PRIMARY KEY (C_CUSTKEY)"):
+        connection.createStatement().execute(statement)
+    connection.close()
+    return logs.catalog_of(spark, url, "APP").drop("schema_name")
+
+
+@case("versioned_overwrite", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 2")
+def versioned_overwrite(t: Tables) -> DataFrame:
+    """Three full refreshes: a reader sees the last one, and the version before is still there for who began with it."""
+    spark = t("orders").sparkSession
+    path, orders = storage.scratch(spark, "versions"), t("orders").select("o_orderkey", "o_totalprice")
+    for i in range(3):
+        apply.publish_version(orders.where(f"o_orderkey % 3 = {i}"), path)
+        held = apply.current(spark, path)
+    return held
+
+
+@case("evolve_table", "SELECT CAST(c_custkey AS DOUBLE) AS k, c_name AS name, NULL AS nation FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 0.5::DOUBLE, NULL, CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 1")
+def evolve_table(t: Tables) -> DataFrame:
+    """A stored table that a batch with a wider key and a new column widens; the batch lacks one of its columns."""
+    spark = t("customer").sparkSession
+    path = storage.scratch(spark, "evolved")
+    apply.publish_version(t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("name")), path)
+    batch = t("customer").where("c_custkey % 2 = 1").select((F.col("c_custkey") + F.lit(0.5)).alias("k"), F.col("c_nationkey").cast("string").alias("nation"))
+    held, new, _ = apply.evolved(apply.current(spark, path), batch)
+    apply.publish_version(held.unionByName(new), path)
+    return apply.current(spark, path)
+
+
+@case("patched_pipeline", "SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders")
+def patched_pipeline(t: Tables) -> DataFrame:
+    """A pipeline follows a table whose schema has changed: the cast of a changed column follows its type, steps of a removed one go."""
+    spec = {"transforms": [{"type": "cast", "column": "o_totalprice", "to_type": "int"}, {"type": "string_op", "column": "o_comment", "op": "upper"}]}
+    before = t("orders").select("o_orderkey", F.col("o_totalprice").cast("int").alias("o_totalprice"), F.lit("x").alias("o_comment"))
+    now = t("orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("o_totalprice"))
+    for change in schemas.diff(columns_of(before, "orders"), columns_of(now, "orders")).collect():  # a row a changed column
+        spec = schemas.patch_spec(spec, change.column_name, change.change, change.new_type)
+    return pipeline.run(now, spec).rows
+
+
+@case("pipeline_preview", "SELECT count(*) AS n, true AS masked FROM (SELECT * FROM customer LIMIT 20)")
+def pipeline_preview(t: Tables) -> DataFrame:
+    """The first rows through the real pipeline."""
+    spec = {"transforms": [{"type": "mask", "column": "c_name", "strategy": "full", "output_column": "m"}]}
+    return pipeline.preview(t("customer").select("c_name"), spec, 20).agg(F.count("*").alias("n"), F.bool_and(F.col("m") != F.col("c_name")).alias("masked"))
+
+
 #: A time in the middle of the test data's month.
 _MIDDLE = datetime(2024, 1, 16)
 case("last_30d_inside", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-16'")(lambda t: metrics.within(t("events"), "ts", "30d", _MIDDLE).select("event_id"))

@@ -31,6 +31,26 @@ def document_stream(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.select(op.alias("op"), j("$.ns.db").alias("schema_name"), j("$.ns.coll").alias("table_name"), key.alias("pk_values"), F.when(op == "d", key).alias("before"), F.when(op != "d", j("$.fullDocument")).alias("after"), j("$._id").alias("lsn")).where("op IS NOT NULL")
 
 
+def resumed(records: DataFrame, tokens: DataFrame, collection: str = "collection", order: str = "position", token: str = "_id") -> tuple[DataFrame, DataFrame]:
+    """The records of change streams after each collection's resume token, and the collections that need a new snapshot.
+
+    records: collection, order and token of each entry and more; tokens: collection and token, where each was left. A
+    collection without a token is read from its first record; one whose token its log no longer holds has lost history, and none of its records is given.
+    """
+    names = tokens.select(F.col(collection).alias("__c"), F.col(token).alias("__t"))
+    found = records.join(names, F.col(collection) == F.col("__c")).groupBy("__c").agg(F.max(F.when(F.col(token) == F.col("__t"), F.col(order))).alias("__from"))
+    # A row a collection.
+    places = names.join(found.withColumnRenamed("__c", "__f"), F.col("__c") == F.col("__f"), "left").select("__c", "__from")
+    lost = places.where("__from IS NULL").select(F.col("__c").alias(collection))
+    met = records.join(places, F.col(collection) == F.col("__c"), "left")
+    return met.where(F.col("__c").isNull() | (F.col(order) > F.col("__from"))).select(*records.columns), lost
+
+
+def resume_tokens(records: DataFrame, collection: str = "collection", order: str = "position", token: str = "_id") -> DataFrame:
+    """Where each collection was left: the token of its last record."""
+    return records.groupBy(collection).agg(F.max_by(token, order).alias(token))
+
+
 #: Words that make a statement of a log one that changes tables (fixed values).
 DDL = ["ALTER", "CREATE", "DROP", "RENAME"]
 
