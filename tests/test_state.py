@@ -80,6 +80,20 @@ def test_groups_keep_their_place(spark, tmp_path):
         read("c4", start="nowhere")
 
 
+def test_acknowledged_files_can_go(spark, tmp_path):
+    root = f"{tmp_path}/log"
+    published(spark, root, [("a", i) for i in range(10)])
+    assert streams.trim(root, ["a"]) == 0  # nobody has read it
+    one, two = streams.Group(root, "one"), streams.Group(root, "two")
+    one.update("begin", {"a": 0})
+    one.update("acked", {"a": 10})
+    two.update("begin", {"a": 7})
+    assert streams.groups(root) == ["one", "two"] and streams.trim(root, ["a", "b"]) == 2
+    assert streams.ends(root, ["a"]) == {"a": 10}
+    reader = streams.LogReader(root, ["a"], "two", "latest")
+    assert reader.initialOffset() == {"a": 7} and [n for p in reader.partitions({"a": 7}, {"a": 10}) for _, n, _ in reader.read(p)] == [7, 8, 9]
+
+
 def test_entries_that_are_no_events_are_skipped(spark):
     lines = spark.createDataFrame([("k", i, x) for i, x in enumerate(['{"a": 1}', "broken", "[1]", "{}", "", None, '{"a": 2} x', '{"b": 3}'])], "key string, position bigint, line string")
     good, bad = streams.decoded(lines, "a int")
@@ -330,6 +344,20 @@ def test_statements_that_only_speak_of_tables(spark):
     assert sorted(r.query for r in logs.table_changes(df).collect()) == ["  alter table t add c int", "/* x */ DROP TABLE t"]
 
 
+def test_versions_replace_each_other(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        apply.current(spark, path)
+    held = []
+    for n in (1, 2, 3):
+        apply.publish_version(spark.range(n), path)
+        held.append(apply.current(spark, path))
+    assert held[2].count() == 3 and held[1].count() == 2  # who began with the version before goes on with it
+    assert len([f for f in (tmp_path / "t").iterdir() if f.name.startswith("v-")]) == 2
+    apply.publish_version(apply.current(spark, path).where("id > 0"), path)
+    assert apply.current(spark, path).count() == 2
+
+
 # -- JSON
 
 

@@ -128,6 +128,30 @@ class Group:
         return sum(max(0, held[k].get("delivered", 0) - held[k].get("acked", held[k]["begin"])) for k in keys if k in held and "delivered" in held[k])
 
 
+def groups(root: str) -> list[str]:
+    """The consumer groups of a log."""
+    system, path = opened(root)
+    found = system.get_file_info(pafs.FileSelector(f"{path}/_groups", allow_not_found=True))
+    return sorted(f.base_name.removesuffix(".json") for f in found if f.base_name.endswith(".json"))
+
+
+def trim(root: str, keys: list[str]) -> int:
+    """Deletes files whose lines all groups have acknowledged (none, without a group), but for each key's last one, which says where it ends. Returns how many.
+
+    A group that is new later on begins with the lines that are left.
+    """
+    system, _ = opened(root)
+    held = [Group(root, g).read() for g in groups(root)]
+    gone = 0
+    for key in keys:
+        places = [h[key].get("acked", h[key]["begin"]) for h in held if key in h]
+        for _, end, path in _files(root, key)[:-1]:
+            if places and end <= min(places):
+                system.delete_file(path)
+                gone += 1
+    return gone
+
+
 class KeyRange(InputPartition):
     def __init__(self, key: str, start: int, end: int) -> None:
         self.key, self.start, self.end = key, start, end
