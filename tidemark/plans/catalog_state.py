@@ -196,19 +196,24 @@ j AS (SELECT x.path, EXISTS (SELECT 1 FROM c WHERE c.lo <= x.lo AND c.hi >= x.hi
 SELECT n.path, CASE WHEN a IS NULL AND b IS NULL THEN 'add' WHEN j.path IS NULL OR inside THEN 'skip' WHEN meets THEN 'dedup' ELSE 'add' END AS action FROM n LEFT JOIN j USING (path)""")(lambda t: ranges.admit(committed_files(t), incoming_files(t)).select("path", "action"))
 
 
-@case("range_replace", """WITH f AS (SELECT * FROM (VALUES ('a', 1000, 4000, 1), ('b', 3500, 6000, 2), ('d', 12000, 13000, 4)) v(path, lo, hi, n)),
+#: Files of a batch: path, the hundredths of the key space that it covers (low, high], its number.
+_BATCH = [("a", 10, 40, 1), ("b", 35, 60, 2), ("c", 15, 30, 3), ("d", 80, 90, 4)]
+
+
+@case("range_replace", f"""WITH m AS (SELECT max(o_orderkey) AS m FROM orders), f AS (SELECT path, m * a // 100 AS lo, m * z // 100 AS hi, n FROM m, (VALUES {', '.join(map(str, _BATCH))}) v(path, a, z, n) WHERE path <> 'c'),
 new AS (SELECT o_orderkey, n AS version, row_number() OVER (PARTITION BY o_orderkey ORDER BY lo DESC) AS rn FROM orders JOIN f ON o_orderkey > lo AND o_orderkey <= hi WHERE o_orderkey % 3 = 0)
-SELECT o_orderkey, 0 AS version FROM orders WHERE o_orderkey <= 10000 AND NOT EXISTS (SELECT 1 FROM f WHERE path IN ('a', 'b') AND o_orderkey > lo AND o_orderkey <= hi)
+SELECT o_orderkey, 0 AS version FROM orders WHERE NOT EXISTS (SELECT 1 FROM f WHERE o_orderkey > lo AND o_orderkey <= hi)
 UNION ALL SELECT o_orderkey, version FROM new WHERE rn = 1""")
 def range_replace(t: Tables) -> DataFrame:
     """Files that overlap what is stored replace it: their ranges are deleted from the table, then their rows are added."""
     spark = t("orders").sparkSession
-    incoming = spark.createDataFrame([("a", 1000, 4000, 1), ("b", 3500, 6000, 2), ("c", 1500, 3000, 3), ("d", 12000, 13000, 4)], "path string, lo bigint, hi bigint, version int")
-    table = t("orders").where("o_orderkey <= 10000").select("o_orderkey", F.lit(0).alias("version"))
-    # One stored file, of the keys in (2000, 5000]: a and b overlap it in part, c lies in it (and in a), d is apart.
-    stored = table.where("o_orderkey > 2000 AND o_orderkey <= 5000").agg(F.lit("old").alias("path"), (F.min("o_orderkey") - 1).alias("lo"), F.max("o_orderkey").alias("hi"))
-    plan = ranges.admit(stored, incoming)
-    rows = t("orders").where("o_orderkey % 3 = 0").join(incoming, (F.col("o_orderkey") > F.col("lo")) & (F.col("o_orderkey") <= F.col("hi"))).select("o_orderkey", "version", "path")
+    most = t("orders").agg(F.max("o_orderkey")).first()[0]
+    incoming = spark.createDataFrame([(path, most * a // 100, most * z // 100, n) for path, a, z, n in _BATCH], "path string, lo bigint, hi bigint, version int")
+    # The last file's keys are new; one stored file overlaps a and b in part, and c lies in a.
+    fresh = incoming.where("path = 'd'").select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    table = t("orders").join(F.broadcast(fresh), (F.col("o_orderkey") > F.col("__lo")) & (F.col("o_orderkey") <= F.col("__hi")), "left_anti").select("o_orderkey", F.lit(0).alias("version"))
+    plan = ranges.admit(spark.createDataFrame([("old", most * 20 // 100, most * 50 // 100)], "path string, lo bigint, hi bigint"), incoming)
+    rows = t("orders").where("o_orderkey % 3 = 0").join(F.broadcast(incoming), (F.col("o_orderkey") > F.col("lo")) & (F.col("o_orderkey") <= F.col("hi"))).select("o_orderkey", "version", "path")
     return ranges.replaced(table, rows, plan, "o_orderkey")
 
 
@@ -265,15 +270,14 @@ def usage_partitions(t: Tables) -> DataFrame:
     return found if not touched else found.where("false")
 
 
-@case("audit_partitions", "SELECT o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) AS day FROM orders WHERE year(o_orderdate) = 1996")
+@case("audit_partitions", "SELECT event_id, ts, CAST(ts AS DATE) AS day FROM events")
 def audit_partitions(t: Tables) -> DataFrame:
-    """An audit log stored by day; a year of it is read from that year's folders only."""
-    spark = t("orders").sparkSession
+    """An audit log stored by day, in two appends."""
+    spark = t("events").sparkSession
     path = storage.scratch(spark, "audit")
-    orders = t("orders").where("o_orderdate >= '1995-12-01' AND o_orderdate < '1997-02-01'").select("o_orderkey", "o_orderdate")
     for i in range(2):
-        apply.record(orders.where(f"o_orderkey % 2 = {i}").repartition(1), path, "o_orderdate")
-    return spark.read.parquet(path).where("day >= '1996-01-01' AND day < '1997-01-01'").select("o_orderkey", "o_orderdate", F.col("day").cast("date").alias("day"))
+        apply.record(stamped(t("events")).where(f"event_id % 2 = {i}").select("event_id", "ts").repartition(1), path, "ts")
+    return spark.read.parquet(path).select("event_id", "ts", F.col("day").cast("date").alias("day"))
 
 
 @case("footer_counts", "SELECT 'orders' AS name, count(*) AS rows, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders UNION ALL SELECT 'lineitem', count(*), min(l_orderkey), max(l_orderkey) FROM lineitem UNION ALL SELECT 'events', count(*), min(event_id), max(event_id) FROM events")
