@@ -115,3 +115,35 @@ def test_copies_of_null_and_repeated_ids_go(spark):
     both = [(None, long, None, None, 1), (5, near, None, None, 2), (9, long, None, None, 3)]
     left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(both, kinds), DIR).collect()
     assert [r["doc_id"] for r in left] == [5]
+
+
+def test_the_classifier_decides_who_stays(spark, runs):
+    """The first stage keeps the rows whose cost, counted here from the classifier's own scores, lies within its thresholds, and those without text."""
+    from tidemark.llm import quality
+
+    _, before, after = runs[0]
+    judged = quality.classify(before, queries.table(spark, DIR, "labels"), [F.col("doc_id")]).collect()
+    want = sorted(r.doc_id for r in judged if r.perplexity is None or r.low <= r.perplexity <= r.high)
+    assert sorted(r.doc_id for r in after.select("doc_id").collect()) == want and len(want) < len(judged)
+
+
+def test_the_mix_draws_what_its_plan_takes(spark, runs):
+    """Words of each document in the fourth stage's rows, against the plan by SQL: whole epochs, and a part at the cut."""
+    import duckdb
+    import pandas as pd
+
+    from tidemark.llm.oracles import ORACLE_SQL
+
+    _, before, after = runs[3]
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame([(r.doc_id, r.text, r.source) for r in before.collect()], columns=["doc_id", "text", "source"]).astype(object))
+    con.execute("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(text AS VARCHAR) AS text, CAST(source AS VARCHAR) AS source FROM given")
+    plan = {d: (size, taken) for d, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({ORACLE_SQL['op6_source_mix']})").fetchall() if taken}
+    drawn, texts = {}, {r.doc_id: (r.text or "").split() for r in before.collect()}
+    for r in after.collect():
+        drawn.setdefault(r.doc_id, []).append(r.text.split())
+    assert drawn.keys() == plan.keys()
+    for key, copies in drawn.items():
+        size, taken = plan[key]
+        assert sum(map(len, copies)) == taken and all(c == texts[key][: len(c)] for c in copies)
+        assert sorted(map(len, copies), reverse=True) == [size] * (taken // size) + ([taken % size] if taken % size else [])
