@@ -123,7 +123,7 @@ def test_answering_tasks_follow_the_text():
 def test_copied_shards_change_no_cost(spark, monkeypatch):
     r = np.random.default_rng(5)
     texts = ["".join(r.choice(list("abcd é"), r.integers(0, 30))) for _ in range(60)]
-    rows = spark.createDataFrame([(t, (i,)) for i, t in enumerate(texts)], "text string, row struct<i: int>").repartition(6)
+    rows = spark.createDataFrame([(t, (i,)) for i, t in enumerate(texts)], "text string, row struct<i: int>")  # in as many partitions as the session has tasks
     taught = spark.createDataFrame([("x", t) for t in texts[:20]], "label string, text string")
     plain = {x["row"]["i"]: x["costs"] for x in charlm.scored(taught, rows, 3)[1].collect()}
     monkeypatch.setattr(charlm, "copied", lambda *_: 3)
