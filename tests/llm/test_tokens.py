@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -6,9 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tidemark.llm import packing, token_store
+from tidemark.llm import packing, token_store, tokens
 from tidemark.llm.tokens import PieceEncoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -54,6 +55,56 @@ def test_batches_of_other_tokenizers_and_slices():
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[0], [*plain(FILES[0], "a b"), 0], [*plain(FILES[0], "<|endoftext|> c"), 0]]
 
 
+WORDS = ["".join(w) for w in itertools.product(["a", "be", "Cer", "dö"], ["fin", "gor", "éh"], ["ist", "jo", "k", "lle"], ["", "m", "nnen", "or", "pé"])]
+
+
+class Counted:
+    """An object of the library whose methods' calls are noted."""
+
+    def __init__(self, held, calls):
+        self.held, self.calls = held, calls
+
+    def __getattr__(self, name):
+        self.calls.append(name)
+        return getattr(self.held, name)
+
+
+def batches(e, *columns):
+    """The ids of each text of some columns in turn, with 7 behind them."""
+    found = [e.batch(pa.array(texts, pa.string()), 7) for texts in columns]
+    return [ids[a:b].tolist() for off, ids in found for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
+def test_new_runs_go_to_the_library_together():
+    e, calls = PieceEncoder(public_tokenizers.path(FILES[0])), []
+    for name, held in list(vars(e).items()):
+        if type(held).__module__.startswith("tokenizers"):
+            setattr(e, name, Counted(held, calls))
+    columns = [" ".join(WORDS), None, "".join(f"{w}{i}, " for i, w in enumerate(WORDS)) + "."], [" ".join(reversed(WORDS))]
+    assert batches(e, *columns) == [[*plain(FILES[0], t), 7] for t in sum(columns, [])]
+    assert 0 < len(calls) < 5  # not one for each of the hundreds of runs
+
+
+@pytest.mark.parametrize("clash", [True, False])
+def test_pieces_of_one_hash_and_long_ones_are_told_apart(monkeypatch, clash):
+    monkeypatch.setattr(tokens, "CHUNK", 8)
+    if clash:
+        monkeypatch.setattr(tokens, "range_hash", lambda prefix, start, end: np.zeros(len(start), np.uint64))
+    e = PieceEncoder(public_tokenizers.path(FILES[0]), entries=200)
+    columns = WORDS[:90], [" ".join(WORDS), "information", "informations", "information"], ["x" * 20 + "a", "x" * 20 + "b", "x" * 21]
+    assert batches(e, *columns, *columns) == [[*plain(FILES[0], t), 7] for t in 2 * sum(columns, [])]
+
+
+@pytest.mark.parametrize(("more", "merges", "options"), [(["Āa"], [("Ā", "a")], {}), (["abc"], [], {"ignore_merges": True}), (["ab", "##b"], [("a", "##b")], {"continuing_subword_prefix": "##"})])
+def test_runs_are_not_joined_for_models_that_would_mind(tmp_path, more, merges, options):
+    signs = [*pre_tokenizers.ByteLevel.alphabet(), *more]
+    library = Tokenizer(models.BPE(vocab={t: i for i, t in enumerate(signs)}, merges=merges, **options))
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    library.save(f"{tmp_path}/t.json")
+    e, texts = PieceEncoder(f"{tmp_path}/t.json"), ["abc a ab cab", "a\0a aa", "abc"]
+    assert e.kind == "bytes" and batches(e, texts) == [[*library.encode(t).ids, 7] for t in texts]
+
+
 ROWS = [(3, "b b the cat", "x"), (1, None, None), (2, "", "y"), (None, "no id", "z"), (5, "word " * 3000, "x"), (5, "word " * 3000, "x"), (9, "<|endoftext|> is text", "x")]
 
 

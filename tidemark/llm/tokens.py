@@ -9,7 +9,8 @@ split isn't provably neutral, texts that hold the string of an added token (whic
 the library's plain call) and all texts of other kinds of tokenizers.
 
 ``batch`` does the same for a column of texts: numpy cuts all texts into pieces, and plain pieces into their runs, Arrow tells
-them apart, each different one is looked up once a batch, and the ids are put together from their numbers.
+them apart, each different one is looked up once a batch, and the ids are put together from their numbers. New plain runs go to
+the model many at a time, behind a sign between them that no merge of the vocabulary holds, so that none is merged across it.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import os
 import re
 import struct
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textops import column, words
+from .textops import CHUNK, column, range_hash, rolled, words
 from .workspace import lean
 
 _UNEVEN = re.compile(r" \s|\s ")
@@ -31,6 +33,8 @@ _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Pieces that a cache holds, by kind of tokenizer.
 ENTRIES = {"bytes": 600_000, "words": 400_000}
+#: Bytes of text an entry that the pieces of batches may hold on the average.
+BYTES_EACH = 64
 LOADED: dict[tuple[str, int], PieceEncoder] = {}
 
 # Letters of Latin-1 that normalisation leaves as they are, digits, and ASCII signs but the apostrophe.
@@ -40,8 +44,6 @@ _PLAIN = {"bytes": re.compile(rf"(?:[{_LETTERS}0-9{_SIGNS}]|\n(?!\n))+"), "words
 _RUNS = {"bytes": re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n"), "words": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")}
 
 
-_LATIN_BYTES = re.compile("[ ]?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_ODD_ASCII = re.compile(r"['\x00-\x09\x0b-\x1f\x7f]|\n\n")
 #: By kind of tokenizer: the bytes that separate pieces.
 _SEPARATORS = {"bytes": [0x20], "words": [0x20, 0x09, 0x0A, 0x0D]}
 #: White space beside those of one byte, as UTF-8 (fixed values): its second and third bytes by its first.
@@ -60,7 +62,21 @@ def _byte_signs() -> dict[int, int]:
 
 
 _SIGN_OF_BYTE = _byte_signs()
-_SPACE, _FEED_SIGN = chr(_SIGN_OF_BYTE[32]), chr(_SIGN_OF_BYTE[10])
+_SPACE = chr(_SIGN_OF_BYTE[32])
+_SIGNS_OF_BYTES = np.array([_SIGN_OF_BYTE.get(b, b) for b in range(256)], "<u2")
+#: Bytes that no plain run holds: one stands between runs, the other between groups of so many runs that go to the model as one.
+_BETWEEN, _BREAK, GROUP = "\0", "\1", 64
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8."""
+    kind = _CLASS[data]
+    # Two bytes of a letter of Latin-1 count as letters; other bytes from 128 on are not plain.
+    lead = np.flatnonzero(data == 0xC3)
+    after = np.concatenate([data, np.zeros(1, np.uint8)])[lead + 1]
+    good = lead[(after != 0x97) & (after != 0xB7)]
+    kind[good] = kind[good + 1] = _LETTER
+    return kind
 
 
 class Cache(dict):
@@ -78,6 +94,77 @@ class Cache(dict):
         return ids
 
 
+class Lists:
+    """Lists of integers one after another in an array that grows; a list is known by its number."""
+
+    def __init__(self, kind: str) -> None:
+        self.n = 0
+        self.begin, self.held = np.zeros(1 << 10, np.int64), np.zeros(1 << 12, kind)
+
+    def put(self, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Adds lists of these sizes, whose values these are; returns their numbers."""
+        first, at = self.n, int(self.begin[self.n])
+        self.n += len(sizes)
+        self.begin, self.held = self._room(self.begin, self.n + 1), self._room(self.held, at + len(values))
+        self.begin[first + 1 : self.n + 1] = at + np.cumsum(sizes)
+        self.held[at : at + len(values)] = values
+        return np.arange(first, self.n)
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets (len + 1) and values of the lists one after another."""
+        begin = self.begin[numbers]
+        off = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(self.begin[numbers + 1] - begin, out=off[1:])
+        at = np.repeat(begin - off[:-1], np.diff(off))
+        at += np.arange(off[-1])
+        return off, self.held[at]
+
+    @staticmethod
+    def _room(held: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(held):
+            return held
+        out = np.zeros(max(size, len(held) + len(held) // 2), held.dtype)
+        out[: len(held)] = held
+        return out
+
+
+class Known:
+    """Numbers of the pieces that have been met, found by a hash and compared byte for byte, and their ids."""
+
+    def __init__(self) -> None:
+        self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pieces, self.ids = Lists("u1"), Lists("<u4")
+
+    def find(self, h: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The number of each piece (offsets at), -1 if it is new."""
+        out = np.full(len(h), -1)
+        order = np.argsort(h)
+        place = np.searchsorted(self.hash, h[order])
+        met = place < len(self.hash)
+        met[met] = self.hash[place[met]] == h[order[met]]
+        out[order[met]] = self.number[place[met]]
+        size = np.diff(at)
+        out[(out >= 0) & (self.pieces.begin[out + 1] - self.pieces.begin[out] != size)] = -1
+        same = out >= 0
+        off, held = self.pieces.get(out[same])
+        unlike = np.flatnonzero(held != data[np.repeat(same, size)])
+        out[np.flatnonzero(same)[np.searchsorted(off, unlike, "right") - 1]] = -1
+        return out
+
+    def add(self, h: np.ndarray, sizes: np.ndarray, pieces: np.ndarray, id_sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces; one with the hash of another will be new again."""
+        self.pieces.put(sizes, pieces)
+        numbers = self.ids.put(id_sizes, ids)
+        h, first = np.unique(h, return_index=True)
+        place = np.searchsorted(self.hash, h)
+        free = np.ones(len(h), bool)
+        inside = place < len(self.hash)
+        free[inside] = self.hash[place[inside]] != h[inside]
+        self.number = np.insert(self.number, place[free], numbers[first[free]])
+        self.hash = np.insert(self.hash, place[free], h[free])
+        return numbers
+
+
 class PieceEncoder:
     """ids(text): little-endian unsigned 32-bit ids of encode(text, add_special_tokens=False).
 
@@ -98,25 +185,75 @@ class PieceEncoder:
         entries = entries or ENTRIES.get(self.kind, 0)
         # With a byte-level split a piece carries the one space before it; otherwise white space only separates.
         self.first = Cache(lambda piece: self._new(piece, ""), entries)
-        self.raw = Cache(self._raw, entries)
+        self.entries, self.known = entries, Known()
+        self.bare = self._bare()
         self.rest = Cache(lambda piece: self._new(piece, " "), entries) if self.kind == "bytes" else self.first
 
+    def _bare(self):
+        """A tokenizer of the model alone, if runs can go to it joined: its merges are all that it does, and none holds the sign between runs."""
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+
+        m = self.model
+        if self.kind != "bytes" or not isinstance(m, BPE) or m.dropout or m.ignore_merges or m.continuing_subword_prefix or m.end_of_word_suffix:
+            return None
+        vocab, sign = self.tokenizer.get_vocab(with_added_tokens=False), chr(_SIGN_OF_BYTE[ord(_BETWEEN)])
+        # Signs that the vocabulary lacks would be left out.
+        if any(chr(c) not in vocab for c in _SIGNS_OF_BYTES.tolist()) or sum(sign in token for token in vocab) != 1:
+            return None
+        self.between = vocab[sign]
+        return Tokenizer(m)
+
     def _raw(self, key: str) -> bytes:
         """The ids of a piece or run that stands as its bytes, a character each; a byte-level one begins with the space before it."""
-        if self.kind == "bytes":
-            signs = None  # of one run
-            if key.isascii():
-                if not _ODD_ASCII.search(key):
-                    signs = key.replace(" ", _SPACE).replace("\n", _FEED_SIGN)
-            elif _LATIN_BYTES.fullmatch(key):
-                signs = key.translate(_SIGN_OF_BYTE)
-            if signs:
-                return self._packed([t.id for t in self.model.tokenize(signs)])
         text = key.encode("latin-1").decode()
         if self.kind == "bytes" and text[0] == " ":
             return self._new(text[1:], " ")
         return self._new(text, "")
 
+    def _joined(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of plain byte-level runs, by few calls of the library."""
+        groups = _BREAK.join(_BETWEEN.join(runs[i : i + GROUP]) + _BETWEEN for i in range(0, len(runs), GROUP))
+        signs = _SIGNS_OF_BYTES[np.frombuffer(groups.encode("latin-1"), np.uint8)].tobytes().decode("utf-16-le")
+        found = self.bare.encode_batch_fast(signs.split(chr(_SIGN_OF_BYTE[ord(_BREAK)])), add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+        ends = np.flatnonzero(ids == self.between)
+        return np.diff(ends, prepend=-1) - 1, ids[ids != self.between]
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of other pieces, one at a time."""
+        lists = list(map(self._raw, pieces))
+        return np.array([len(x) >> 2 for x in lists], np.int64), np.frombuffer(b"".join(lists), "<u4")
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The number of each different piece or run among the known ones, to which those that are new are added."""
+        data, at = column(pieces)
+        known = self.known
+        if known.pieces.n >= self.entries or known.pieces.begin[known.pieces.n] > BYTES_EACH * self.entries:
+            self.known = Known()
+        out, first = np.zeros(len(at) - 1, np.int64), 0
+        while first < len(out):
+            to = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1)
+            out[first:to] = self._some(data[at[first] : at[to]], at[first : to + 1] - at[first])
+            first = to
+        return out
+
+    def _some(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The numbers of different pieces (offsets at) of about CHUNK bytes, or of one that is longer."""
+        short, size = np.minimum(at, CHUNK), np.diff(at)
+        h = range_hash(rolled(data[:CHUNK]), short[:-1], short[1:])
+        out = self.known.find(h, data, at)
+        new = out < 0
+        if not new.any():
+            return out
+        plain = new & (self._strange(data, _kinds(data), at) == 0) if self.bare else np.zeros(len(new), bool)
+        text = data.tobytes().decode("latin-1")  # a character a byte
+        for some, encode in ((plain, self._joined), (new & ~plain, self._each)):
+            if some.any():
+                keys = [text[a:b] for a, b in zip(at[:-1][some].tolist(), at[1:][some].tolist(), strict=True)]
+                out[some] = self.known.add(h[some], size[some], data[np.repeat(some, size)], *encode(keys))
+        return out
+
     def _kind(self) -> str:
         """How the text is normalised and split: the kinds are fixed values of the library's description."""
         normalizer, split = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
@@ -196,30 +333,28 @@ class PieceEncoder:
         out[np.searchsorted(off, found, "right") - 1] = True
         return out
 
+    @staticmethod
+    def _strange(data: np.ndarray, kind: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many bytes of each piece (offsets at) are not plain, or line feeds behind another."""
+        odd = kind == 0
+        feed = np.flatnonzero(data == 0x0A)
+        double = feed[1:][np.diff(feed) == 1]
+        odd[double[np.searchsorted(at, double, "right") == np.searchsorted(at, double - 1, "right")]] = True
+        return np.bincount(np.searchsorted(at, np.flatnonzero(odd), "right") - 1, minlength=len(at) - 1)
+
     def _starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where pieces begin, and the runs of plain pieces; a byte-level piece begins with the space before it."""
         n = len(data)
-        first = np.zeros(n + 1, bool)
-        first[off] = True
-        first = first[:n]
-        space = data == 0x20
-        kind = _CLASS[data]
-        # Two bytes of a letter of Latin-1 count as letters; other bytes from 128 on are not plain.
-        lead = np.flatnonzero(data == 0xC3)
-        after = np.concatenate([data, np.zeros(1, np.uint8)])[lead + 1]
-        good = lead[(after != 0x97) & (after != 0xB7)]
-        kind[good] = kind[good + 1] = _LETTER
-        begins = first | space
-        piece = np.cumsum(begins) - 1
-        odd = kind == 0
-        double = np.zeros(n, bool)
-        double[1:] = (data[1:] == 0x0A) & (data[:-1] == 0x0A) & ~first[1:]
-        strange = np.zeros(int(piece[-1]) + 1 if n else 0, bool)
-        strange[piece[odd | double]] = True
+        kind = _kinds(data)
+        begins = kind == _BLANK
         turns = np.zeros(n, bool)
-        turns[1:] = (kind[1:] != kind[:-1]) & ~space[:-1]
-        turns &= ~strange[piece] if n else turns
-        return np.flatnonzero(begins | turns)
+        turns[1:] = (kind[1:] != kind[:-1]) & ~begins[:-1]
+        begins[off[off < n]] = True
+        start = np.flatnonzero(begins)
+        turn = np.flatnonzero(turns)
+        strange = self._strange(data, kind, np.append(start, n))
+        begins[turn[strange[np.searchsorted(start, turn, "right") - 1] == 0]] = True
+        return np.flatnonzero(begins)
 
     def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (rows + 1) and ids of all texts one after another, each with the end id behind it."""
@@ -242,27 +377,22 @@ class PieceEncoder:
         keep = ~whole[row]
         pieces, row = (pieces, row) if keep.all() else (pieces.filter(pa.array(keep)), row[keep])
         known = pieces.dictionary_encode()
-        code = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        held, at = column(known.dictionary)
-        text, at = held.tobytes().decode("latin-1"), at.tolist()  # a character a byte
-        entries = [self.raw[text[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
-        alone = np.flatnonzero(whole)
-        entries += [self.ids(texts[i].as_py()) for i in alone.tolist()]
-        entries.append(self._packed([end]))
-        # Every row's pieces, or its whole text, and then the end.
-        codes = np.concatenate([code, len(entries) - 1 - len(alone) + np.arange(len(alone))])
-        if len(alone):
-            row = np.concatenate([row, alone])
-            by = np.argsort(row, kind="stable")
-            codes, row = codes[by], row[by]
+        del pieces, size, start, stop, flat, keep  # a long text's are large
+        codes = self._numbers(known.dictionary)[known.indices.to_numpy(zero_copy_only=False)]
+        held = self.known.ids
+        last = held.put(np.ones(1, np.int64), np.array([end], "<u4"))
+        # Every row's pieces, and then the end, which isn't kept.
         ends = np.searchsorted(row, np.arange(n), "right")
-        codes = np.insert(codes, ends, len(entries) - 1)
-        length = np.array([len(e) >> 2 for e in entries], np.int64)
-        begin = np.cumsum(length) - length
-        held = np.frombuffer(b"".join(entries), "<u4")
-        after = np.concatenate([[0], np.cumsum(length[codes])])
-        ids = held[np.repeat(begin[codes] - after[:-1], np.diff(after)) + np.arange(after[-1])]
-        return np.concatenate([[0], after[ends + np.arange(1, n + 1)]]), ids
+        after, ids = held.get(np.insert(codes, ends, last[0]))
+        held.n -= 1
+        off = np.concatenate([[0], after[ends + np.arange(1, n + 1)]])
+        # Texts that are encoded whole come before their ends.
+        parts, more, at = [], np.zeros(n + 1, np.int64), 0
+        for i in np.flatnonzero(whole).tolist():
+            own = np.frombuffer(self.ids(texts[i].as_py()), "<u4")
+            parts += [ids[at : off[i + 1] - 1], own]
+            more[i + 1], at = len(own), off[i + 1] - 1
+        return (off + np.cumsum(more), np.concatenate([*parts, ids[at:]])) if parts else (off, ids)
 
 
 def encoder(path: str) -> PieceEncoder:
