@@ -1,10 +1,12 @@
 import random
 import re
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import ngram_join, trie
 from tidemark.llm.components import components
@@ -100,3 +102,13 @@ def test_components(spark):
     links = [(1, 2), (3, 2), (3, 4), (10, 9), (5, 5)] + [(i, i + 1) for i in range(20, 60)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 9} | {i: 20 for i in range(20, 61)}
+
+
+def test_a_worker_holds_nothing_large_between_tasks():
+    batch = pa.record_batch([pa.array([1]), pa.array([" ".join(f"word{i}" for i in range(330_000))])], ["id", "text"])
+    tracemalloc.start()
+    for rows in ngram_join._sets(False)(iter([batch])):
+        del rows
+    now, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert now < 1 << 20

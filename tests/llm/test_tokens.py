@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -190,3 +191,15 @@ def test_pack_conserves_tokens(lengths):
     for n, spans in zip(lengths, covered, strict=True):
         spans.sort()
         assert sum(x[1] for x in spans) == n and all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_known_pieces_of_words_stay_small():
+    e = PieceEncoder(public_tokenizers.path(FILES[1]))
+    text = " ".join(f"{i}" for i in range(1_000_000, 1_380_000))
+    tracemalloc.start()
+    assert len(e.ids(text[:80])) == 4 * len(plain(FILES[1], text[:80]))
+    for begin in range(0, len(text), 80_000):
+        e.ids(text[begin : begin + 80_000])
+    now, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert now < 45e6

@@ -64,29 +64,32 @@ def least(n: Column) -> Column:
     return F.least(F.ceil(m * trie.PERCENT / 100), F.greatest(F.lit(FLOOR), F.floor(m / 16))).cast("int")
 
 
+def _set_rows(batch: pa.RecordBatch, whole: bool, salt: bytes) -> pa.RecordBatch:
+    data, off = column(batch.column("text"))
+    h, first, _ = shingles(data, off, GRAM)
+    sizes, names, checks, parts = [], [], [], []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        s = np.unique(h[a:b])
+        digest = hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt).digest()
+        sizes.append(len(s))
+        for held, part in ((names, digest[:8]), (checks, digest[8:])):
+            held.append(int.from_bytes(part, "little", signed=True) if len(s) else None)
+        parts.append(s if whole else s[: prefix(len(s))])
+    n, name = pa.array(sizes, pa.int32()), pa.array(names, pa.int64())
+    if whole:
+        return pa.record_batch([n, name, pa.array([p.tobytes() for p in parts], pa.binary())], ["n", "class", "grams"])
+    ends = np.cumsum([0, *map(len, parts)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)))
+    return pa.record_batch([batch.column("id"), n, name, pa.array(checks, pa.int64()), lists], ["id", "n", "class", "check", "prefix"])
+
+
 def _sets(whole: bool, draw: int = 0):
     """Sets of the texts' shingles, whole or as prefixes, with their size, name and check (the rest of the digest)."""
     salt = draw.to_bytes(8, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            data, off = column(batch.column("text"))
-            h, first, _ = shingles(data, off, GRAM)
-            sizes, names, checks, parts = [], [], [], []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                s = np.unique(h[a:b])
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt).digest()
-                sizes.append(len(s))
-                for held, part in ((names, digest[:8]), (checks, digest[8:])):
-                    held.append(int.from_bytes(part, "little", signed=True) if len(s) else None)
-                parts.append(s if whole else s[: prefix(len(s))])
-            n, name = pa.array(sizes, pa.int32()), pa.array(names, pa.int64())
-            if whole:
-                yield pa.record_batch([n, name, pa.array([p.tobytes() for p in parts], pa.binary())], ["n", "class", "grams"])
-            else:
-                ends = np.cumsum([0, *map(len, parts)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)))
-                yield pa.record_batch([batch.column("id"), n, name, pa.array(checks, pa.int64()), lists], ["id", "n", "class", "check", "prefix"])
+            yield _set_rows(batch, whole, salt)  # whose arrays are let go before the next slice's are made
 
     return run
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from .workspace import lean
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 U = np.uint64
 _BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -23,10 +23,11 @@ _BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every input bit of 64-bit integers (the finaliser of splitmix64)."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
+    x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
     x *= U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x ^= x >> U(31)
+    return x
 
 
 IS_SPACE = np.zeros(256, bool)
@@ -68,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK) -> I
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def held_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = U(pow(int(_STEP), -1, 1 << 64))
     up, down = np.full(n, _STEP), np.full(n, inverse)
     up[:1] = down[:1] = 1
@@ -77,21 +78,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the rolling multiplier and of its inverse, n at least."""
-    return _powers(max(CHUNK + (1 << 16), 1 << max(0, int(n) - 1).bit_length() if n > CHUNK + (1 << 16) else 0))
+    return held_powers(max(CHUNK + (1 << 16), 1 << max(0, int(n) - 1).bit_length() if n > CHUNK + (1 << 16) else 0))
 
 
 def rolled(data: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> np.ndarray:
     """Prefix sums of which differences, scaled, are hashes of byte ranges."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, U)
-    np.cumsum(values[data] * up[: len(data)], out=out[1:])
-    return out
+    out[1:] = values[data]
+    out[1:] *= up[: len(data)]
+    return np.cumsum(out, out=out)
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hash(prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
     """Hash of the bytes [start, end); equal ranges have equal hashes."""
     _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start])
+    out = prefix[end] - prefix[start]
+    out *= down[start]
+    return mix(out)
 
 
 def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ _UNEVEN = re.compile(r" \s|\s ")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Pieces that a cache holds, by kind of tokenizer.
-ENTRIES = {"bytes": 600_000, "words": 400_000}
+ENTRIES = {"bytes": 600_000, "words": 200_000}
 #: Bytes of text an entry that the pieces of batches may hold on the average.
 BYTES_EACH = 64
 LOADED: dict[tuple[str, int], PieceEncoder] = {}

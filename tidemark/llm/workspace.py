@@ -102,8 +102,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def lean(keep_tokenizer: bool = False) -> None:
-    """For the start and end of a Python task: the worker, which Spark uses again, lets go of freed memory and of another operator's tokenizer."""
-    tokens = sys.modules.get("tidemark.llm.tokens")
+    """For the start and end of a Python task: the worker, which Spark uses again, lets go of freed memory, tables of powers and another operator's tokenizer."""
+    tokens, textops = sys.modules.get("tidemark.llm.tokens"), sys.modules.get("tidemark.llm.textops")
+    if textops:
+        textops.held_powers.cache_clear()
     if tokens and tokens.LOADED and not keep_tokenizer:
         tokens.LOADED.clear()
         gc.collect()
