@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,3 +97,19 @@ def test_repeated_rows_stand_for_each_other(spark, monkeypatch):
     rows = [(None, text)] * 40 + [(7, text)] + [(i + 10, f"{i} {text[:150]}") for i in range(3)]
     got = sorted((tuple(x) for x in repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows) and sent
+
+
+def test_a_task_holds_the_arrays_of_one_slice():
+    r = np.random.default_rng(3)
+    texts = [r.integers(97, 123, 500_000, dtype=np.uint8).tobytes().decode() for _ in range(12)]
+    texts[6:] = [t[:1000] + t[2000:] for t in texts[:6]]
+    ids = pa.array(range(12), pa.int64())
+    files = pa.concat_tables(map(pa.Table.from_batches, ([b] for b in repeats._files(iter([pa.record_batch([ids, pa.array(texts)], ["doc", "text"])])))))
+    marks = [files.filter(pc.equal(files["doc"], i))["file"].to_pylist() for i in range(12)]
+    rows = pa.record_batch([ids, ids, ids, pa.array(texts), pa.array(marks, pa.list_(pa.int64()))], ["doc", "id", "tie", "text", "files"])
+    for work in (repeats._files, repeats._ship(8)):
+        tracemalloc.start()
+        count = sum(out.num_rows for out in work(iter([rows])))
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert count and most < 150e6, work

@@ -59,12 +59,13 @@ def _starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Prefix sums, hashes of all short strings, and of all starts of whole strings: position, row, file."""
     prefix = rolled(data)
     n = max(0, len(data) - SEED + 1)
-    seeds = range_hash(prefix, np.arange(n), np.arange(SEED, SEED + n))
+    seeds = range_hash(prefix, slice(n), slice(SEED, SEED + n))
     least = _slide(seeds, np.minimum)
     count = np.maximum(0, np.diff(off) - LENGTH + 1)
     row = np.repeat(np.arange(len(count)), count)
     first = np.concatenate([[0], np.cumsum(count)])
-    at = off[:-1][row] + np.arange(first[-1]) - first[:-1][row]
+    at = np.arange(first[-1])
+    at += np.repeat(off[:-1] - first[:-1], count)
     return prefix, seeds, at, row, least[at]
 
 
@@ -76,22 +77,26 @@ def _runs(*same: np.ndarray) -> np.ndarray:
     return out
 
 
-def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filed(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A row for each place whose short string files a start; of one that goes on repeating, two."""
+    data, off = column(batch.column("text"))
+    _, seeds, at, _, file = _starts(data, off)
+    if not len(at):
+        return pa.record_batch([pa.array([], pa.int64())] * 2, ["file", "doc"])
+    of_start = np.zeros(len(seeds) + WIDTH - 1, _U)
+    of_start[at + WIDTH - 1] = file
+    place = np.flatnonzero((_slide(of_start, np.maximum) == seeds) & (seeds > 0))
+    doc, value = np.searchsorted(off, place, "right") - 1, seeds[place]
+    again = ~_runs(value, doc)
+    again[1:] &= again[:-1].copy()
+    keep = ~again
+    ids = batch.column("doc").to_numpy(zero_copy_only=False)
+    return pa.record_batch([pa.array(value[keep].view(np.int64)), pa.array(ids[doc[keep]])], ["file", "doc"])
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        data, off = column(batch.column("text"))
-        _, seeds, at, row, file = _starts(data, off)
-        if not len(at):
-            continue
-        of_start = np.zeros(len(seeds) + WIDTH - 1, _U)
-        of_start[at + WIDTH - 1] = file
-        place = np.flatnonzero((_slide(of_start, np.maximum) == seeds) & (seeds > 0))
-        doc, value = np.searchsorted(off, place, "right") - 1, seeds[place]
-        again = ~_runs(value, doc)
-        again[1:] &= again[:-1].copy()
-        keep = ~again
-        ids = batch.column("doc").to_numpy(zero_copy_only=False)
-        yield pa.record_batch([pa.array(value[keep].view(np.int64)), pa.array(ids[doc[keep]])], ["file", "doc"])
+        yield _filed(batch)  # whose arrays are let go before the next slice's are made
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -242,35 +247,44 @@ _KINDS = [("task", pa.int64()), ("doc", pa.int64()), ("id", pa.int64()), ("tie",
 _SHIPPED = "task long, doc long, id long, tie long, start long, count long, bytes binary"
 
 
+def _sent(batch: pa.RecordBatch, known: _Known, groups: int) -> list[pa.RecordBatch]:
+    """What a slice hands on: runs of starts that are settled here, and the others with their bytes."""
+    data, off = column(batch.column("text"))
+    prefix, _, at, row, file = _starts(data, off)
+    del _
+    keys = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "id", "tie")}
+    shared = batch.column("files").flatten().to_numpy(zero_copy_only=False).view(_U)
+    begin = np.flatnonzero(_runs(file))  # neighbours mostly lie in one file
+    wanted = np.repeat(np.isin(file[begin], shared), np.diff([*begin, len(file)]))
+    at, row, file = at[wanted], row[wanted], file[wanted]
+    if not len(at):
+        return []
+    place, mark = at - off[row], range_hash(prefix, at, at + LENGTH)
+    del prefix, wanted
+    gone, first = _settled(data, at, _positions(keys["id"], keys["tie"], row, place), mark)
+    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    where = (keys["id"][row], keys["tie"][row], place)
+    gone |= known.earlier(view, at, mark, where)
+    first &= ~gone
+    known.add(view, at[first], mark[first], tuple(w[first] for w in where))
+    out = []
+    for part, sent in ((np.flatnonzero(gone), False), (np.flatnonzero(~gone), True)):
+        p, r, f = at[part], row[part], file[part]
+        begin = np.flatnonzero(_runs(r, p - np.arange(len(p)), f) if sent else _runs(r, p - np.arange(len(p))))
+        n = np.diff([*begin, len(p)])
+        b, r = p[begin], r[begin]
+        task = (f[begin] % _U(groups)).astype(np.int64) if sent else np.full(len(b), -1)
+        held = [data[x : x + c + LENGTH - 1].tobytes() for x, c in zip(b, n, strict=True)] if sent else [None] * len(b)
+        values = [task, keys["doc"][r], keys["id"][r], keys["tie"][r], b - off[r], n, held]
+        out.append(pa.record_batch([pa.array(v, k) for v, (_, k) in zip(values, _KINDS, strict=True)], [k for k, _ in _KINDS]))
+    return out
+
+
 def _ship(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
         for batch in slices(batches, "text"):
-            data, off = column(batch.column("text"))
-            prefix, _, at, row, file = _starts(data, off)
-            keys = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "id", "tie")}
-            shared = batch.column("files").flatten().to_numpy(zero_copy_only=False).view(_U)
-            begin = np.flatnonzero(_runs(file))  # neighbours mostly lie in one file
-            wanted = np.repeat(np.isin(file[begin], shared), np.diff([*begin, len(file)]))
-            at, row, file = at[wanted], row[wanted], file[wanted]
-            if not len(at):
-                continue
-            place, mark = at - off[row], range_hash(prefix, at, at + LENGTH)
-            gone, first = _settled(data, at, _positions(keys["id"], keys["tie"], row, place), mark)
-            view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-            where = (keys["id"][row], keys["tie"][row], place)
-            gone |= known.earlier(view, at, mark, where)
-            first &= ~gone
-            known.add(view, at[first], mark[first], tuple(w[first] for w in where))
-            for part, sent in ((np.flatnonzero(gone), False), (np.flatnonzero(~gone), True)):
-                p, r, f = at[part], row[part], file[part]
-                begin = np.flatnonzero(_runs(r, p - np.arange(len(p)), f) if sent else _runs(r, p - np.arange(len(p))))
-                n = np.diff([*begin, len(p)])
-                b, r = p[begin], r[begin]
-                task = (f[begin] % _U(groups)).astype(np.int64) if sent else np.full(len(b), -1)
-                held = [data[x : x + c + LENGTH - 1].tobytes() for x, c in zip(b, n, strict=True)] if sent else [None] * len(b)
-                values = [task, keys["doc"][r], keys["id"][r], keys["tie"][r], b - off[r], n, held]
-                yield pa.record_batch([pa.array(v, k) for v, (_, k) in zip(values, _KINDS, strict=True)], [k for k, _ in _KINDS])
+            yield from _sent(batch, known, groups)
 
     return run
 
