@@ -1,6 +1,8 @@
 import random
 import re
+import time
 import tracemalloc
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -10,6 +12,7 @@ import pyarrow as pa
 
 from tidemark.llm import ngram_join, trie
 from tidemark.llm.components import components
+from tidemark.llm.workspace import stored
 
 
 def brute(rows):
@@ -104,6 +107,20 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 9} | {i: 20 for i in range(20, 61)}
 
 
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in dirs for f in Path(d).glob("*/shuffle_*")}
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7, 90))) for i in range(40)], "doc_id long, text string").repartition(3)
+    before = held()
+    rows = stored(docs.groupBy("text").count().repartition(2, "count"), "test-shuffles")
+    for _ in range(50):
+        if not (left := held() - before):
+            break
+        time.sleep(0.1)
+    assert not left and rows.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # only while it is written
+
+
 def test_a_worker_holds_nothing_large_between_tasks():
     batch = pa.record_batch([pa.array([1]), pa.array([" ".join(f"word{i}" for i in range(330_000))])], ["id", "text"])
     tracemalloc.start()

@@ -30,9 +30,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to a shared Parquet table and read back: cuts the lineage."""
+    """The rows of df, written once to a shared Parquet table and read back: cuts the lineage.
+
+    The shuffle files of that one query go when it ends, and not when the driver happens to collect garbage.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
