@@ -1,10 +1,12 @@
 import hashlib
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_dedup import exact_dedup, fingerprints, keyed_state, located
+from tidemark.llm.workspace import scratch
 
 ROWS = [
     (1, "same text", "a"),
@@ -88,3 +90,15 @@ def test_input_of_other_kinds_and_paths_read_twice(spark, tmp_path):
         assert {(r.id, r.keep_id, r.kept) for r in exact_dedup(df).collect()} == {(1, 1, True), (2, 1, False), (3, 3, True)}
     twice = exact_dedup(spark.read.parquet(f"{tmp_path}/p", f"{tmp_path}/p")).collect()
     assert len(twice) == 6 and sorted(r.id for r in twice if r.kept) == [1, 3] and {r.group_size for r in twice} == {4, 2}
+
+
+def test_state_stores_are_closed_with_their_tasks(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 20}") for i in range(60)], "doc_id long, text string")
+    fingerprints(located(docs, "doc_id", "text")).write.parquet(table := scratch(spark, "test-fingerprints"))
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    local = spark._jvm.org.apache.spark.util.Utils.getLocalDir(env.conf())
+    stores = lambda: {str(p) for p in Path(local).rglob("StateStoreId*")}  # noqa: E731  an open store's folder
+    before = stores()
+    state = keyed_state(spark, table, scratch(spark, "test-state"))
+    assert stores() <= before
+    assert sorted(r.group_size for r in state.collect()) == [3] * 20

@@ -129,3 +129,15 @@ def test_a_worker_holds_nothing_large_between_tasks():
     now, _ = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert now < 1 << 20
+
+
+def test_a_task_holds_the_arrays_of_a_small_slice():
+    texts = [" ".join(f"w{i * j % 9973}" for j in range(400)) for i in range(1, 700)]  # 1.6 MB
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    whole = ngram_join._set_rows(batch, True, b"")
+    tracemalloc.start()
+    rows = [b.column("class").to_pylist() for b in ngram_join._sets(True)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) > 4 and sum(rows, []) == whole.column("class").to_pylist()
+    assert peak < 15e6

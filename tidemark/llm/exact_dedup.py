@@ -67,8 +67,9 @@ def keyed_state(spark: SparkSession, table: str, checkpoint: str, max_files: int
     if max_files:
         source = source.option("maxFilesPerTrigger", max_files)
     state = source.parquet(table).groupBy("digest").agg(F.min(_best()).alias("keep"), F.count("*").alias("group_size"))
-    # Without fallocate a store of few keys takes few bytes of disk, however many partitions there are.
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
+    # Without fallocate a store of few keys takes few bytes of disk, and closed with its task it holds no memory outside the heap,
+    # however many partitions there are.
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false", spark__sql__streaming__stateStore__unloadOnCommit="true"):
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
         held = spark.read.format("statestore").load(checkpoint)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import trie
 from .components import components
-from .textops import column, shingles, slices
+from .textops import SMALL, column, shingles, slices
 from .workspace import discard, lean, small, small_batches, stored, tidy
 
 GRAM = 5
@@ -88,7 +88,7 @@ def _sets(whole: bool, draw: int = 0):
     salt = draw.to_bytes(8, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             yield _set_rows(batch, whole, salt)  # whose arrays are let go before the next slice's are made
 
     return run

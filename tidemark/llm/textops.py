@@ -15,6 +15,8 @@ import pyarrow as pa
 from .workspace import lean
 
 CHUNK = 1 << 20
+#: Bytes of a slice where memory is short.
+SMALL = 1 << 18
 SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 U = np.uint64
 _BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -73,12 +75,12 @@ def held_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = U(pow(int(_STEP), -1, 1 << 64))
     up, down = np.full(n, _STEP), np.full(n, inverse)
     up[:1] = down[:1] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    return np.cumprod(up, out=up), np.cumprod(down, out=down)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the rolling multiplier and of its inverse, n at least."""
-    return held_powers(max(CHUNK + (1 << 16), 1 << max(0, int(n) - 1).bit_length() if n > CHUNK + (1 << 16) else 0))
+    return held_powers(next((k + (k >> 4) for k in (SMALL, CHUNK) if n <= k + (k >> 4)), 1 << (int(n) - 1).bit_length()))
 
 
 def rolled(data: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> np.ndarray:
