@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -58,6 +59,71 @@ def test_top_k_empty_and_alone(spark):
     assert topk.top_k(alone, F.col("vec_id") % 10 == 0).collect() == []
 
 
+def copies_and_decay(n, dims, spread, seed):
+    """Vectors whose mass sits in a few dimensions; some ids and some vectors come several times."""
+    draw = np.random.default_rng(seed)
+    m = np.floor(draw.normal(0, 1, (n, dims)) * spread * 0.7 ** np.arange(dims)).astype("i8")
+    m[n // 2 :] = m[draw.integers(0, max(1, n // 4), n - n // 2)]
+    ids = draw.permutation(n).astype("i8")
+    ids[::7] = ids[3]
+    return m, ids
+
+
+def brute_block(q, query_ids, m, ids, k):
+    out = []
+    rows = sorted({(int(i), tuple(map(int, v))) for i, v in zip(ids, m, strict=True)})
+    for own, v in zip(query_ids, q, strict=True):
+        best = sorted((-sum(int(a) * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != own)[:k]
+        out += [(int(own), i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in best]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("spread,dims", [(300, 24), (3, 24), (1, 2), (1e5, 24), (1e9, 6), (1e15, 6), (5, 0)])
+def test_search_of_a_block_is_exact(monkeypatch, spread, dims):
+    """With and without bounds, for scores of 24, 53, 64 and more bits."""
+    monkeypatch.setattr(topk, "FIRST", 32)
+    monkeypatch.setattr(topk, "TILE", 40)
+    monkeypatch.setattr(topk, "REST", 1)
+    for n, k, seed in ((500, 10, 1), (200, 3, 2), (9, 10, 3), (300, 40, 4)):
+        m, ids = copies_and_decay(n, dims, spread, seed)
+        q, query_ids = m[: n // 4 + 1], ids[: n // 4 + 1]
+        got = topk.search(q, query_ids, topk.Block(m, ids, topk._hashes(m), k), k)
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == brute_block(q, query_ids, m, ids, k)
+        assert [x.tolist() for x in topk.search(q, query_ids, topk.Block(m, ids, np.zeros(n, "i8"), k), k)] == [x.tolist() for x in got]
+
+
+def test_bounds_cut_dimensions():
+    """Where mass sits in a few dimensions, the others are looked at for a few pairs only."""
+    draw = np.random.default_rng(4)
+    m = np.floor(draw.normal(0, 300, (6000, 32)) * 0.6 ** np.arange(32)).astype("i8")
+    block = topk.Block(m, np.arange(6000), topk._hashes(m), 10)
+    topk.search(m[:100], np.arange(100), block, 10)
+    assert block._kept["d"] < 16
+
+
+def test_top_k_of_large_numbers(spark):
+    """Scores beyond 53 bits, lengths that differ, no dimension at all, ids that come with two vectors."""
+    draw = random.Random(8)
+    rows = [(i, [draw.gauss(0, 10 ** draw.choice([0, 3, 5])) for _ in range(draw.choice([0, 2, 5]))]) for i in range(120)]
+    rows += [(i, [draw.gauss(0, 1e5), 1.0]) for i in range(0, 30, 3)] + [(10, rows[10][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    held = sorted({(i, tuple(math.floor(x * 1024) for x in v)) for i, v in rows})
+    want = []
+    for own in sorted({i for i, _ in held if i % 10 == 0}):
+        pairs = [(-sum(a * b for a, b in zip(v, w, strict=True)), j) for i, v in held if i == own for j, w in held if j != own and len(v) == len(w)]
+        want += [(own, rank, j, -s) for rank, (s, j) in enumerate(sorted(pairs)[:7], 1)]
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, 7).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_top_k_of_many_pairs_takes_seconds(spark):
+    """1.2 thousand million pairs: a matrix product's work, where a loop over queries took most of a minute."""
+    df = spark.range(200_000).select(F.col("id").alias("vec_id"), F.array(*[F.randn(d) * 0.125 for d in range(64)]).cast("array<float>").alias("embedding")).localCheckpoint()
+    began = time.perf_counter()
+    found = topk.top_k(df, F.col("vec_id") % 33 == 0, 10).agg(F.count("*").alias("n"), F.max("rank").alias("rank")).first()
+    assert tuple(found) == (60_610, 10) and time.perf_counter() - began < 30
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
